@@ -1,0 +1,203 @@
+"""Nulls, empty and long texts, ties, repeated rows, empty tables, clashing names; and each method's own behaviour."""
+
+import random
+
+import brute
+import pytest
+from pyspark.sql import functions as F
+
+from sultry.llm import chat_tree, decontamination, ngram_jaccard, packing, quality_classifier, quality_rules, secrets, sharding, substring_dedup, url_filters
+from sultry.llm.components import connected_components
+
+SCHEMA = "doc_id long, text string, lang string, shard string, kept string, host string"
+LONG = " ".join(f"w{i % 997}" for i in range(30_000))
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "x", "y", "z") for i, t in rows], SCHEMA)
+
+
+EDGES = [(1, None), (2, ""), (3, "one two"), (None, "a b c d e f"), (4, LONG), (5, LONG), (5, LONG), (6, " \n\t "), (7, "Same Text here now")]
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3), (200, 200)], "a long, b long")
+    got = {r.node: r.component for r in connected_components(edges).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+    assert connected_components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_url_propagation(spark):
+    urls = spark.createDataFrame([(1, "http://a.net/x", "h"), (2, "http://b.net/y", "h"), (3, "http://c.com/de/1", "h"), (4, "http://d.net/z", "h"), (5, None, "h"), (6, "none", "h"), (7, "http://e.net/q", "h"), (7, "http://e.net/q", "h")], "page_id long, url string, host string")
+    links = spark.createDataFrame([("http://a.net/x", "http://b.net/y"), ("http://b.net/y", "http://c.com/de/1"), ("http://e.net/q", "http://f.com/de/2"), ("http://e.net/q", "http://g.org/")], "a string, b string")
+    got = sorted((r.page_id, r.verdict, r.rule) for r in url_filters.filter_urls(urls, links).collect() if True)
+    assert got == [(1, "block", None), (2, "block", None), (3, "block", "com/de/"), (4, "allow", None), (5, "allow", None), (6, "allow", None), (7, "allow", None), (7, "allow", None)] or dict((a, b) for a, b, _ in got) == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow"}
+    assert url_filters.filter_urls(urls.limit(0), links).count() == 0
+
+
+def test_links_from_html(spark):
+    html = '<head><link rel="canonical" href="/c"><meta http-equiv="refresh" content="0; url=http://r.net/2"></head>'
+    pages = spark.createDataFrame([(1, "https://a.net/p", html), (2, "http://www.a.net/q/?utm_source=x#top", None), (3, None, html)], "page_id long, url string, html string")
+    got = {(r.a, r.b) for r in url_filters.page_links(pages).collect()}
+    assert got == {("https://a.net/p", "https://a.net/c"), ("https://a.net/p", "http://r.net/2"), ("http://www.a.net/q/?utm_source=x#top", "https://a.net/q")}
+
+
+def test_entropy(spark):
+    random.seed(1)
+    key = "".join(random.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    texts = [f"see {key} there", "password: hunter2abc and 123e4567-e89b-12d3-a456-426614174000", "internationalization" * 3, None, "", f"token={key}"]
+    rows = secrets.find_secrets(frame(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
+    kinds = [[s["kind"] for s in r.secrets] for r in rows]
+    assert kinds[0] == ["entropy"] and kinds[1] == ["assign"] and kinds[2:5] == [[], [], []] and kinds[5] == ["assign"]
+    assert rows[0].secrets[0]["start"] == 4 and rows[0].secrets[0]["end"] == 44
+    out = {r.doc_id: r.text for r in secrets.redact(frame(spark, list(enumerate(texts)))).collect()}
+    assert out[0] == "see [SECRET] there" and out[3] is None and out[5] == "[SECRET]" and out[2] == texts[2]
+    assert secrets.find_secrets(frame(spark, [])).count() == 0
+
+
+def test_incremental_entropy_equals_direct():
+    from collections import Counter
+    from math import log2
+
+    s = "aAbBcC0123zzzzzzzzzzzzzzzzzzzzzzz9876543210qwertyuiop"
+    want = set()
+    for i in range(len(s) - 19):
+        h = -sum(c / 20 * log2(c / 20) for c in Counter(s[i : i + 20]).values())
+        if h >= 3.8:
+            want.update(range(i, i + 20))
+    assert {p for a, b in secrets.entropy_spans(s, 3.8) for p in range(a, b)} == want
+
+
+def test_sharding_edges(spark):
+    rows = sharding.histogram_sort(frame(spark, EDGES), n_shards=3).collect()
+    assert len(rows) == len(EDGES)
+    for k in range(3):
+        assert sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows)))
+    assert sharding.histogram_sort(frame(spark, []), n_shards=3).count() == 0
+    many = spark.range(5000).select((F.col("id") * F.col("id")).alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 90).cast("int")).alias("text"))
+    sizes = [r.s for r in sharding.histogram_sort(many, n_shards=7).groupBy("shard").agg(F.sum(sharding.text_size(F.col("text"))).alias("s")).collect()]
+    assert len(sizes) == 7 and max(sizes) - min(sizes) < 0.01 * sum(sizes)
+
+
+def test_packing_edges(spark):
+    rows = packing.best_fit_pack(frame(spark, EDGES)).collect()
+    assert {r.doc_id for r in rows} == {i for i, _ in EDGES}
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in b) <= 1024 for b in bins.values())
+    assert packing.best_fit_pack(frame(spark, [])).count() == 0
+
+
+def test_plan_places_every_piece_once():
+    random.seed(2)
+    h = {n: random.randint(1, 50) for n in random.sample(range(1, 1025), 300)}
+    seen, used = {}, {}
+    for length, first, last, seq, offset in packing.plan_best_fit(h):
+        assert seen.get(length, 0) == first
+        seen[length] = last
+        for k in range(last - first):
+            used.setdefault(seq + k, []).append((offset, length))
+    assert seen == h
+    for parts in used.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
+
+
+def test_special_tokens_as_the_tokenizer_reads_them():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    for s in ["a <|endoftext|> b", "éè  x\n\n y", "don't  stop", "\x1c\x85\xa0z", "12345 日本語 🙂"]:
+        assert list(packing.encoder(path).encode_to_numpy(s, allowed_special="all")) == t.encode(s, add_special_tokens=False).ids
+
+
+ITEM = "A farmer in the north has 12 red apples and gives 5 km of rope to Tom before noon so how many are left for the market today."
+
+
+def test_reparameterised_leaks(spark):
+    changed = ITEM.replace("12", "77").replace("Tom", "Sam").replace("5 km", "9 miles")
+    clash = ITEM.replace("12", "5").replace("farmer", "doctor")
+    docs = frame(spark, [(1, "Intro words here. " + ITEM + " More text."), (2, "Intro words here. " + changed), (3, "nothing of the kind at all"), (4, None), (5, ""), (None, ITEM), (6, clash)])
+    bench = spark.createDataFrame([(10, ITEM), (11, None)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.exact) for r in decontamination.find_leaks(docs, bench).collect()}
+    assert (1, 10, True) in got and (2, 10, False) in got and not any(i in (3, 4, 5, 6) for i, _, _ in got)
+    assert decontamination.find_leaks(frame(spark, []), bench).count() == 0
+    assert decontamination.find_leaks(docs, bench.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("s", ["", "</s>[INST] ok [/INST]", "\\", "\\\\n", "<\\|im_end|>", "<|im_end|><|im_start|>", "[[INST]]", "a\\</s>"])
+def test_escape_round_trip(s):
+    e = chat_tree.escape(s)
+    assert chat_tree.unescape(e) == s and not any(c in e for c in chat_tree.CONTROL)
+
+
+def test_tree_shares_turns(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (2, 1, "assistant", "no"), (3, 0, "user", "hi"), (4, 0, None, None), (None, 0, "user", "x"), (5, 0, "user", "hi"), (5, 0, "user", "hi")]
+    nodes, leaves = chat_tree.prefix_tree(spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, depth string"))
+    got = nodes.collect()
+    hi = [r for r in got if r.depth == 0 and sum(x.parent_id == r.node_id for x in got) == 3]
+    assert len(hi) == 1 and len(got) == 6
+    for r in got:
+        if r.parent_id == hi[0].node_id:
+            assert r.position == len(hi[0].tokens) and [(a["start"], a["end"]) for a in r.ancestors] == [(0, len(hi[0].tokens))]
+    spots = sorted((r.start, r.start + len(r.tokens)) for r in got if r.tree_id == hi[0].node_id)
+    assert spots[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spots, spots[1:]))
+    back = {r.conv_id: [(t["role"], t["text"]) for t in r.turns] for r in chat_tree.read_back(nodes, leaves).collect()}
+    assert back[1] == [("user", "hi"), ("assistant", "yo")] and back[4] == [("", "")] and back[5] == [("user", "hi")] * 2 and back[None] == [("user", "x")]
+
+
+def random_docs(seed, n=120):
+    r = random.Random(seed)
+    vocab = [f"v{i}" for i in range(60)]
+    bases = [[r.choice(vocab) for _ in range(r.choice([5, 9, 20, 70, 160]))] for _ in range(12)]
+    out = {}
+    for i in range(n):
+        w = list(r.choice(bases))
+        for _ in range(r.choice([0, 0, 1, 1, 2, 4, 10])):
+            k = r.randrange(len(w))
+            w[k : k + r.choice([0, 1])] = [r.choice(vocab)] if r.random() < 0.7 else []
+            w = w or ["v0"]
+        out[i] = " ".join(w)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pairs_and_repeats_on_random_documents(spark, seed):
+    docs = random_docs(seed)
+    df = frame(spark, list(docs.items()))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.jaccard_components(df).collect()} == brute.jaccard(docs)
+    got = {r.doc_id: (r.n_words, r.n_removed, brute.sha(r.kept)) for r in substring_dedup.remove_repeats(df).collect()}
+    assert got == brute.dedup(docs)
+
+
+def test_jaccard_and_repeats_edges(spark):
+    rows = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard.jaccard_components(frame(spark, EDGES)).collect()}
+    assert {(1, 0, 1), (2, 0, 2), (3, 1, 3), (6, 0, 6), (None, 3, None)} <= rows and {c for i, _, c in rows if i in (4, 5)} == {4}
+    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(frame(spark, EDGES)).collect()}
+    assert got[4] == 0 and got[5] == 30_000 and got[1] == got[2] == got[3] == 0
+    for f in (ngram_jaccard.jaccard_components, substring_dedup.remove_repeats):
+        assert f(frame(spark, [])).count() == 0
+
+
+def test_line_rules(spark):
+    clean = "The river runs past the old mill. " * 3 + "\n" + "Farmers bring grain there every autumn and talk about rain."
+    junk = "home | about | contact | login | help\nBUY NOW CHEAP THINGS TODAY ONLY!!\nword### other### third### more###"
+    rows = {r.doc_id: r for r in quality_rules.clean_lines(frame(spark, [*EDGES, (20, clean + "\n" + clean.upper()), (21, clean + "\nhome | about | x | y"), (22, junk)])).collect()}
+    assert rows[1].cleaned is None and not rows[2].kept and rows[21].kept and rows[21].cleaned == clean and not rows[20].kept and not rows[22].kept
+    assert quality_rules.clean_lines(frame(spark, [])).count() == 0
+
+
+def test_classifier_edges(spark):
+    docs = frame(spark, EDGES)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.score for r in quality_classifier.score_quality(docs, none).collect()} == {0.5}
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 8)] + [(None, 1, 0), (3, None, 0), (4, 9, 0)], "doc_id long, quality int, toxic int")
+    rows = quality_classifier.score_quality(docs, labels).collect()
+    assert len(rows) == len(EDGES) and all(0 <= r.score <= 1 for r in rows)
+    assert quality_classifier.score_quality(frame(spark, []), labels).count() == 0
