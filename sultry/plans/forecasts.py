@@ -49,17 +49,17 @@ def peak24(spark, d):
     return fc.location_maximum(_hours(spark, d), _ts("2024-01-01 06:00:00"))
 
 
-@R.add("agg_location_24h_max", H + f"SELECT city_id, round(wet_bulb_c, 4) AS wet_bulb_c, valid_time AS peak_time, round(temperature_c, 4) AS temperature_c, round(dew_point_c, 4) AS dew_point_c FROM ({PEAK24})")
+@R.add("agg_location_24h_max", H + f"SELECT city_id, round(wet_bulb_c, 6) AS wet_bulb_c, valid_time AS peak_time, round(temperature_c, 6) AS temperature_c, round(dew_point_c, 6) AS dew_point_c FROM ({PEAK24})")
 def agg_location_24h_max(spark, d):
-    return peak24(spark, d).select("city_id", "peak_time", *[F.round(c, 4).alias(c) for c in ("wet_bulb_c", "temperature_c", "dew_point_c")])
+    return peak24(spark, d).select("city_id", "peak_time", *[F.round(c, 6).alias(c) for c in ("wet_bulb_c", "temperature_c", "dew_point_c")])
 
 
 DAILY = "daily AS (SELECT city_id, local_day, max(wet_bulb_c) AS wet_bulb_c, arg_min(valid_time, -wet_bulb_c * 1e6 + epoch(valid_time) * 1e-9) AS peak_time, max(offset_s) AS offset_s FROM hw GROUP BY 1, 2 HAVING count(*) = 24)"
 
 
-@R.add("agg_daily_complete_max", H.rstrip() + f", {DAILY} SELECT city_id, local_day, round(wet_bulb_c, 4) AS wet_bulb_c FROM daily")
+@R.add("agg_daily_complete_max", H.rstrip() + f", {DAILY} SELECT city_id, local_day, round(wet_bulb_c, 6) AS wet_bulb_c FROM daily")
 def agg_daily_complete_max(spark, d):
-    return fc.daily_complete_maximum(_hours(spark, d)).select("city_id", "local_day", F.round("wet_bulb_c", 4).alias("wet_bulb_c"))
+    return fc.daily_complete_maximum(_hours(spark, d)).select("city_id", "local_day", F.round("wet_bulb_c", 6).alias("wet_bulb_c"))
 
 
 FIVE = f"""spine AS (SELECT city_id, CAST(TIMESTAMP '{NOW}' + to_seconds(offset_s) AS DATE) AS today, CAST(TIMESTAMP '{NOW}' + to_seconds(offset_s) AS DATE) + CAST(i AS INT) AS local_day FROM (SELECT DISTINCT city_id, offset_s FROM hw), range(4) r(i)),
@@ -67,16 +67,16 @@ best AS (SELECT city_id, local_day, max(wet_bulb_c) AS wet_bulb_c FROM hw WHERE
 five AS (SELECT spine.city_id, spine.local_day, wet_bulb_c, count(*) FILTER (wet_bulb_c IS NULL AND spine.local_day > today) OVER (PARTITION BY spine.city_id) AS missing FROM spine LEFT JOIN best ON best.city_id = spine.city_id AND best.local_day = spine.local_day)"""
 
 
-@R.add("agg_five_day_remaining", H.rstrip() + f", {FIVE} SELECT city_id, local_day, round(wet_bulb_c, 4) AS wet_bulb_c FROM five WHERE missing = 0")
+@R.add("agg_five_day_remaining", H.rstrip() + f", {FIVE} SELECT city_id, local_day, round(wet_bulb_c, 6) AS wet_bulb_c FROM five WHERE missing = 0")
 def agg_five_day_remaining(spark, d):
     """Four days here, as the projected hours cover five UTC days from the day before."""
-    return fc.five_day_remaining(_hours(spark, d), _ts(NOW), days=4).select("city_id", "local_day", F.round("wet_bulb_c", 4).alias("wet_bulb_c"))
+    return fc.five_day_remaining(_hours(spark, d), _ts(NOW), days=4).select("city_id", "local_day", F.round("wet_bulb_c", 6).alias("wet_bulb_c"))
 
 
 PINNED = f"""pin AS (SELECT city_id, local_day, count(*) AS n, count(*) FILTER (valid_time > TIMESTAMP '{NOW}') AS left_, max(wet_bulb_c) AS wet_bulb_c, max(CASE WHEN valid_time > TIMESTAMP '{NOW}' THEN wet_bulb_c END) AS rest_c, any_value(CAST(TIMESTAMP '{NOW}' + to_seconds(offset_s) AS DATE)) AS today, any_value(offset_s) AS offset_s FROM hw GROUP BY 1, 2)"""
 
 
-@R.add("agg_pinned_five_day", H.rstrip() + f""", {PINNED} SELECT city_id, local_day, round(CASE WHEN local_day = today THEN rest_c ELSE wet_bulb_c END, 4) AS wet_bulb_c FROM pin
+@R.add("agg_pinned_five_day", H.rstrip() + f""", {PINNED} SELECT city_id, local_day, round(CASE WHEN local_day = today THEN rest_c ELSE wet_bulb_c END, 6) AS wet_bulb_c FROM pin
 WHERE (local_day > today AND n = 24) OR (local_day = today AND left_ = 23 - floor(epoch(TIMESTAMP '{NOW}' + to_seconds(offset_s) - CAST(local_day AS TIMESTAMP)) / 3600))""")
 def agg_pinned_five_day(spark, d):
     """Today counts if all its remaining hours are there, later days if all 24 are."""
@@ -86,7 +86,7 @@ def agg_pinned_five_day(spark, d):
     agg = rows.groupBy("city_id", "local_day", "today", "offset_s").agg(F.count("*").alias("n"), F.count_if(rest).alias("left"), F.max("wet_bulb_c").alias("all_c"), F.max(F.when(rest, F.col("wet_bulb_c"))).alias("rest_c"))
     due = 23 - F.hour(F.timestamp_add("SECOND", F.col("offset_s"), now))
     ok = ((F.col("local_day") > F.col("today")) & (F.col("n") == 24)) | ((F.col("local_day") == F.col("today")) & (F.col("left") == due))
-    return agg.where(ok).select("city_id", "local_day", F.round(F.when(F.col("local_day") == F.col("today"), F.col("rest_c")).otherwise(F.col("all_c")), 4).alias("wet_bulb_c"))
+    return agg.where(ok).select("city_id", "local_day", F.round(F.when(F.col("local_day") == F.col("today"), F.col("rest_c")).otherwise(F.col("all_c")), 6).alias("wet_bulb_c"))
 
 
 MERGE = f"""{DAILY}, sp AS (SELECT city_id, DATE '2024-01-02' + CAST(i AS INT) AS local_day FROM (SELECT DISTINCT city_id FROM hw), range(3) r(i)),
@@ -95,14 +95,14 @@ j AS (SELECT sp.*, a, b, coalesce(max(oa) OVER w <> max(ob) OVER w, false) AS di
 m AS (SELECT city_id, local_day, CASE WHEN NOT differ AND a IS NOT NULL THEN a ELSE b END AS wet_bulb_c, CASE WHEN NOT differ AND a IS NOT NULL THEN 'pinned' ELSE 'latest' END AS run FROM j)"""
 
 
-@R.add("join_merge_runs", H.rstrip() + f", {MERGE} SELECT city_id, local_day, round(wet_bulb_c, 4) AS wet_bulb_c, run FROM (SELECT *, count(*) FILTER (wet_bulb_c IS NULL) OVER (PARTITION BY city_id) AS gaps FROM m) WHERE gaps = 0")
+@R.add("join_merge_runs", H.rstrip() + f", {MERGE} SELECT city_id, local_day, round(wet_bulb_c, 6) AS wet_bulb_c, run FROM (SELECT *, count(*) FILTER (wet_bulb_c IS NULL) OVER (PARTITION BY city_id) AS gaps FROM m) WHERE gaps = 0")
 def join_merge_runs(spark, d):
     daily = fc.daily_complete_maximum(_hours(spark, d)).withColumn("offset_s", ((F.col("city_id") % 25 - 12) * 3600).cast("int"))
     cut = F.lit("2024-01-04").cast("date")
     spine = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("city_id"), F.explode(F.expr("sequence(date'2024-01-02', date'2024-01-04')")).alias("local_day"))
     pinned = daily.where((F.col("city_id") % 3 != 0) | (F.col("local_day") < cut)).select("city_id", "local_day", (F.col("wet_bulb_c") + 1).alias("wet_bulb_c"), (F.col("offset_s") + F.when(F.col("city_id") % 5 == 0, 3600).otherwise(0)).alias("offset_s"))
     latest = daily.where((F.col("city_id") % 7 != 0) | (F.col("local_day") != cut))
-    return fc.merge_runs(spine, pinned, latest).select("city_id", "local_day", F.round("wet_bulb_c", 4).alias("wet_bulb_c"), "run")
+    return fc.merge_runs(spine, pinned, latest).select("city_id", "local_day", F.round("wet_bulb_c", 6).alias("wet_bulb_c"), "run")
 
 
 R.queries["pipe_city_five_day"], R.sql["pipe_city_five_day"] = join_merge_runs, R.sql["join_merge_runs"]
@@ -119,23 +119,23 @@ def refined(spark, d):
     return peak24(spark, d).join(c.select("city_id", "path", cell.alias("cell")), "city_id").select("city_id", "path", "cell", "wet_bulb_c", "peak_time", (F.col("city_id") % 7 == 0).alias("is_control"))
 
 
-@R.add("topk_dedup_model_cell", H.rstrip() + f", {REFINED}, {TOP} SELECT city_id, path, cell, round(wet_bulb_c, 4) AS wet_bulb_c, peak_time, rank FROM top")
+@R.add("topk_dedup_model_cell", H.rstrip() + f", {REFINED}, {TOP} SELECT city_id, path, cell, round(wet_bulb_c, 6) AS wet_bulb_c, peak_time, rank FROM top")
 def topk_dedup_model_cell(spark, d):
-    return fc.rank_by_cell(refined(spark, d)).select("city_id", "path", "cell", F.round("wet_bulb_c", 4).alias("wet_bulb_c"), "peak_time", "rank")
+    return fc.rank_by_cell(refined(spark, d)).select("city_id", "path", "cell", F.round("wet_bulb_c", 6).alias("wet_bulb_c"), "peak_time", "rank")
 
 
 @R.add("agg_snapshot_counts", H.rstrip() + f""", {REFINED}, {TOP} SELECT (SELECT count(*) FROM refined) AS n_candidates, (SELECT count(*) FILTER (is_control) FROM refined) AS n_controls, (SELECT count(DISTINCT cell) FROM refined) AS n_cells,
-count(*) AS n_published, count(*) FILTER (is_control AND rank <= 20) AS controls_in_top20, (SELECT round(max(wet_bulb_c), 4) FROM refined WHERE is_control) AS max_control_c FROM top""")
+count(*) AS n_published, count(*) FILTER (is_control AND rank <= 20) AS controls_in_top20, (SELECT round(max(wet_bulb_c), 6) FROM refined WHERE is_control) AS max_control_c FROM top""")
 def agg_snapshot_counts(spark, d):
     rows = refined(spark, d)
     top = fc.rank_by_cell(rows).agg(F.count("*").alias("n_published"), F.count_if(F.col("is_control") & (F.col("rank") <= 20)).alias("controls_in_top20"))
-    whole = rows.agg(F.count("*").alias("n_candidates"), F.count_if("is_control").alias("n_controls"), F.countDistinct("cell").alias("n_cells"), F.round(F.max(F.when(F.col("is_control"), F.col("wet_bulb_c"))), 4).alias("max_control_c"))
+    whole = rows.agg(F.count("*").alias("n_candidates"), F.count_if("is_control").alias("n_controls"), F.countDistinct("cell").alias("n_cells"), F.round(F.max(F.when(F.col("is_control"), F.col("wet_bulb_c"))), 6).alias("max_control_c"))
     return whole.join(F.broadcast(top))
 
 
-@R.add("pipe_inhabited_top50", H.rstrip() + f", {REFINED}, {TOP} SELECT rank, path, round(wet_bulb_c, 4) AS wet_bulb_c, is_control FROM top")
+@R.add("pipe_inhabited_top50", H.rstrip() + f", {REFINED}, {TOP} SELECT rank, path, round(wet_bulb_c, 6) AS wet_bulb_c, is_control FROM top")
 def pipe_inhabited_top50(spark, d):
-    return fc.rank_by_cell(refined(spark, d)).select("rank", "path", F.round("wet_bulb_c", 4).alias("wet_bulb_c"), "is_control")
+    return fc.rank_by_cell(refined(spark, d)).select("rank", "path", F.round("wet_bulb_c", 6).alias("wet_bulb_c"), "is_control")
 
 
 @R.add("validate_snapshot", H.rstrip() + f""", {REFINED}, {TOP} SELECT 'ranks' AS rule, CAST(count(*) FILTER (rank NOT BETWEEN 1 AND 50) + abs(count(*) - max(rank)) AS BIGINT) AS violations FROM top
@@ -198,9 +198,9 @@ def forecast_is_current(spark, d):
     return first.select("city_id", ((F.col("f.local_day") == today) & (F.col("f.peak_time") > _ts(NOW))).alias("current"))
 
 
-@R.add("join_pinned_daily", H.rstrip() + f", {DAILY}, {REFINED}, {TOP} SELECT top.city_id, rank, CAST(count(daily.local_day) AS BIGINT) AS n_days, round(max(daily.wet_bulb_c), 4) AS max_c FROM top LEFT JOIN daily ON daily.city_id = top.city_id GROUP BY 1, 2")
+@R.add("join_pinned_daily", H.rstrip() + f", {DAILY}, {REFINED}, {TOP} SELECT top.city_id, rank, CAST(count(daily.local_day) AS BIGINT) AS n_days, round(max(daily.wet_bulb_c), 6) AS max_c FROM top LEFT JOIN daily ON daily.city_id = top.city_id GROUP BY 1, 2")
 def join_pinned_daily(spark, d):
     """Hotspots with up to seven daily maxima of their own location."""
     daily = fc.daily_complete_maximum(_hours(spark, d)).groupBy("city_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("local_day", "wet_bulb_c"))), 1, 7).alias("days"))
     top = fc.rank_by_cell(refined(spark, d)).join(daily, "city_id", "left")
-    return top.select("city_id", "rank", F.coalesce(F.size("days"), F.lit(0)).cast("bigint").alias("n_days"), F.round(F.array_max(F.transform("days", lambda x: x["wet_bulb_c"])), 4).alias("max_c"))
+    return top.select("city_id", "rank", F.coalesce(F.size("days"), F.lit(0)).cast("bigint").alias("n_days"), F.round(F.array_max(F.transform("days", lambda x: x["wet_bulb_c"])), 6).alias("max_c"))

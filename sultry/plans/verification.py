@@ -62,9 +62,9 @@ _td = "least(dew_point_c, temperature_c) + 273.15::DOUBLE"
 
 @R.add("observed_wet_bulb", f"""WITH RECURSIVE {fx.OBS}, {CLEAN}, c AS (SELECT *, row_number() OVER () AS id FROM clean WHERE temperature_c IS NOT NULL AND dew_point_c IS NOT NULL AND pressure_pa IS NOT NULL),
 {wet_sql(f"SELECT id, pressure_pa AS p, temperature_c + 273.15::DOUBLE AS t, {_td} AS lo, {esat_sql(_td)} AS e FROM c")}
-SELECT station_id, obs_time, round(round(wet_bulb_k - 273.15, 6), 4) AS wet_bulb_c FROM c JOIN wet USING (id)""")
+SELECT station_id, obs_time, round(wet_bulb_k - 273.15, 6) AS wet_bulb_c FROM c JOIN wet USING (id)""")
 def observed_wet_bulb(spark, d):
-    return _r(v.observed_wet_bulb(_clean(spark, d)).where("wet_bulb_c is not null").select("station_id", "obs_time", "wet_bulb_c"), "wet_bulb_c")
+    return v.observed_wet_bulb(_clean(spark, d)).where("wet_bulb_c is not null").select("station_id", "obs_time", "wet_bulb_c")
 
 
 @R.add("join_obs_asof", M + "SELECT station_id, valid_time, obs_time, round(gap_s, 3) AS gap_s FROM hit")

@@ -15,9 +15,10 @@ R = Registry()
 
 
 def r4(c, name: str | None = None):
-    """Rounded to six digits, then four, as in the SQL."""
-    c = F.round(F.round(F.col(c) if isinstance(c, str) else c, 6), 4)
-    return c.alias(name) if name else c
+    """Rounded for comparison: wet bulbs, which a solver gives, to six digits, other values to four."""
+    c = F.col(c) if isinstance(c, str) else c
+    out = F.round(c, 6 if name in ("wet_bulb_k", "max_value") else 4)
+    return out.alias(name) if name else out
 
 
 def esat_sql(t: str, power: float = LIQUID_POWER, rate: float = LIQUID_RATE) -> str:
@@ -92,12 +93,12 @@ def tsat_liquid(spark, d):
     return _fields(spark, d).select("cell_row", "cell_col", "step", r4(physics.tsat_liquid(physics.esat_liquid(F.col("dew_point_k"))), "tsat"))
 
 
-@R.add("wetbulb_romps_dewpoint", WET + "SELECT cell_row, cell_col, step, round(wet_bulb_k, 4) AS wet_bulb_k FROM gw")
+@R.add("wetbulb_romps_dewpoint", WET + "SELECT cell_row, cell_col, step, round(wet_bulb_k, 6) AS wet_bulb_k FROM gw")
 def wetbulb_romps_dewpoint(spark, d):
     return g.with_wet_bulb(g.warm_finite(fx.grid_forecast(spark, d))).select("cell_row", "cell_col", "step", r4("wet_bulb_k", "wet_bulb_k"))
 
 
-@R.add("wetbulb_romps_vapor", WET + "SELECT cell_row, cell_col, step, round(wet_bulb_k, 4) AS wet_bulb_k FROM gw")
+@R.add("wetbulb_romps_vapor", WET + "SELECT cell_row, cell_col, step, round(wet_bulb_k, 6) AS wet_bulb_k FROM gw")
 def wetbulb_romps_vapor(spark, d):
     e = physics.esat_liquid(F.least("dew_point_k", "temperature_k"))
     wet = physics.wetbulb_romps_vapor(F.col("pressure_pa"), F.col("temperature_k"), e)
@@ -106,7 +107,7 @@ def wetbulb_romps_vapor(spark, d):
 
 @R.add("wetbulb_romps_rh", f"""WITH RECURSIVE {fx.GRID}, g AS (SELECT *, cell_row * 100000 + cell_col * 1000 + step AS id FROM grid WHERE temperature_k > 273.16),
 {wet_sql(f"SELECT id, pressure_pa AS p, temperature_k AS t, 0.5 * {esat_sql('temperature_k')} AS e, 200.0::DOUBLE AS lo FROM g")}
-SELECT cell_row, cell_col, step, round(wet_bulb_k, 4) AS wet_bulb_k FROM g JOIN wet USING (id)""")
+SELECT cell_row, cell_col, step, round(wet_bulb_k, 6) AS wet_bulb_k FROM g JOIN wet USING (id)""")
 def wetbulb_romps_rh(spark, d):
     wet = physics.wetbulb_romps_rh(F.col("pressure_pa"), F.col("temperature_k"), F.lit(0.5))
     return _fields(spark, d).where("temperature_k > 273.16").select("cell_row", "cell_col", "step", r4(wet, "wet_bulb_k"))
@@ -148,7 +149,7 @@ def win_interpolate_hourly(spark, d):
     return g.interpolate_hourly(fx.grid_forecast(spark, d)).select("cell_row", "cell_col", "hour", "valid_time", *[r4(c, c) for c in g.FIELDS])
 
 
-_PEAK_COLS = "cell_row, cell_col, round(wet_bulb_k, 4) AS wet_bulb_k, round(temperature_k, 4) AS temperature_k, round(dew_point_k, 4) AS dew_point_k, pressure_pa, peak_step, peak_time"
+_PEAK_COLS = "cell_row, cell_col, round(wet_bulb_k, 6) AS wet_bulb_k, round(temperature_k, 4) AS temperature_k, round(dew_point_k, 4) AS dew_point_k, pressure_pa, peak_step, peak_time"
 
 
 def _peak_cols(df):
@@ -160,17 +161,17 @@ def agg_cell_peak(spark, d):
     return _peak_cols(peaks(spark, d))
 
 
-@R.add("topk_grid_cells", PK + "SELECT cell_row, cell_col, round(wet_bulb_k, 4) AS wet_bulb_k, CAST(row_number() OVER (ORDER BY round(wet_bulb_k, 6) DESC, lat, lon) AS INT) AS rank FROM peak QUALIFY rank <= 50")
+@R.add("topk_grid_cells", PK + "SELECT cell_row, cell_col, round(wet_bulb_k, 6) AS wet_bulb_k, CAST(row_number() OVER (ORDER BY round(wet_bulb_k, 6) DESC, lat, lon) AS INT) AS rank FROM peak QUALIFY rank <= 50")
 def topk_grid_cells(spark, d):
     return g.hottest_cells(peaks(spark, d)).select("cell_row", "cell_col", r4("wet_bulb_k", "wet_bulb_k"), "rank")
 
 
-@R.add("filter_land", LANDED + "SELECT cell_row, cell_col, round(wet_bulb_k, 4) AS wet_bulb_k FROM lp")
+@R.add("filter_land", LANDED + "SELECT cell_row, cell_col, round(wet_bulb_k, 6) AS wet_bulb_k FROM lp")
 def filter_land(spark, d):
     return g.land_cells(peaks(spark, d), fx.land_mask(spark)).select("cell_row", "cell_col", r4("wet_bulb_k", "wet_bulb_k"))
 
 
-@R.add("agg_global_land_max", LANDED + "SELECT cell_row, cell_col, round(wet_bulb_k, 4) AS max_value, (SELECT count(*) FROM lp) AS n_cells FROM lp ORDER BY round(wet_bulb_k, 6) DESC, cell_row, cell_col LIMIT 1")
+@R.add("agg_global_land_max", LANDED + "SELECT cell_row, cell_col, round(wet_bulb_k, 6) AS max_value, (SELECT count(*) FROM lp) AS n_cells FROM lp ORDER BY round(wet_bulb_k, 6) DESC, cell_row, cell_col LIMIT 1")
 def agg_global_land_max(spark, d):
     return g.land_maximum(g.land_cells(peaks(spark, d), fx.land_mask(spark))).select("cell_row", "cell_col", r4("max_value", "max_value"), "n_cells")
 
@@ -182,7 +183,7 @@ def _hot(spark, d):
     return g.hot_cells(g.land_cells(peaks(spark, d), fx.land_mask(spark)), threshold=305.15)
 
 
-@R.add("select_hot_cells", HOT + "SELECT cell_row, cell_col, round(wet_bulb_k, 4) AS wet_bulb_k FROM hot")
+@R.add("select_hot_cells", HOT + "SELECT cell_row, cell_col, round(wet_bulb_k, 6) AS wet_bulb_k FROM hot")
 def select_hot_cells(spark, d):
     return _hot(spark, d).select("cell_row", "cell_col", r4("wet_bulb_k", "wet_bulb_k"))
 
@@ -215,7 +216,7 @@ def join_nearest_cell(spark, d):
     return _near(spark, d).select("city_id", "cell_row", "cell_col")
 
 
-@R.add("join_cities_in_hot_cells", HOT.rstrip() + f", dil AS ({_DILATE}), {NEAR} SELECT city_id, near.cell_row, near.cell_col, round(peak.wet_bulb_k, 4) AS wet_bulb_k FROM near JOIN dil USING (cell_row, cell_col) LEFT JOIN peak ON peak.cell_row = near.cell_row AND peak.cell_col = near.cell_col")
+@R.add("join_cities_in_hot_cells", HOT.rstrip() + f", dil AS ({_DILATE}), {NEAR} SELECT city_id, near.cell_row, near.cell_col, round(peak.wet_bulb_k, 6) AS wet_bulb_k FROM near JOIN dil USING (cell_row, cell_col) LEFT JOIN peak ON peak.cell_row = near.cell_row AND peak.cell_col = near.cell_col")
 def join_cities_in_hot_cells(spark, d):
     cells = g.dilate_cells(_hot(spark, d), 1, fx.ROWS, fx.COLS).join(peaks(spark, d), ["cell_row", "cell_col"], "left")
     return _near(spark, d).join(cells, ["cell_row", "cell_col"]).select("city_id", "cell_row", "cell_col", r4("wet_bulb_k", "wet_bulb_k"))
@@ -227,7 +228,7 @@ R.sql["pipe_city_candidates"] = R.sql["join_cities_in_hot_cells"]
 TOP_HOURLY = f"""WITH RECURSIVE {HOURLY}, g AS (SELECT *, cell_row * 100000 + cell_col * 1000 + hour AS id FROM hourly WHERE temperature_k > 273.16),
 {wet_sql(f"SELECT id, pressure_pa AS p, temperature_k AS t, least(dew_point_k, temperature_k) AS lo, {esat_sql('least(dew_point_k, temperature_k)')} AS e FROM g")},
 gw AS (SELECT g.*, hour AS step, wet_bulb_k FROM g JOIN wet USING (id)), {PEAK}
-SELECT cell_row, cell_col, round(wet_bulb_k, 4) AS wet_bulb_k, CAST(peak_step AS INT) AS peak_step, peak_time, CAST(row_number() OVER (ORDER BY round(wet_bulb_k, 6) DESC, lat, lon) AS INT) AS rank FROM peak QUALIFY rank <= 50"""
+SELECT cell_row, cell_col, round(wet_bulb_k, 6) AS wet_bulb_k, CAST(peak_step AS INT) AS peak_step, peak_time, CAST(row_number() OVER (ORDER BY round(wet_bulb_k, 6) DESC, lat, lon) AS INT) AS rank FROM peak QUALIFY rank <= 50"""
 
 
 def hourly_top(spark, d, rows=fx.ROWS, cols=fx.COLS):
