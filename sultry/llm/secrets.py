@@ -22,7 +22,7 @@ WINDOW = 20
 LEAST = {"hex": 3.0, "mixed": 3.8}
 #: Strings that look random but are public by nature: identifiers, documentation examples, runs of an alphabet.
 ALLOWED = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|EXAMPLE|example|0123456789|abcdefghij|ABCDEFGHIJ")
-_C = [0.0] + [c * log2(c) for c in range(1, WINDOW + 1)]
+_C = [0.0] + [c * log2(c) for c in range(1, WINDOW + 2)]
 
 
 def char_class(s: str) -> str | None:

@@ -186,7 +186,7 @@ def test_jaccard_and_repeats_edges(spark):
 
 
 def test_line_rules(spark):
-    clean = "The river runs past the old mill. " * 3 + "\n" + "Farmers bring grain there every autumn and talk about rain."
+    clean = "The river runs past an old mill where children swim in summer.\nFarmers bring grain there every autumn and talk about rain."
     junk = "home | about | contact | login | help\nBUY NOW CHEAP THINGS TODAY ONLY!!\nword### other### third### more###"
     rows = {r.doc_id: r for r in quality_rules.clean_lines(frame(spark, [*EDGES, (20, clean + "\n" + clean.upper()), (21, clean + "\nhome | about | x | y"), (22, junk)])).collect()}
     assert rows[1].cleaned is None and not rows[2].kept and rows[21].kept and rows[21].cleaned == clean and not rows[20].kept and not rows[22].kept

@@ -1,7 +1,5 @@
 """The registered queries over whole sf0.01 tables against plain versions."""
 
-import hashlib
-import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -60,8 +58,9 @@ def test_leaks(spark, docs):
     items = {r.item_id: brute.words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     got = {(r.doc_id, r.item_id) for r in q.op4_decontamination(spark, SF).collect()}
     plain = {i: " " + " ".join(brute.words(t)) + " " for i, t in docs.items()}
-    want = {(i, b) for i, t in plain.items() for b, w in items.items() if " " + " ".join(w) + " " in t}
-    assert want and want == got
+    whole = {(i, b) for i, t in plain.items() for b, w in items.items() if " " + " ".join(w) + " " in t}
+    most = {(i, b) for i, t in plain.items() for b, w in items.items() if sum(" " + " ".join(w[k : k + 8]) + " " in t for k in range(len(w) - 7)) >= 0.6 * (len(w) - 7)}
+    assert whole and whole <= got == most
 
 
 def test_chat(spark):
@@ -147,4 +146,3 @@ def test_classifier(spark, docs):
     right = np.mean([p == y for _, p, y in held])
     print(auc, right)
     assert auc > 0.97 and right > 0.95
-    assert re.match("[0-9a-f]{64}", hashlib.sha256(b"").hexdigest())
