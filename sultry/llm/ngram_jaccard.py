@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Rolling, chunks, map_batches, materialize, mix, signed, text_bytes, word_hashes
@@ -18,6 +18,12 @@ from .components import connected_components
 FRAGMENTS = 4
 #: Bits of the filter that tells tasks which documents take part in a candidate pair; its size never grows.
 FILTER_BITS = 1 << 23
+#: Bits of a set's parity sketch.
+SKETCH_BITS = 384
+#: Signatures of more sets than this are compared pivot by pivot, smaller ones by shifting.
+SHIFTED = 64
+#: Candidate pairs are broadcast up to this number (about 40 bytes each), else joined by shuffle.
+BROADCAST_PAIRS = 500_000
 _UPPER = bytes(range(65, 91))
 _FOLD = bytes.maketrans(_UPPER, _UPPER.lower())
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -87,14 +93,22 @@ def signatures(s: np.ndarray, least: int, whole: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def parity_sketch(s: np.ndarray) -> bytes:
+    """For each of SKETCH_BITS slots whether an odd number of the set's shingles fall there. A shingle in only one of two sets
+    flips one bit, so sets that differ by d shingles have sketches that differ by at most d bits."""
+    slots = (mix(s ^ _SALT) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(slots, minlength=SKETCH_BITS) & 1).astype(bool)).tobytes()
+
+
 def _profile(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (doc_id, n_shingles, cls) for each document."""
+    """Rows (doc_id, n_shingles, cls, sketch) for each document."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sets = [(len(s), set_id(s) if len(s) else None) for s in shingle_sets(text_bytes(batch.column(1)), n)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in sets], pa.int64()), pa.array([x for _, x in sets], pa.int64())], ["doc_id", "n_shingles", "cls"])
+        rows = [(len(s), set_id(s), parity_sketch(s)) if len(s) else (0, None, None) for s in shingle_sets(text_bytes(batch.column(1)), n)]
+        columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_shingles", "cls", "sketch"])
 
-    return map_batches(docs, run, "doc_id long, n_shingles long, cls long")
+    return map_batches(docs, run, "doc_id long, n_shingles long, cls long, sketch binary")
 
 
 def _signature_rows(docs: DataFrame, n: int, least: int, whole: int) -> DataFrame:
@@ -116,8 +130,8 @@ def _signature_rows(docs: DataFrame, n: int, least: int, whole: int) -> DataFram
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Rows (sig, cls, prev) of the signatures that at least two sets have; prev is the set before in the
-    signature's order, null for the first. Reads sorted rows as a stream and keeps one row between batches."""
+    """Rows (sig, cls, size) of the signatures that at least two sets have, each set once; size is how many of them stand together
+    in a batch. Reads sorted rows as a stream and keeps one row between batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # last row, and whether it is out already
@@ -132,16 +146,17 @@ def _shared(rows: DataFrame) -> DataFrame:
             new[1:] = (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])
             sig, cls = sig[new], cls[new]
             same = sig[1:] == sig[:-1]  # row i + 1 goes with row i
-            follows, leads = np.concatenate([[False], same]), np.concatenate([same, [False]])
-            keep = follows | leads
+            follows = np.concatenate([[False], same])
+            keep = follows | np.concatenate([same, [False]])
             keep[0] &= not out
-            keep[-1] &= bool(follows[-1])
-            prev = pa.array(np.concatenate([[0], cls[:-1]])[keep], pa.int64(), mask=~follows[keep])
             held = (sig[-1], cls[-1], bool(follows[-1]) if len(sig) > 1 else out)
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(cls[keep]), prev], ["sig", "cls", "prev"])
+                first = np.flatnonzero(~follows)
+                count = np.diff(np.concatenate([first, [len(sig)]]))
+                size = np.repeat(count, count).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(cls[keep]), pa.array(size[keep])], ["sig", "cls", "size"])
 
-    return rows.mapInArrow(run, "sig long, cls long, prev long")
+    return rows.mapInArrow(run, "sig long, cls long, size int")
 
 
 def _filter_word(doc_id) -> F.Column:
@@ -158,7 +173,7 @@ def _bitmap(ids: DataFrame, column: str) -> bytes:
 
 
 def _fragments(docs: DataFrame, wanted: DataFrame, column: str, n: int) -> DataFrame:
-    """Rows (cls, frag, grams) of the wanted documents: their shingles in each fragment of the global order."""
+    """Rows (doc_id, frag, grams) of the wanted documents: their shingles in each fragment of the global order."""
     held = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, column))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -170,32 +185,91 @@ def _fragments(docs: DataFrame, wanted: DataFrame, column: str, n: int) -> DataF
             for f in range(FRAGMENTS):
                 ids.append(i)
                 frags.append(f)
-                grams.append(s[edge[f] : edge[f + 1]].tobytes())
+                # The upper two bits are the fragment's; of the rest the lower 48 are kept.
+                grams.append(s[edge[f] : edge[f + 1]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(frags, pa.int32()), pa.array(grams, pa.binary())], ["doc_id", "frag", "grams"])
 
     return map_batches(docs.select("doc_id", "text", _filter_word(F.col("doc_id")).alias("at")), run, "doc_id long, frag int, grams binary")
 
 
+def _candidates(rows: DataFrame, pivots: int, least: int, whole: int) -> DataFrame:
+    """Distinct pairs (ca, cb) of a signature's first `pivots` classes with its other ones, of different components, that their
+    sizes and sketches do not rule out. rows: sig, cls, meets, comp, n, sketch; the first classes are those that meet most others.
+
+    Reads each signature's rows as a sorted stream; between batches only the pivots of the last signature are
+    held, and pairs are compared where they stand, so that none is emitted that cannot link."""
+
+    def linkable(x: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        _, _, comp, n, sketch = x
+        a, b = n[i], n[j]
+        ok = (comp[i] != comp[j]) & (np.minimum(a, b) * whole >= np.maximum(a, b) * least)
+        i, j, most = i[ok], j[ok], ((a + b) * (whole - least) // (whole + least))[ok]
+        near = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1) <= most
+        return np.stack([i[near], j[near]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = tuple(batch.column(k).to_numpy() for k in range(4)) + (np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(batch.num_rows, -1),)
+            old = 0
+            if held is not None:
+                old, x = len(held[0]), tuple(np.concatenate([h, v]) for h, v in zip(held, x, strict=True))
+            sig, cls = x[:2]
+            first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            size = np.diff(np.concatenate([first, [len(sig)]]))
+            # A signature's held rows are its first ones, and all pivots where there are that many.
+            nth = np.arange(len(sig)) - np.repeat(first, size) + 1
+            small = np.repeat(size <= SHIFTED, size)
+            pairs = []
+            for d in range(1, min(SHIFTED, len(sig) - 1) + 1):
+                at = np.flatnonzero((sig[d:] == sig[:-d]) & small[d:])
+                if not len(at):
+                    break
+                at = at[(nth[at] <= pivots) & (at + d >= old)]
+                pairs.append(linkable(x, at, at + d))
+            for a, m in zip(first[size > SHIFTED].tolist(), size[size > SHIFTED].tolist(), strict=True):
+                members = np.arange(a, a + m)
+                for p in members[nth[a : a + m] <= pivots]:
+                    rest = members[(members > p) & (members >= old)]
+                    pairs.append(linkable(x, np.full(len(rest), p), rest))
+            last = np.arange(first[-1], len(sig))
+            last = last[nth[last] <= pivots]
+            held = tuple(v[last] for v in x)
+            found = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), np.int64)
+            if found.shape[1]:
+                low, high = np.minimum(cls[found[0]], cls[found[1]]), np.maximum(cls[found[0]], cls[found[1]])
+                both = np.unique(np.stack([low, high]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["ca", "cb"])
+
+    stream = rows.repartition("sig").sortWithinPartitions("sig", F.desc("meets"), "cls").select("sig", "cls", "comp", "n", "sketch")
+    return stream.mapInArrow(run, "ca long, cb long").distinct()
+
+
 def _overlaps(pairs: DataFrame) -> DataFrame:
     """Adds `both`, the partial overlap of the two sides' grams in one fragment."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        def wide(b: bytes) -> np.ndarray:
+            out = np.zeros((len(b) // 6, 8), np.uint8)
+            out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+            return out.reshape(-1).view("<u8")
+
         left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        both = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(left, right, strict=True)]
+        both = [len(np.intersect1d(wide(x), wide(y))) for x, y in zip(left, right, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64())], ["a", "b", "both"])
 
     return map_batches(pairs, run, "a long, b long, both long")
 
 
-def verified_links(pairs: DataFrame, docs: DataFrame, n: int, least: int, whole: int) -> DataFrame:
-    """Of the candidate pairs (a, b, na, nb) those that link: partial overlaps are counted in each fragment on its own,
-    then summed for each pair."""
-    pairs = materialize(pairs.where(F.least("na", "nb") * whole >= F.greatest("na", "nb") * least), "pairs")
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    grams = materialize(_fragments(docs, ends, "doc_id", n), "fragments").dropDuplicates(["doc_id", "frag"])
-    sides = pairs.join(grams.select(F.col("doc_id").alias("a"), "frag", F.col("grams").alias("ga")), "a")
-    sides = sides.join(grams.select(F.col("doc_id").alias("b"), "frag", F.col("grams").alias("gb")), ["b", "frag"])
-    counts = _overlaps(sides.select("a", "b", "ga", "gb")).groupBy("a", "b").agg(F.sum("both").alias("both"))
+def verified_links(pairs: DataFrame, grams: DataFrame, least: int, whole: int) -> DataFrame:
+    """Of the candidate pairs (a, b, na, nb) those that link, as (a, b): partial overlaps are counted in each
+    fragment on its own, then summed for each pair."""
+    near = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
+    left = near.join(grams.select(F.col("doc_id").alias("a"), "frag", F.col("grams").alias("ga")), "a").select("a", "b", "frag", "ga")
+    both = left.join(grams.select(F.col("doc_id").alias("b"), "frag", F.col("grams").alias("gb")), ["b", "frag"])
+    counts = _overlaps(both.select("a", "b", "ga", "gb")).groupBy("a", "b").agg(F.sum("both").alias("both"))
     return pairs.join(counts, ["a", "b"]).where(F.col("both") * whole >= (F.col("na") + F.col("nb") - F.col("both")) * least).select("a", "b")
 
 
@@ -206,11 +280,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     Equal sets are one class, represented by its least doc_id. The global n-gram order, that of the shingles'
     hashes, is cut into fragments; classes that agree in a fragment share a signature, and by counting
-    every linked pair agrees in one. In each signature's sorted stream only neighbours are paired first, so a
-    group of near copies costs a number of pairs in proportion to its size. Pairs are verified by summing
-    partial overlaps of fragments. Signatures whose classes are still in different components then pair their
-    least class with the others, round by round, until no untested pair could join two components; pairs inside
-    a component need no test. So no link between components is lost and no group is expanded into all pairs.
+    every linked pair agrees in one. In each signature its pivots, the classes that meet most others, are paired with
+    the rest first, so the original of a group of near copies joins the group at a cost in proportion to its size. Pairs that sizes and parity sketches do not
+    rule out are verified by summing partial overlaps of fragments. Signatures whose classes are still in different components go on with
+    further pivots, eight times as many each round, until no untested pair could join two components; pairs
+    inside a component need no test. So no link between components is lost.
 
     Texts without words and null texts have empty sets and link with nothing; rows with null ids are returned
     with a null component; repeated rows are returned repeatedly; an empty table gives no rows; other columns are
@@ -218,28 +292,37 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = materialize(_profile(slim, n), "profiles")
     keyed = slim.where("doc_id is not null")
-    classes = materialize(rows.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "classes")
+    classes = rows.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    classes = materialize(classes, "classes")
+    labels = classes.select("cls", "rep", F.col("rep").alias("comp"))
     shared = materialize(_shared(_signature_rows(keyed, n, least, whole).repartition("sig").sortWithinPartitions("sig", "cls")), "shared")
-    a, b = classes.select(F.col("cls").alias("ca"), F.col("rep").alias("a"), F.col("n").alias("na")), classes.select(F.col("cls").alias("cb"), F.col("rep").alias("b"), F.col("n").alias("nb"))
-    candidates = shared.where("prev is not null").select(F.col("prev").alias("ca"), F.col("cls").alias("cb")).distinct()
-    tested = links = None
-    remaining = shared.select("sig", "cls")
+    meets = materialize(shared.groupBy("cls").agg(F.sum("size").alias("meets")), "meets")
+    wanted = meets.join(classes, "cls").select("rep")
+    grams = materialize(_fragments(keyed, wanted, "rep", n), "fragments").dropDuplicates(["doc_id", "frag"])
+    facts = meets.join(classes.select("cls", "n", "sketch"), "cls")
+    open_, tested, pivots = shared.select("sig", "cls"), None, 1
     while True:
-        candidates = materialize(candidates, "candidates")
-        fresh = verified_links(candidates.join(a, "ca").join(b, "cb").select("a", "b", "na", "nb"), keyed, n, least, whole)
-        links = materialize(fresh if links is None else links.union(fresh), "links")
+        known = facts.join(labels.select("cls", "comp"), "cls")
+        candidates = _candidates(open_.join(known, "cls"), pivots, least, whole)
+        candidates = materialize(candidates if tested is None else candidates.join(tested, ["ca", "cb"], "left_anti"), "candidates")
         tested = candidates if tested is None else tested.union(candidates)
-        comps = materialize(connected_components(links), "components")
-        labels = classes.join(comps, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("comp"))
-        # Signatures that still hold several components, with their least class as the next to pair.
-        open_ = remaining.join(labels, "cls")
-        sums = open_.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("cls", "comp")).alias("pivot")).where("lo < hi").select("sig", "pivot")
-        open_ = materialize(open_.join(sums, "sig").where(F.col("cls") != F.col("pivot.cls")), "open")
-        candidates = open_.where(F.col("comp") != F.col("pivot.comp")).select(F.col("pivot.cls").alias("ca"), F.col("cls").alias("cb")).distinct().join(tested, ["ca", "cb"], "left_anti")
-        remaining = open_.select("sig", "cls")
+        if not candidates.isEmpty():
+            a = classes.select(F.col("cls").alias("ca"), F.col("rep").alias("a"), F.col("n").alias("na"))
+            b = classes.select(F.col("cls").alias("cb"), F.col("rep").alias("b"), F.col("n").alias("nb"))
+            pairs = materialize(candidates.join(a, "ca").join(b, "cb").select("a", "b", "na", "nb"), "pairs")
+            links = materialize(verified_links(pairs, grams, least, whole), "links")
+            comp = labels.select("rep", "comp")
+            edges = links.join(comp.toDF("a", "ka"), "a").join(comp.toDF("b", "kb"), "b").select("ka", "kb")
+            joined = connected_components(edges, "ka", "kb").toDF("comp", "new")
+            labels = materialize(labels.join(joined, "comp", "left").select("cls", "rep", F.coalesce("new", "comp").alias("comp")), "labels")
+        # Signatures that still hold several components go on, unless all their classes were pivots.
+        group = Window.partitionBy("sig")
+        placed = open_.join(labels.select("cls", "comp"), "cls").select("sig", "cls", F.min("comp").over(group).alias("lo"), F.max("comp").over(group).alias("hi"), F.count("*").over(group).alias("size"))
+        open_ = materialize(placed.where((F.col("lo") < F.col("hi")) & (F.col("size") > pivots)).select("sig", "cls"), "open")
         if open_.isEmpty():
             break
-    best = labels.withColumnRenamed("cls", "cls_")
+        pivots *= 8
+    best = labels.select(F.col("cls").alias("cls_"), "comp")
     joined = rows.join(best, F.col("cls") == F.col("cls_"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"))
