@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, shared_dir, ship
 
-__all__ = ["WORD", "Rolling", "chunks", "map_batches", "materialize", "mix", "shared_dir", "ship", "signed", "text_bytes", "word_hashes", "words_col"]
+__all__ = ["WORD", "Rolling", "chunks", "map_batches", "materialize", "maybe_in", "mix", "shared_dir", "ship", "signed", "text_bytes", "word_hashes", "words_col"]
 
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -102,4 +102,20 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
 
 def words_col(text) -> F.Column:
     """Words of a text as a native array; null texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
+
+
+#: Bits of a fixed-size filter of ids.
+FILTER_BITS = 1 << 23
+
+
+def maybe_in(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Adds maybe_: false where df's key is surely not among `ids` (its first column). The filter has FILTER_BITS bits whatever the number of ids,
+    so it is a table of at most FILTER_BITS / 64 rows to broadcast; it spares large rows a shuffle, and a join must follow."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    at = ids.select(slot(F.col(ids.columns[0])).alias("at_"))
+    words = at.groupBy((F.col("at_") / 64).cast("int").alias("word_")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at_ % 64 as int))")).alias("bits_"))
+    words = materialize(words, "filter")
+    placed = df.withColumn("at_", slot(F.col(key))).withColumn("word_", (F.col("at_") / 64).cast("int"))
+    hit = F.coalesce(F.getbit("bits_", (F.col("at_") % 64).cast("int")) == 1, F.lit(False))
+    return placed.join(F.broadcast(words), "word_", "left").withColumn("maybe_", hit).drop("word_", "at_", "bits_")

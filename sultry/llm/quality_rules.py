@@ -11,8 +11,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: A document goes when its failing lines hold more than this share of its words.
 MOST_LOST = 0.3
-#: Share of a line's words that end in a symbol, stand alone as one, or shout, from which the line fails.
-MOST_SYMBOLS, MOST_BARS, MOST_CAPS, MOST_SAME = 0.3, 0.25, 0.8, 0.5
+#: Share of a line's words that end in a run of symbols or stand alone as a bar, and of repeated words, from which it fails.
+MOST_SYMBOLS, MOST_BARS, MOST_SAME = 0.3, 0.25, 0.5
 #: Phrases of navigation and boilerplate lines.
 BOILERPLATE = r"(?i)\b(?:all rights reserved|cookie policy|accept (?:all )?cookies|privacy policy|terms of (?:use|service)|sign in|log in|click here|read more|skip to content|javascript is disabled|share this (?:page|article)|subscribe to our newsletter|previous page|next page)\b"
 
@@ -21,50 +21,53 @@ def _sum(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def line_fails(line: Column) -> Column:
+def line_fails(line: Column, words: Column) -> Column:
     """Whether a line breaks a rule on punctuation (words ending in symbols or `!!`), navigation (bars, menus),
-    shouting (capitals), repetition (few different words) or boilerplate phrases. Lines without words pass."""
-    words = words_col(line)
+    shouting (capitals only), repetition (few different words) or boilerplate phrases. Lines without words pass.
+
+    Cheap tests on the line come first, so that words are only looked at one by one where they can matter."""
     n = F.size(words)
-    share = lambda p: F.size(F.filter(words, p)) / n
-    symbols = share(lambda w: w.rlike(r"[#*$%&<>]{2,}$|!!$"))
-    bars = share(lambda w: w.isin("|", ">", ">>", "»", "·", "•"))
-    caps = share(lambda w: (F.upper(w) == w) & (F.lower(w) != w))
-    same = 1 - F.size(F.array_distinct(words)) / n
-    long = n >= 4
-    fails = (symbols > MOST_SYMBOLS) | (long & ((bars > MOST_BARS) | (caps > MOST_CAPS))) | ((n >= 12) & (same > MOST_SAME) & (F.size(F.array_distinct(words)) < 40)) | ((n <= 25) & line.rlike(BOILERPLATE))
-    return (n > 0) & F.coalesce(fails, F.lit(False))
-
-
-def window_hashes(words: Column) -> Column:
-    """Hashes of all windows of 8 words, by doubling: of 1, 2, 4 and 8 words."""
-    h = F.transform(words, lambda w: F.xxhash64(w))
+    ends = F.regexp_count(line, F.lit(r"(?:[#*$%&<>]{2}|!!)[.,;:]?(?=[\x20\x09-\x0D]|$)")) > MOST_SYMBOLS * n
+    symbols = line.rlike(r"[#*$%&<>]{2}|!!") & ends
+    bars = (n >= 4) & line.rlike(r"[|»·•>]") & (F.size(F.filter(words, lambda w: w.isin("|", ">", ">>", "»", "·", "•"))) > MOST_BARS * n)
+    caps = (n >= 4) & (F.upper(line) == line) & (F.lower(line) != line)
+    different = F.size(F.array_distinct(words))
+    same = (n >= 12) & (different < (1 - MOST_SAME) * n) & (different < 40)
+    return (n > 0) & (symbols | bars | caps | ((n <= 25) & line.rlike(BOILERPLATE)) | same)
+
+
+def with_window_hashes(df: DataFrame, words: str, name: str) -> DataFrame:
+    """Adds hashes of all windows of 8 words, by doubling: of 1, 2, 4 and 8 words. Each step is a column of its own, as one
+    nested expression would compute the inner steps again for each mention."""
+    df = df.withColumn(name, F.when(F.size(words) > WINDOW, F.transform(words, lambda w: F.xxhash64(w))))
     for step in (1, 2, 4):
-        h = F.zip_with(h, F.slice(h, step + 1, F.greatest(F.size(h), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
-        h = F.filter(h, lambda x: x.isNotNull())
-    return h
+        n = F.size(name) - step
+        df = df.withColumn(name, F.zip_with(F.slice(name, F.lit(1), n), F.slice(name, F.lit(step + 1), n), lambda a, b: F.xxhash64(a, b)))
+    return df
 
 
 def base_figures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed, and lines_, the text's lines with their words."""
     t = F.coalesce(F.col(text), F.lit(""))
-    with_words = docs.withColumn("words_", words_col(F.col(text))).withColumn("lines_", F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    hashed = with_words.withColumn("grams_", F.when(F.size("words_") >= WINDOW + 1, window_hashes(F.col("words_"))).otherwise(F.array().cast("array<bigint>")))
+    split = docs.withColumn("lines_", F.transform(F.split(t, "\n"), lambda x: F.struct(x.alias("line"), words_col(x).alias("words"))))
+    split = split.withColumn("words_", F.flatten(F.transform("lines_", lambda x: x["words"]))).withColumn("full_", F.transform(F.filter("lines_", lambda x: F.size(x["words"]) > 0), lambda x: x["line"]))
+    hashed = with_window_hashes(split, "words_", "grams_")
     # Only texts with an equal pair of windows go on: sorted (hash, place), equal neighbours, places covered.
     placed = F.array_sort(F.transform("grams_", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
     hashed = hashed.withColumn("sorted_", F.when(F.size(F.array_distinct("grams_")) < F.size("grams_"), placed))
-    neighbour = F.zip_with("sorted_", F.slice("sorted_", 2, F.greatest(F.size("sorted_"), F.lit(1))), lambda a, b: F.when(a["g"] == b["g"], F.array(a["i"], b["i"])))
+    following = lambda c: F.slice(c, F.lit(2), F.greatest(F.size(c), F.lit(1)))
+    neighbour = F.zip_with("sorted_", following("sorted_"), lambda a, b: F.when(a["g"] == b["g"], F.array(a["i"], b["i"])))
     hashed = hashed.withColumn("places_", F.array_sort(F.array_distinct(F.flatten(F.filter(neighbour, lambda x: x.isNotNull())))))
-    gaps = F.zip_with("places_", F.slice("places_", 2, F.greatest(F.size("places_"), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)).cast("long"))
+    gaps = F.zip_with("places_", following("places_"), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)).cast("long"))
     out = (
         hashed.withColumn("n_words", F.size("words_").cast("long"))
-        .withColumn("word_chars", _sum(F.transform("words_", lambda w: F.length(w).cast("long"))))
-        .withColumn("n_symbols", (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"))
-        .withColumn("n_dup_lines", (F.size("lines_") - F.size(F.array_distinct("lines_"))).cast("long"))
+        .withColumn("word_chars", F.length(F.array_join("words_", "")).cast("long"))
+        .withColumn("n_symbols", F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"))
+        .withColumn("n_dup_lines", (F.size("full_") - F.size(F.array_distinct("full_"))).cast("long"))
         .withColumn("n_repeat_words", F.when(F.size("places_") > 0, _sum(gaps)).otherwise(F.lit(0).cast("long")))
     )
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("words_", "lines_", "grams_", "sorted_", "places_")
+    return out.withColumn("base_failed", failed).drop("words_", "full_", "grams_", "sorted_", "places_")
 
 
 def clean_lines(docs: DataFrame, text: str = "text", most_lost: float = MOST_LOST) -> DataFrame:
@@ -77,10 +80,9 @@ def clean_lines(docs: DataFrame, text: str = "text", most_lost: float = MOST_LOS
     sources cost nothing extra. Columns with these names are replaced; an empty table stays empty."""
     names = ["cleaned", "n_lost_words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     docs = docs.drop(*names)
-    judged = base_figures(docs, text).withColumn("judged_", F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.struct(x.alias("line"), line_fails(x).alias("fails"))))
-    bad = F.filter("judged_", lambda x: x["fails"])
-    judged = judged.withColumn("n_lost_words", _sum(F.transform(bad, lambda x: F.size(words_col(x["line"])).cast("long"))))
+    judged = base_figures(docs, text).withColumn("bad_", F.filter("lines_", lambda x: line_fails(x["line"], x["words"])))
+    judged = judged.withColumn("n_lost_words", _sum(F.transform("bad_", lambda x: F.size(x["words"]).cast("long"))))
     kept = ~F.col("base_failed") & (F.col("n_lost_words") <= most_lost * F.col("n_words"))
-    good = F.array_join(F.transform(F.filter("judged_", lambda x: ~x["fails"]), lambda x: x["line"]), "\n")
+    good = F.array_join(F.transform(F.filter("lines_", lambda x: ~line_fails(x["line"], x["words"])), lambda x: x["line"]), "\n")
     cleaned = F.when(F.col("n_lost_words") > 0, good).otherwise(F.col(text))
-    return judged.withColumn("cleaned", cleaned).withColumn("kept", kept).drop("judged_")
+    return judged.withColumn("cleaned", cleaned).withColumn("kept", kept).drop("lines_", "bad_")
