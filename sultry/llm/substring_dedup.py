@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, chunks, map_batches, materialize, signed, text_bytes, word_hashes
+from .common import Rolling, chunks, map_batches, materialize, maybe_in, signed, text_bytes, word_hashes
 from .components import connected_components
 
 SPAN = 50
@@ -66,33 +66,43 @@ def _bundle_rows(docs: DataFrame, span: int) -> DataFrame:
     return map_batches(docs, run, "doc_id long, first int, n int, anchor long, path long")
 
 
+def _lists(column: pa.ListArray, *names: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Offsets of a column of lists of structs, and its fields as flat arrays."""
+    values = column.flatten()
+    lengths = np.diff(column.offsets.to_numpy()) if column.null_count == 0 else np.array([len(x) if x.is_valid else 0 for x in column])
+    return np.concatenate([[0], np.cumsum(lengths)]), [values.field(values.type.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names]
+
+
 def _looked_up(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """Rows (doc_id, kind, id, first, n, key) read at source coordinates: for kind 0 a digest of the words of a
-    compacted path, for kind 1 a row for each window of a branching bundle. wanted: (doc_id, at array<struct>)."""
-
-    def rows_of(words: list[bytes], want: list[dict]) -> Iterator[tuple]:
-        roll = None
-        for w in want:
-            first, n = w["first"], w["n"]
-            if w["kind"] == 0:
-                covered = b" ".join(words[first : first + n - 1 + span])
-                yield 0, w["id"], first, n, int.from_bytes(hashlib.blake2b(covered, digest_size=8).digest(), "little", signed=True)
-            else:
-                roll = roll or Rolling(word_hashes(words))
-                p = np.arange(first, first + n)
-                for q, key in zip(p.tolist(), signed(roll.spans(p, p + span)).tolist(), strict=True):
-                    yield 1, w["id"], q, 1, key
+    """Rows (doc_id, kind, anchor, id, nth, first, n, key) read at source coordinates: for kind 0 a digest of the words of a compacted
+    path, for kind 1 the hash of each window of a branching bundle. wanted: (doc_id, at array<struct>)."""
+    names = ["doc_id", "kind", "anchor", "id", "nth", "first", "n", "key"]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, texts, wants = batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2)
-        for a, b in chunks([len(t) for t in texts]):
-            rows = [(ids[i], *row) for i in range(a, b) for row in rows_of(texts[i].split(), wants[i].as_py())]
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            columns = zip(*rows, strict=True) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["doc_id", "kind", "id", "first", "n", "key"])
+        ids, texts = batch.column(0).to_numpy(), text_bytes(batch.column(1))
+        offsets, (kind, anchor, ident, first, n) = _lists(batch.column(2), "kind", "anchor", "id", "first", "n")
+        for a, b in chunks([len(t) for t in texts], 1 << 21):
+            out: list[list[np.ndarray]] = [[] for _ in names]
+            for i in range(a, b):
+                words, at = texts[i].split(), np.arange(offsets[i], offsets[i + 1])
+                whole, parts = at[kind[at] == 0], at[kind[at] == 1]
+                digests = [hashlib.blake2b(b" ".join(words[first[k] : first[k] + n[k] - 1 + span]), digest_size=8).digest() for k in whole]
+                key = np.frombuffer(b"".join(digests), np.int64)
+                each = np.repeat(parts, n[parts])
+                nth = np.arange(len(each)) - np.repeat(np.cumsum(n[parts]) - n[parts], n[parts])
+                if len(each):
+                    start = first[each] + nth
+                    key = np.concatenate([key, signed(Rolling(word_hashes(words)).spans(start, start + span))])
+                both = np.concatenate([whole, each]).astype(np.int64)
+                row = (np.full(len(both), ids[i]), kind[both], anchor[both], ident[both], np.concatenate([np.zeros(len(whole), np.int64), nth]), first[both], n[both], key)
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+            columns = [pa.array(np.concatenate(x)).cast(t) for x, t in zip(out, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     joined = docs.join(wanted, "doc_id").select("doc_id", "text", "at")
-    return map_batches(joined, run, "doc_id long, kind int, id long, first int, n int, key long")
+    return map_batches(joined, run, "doc_id long, kind int, anchor long, id long, nth int, first int, n int, key long")
 
 
 def compacted_paths(occurrences: DataFrame) -> DataFrame:
@@ -113,25 +123,37 @@ def compacted_paths(occurrences: DataFrame) -> DataFrame:
     return named.groupBy("doc_id", "span").agg(F.first("id").alias("id"), F.min("first").alias("first"), F.sum("n").cast("int").alias("n")).drop("span")
 
 
-def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """Rows (doc_id, start, end): word ranges, end exclusive, covered by windows that also start in a document with a smaller id.
+def repeated_windows(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """Rows (doc_id, first, n, mask): runs of n windows from word `first` on, of which those whose bit is set in mask (all where it is null)
+    also start in a document with a smaller id.
 
-    Bundles of windows meet on their anchor. Anchors of a single document end there. An anchor whose bundles
-    all cover the same tokens is unbranched, and consecutive ones compact into long paths; the windows of all
-    other repeated anchors are looked up one by one. Both are then verified at their source coordinates:
-    a path by a digest of its words, a window by its own hash, and the least document of each keeps it."""
+    Bundles of windows meet on their anchor; anchors of a single document end there. Equal bundles of an anchor are one edge
+    of the graph, known by its least document. An anchor with one edge only is unbranched: consecutive ones
+    compact into long paths, each verified by a digest of its words at its source coordinates. At the other anchors
+    the windows of each edge are looked up once, where its least document has them, and meet by hash, so
+    that an edge learns the least document of each of its windows, and its other occurrences from it."""
     rows = materialize(_bundle_rows(docs, span), "bundles")
     shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    met = materialize(rows.join(shared, "anchor"), "met")
-    kinds = met.groupBy("anchor").agg(F.count("*").alias("total"), (F.min("path") < F.max("path")).alias("branching"))
-    met = materialize(met.join(kinds, "anchor"), "kinds")
+    met = materialize(rows.join(shared, "anchor").distinct(), "met")  # rows that repeat a doc_id count once
+    edges = met.groupBy("anchor", "path").agg(F.min(F.struct("doc_id", "first")).alias("rep"), F.count("*").alias("total"), F.first("n").alias("n"))
+    edges = materialize(edges, "edges")
+    branching = edges.groupBy("anchor").agg((F.count("*") > 1).alias("branching"), F.sum("total").alias("total"))
+    met = materialize(met.join(branching, "anchor"), "kinds")
     paths = compacted_paths(met.where("not branching"))
-    wanted = paths.select("doc_id", F.struct(F.lit(0).alias("kind"), "id", "first", "n").alias("w")).union(met.where("branching").select("doc_id", F.struct(F.lit(1).alias("kind"), F.col("anchor").alias("id"), "first", "n").alias("w")))
-    wanted = wanted.groupBy("doc_id").agg(F.collect_list("w").alias("at"))
-    found = materialize(_looked_up(docs, wanted, span), "looked")
-    least = found.groupBy("kind", "id", "key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
-    later = found.join(least, ["kind", "id", "key"]).where("doc_id > lo")
-    return later.select("doc_id", F.col("first").alias("start"), (F.col("first") + F.col("n") - 1 + span).alias("end"))
+    reps = edges.join(branching.where("branching").select("anchor"), "anchor").select(F.col("rep.doc_id").alias("doc_id"), F.struct(F.lit(1).alias("kind"), "anchor", F.col("path").alias("id"), F.col("rep.first").alias("first"), "n").alias("w"))
+    wanted = paths.select("doc_id", F.struct(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("anchor"), "id", "first", "n").alias("w")).union(reps)
+    wanted = materialize(wanted.groupBy("doc_id").agg(F.collect_list("w").alias("at")), "wanted")
+    there = maybe_in(docs, "doc_id", wanted).where("maybe_").drop("maybe_")
+    found = materialize(_looked_up(there, wanted, span), "looked")
+    spans = found.where("kind = 0")
+    least = spans.groupBy("id", "key").agg(F.min("doc_id").alias("lo"), F.count("*").alias("many")).where("many > 1")
+    whole = spans.join(least, ["id", "key"]).where("doc_id > lo").select("doc_id", "first", "n", F.lit(None).cast("long").alias("mask"))
+    windows = found.where("kind = 1").select("doc_id", "anchor", F.col("id").alias("path"), "nth", "key")
+    lows = windows.groupBy("anchor", "key").agg(F.min("doc_id").alias("lo"))
+    known = windows.join(lows, ["anchor", "key"]).groupBy("anchor", "path").agg(F.collect_list(F.struct("nth", "lo")).alias("los"))
+    each = met.where("branching").join(known, ["anchor", "path"])
+    bits = F.aggregate(F.filter("los", lambda x: x["lo"] < F.col("doc_id")), F.lit(0).cast("long"), lambda acc, x: acc + F.pow(F.lit(2.0), x["nth"]).cast("long"))
+    return whole.union(each.select("doc_id", "first", "n", bits.alias("mask")).where("mask > 0"))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
@@ -141,24 +163,38 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Windows are judged on the input. Null and empty texts have no words; a text shorter than a window loses none;
     rows with null ids are returned whole; rows that repeat a doc_id are one document and must repeat its text;
     an empty table gives no rows; other columns are ignored. A passage that many documents share
-    meets by grouped minima and joins on its hash, never as pairs."""
+    meets by grouped minima and joins on its hash, never as pairs. Documents that surely lose nothing are not shuffled."""
+    if span > 126:
+        raise ValueError("a bundle's windows are a mask of 63 bits")
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    cuts = repeated_spans(slim.where("doc_id is not null"), span).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
+    gone = repeated_windows(slim.where("doc_id is not null"), span)
+    cuts = materialize(gone.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", F.coalesce("mask", F.lit(-1)).alias("mask"))).alias("cuts")), "cuts")
+    no_cuts = F.array().cast("array<struct<first:int,n:int,mask:bigint>>")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[], [], []]
-        for text, cut in zip(text_bytes(batch.column(1)), batch.column(2), strict=True):
-            words = text.split()
-            gone = np.zeros(len(words) + 1, np.int64)
-            for c in cut.as_py() or ():
-                gone[min(c["start"], len(words))] += 1
-                gone[min(c["end"], len(words))] -= 1
-            lost = (np.cumsum(gone)[:-1] > 0).tolist()
-            kept = [w for w, x in zip(words, lost, strict=True) if not x]
-            for column, value in zip(out, (len(words), len(words) - len(kept), b" ".join(kept)), strict=True):
-                column.append(value)
-        kept = pa.array(out[2], pa.binary()).cast(pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), kept], ["doc_id", "n_words", "n_removed", "kept"])
-
-    joined = slim.join(cuts, "doc_id", "left").select("doc_id", "text", "cuts")
-    return map_batches(joined, run, "doc_id long, n_words long, n_removed long, kept string")
+        texts = text_bytes(batch.column(1))
+        offsets, (first, n, mask) = _lists(batch.column(2), "first", "n", "mask")
+        for a, b in chunks([len(t) for t in texts]):
+            out: list[list] = [[], [], []]
+            for i in range(a, b):
+                words, at = texts[i].split(), slice(offsets[i], offsets[i + 1])
+                f, m, bits = first[at].astype(np.int64), n[at].astype(np.int64), mask[at]
+                edge = np.zeros(len(words) + 1, np.int64)
+                some = bits >= 0
+                starts, lasts = f[~some], f[~some] + m[~some] - 1 + span
+                if some.any():
+                    row, j = np.nonzero((bits[some][:, None] >> np.arange(63)) & 1)
+                    starts, lasts = np.concatenate([starts, f[some][row] + j]), np.concatenate([lasts, f[some][row] + j + span])
+                np.add.at(edge, np.minimum(starts, len(words)), 1)
+                np.add.at(edge, np.minimum(lasts, len(words)), -1)
+                lost = (np.cumsum(edge)[:-1] > 0).tolist()
+                kept = [w for w, x in zip(words, lost, strict=True) if not x]
+                for column, value in zip(out, (len(words), len(words) - len(kept), b" ".join(kept)), strict=True):
+                    column.append(value)
+            kept = pa.array(out[2], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), kept], ["doc_id", "n_words", "n_removed", "kept"])
+
+    marked = maybe_in(slim, "doc_id", cuts)
+    cut = marked.where("maybe_").join(cuts, "doc_id", "left").select("doc_id", "text", F.coalesce("cuts", no_cuts).alias("cuts"))
+    rest = marked.where("not maybe_").select("doc_id", "text", no_cuts.alias("cuts"))
+    return map_batches(cut.union(rest), run, "doc_id long, n_words long, n_removed long, kept string")
