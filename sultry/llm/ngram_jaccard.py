@@ -283,7 +283,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     every linked pair agrees in one. In each signature its pivots, the classes that meet most others, are paired with
     the rest first, so the original of a group of near copies joins the group at a cost in proportion to its size. Pairs that sizes and parity sketches do not
     rule out are verified by summing partial overlaps of fragments. Signatures whose classes are still in different components go on with
-    further pivots, eight times as many each round, until no untested pair could join two components; pairs
+    further pivots, 32 times as many each round, until no untested pair could join two components; pairs
     inside a component need no test. So no link between components is lost.
 
     Texts without words and null texts have empty sets and link with nothing; rows with null ids are returned
@@ -321,7 +321,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         open_ = materialize(placed.where((F.col("lo") < F.col("hi")) & (F.col("size") > pivots)).select("sig", "cls"), "open")
         if open_.isEmpty():
             break
-        pivots *= 8
+        pivots *= 32
     best = labels.select(F.col("cls").alias("cls_"), "comp")
     joined = rows.join(best, F.col("cls") == F.col("cls_"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
