@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,26 +30,42 @@ _MARKS = dict(zip(("number", "unit", "name"), (signed(word_hashes([b"\x00number"
 _UNITS = {u.encode() for u in UNITS}
 
 
+class _Forms(dict):
+    """Numbers of words seen by this worker, with what canonical() needs of each: the hash of its bare, folded form and whether it
+    is a number, a unit, capitalised, and whether a sentence ends with it. Emptied when it has grown to MOST words."""
+
+    MOST = 400_000
+
+    def __init__(self) -> None:
+        self.hashes, self.flags = array("Q"), array("B")
+
+    def __missing__(self, w: bytes) -> int:
+        core = _EDGE.sub(b"", w)
+        low = core.decode("utf-8", "replace").lower().encode()
+        self.hashes.append(int(word_hashes([low])[0]))
+        capital = bool(core) and core != low and core[:1] != low[:1]
+        self.flags.append(bool(_NUMBER.match(core)) | 2 * (low in _UNITS) | 4 * capital | 8 * (w[-1:] in b".!?:"))
+        n = self[w] = len(self)
+        return n
+
+
+_FORMS = _Forms()
+
+
 def canonical(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token hashes, value hashes and kinds (0 plain, 1 number, 2 unit, 3 name) of the words of a text.
 
     Punctuation around a word goes and case folds. A number becomes its placeholder, a unit after a number
     too, and so does a name: a capitalised word that does not begin a sentence."""
-    forms, kinds, start, number = [], [], True, False
-    for w in words:
-        core = _EDGE.sub(b"", w)
-        kind = 0
-        if _NUMBER.match(core):
-            kind = 1
-        elif number and core.lower() in _UNITS:
-            kind = 2
-        elif not start and core and core != (low := core.decode("utf-8", "replace").lower().encode()) and core[:1] != low[:1]:
-            kind = 3
-        start, number = w[-1:] in b".!?:", kind == 1
-        forms.append(core.decode("utf-8", "replace").lower().encode())
-        kinds.append(kind)
-    kind = np.array(kinds, np.int8)
-    values = word_hashes(forms)
+    global _FORMS
+    if len(_FORMS) > _Forms.MOST:
+        _FORMS = _Forms()
+    at = np.fromiter(map(_FORMS.__getitem__, words), np.int64, len(words))
+    values, flags = np.frombuffer(_FORMS.hashes, np.uint64)[at], np.frombuffer(_FORMS.flags, np.uint8)[at]
+    number = (flags & 1).astype(bool)
+    after = np.concatenate([[False], number[:-1]])
+    start = np.concatenate([[True], (flags[:-1] & 8).astype(bool)])
+    kind = np.where(number, 1, np.where(after & ((flags & 2) > 0), 2, np.where(~start & ((flags & 4) > 0), 3, 0))).astype(np.int8)
     tokens = values.copy()
     for k, name in ((1, "number"), (2, "unit"), (3, "name")):
         tokens[kind == k] = _MARKS[name]
@@ -56,6 +73,8 @@ def canonical(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _windows(words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    if not words:
+        return np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, np.uint64), np.empty(0, np.int8)
     tokens, values, kind = canonical(words)
     k = min(size, len(words))
     n = len(words) - k + 1 if words else 0
