@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, chunks, map_batches, materialize, signed, text_bytes, word_hashes
+from .common import Rolling, chunks, map_batches, materialize, mix, signed, text_bytes, word_hashes
 
 WINDOW = 8
 #: Of a window's words at least so many must be plain, so that rows of placeholders match nothing.
@@ -28,21 +28,24 @@ _EDGE = re.compile(rb"^[^\w\x80-\xff%]+|[^\w\x80-\xff%]+$")
 _NUMBER = re.compile(rb"[+-]?[$\xe2\x82\xac]*\d[\d.,:/]*(?:st|nd|rd|th|%)?$")
 _MARKS = dict(zip(("number", "unit", "name"), (signed(word_hashes([b"\x00number", b"\x00unit", b"\x00name"])).view(np.uint64)), strict=True))
 _UNITS = {u.encode() for u in UNITS}
+#: Sets hashes of values apart from hashes of templates.
+_VALUES = np.uint64(0xD6E8FEB86659FD93)
 
 
 class _Forms(dict):
-    """Numbers of words seen by this worker, with what canonical() needs of each: the hash of its bare, folded form and whether it
-    is a number, a unit, capitalised, and whether a sentence ends with it. Emptied when it has grown to MOST words."""
+    """Numbers of words seen by this worker, with what canonical() needs of each: the hash of its bare, folded form, the same or of the
+    word itself where it is all punctuation, and whether it is a number, a unit, capitalised, and whether a sentence ends with it. Emptied when it has grown to MOST words."""
 
     MOST = 400_000
 
     def __init__(self) -> None:
-        self.hashes, self.flags = array("Q"), array("B")
+        self.hashes, self.literals, self.flags = array("Q"), array("Q"), array("B")
 
     def __missing__(self, w: bytes) -> int:
         core = _EDGE.sub(b"", w)
         low = core.decode("utf-8", "replace").lower().encode()
         self.hashes.append(int(word_hashes([low])[0]))
+        self.literals.append(self.hashes[-1] if low else int(word_hashes([w])[0]))
         capital = bool(core) and core != low and core[:1] != low[:1]
         self.flags.append(bool(_NUMBER.match(core)) | 2 * (low in _UNITS) | 4 * capital | 8 * (w[-1:] in b".!?:"))
         n = self[w] = len(self)
@@ -52,8 +55,8 @@ class _Forms(dict):
 _FORMS = _Forms()
 
 
-def canonical(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes, value hashes and kinds (0 plain, 1 number, 2 unit, 3 name) of the words of a text.
+def canonical(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes, value hashes, kinds (0 plain, 1 number, 2 unit, 3 name) and literal hashes, which tell signs apart, of the words of a text.
 
     Punctuation around a word goes and case folds. A number becomes its placeholder, a unit after a number
     too, and so does a name: a capitalised word that does not begin a sentence."""
@@ -69,45 +72,54 @@ def canonical(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     tokens = values.copy()
     for k, name in ((1, "number"), (2, "unit"), (3, "name")):
         tokens[kind == k] = _MARKS[name]
-    return tokens, values, kind
+    return tokens, values, kind, np.frombuffer(_FORMS.literals, np.uint64)[at]
 
 
-def _windows(words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _windows(words: list[bytes], sizes: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, bool]]:
+    """For each size up to the number of words, twice (hashes, keep, values, kind, size, typed): the template windows with enough
+    plain words, then the windows of values where there are too few of these. The kind of a window's first word depends on the word
+    before it, so that windows that just have enough plain words are hashed both ways."""
     if not words:
-        return np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, np.uint64), np.empty(0, np.int8)
-    tokens, values, kind = canonical(words)
-    k = min(size, len(words))
-    n = len(words) - k + 1 if words else 0
-    hashes = Rolling(tokens).windows(k) if n else np.empty(0, np.uint64)
+        return
+    tokens, values, kind, literal = canonical(words)
     plain = np.concatenate([[0], np.cumsum(kind == 0)])
-    enough = (plain[k:] - plain[: len(plain) - k]) >= min(PLAIN, k) if n else np.empty(0, bool)
-    return hashes[:n], enough[:n], values, kind
-
-
-def template_windows(texts: DataFrame, key: str, text: str, wanted: bytes | None = None, size: int = WINDOW) -> DataFrame:
-    """Rows (key, pos, hash, slots): the template windows of each text with at least PLAIN plain words, slots
-    being the value hashes of the placeholders in order. `wanted`, a bitmap over the low bits of the hash, leaves
-    out windows that cannot match. Texts shorter than a window form one window of all their words."""
+    typed, untyped = Rolling(tokens), None
+    for k in sizes:
+        if k > len(words):
+            continue
+        n_plain, least = plain[k:] - plain[: len(plain) - k], min(PLAIN, k)
+        yield typed.windows(k)[: len(n_plain)], n_plain >= least, values, kind, k, True
+        few = n_plain <= least
+        if few.any():
+            untyped = untyped or Rolling(literal)
+            yield mix(untyped.windows(k)[: len(n_plain)] ^ _VALUES), few, literal, kind, k, False
+
+
+def template_windows(texts: DataFrame, key: str, text: str, wanted: bytes | None = None, size: int = WINDOW, short: list[int] | None = None) -> DataFrame:
+    """Rows (key, pos, size, hash, slots): the windows of each text. Those with at least PLAIN plain words are templates, slots being
+    the value hashes of the placeholders in order; the others are hashed by value, and slots are the values of all words. `wanted`, a bitmap over
+    the low bits of the hash, leaves out windows that cannot match. With `short` there are windows of these sizes besides; without it, a text
+    shorter than a window forms one window of all its words."""
     held = None if wanted is None else texts.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         keys, data = batch.column(0).to_pylist(), text_bytes(batch.column(1))
         bits = None if held is None else np.frombuffer(held.value, np.uint8)
         for a, b in chunks([len(t) for t in data]):
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for i in range(a, b):
-                hashes, enough, values, kind = _windows(data[i].split(), size)
-                keep = enough
-                if bits is not None and len(hashes):
-                    at = (hashes & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-                    keep = enough & ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
-                for p in np.flatnonzero(keep).tolist():
-                    slot = np.flatnonzero(kind[p : p + size]) + p
-                    for column, value in zip(out, (keys[i], p, int(hashes[p : p + 1].view(np.int64)[0]), signed(values[slot]).tolist()), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.int64()))], ["key", "pos", "hash", "slots"])
+                words = data[i].split()
+                for hashes, keep, values, kind, k, typed in _windows(words, [min(size, len(words))] if short is None else [size, *short]):
+                    if bits is not None:
+                        at = (hashes & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+                        keep = keep & ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+                    for p in np.flatnonzero(keep).tolist():
+                        slot = np.flatnonzero(kind[p : p + k]) + p if typed else np.arange(p, p + k)
+                        for column, value in zip(out, (keys[i], p, k, int(hashes[p : p + 1].view(np.int64)[0]), signed(values[slot]).tolist()), strict=True):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.list_(pa.int64()))], ["key", "pos", "size", "hash", "slots"])
 
-    return map_batches(texts.select(F.col(key).cast("long"), F.col(text)), run, "key long, pos int, hash long, slots array<long>")
+    return map_batches(texts.select(F.col(key).cast("long"), F.col(text)), run, "key long, pos int, size int, hash long, slots array<long>")
 
 
 def _bitmap(windows: DataFrame) -> bytes:
@@ -124,16 +136,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     """Rows (doc_id, item_id, n_windows, n_found, n_changed, exact) of documents that hold a benchmark item,
     word for word (exact) or with other numbers, names or units put in consistently.
 
-    Windows of 8 canonical words of both sides meet in a join on their hash. Matches of one document and item
+    Windows of 8 canonical words of both sides meet in a join on their hash, and for items of fewer words windows of their length;
+    where fewer than PLAIN words of a window are plain, the words themselves are hashed, so that every item has windows. Matches of one document and item
     count along one diagonal (position in the document minus position in the item, give or take nothing), and
     only if every slot value of the item stands for one value of the document throughout and vice versa. An item is held if at least
     `coverage` of its windows are found so. The filter sent to the tasks has a fixed size; the join decides.
     A passage that many documents share only adds rows of its own. Null or empty texts hold nothing; null ids
     are left out; repeated rows count once; extra columns are ignored; either table may be empty."""
     items = materialize(template_windows(benchmark.where(F.col(item_id).isNotNull()), item_id, item_text).withColumnRenamed("key", "item_id"), "items").distinct()
-    sizes = items.groupBy("item_id").agg(F.count("*").alias("n_windows"))
+    sizes = items.groupBy("item_id").agg(F.countDistinct("pos").alias("n_windows"))
+    short = sorted(r[0] for r in items.where(F.col("size") < WINDOW).select("size").distinct().collect())
+    items = items.drop("size")
     docs = docs.where(F.col(doc_id).isNotNull())
-    found = template_windows(docs, doc_id, text, _bitmap(items))
+    found = template_windows(docs, doc_id, text, _bitmap(items), short=short)
     hits = found.join(items.withColumnRenamed("pos", "item_pos").withColumnRenamed("slots", "item_slots"), "hash").where(F.size("slots") == F.size("item_slots"))
     hits = hits.select(F.col("key").alias("doc_id"), "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "slots", "item_slots").distinct()
     hits = materialize(hits, "hits")

@@ -131,6 +131,14 @@ def test_reparameterised_leaks(spark):
     assert decontamination.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_short_and_placeholder_heavy_leaks(spark):
+    items = {1: "Name the largest moon of Saturn", 2: "Compute 12 * 4 + 7 - 3 * 9 + 2", 3: "Alice Bob Carol Dave Erin Frank Grace Heidi Ivan Judy", 4: "Why?", 5: "What is 3 + 4 ?"}
+    docs = frame(spark, [(i, f"Some words before. {t} and then some more words after it") for i, t in items.items()] + [(9, "Compute 12 + 4 * 7 - 3 * 9 + 2 and then some more words")])
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, bench).collect()}
+    assert got == {(i, i) for i in items}
+
+
 @pytest.mark.parametrize("s", ["", "</s>[INST] ok [/INST]", "\\", "\\\\n", "<\\|im_end|>", "<|im_end|><|im_start|>", "[[INST]]", "a\\</s>"])
 def test_escape_round_trip(s):
     e = chat_tree.escape(s)
