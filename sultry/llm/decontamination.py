@@ -16,8 +16,10 @@ from .common import Rolling, chunks, map_batches, materialize, mix, signed, text
 WINDOW = 8
 #: Of a window's words at least so many must be plain, so that rows of placeholders match nothing.
 PLAIN = 5
-#: Share of an item's windows that must be found, in one order and with consistent slots.
+#: Share of an item's windows that must be found, nearly in one order and with consistent slots.
 COVERAGE = 0.6
+#: Shifts of one passage may differ by so many words, as a name or quantity of one word can become several.
+DRIFT = 4
 #: Bits of the filter that tells tasks which windows can be in the benchmark; its size never grows.
 FILTER_BITS = 1 << 23
 
@@ -138,8 +140,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 
     Windows of 8 canonical words of both sides meet in a join on their hash, and for items of fewer words windows of their length;
     where fewer than PLAIN words of a window are plain, the words themselves are hashed, so that every item has windows. Matches of one document and item
-    count along one diagonal (position in the document minus position in the item, give or take nothing), and
-    only if every slot value of the item stands for one value of the document throughout and vice versa. An item is held if at least
+    count along one diagonal (position in the document minus position in the item, within DRIFT). Each slot value of the item stands for
+    one value of the document, the one of most windows; windows with another are set aside. Several item values may get one value,
+    unless the item has that value too and keeps it: then nothing tells them apart, and windows with either are set aside. An item is held if at least
     `coverage` of its windows are found so. The filter sent to the tasks has a fixed size; the join decides.
     A passage that many documents share only adds rows of its own. Null or empty texts hold nothing; null ids
     are left out; repeated rows count once; extra columns are ignored; either table may be empty."""
@@ -152,12 +155,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     hits = found.join(items.withColumnRenamed("pos", "item_pos").withColumnRenamed("slots", "item_slots"), "hash").where(F.size("slots") == F.size("item_slots"))
     hits = hits.select(F.col("key").alias("doc_id"), "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "slots", "item_slots").distinct()
     hits = materialize(hits, "hits")
-    # Slots: the pairs (item value, document value) of a diagonal must be a one-to-one map.
-    pairs = hits.select("doc_id", "item_id", "shift", F.explode(F.arrays_zip("item_slots", "slots")).alias("z")).select("doc_id", "item_id", "shift", F.col("z.item_slots").alias("i"), F.col("z.slots").alias("d")).distinct()
-    slots = pairs.groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("n"), F.countDistinct("i").alias("ni"), F.countDistinct("d").alias("nd"), F.count_if(F.col("i") != F.col("d")).alias("n_changed"))
-    runs = hits.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("item_pos").alias("n_found"))
-    runs = runs.join(slots, ["doc_id", "item_id", "shift"], "left").where(F.col("n").isNull() | ((F.col("n") == F.col("ni")) & (F.col("n") == F.col("nd"))))
+    # A passage is what lies within DRIFT shifts from its least one, `at`.
+    keys = ["doc_id", "item_id", "at"]
+    starts = hits.select("doc_id", "item_id", F.col("shift").alias("at")).distinct()
+    near = hits.withColumn("at", F.explode(F.sequence(F.col("shift") - DRIFT, F.col("shift")))).join(starts, keys, "left_semi")
+    near = materialize(near.select(*keys, "shift", "item_pos", "slots", "item_slots"), "near")
+    # Slots: each item value stands for the document value that most windows give it.
+    pairs = near.select(*keys, "shift", "item_pos", F.explode(F.arrays_zip("item_slots", "slots")).alias("z")).select(*keys, "shift", "item_pos", F.col("z.item_slots").alias("i"), F.col("z.slots").alias("d"))
+    votes = pairs.groupBy(*keys, "i", "d").agg(F.countDistinct("item_pos").alias("n"))
+    chosen = votes.groupBy(*keys, "i").agg(F.max(F.struct("n", (F.col("i") == F.col("d")).alias("same"), "d")).alias("m")).select(*keys, "i", F.col("m.d").alias("d"))
+    taken = chosen.where("i = d").select(*keys, "d").join(chosen.where("i <> d").select(*keys, "d").distinct(), [*keys, "d"], "left_semi")
+    chosen = chosen.join(taken, [*keys, "d"], "left_anti")
+    broken = pairs.join(chosen, [*keys, "i", "d"], "left_anti").select(*keys, "shift", "item_pos").distinct()
+    good = near.join(broken, [*keys, "shift", "item_pos"], "left_anti")
+    other = F.filter(F.arrays_zip("item_slots", "slots"), lambda z: z["item_slots"] != z["slots"])
+    runs = good.groupBy(*keys).agg(F.countDistinct("item_pos").alias("n_found"), F.size(F.array_distinct(F.flatten(F.collect_set(F.transform(other, lambda z: z["item_slots"]))))).alias("n_changed"))
     best = runs.join(sizes, "item_id").where(F.col("n_found") >= coverage * F.col("n_windows"))
-    changed = F.coalesce(F.col("n_changed"), F.lit(0))
-    best = best.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_found", -changed)).alias("m"), F.first("n_windows").alias("n_windows"))
+    best = best.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_found", (-F.col("n_changed")).alias("col2"))).alias("m"), F.first("n_windows").alias("n_windows"))
     return best.select("doc_id", "item_id", "n_windows", F.col("m.n_found").alias("n_found"), (-F.col("m.col2")).alias("n_changed"), (F.col("m.col2") == 0).alias("exact"))

@@ -139,6 +139,16 @@ def test_short_and_placeholder_heavy_leaks(spark):
     assert got == {(i, i) for i in items}
 
 
+def test_leaks_with_merged_altered_or_longer_slots(spark):
+    merge = "at the market an old woman sold 3 apples and then she sold 5 pears to a boy who had come there with his dog"
+    twice = "the boy put 7 coins in the red box and he then put 7 coins in the blue box that was on the table near the door"
+    name = "when the rain had stopped at last the driver took the parcel down to Tom and asked him to sign for it before the office closed for the day"
+    docs = frame(spark, [(1, merge.replace("3", "4").replace("5", "4")), (2, twice.replace("7 coins in the blue", "8 coins in the blue")), (3, name.replace("Tom", "Mary Ann")), (4, name[:70])])
+    bench = spark.createDataFrame([(1, merge), (2, twice), (3, name)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontamination.find_leaks(docs, bench).collect()}
+    assert {(i, r.item_id) for i, r in got.items()} == {(1, 1), (2, 2), (3, 3)} and got[1].n_changed == 2 and got[1].n_found == got[1].n_windows
+
+
 @pytest.mark.parametrize("s", ["", "</s>[INST] ok [/INST]", "\\", "\\\\n", "<\\|im_end|>", "<|im_end|><|im_start|>", "[[INST]]", "a\\</s>"])
 def test_escape_round_trip(s):
     e = chat_tree.escape(s)
