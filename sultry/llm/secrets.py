@@ -19,18 +19,27 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 #: Bits a character from which a window of 20 characters of the class counts as random.
-LEAST = {"hex": 3.0, "mixed": 3.8}
+LEAST = {"hex": 3.0, "mixed": 3.8, "lower": 3.5, "upper": 3.5, "letters": 4.0}
 #: Strings that look random but are public by nature: identifiers, documentation examples, runs of an alphabet.
 ALLOWED = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|EXAMPLE|example|0123456789|abcdefghij|ABCDEFGHIJ")
+#: Places where a digit meets a letter, or a lower-case letter an upper-case one: few in words and numbers, many in random strings.
+CHANGE = re.compile(r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])")
+TURN = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _C = [0.0] + [c * log2(c) for c in range(1, WINDOW + 2)]
 
 
 def char_class(s: str) -> str | None:
-    """hex: hexadecimal with digits and letters; mixed: digits, upper and lower case; else not judged."""
-    digit = any("0" <= c <= "9" for c in s)
-    if digit and re.fullmatch("[0-9a-f]+|[0-9A-F]+", s):
+    """hex: hexadecimal with digits and letters; mixed: digits, upper and lower case; lower, upper: digits and letters of one case;
+    letters: upper and lower case in turn too often for words; else not judged."""
+    digits = sum("0" <= c <= "9" for c in s)
+    if digits and re.fullmatch("[0-9a-f]+|[0-9A-F]+", s):
         return "hex" if re.search("[a-fA-F]", s) else None
-    return "mixed" if digit and re.search("[A-Z]", s) and re.search("[a-z]", s) else None
+    upper, lower = re.search("[A-Z]", s), re.search("[a-z]", s)
+    if digits and upper and lower:
+        return "mixed"
+    if digits >= 2 and (upper or lower) and len(CHANGE.findall(s)) >= 3:
+        return "upper" if upper else "lower"
+    return "letters" if not digits and upper and lower and len(TURN.findall(s)) >= 4 else None
 
 
 def entropy_spans(s: str, least: float, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -56,6 +65,40 @@ def entropy_spans(s: str, least: float, window: int = WINDOW) -> list[tuple[int,
     return out
 
 
+def random_spans(s: str, whole: str | None = None) -> list[tuple[int, int]]:
+    """Merged windows that are random for their own character class, or for `whole`, that of the candidate. A window without all of
+    hex's or mixed's characters shows only part of a token, so that its span is widened to the letters and digits around it."""
+    out: list[tuple[int, int]] = []
+    # Windows below the least threshold of all are out whatever their class.
+    for a, b in entropy_spans(s, min(LEAST.values())):
+        for i in range(a, b - WINDOW + 1):
+            w, x, y = s[i : i + WINDOW], i, i + WINDOW
+            kind = char_class(w)
+            if not (whole and entropy_spans(w, LEAST[whole])):
+                if kind is None or not entropy_spans(w, LEAST[kind]):
+                    continue
+                if kind in ("lower", "upper", "letters"):
+                    while x and s[x - 1].isalnum():
+                        x -= 1
+                    while y < len(s) and s[y].isalnum():
+                        y += 1
+            while out and x <= out[-1][1]:
+                x, y = min(x, out[-1][0]), max(y, out[-1][1])
+                out.pop()
+            out.append((x, y))
+    return out
+
+
+def outside(start: int, end: int, known: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of [start, end) outside the known spans."""
+    out = []
+    for x, y in sorted(k for k in known if k[0] < end and start < k[1]):
+        if start < x:
+            out.append((start, x))
+        start = max(start, y)
+    return [*out, (start, end)] if start < end else out
+
+
 def find_spans(text: str | None) -> list[dict]:
     """All spans of one text by start, then kind as listed."""
     if not text:
@@ -63,15 +106,13 @@ def find_spans(text: str | None) -> list[dict]:
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    base = sorted(found)
+    base = [(x, y) for x, _, y in found]
     for m in CANDIDATE.finditer(text):
         kind = char_class(m[0])
-        if kind is None or ALLOWED.search(m[0]):
-            continue
-        for a, b in entropy_spans(m[0], LEAST[kind]):
-            a, b = a + m.start(), b + m.start()
-            if not any(x < b and a < y for x, _, y in base):
-                found.append((a, 3, b))
+        whole = kind if kind in ("hex", "mixed") and not ALLOWED.search(m[0]) else None
+        known = base + [(m.start() + a.start(), m.start() + a.end()) for a in ALLOWED.finditer(m[0])]
+        for start, end in outside(m.start(), m.end(), known):
+            found += [(a + start, 3, b + start) for a, b in random_spans(text[start:end], whole)]
     return [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(found)]
 
 
