@@ -50,15 +50,39 @@ def canonical_form(url: Column) -> Column:
     return F.regexp_replace(x, r"(?:\.html|/)$", "")
 
 
+def resolve(base: Column, target: Column) -> Column:
+    """The absolute address of a link target on a page (RFC 3986, 5.2); null for an empty target or one that leads only to a fragment."""
+    scheme = F.regexp_extract(base, r"^[^:/?#]*:", 0)
+    origin = F.regexp_extract(base, r"^[^:/?#]*://[^/?#]*", 0)
+    page = F.regexp_extract(base, r"^[^?#]*", 0)
+    folder = F.when(page == origin, F.concat(origin, F.lit("/"))).otherwise(F.regexp_extract(page, r"^.*/", 0))
+    joined = F.when(target.startswith("/"), F.concat(origin, target)).when(target.startswith("?"), F.concat(page, target)).otherwise(F.concat(folder, target))
+    path = F.regexp_replace(F.regexp_extract(joined, r"^[^:/?#]*://[^/?#]*([^?#]*)", 1), r"/\.(?=/|$)", "")
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), lambda acc, p: F.when(p != "..", F.array_append(acc, p)).when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc))
+    slash = F.when(path.endswith("/.."), "/").otherwise("")
+    short = F.concat(origin, F.array_join(parts, "/"), slash, F.regexp_extract(joined, r"^[^?#]*(.*)$", 1))
+    relative = F.when(F.regexp_like(joined, F.lit(r"/\.\.?(?:[/?#]|$)")), short).otherwise(joined)
+    return (
+        F.when((target == "") | target.startswith("#"), None)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), target)
+        .when(target.startswith("//"), F.concat(scheme, target))
+        .when(origin != "", relative)
+    )
+
+
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Edges (a, b) between a page's url and what it stands for: its canonical link element, its refresh
-    redirect and its canonical form. Null urls have none; relative targets are resolved against the host."""
+    """Edges (a, b) between a page's url and what it stands for: its canonical link elements, its refresh
+    redirects and its canonical form. Null urls have none; relative targets are resolved against the page's address."""
     head = F.coalesce(F.col(html), F.lit(""))
-    canonical = F.regexp_extract(head, r"""(?i)<link(?=[^>]{0,500}\brel=["']?canonical\b)[^>]{0,500}\bhref=["']([^"'>]+)""", 1)
-    refresh = F.regexp_extract(head, r"""(?i)<meta(?=[^>]{0,500}\bhttp-equiv=["']?refresh\b)[^>]{0,500}\burl=([^"'>\s]+)""", 1)
-    origin = F.regexp_extract(F.col(url), r"^[^:]*://[^/?#]*", 0)
-    absolute = lambda t: F.when(t.startswith("/"), F.concat(origin, t)).when(t != "", t)
-    marked = F.when(F.instr(F.lower(head), "canonical") + F.instr(F.lower(head), "http-equiv") > 0, F.array(absolute(canonical), absolute(refresh))).otherwise(F.array().cast("array<string>"))
+    value = lambda e, name: F.regexp_extract(e, rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", 0)
+    bare = lambda v: F.trim(F.regexp_replace(F.regexp_replace(v, r"(?is)^\s*[\w-]+\s*=\s*", ""), r"""^["']|["']$""", ""))
+    elements = lambda tag: F.regexp_extract_all(head, F.lit(rf"""(?is)(<{tag}\s(?:[^>"']|"[^"]*"|'[^']*')*+>)"""))
+    links = F.filter(elements("link"), lambda e: F.lower(bare(value(e, "rel"))).rlike(r"(?:^|\s)canonical(?:\s|$)"))
+    metas = F.filter(elements("meta"), lambda e: F.lower(bare(value(e, "http-equiv"))) == "refresh")
+    after = lambda e: F.regexp_extract(bare(value(e, "content")), r"""(?i)\burl\s*=\s*["']?([^"'>\s]+)""", 1)
+    named = F.concat(F.transform(links, lambda e: bare(value(e, "href"))), F.transform(metas, after))
+    named = F.transform(named, lambda t: F.replace(t, F.lit("&amp;"), F.lit("&")))
+    marked = F.when(F.instr(F.lower(head), "canonical") + F.instr(F.lower(head), "http-equiv") > 0, F.transform(named, lambda t: resolve(F.col(url), t))).otherwise(F.array().cast("array<string>"))
     targets = F.array_compact(F.array_append(marked, canonical_form(F.col(url))))
     return pages.where(F.col(url).isNotNull()).select(F.col(url).alias("a"), F.explode(targets).alias("b")).where("a <> b").distinct()
 

@@ -42,6 +42,16 @@ def test_links_from_html(spark):
     assert got == {("https://a.net/p", "https://a.net/c"), ("https://a.net/p", "http://r.net/2"), ("http://www.a.net/q/?utm_source=x#top", "https://a.net/q")}
 
 
+def test_relative_links(spark):
+    long = "x" * 600
+    link = lambda t: f'<link rel="stylesheet" href="/s"><link data-x="{long}" rel="canonical" href="{t}">'
+    targets = {"//b.net/c": "https://b.net/c", "index.html": "https://a.net/d/index.html", "?id=3": "https://a.net/d/p?id=3", "../e": "https://a.net/e", "./f": "https://a.net/d/f", "/g": "https://a.net/g", "https://c.net/h": "https://c.net/h", "#top": None}
+    pages = spark.createDataFrame([(i, f"https://a.net/d/p?n={i}", link(t)) for i, t in enumerate(targets)] + [(90, "https://z.net/p", '<meta http-equiv="refresh" content="0; URL=q"><META content="5;url=r" http-equiv=Refresh>'), (91, "https://y.net", link("index.html"))], "page_id long, url string, html string")
+    got = {(r.a, r.b) for r in url_filters.page_links(pages).collect()}
+    want = {(f"https://a.net/d/p?n={i}", b) for i, b in enumerate(targets.values()) if b}
+    assert got == want | {("https://z.net/p", "https://z.net/q"), ("https://z.net/p", "https://z.net/r"), ("https://y.net", "https://y.net/index.html")}
+
+
 def test_entropy(spark):
     random.seed(1)
     key = "".join(random.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
