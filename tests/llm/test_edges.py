@@ -65,16 +65,6 @@ def test_entropy(spark):
     assert secrets.find_secrets(frame(spark, [])).count() == 0
 
 
-def test_incremental_entropy_equals_direct():
-    from collections import Counter
-    from math import log2
-
-    s = "aAbBcC0123zzzzzzzzzzzzzzzzzzzzzzz9876543210qwertyuiop"
-    want = set()
-    for i in range(len(s) - 19):
-        h = -sum(c / 20 * log2(c / 20) for c in Counter(s[i : i + 20]).values())
-        if h >= 3.8:
-            want.update(range(i, i + 20))
 def test_secrets_beside_known_spans_and_of_other_classes():
     r = random.Random(3)
     make = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
@@ -91,6 +81,16 @@ def test_secrets_beside_known_spans_and_of_other_classes():
         assert not [s for s in secrets.find_spans(plain) if s["kind"] == "entropy"]
 
 
+def test_incremental_entropy_equals_direct():
+    from collections import Counter
+    from math import log2
+
+    s = "aAbBcC0123zzzzzzzzzzzzzzzzzzzzzzz9876543210qwertyuiop"
+    want = set()
+    for i in range(len(s) - 19):
+        h = -sum(c / 20 * log2(c / 20) for c in Counter(s[i : i + 20]).values())
+        if h >= 3.8:
+            want.update(range(i, i + 20))
     assert {p for a, b in secrets.entropy_spans(s, 3.8) for p in range(a, b)} == want
 
 
@@ -175,6 +175,15 @@ def test_leaks_with_merged_altered_or_longer_slots(spark):
     assert {(i, r.item_id) for i, r in got.items()} == {(1, 1), (2, 2), (3, 3)} and got[1].n_changed == 2 and got[1].n_found == got[1].n_windows
 
 
+def test_pipeline_links_near_duplicates_of_five_words(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(100)]
+    copy = [{30: "x", 60: "y"}.get(i, w) for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words), "en", "s", 1), (2, " ".join(copy), "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()] == [1]
+
+
 @pytest.mark.parametrize("s", ["", "</s>[INST] ok [/INST]", "\\", "\\\\n", "<\\|im_end|>", "<|im_end|><|im_start|>", "[[INST]]", "a\\</s>"])
 def test_escape_round_trip(s):
     e = chat_tree.escape(s)
