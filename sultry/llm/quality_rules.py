@@ -36,38 +36,58 @@ def line_fails(line: Column, words: Column) -> Column:
     return (n > 0) & (symbols | bars | caps | ((n <= 25) & line.rlike(BOILERPLATE)) | same)
 
 
-def with_window_hashes(df: DataFrame, words: str, name: str) -> DataFrame:
-    """Adds hashes of all windows of 8 words, by doubling: of 1, 2, 4 and 8 words. Each step is a column of its own, as one
-    nested expression would compute the inner steps again for each mention."""
-    df = df.withColumn(name, F.when(F.size(words) > WINDOW, F.transform(words, lambda w: F.xxhash64(w))))
-    for step in (1, 2, 4):
-        n = F.size(name) - step
-        df = df.withColumn(name, F.zip_with(F.slice(name, F.lit(1), n), F.slice(name, F.lit(step + 1), n), lambda a, b: F.xxhash64(a, b)))
-    return df
-
-
-def base_figures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed, and lines_, the text's lines with their words."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    split = docs.withColumn("lines_", F.transform(F.split(t, "\n"), lambda x: F.struct(x.alias("line"), words_col(x).alias("words"))))
-    split = split.withColumn("words_", F.flatten(F.transform("lines_", lambda x: x["words"]))).withColumn("full_", F.transform(F.filter("lines_", lambda x: F.size(x["words"]) > 0), lambda x: x["line"]))
-    hashed = with_window_hashes(split, "words_", "grams_")
-    # Only texts with an equal pair of windows go on: sorted (hash, place), equal neighbours, places covered.
-    placed = F.array_sort(F.transform("grams_", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
-    hashed = hashed.withColumn("sorted_", F.when(F.size(F.array_distinct("grams_")) < F.size("grams_"), placed))
+def bound(value: Column, use) -> Column:
+    """use(value) with value computed once: a lambda variable stands for it, however often `use` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def window_hashes(words: Column) -> Column:
+    """Hashes of all windows of 8 words, by doubling: of 1, 2, 4 and 8 words; null where there is no second window."""
+
+    def doubled(step: int):
+        return lambda g: F.zip_with(F.slice(g, F.lit(1), F.size(g) - step), F.slice(g, F.lit(step + 1), F.size(g) - step), lambda a, b: F.xxhash64(a, b))
+
+    grams = F.when(F.size(words) > WINDOW, F.transform(words, lambda w: F.xxhash64(w)))
+    for n in (1, 2, 4):
+        grams = bound(grams, doubled(n))
+    return grams
+
+
+def repeated_words(grams: Column) -> Column:
+    """Words covered by windows that occur twice or more: sorted (hash, place), equal neighbours, places covered."""
     following = lambda c: F.slice(c, F.lit(2), F.greatest(F.size(c), F.lit(1)))
-    neighbour = F.zip_with("sorted_", following("sorted_"), lambda a, b: F.when(a["g"] == b["g"], F.array(a["i"], b["i"])))
-    hashed = hashed.withColumn("places_", F.array_sort(F.array_distinct(F.flatten(F.filter(neighbour, lambda x: x.isNotNull())))))
-    gaps = F.zip_with("places_", following("places_"), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)).cast("long"))
-    out = (
-        hashed.withColumn("n_words", F.size("words_").cast("long"))
-        .withColumn("word_chars", F.length(F.array_join("words_", "")).cast("long"))
-        .withColumn("n_symbols", F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"))
-        .withColumn("n_dup_lines", (F.size("full_") - F.size(F.array_distinct("full_"))).cast("long"))
-        .withColumn("n_repeat_words", F.when(F.size("places_") > 0, _sum(gaps)).otherwise(F.lit(0).cast("long")))
+    placed = lambda gs: F.array_sort(F.transform(gs, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+    neighbours = lambda c: F.zip_with(c, following(c), lambda a, b: F.when(a["g"] == b["g"], F.array(a["i"], b["i"])))
+    places = lambda c: F.array_sort(F.array_distinct(F.flatten(F.filter(neighbours(c), lambda x: x.isNotNull()))))
+    covered = lambda c: _sum(F.zip_with(c, following(c), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)).cast("long")))
+    # Only texts with an equal pair of windows are sorted.
+    return F.when(F.size(F.array_distinct(grams)) < F.size(grams), bound(bound(placed(grams), places), covered)).otherwise(F.lit(0).cast("long"))
+
+
+def step(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns behind a Generate: later expressions name them and are not merged into one with them, and filters
+    on them are not pushed below, where each mention would be replaced by the whole expression again."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def judged_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds lines_ (array of struct line, words, bad), words_ and the base figures n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words and base_failed."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    split = F.transform(F.split(t, "\n"), lambda x: F.struct(x.alias("line"), words_col(x).alias("words")))
+    df = step(docs, lines_=F.transform(split, lambda x: F.struct(x["line"].alias("line"), x["words"].alias("words"), line_fails(x["line"], x["words"]).alias("bad"))))
+    df = step(df, words_=F.flatten(F.transform("lines_", lambda x: x["words"])))
+    df = step(df, grams_=window_hashes(F.col("words_")))
+    full = F.transform(F.filter("lines_", lambda x: F.size(x["words"]) > 0), lambda x: x["line"])
+    df = step(
+        df,
+        n_words=F.size("words_").cast("long"),
+        word_chars=F.length(F.array_join("words_", "")).cast("long"),
+        n_symbols=F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
+        n_dup_lines=bound(full, lambda c: F.size(c) - F.size(F.array_distinct(c))).cast("long"),
+        n_repeat_words=repeated_words(F.col("grams_")),
     )
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("words_", "full_", "grams_", "sorted_", "places_")
+    return df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
 def clean_lines(docs: DataFrame, text: str = "text", most_lost: float = MOST_LOST) -> DataFrame:
@@ -77,12 +97,14 @@ def clean_lines(docs: DataFrame, text: str = "text", most_lost: float = MOST_LOS
     Every line of a text is judged first; failing lines go; then a document is rejected when they held more than
     `most_lost` of its words, or when base_failed. Null and empty texts have no words, fail the base rule and stay
     null or empty. Each row is judged on its own where it is read, without a shuffle, so repeated rows and hot
-    sources cost nothing extra. Columns with these names are replaced; an empty table stays empty."""
+    sources cost nothing extra. Columns with these names are replaced; an empty table stays empty. A filter on any of the
+    results leaves the plan as large as it is."""
     names = ["cleaned", "n_lost_words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     docs = docs.drop(*names)
-    judged = base_figures(docs, text).withColumn("bad_", F.filter("lines_", lambda x: line_fails(x["line"], x["words"])))
-    judged = judged.withColumn("n_lost_words", _sum(F.transform("bad_", lambda x: F.size(x["words"]).cast("long"))))
+    columns = docs.columns
+    judged = judged_lines(docs, text)
+    judged = step(judged, n_lost_words=_sum(F.transform("lines_", lambda x: F.when(x["bad"], F.size(x["words"])).otherwise(0).cast("long"))))
+    good = F.array_join(F.transform(F.filter("lines_", lambda x: ~x["bad"]), lambda x: x["line"]), "\n")
     kept = ~F.col("base_failed") & (F.col("n_lost_words") <= most_lost * F.col("n_words"))
-    good = F.array_join(F.transform(F.filter("lines_", lambda x: ~line_fails(x["line"], x["words"])), lambda x: x["line"]), "\n")
-    cleaned = F.when(F.col("n_lost_words") > 0, good).otherwise(F.col(text))
-    return judged.withColumn("cleaned", cleaned).withColumn("kept", kept).drop("lines_", "bad_")
+    judged = step(judged, cleaned=F.when(F.col("n_lost_words") > 0, good).otherwise(F.col(text)), kept=kept)
+    return judged.select(*columns, *names)
