@@ -69,9 +69,9 @@ def shingles(text, n=4):
     return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1)))
 
 
-def jaccard(docs, least=85):
+def jaccard(docs, least=85, n=4):
     """{id: (n_shingles, component)} by comparing all pairs that share a shingle."""
-    sets = {i: shingles(t) for i, t in docs.items()}
+    sets = {i: shingles(t, n) for i, t in docs.items()}
     at = defaultdict(list)
     for i, s in sets.items():
         for g in s:
@@ -89,8 +89,8 @@ def jaccard(docs, least=85):
         for k, a in enumerate(ids):
             for b in ids[:k]:
                 common[a, b] += 1
-    for (a, b), n in common.items():
-        if 100 * n >= least * (len(sets[a]) + len(sets[b]) - n):
+    for (a, b), both in common.items():
+        if 100 * both >= least * (len(sets[a]) + len(sets[b]) - both):
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in docs}
