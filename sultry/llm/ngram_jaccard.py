@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Rolling, chunks, map_batches, materialize, mix, signed, text_bytes, word_hashes
@@ -18,10 +18,10 @@ from .components import connected_components
 FRAGMENTS = 4
 #: Bits of the filter that tells tasks which documents take part in a candidate pair; its size never grows.
 FILTER_BITS = 1 << 23
-#: Bits of a set's parity sketch.
-SKETCH_BITS = 384
-#: Signatures of more sets than this are compared pivot by pivot, smaller ones by shifting.
-SHIFTED = 64
+#: Bits of the parity sketch of a small set; larger sets have twice as many up to SKETCH_DOUBLINGS times.
+SKETCH_BITS, SKETCH_DOUBLINGS = 384, 3
+#: Sets of one signature are compared in blocks of about so many.
+BLOCK = 2048
 #: Candidate pairs are broadcast up to this number (about 40 bytes each), else joined by shuffle.
 BROADCAST_PAIRS = 500_000
 _UPPER = bytes(range(65, 91))
@@ -94,10 +94,20 @@ def signatures(s: np.ndarray, least: int, whole: int) -> np.ndarray:
 
 
 def parity_sketch(s: np.ndarray) -> bytes:
-    """For each of SKETCH_BITS slots whether an odd number of the set's shingles fall there. A shingle in only one of two sets
-    flips one bit, so sets that differ by d shingles have sketches that differ by at most d bits."""
-    slots = (mix(s ^ _SALT) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    return np.packbits((np.bincount(slots, minlength=SKETCH_BITS) & 1).astype(bool)).tobytes()
+    """For each slot whether an odd number of the set's shingles fall there. A shingle in only one of two sets flips one
+    bit, so sets that differ by d shingles have sketches that differ by at most d bits. Sets have about as many slots as shingles;
+    the halves of a sketch folded by exclusive or are the sketch with half the slots."""
+    bits = SKETCH_BITS << min(SKETCH_DOUBLINGS, max(0, (len(s) * 5 // (4 * SKETCH_BITS)).bit_length()))
+    slots = (mix(s ^ _SALT) % np.uint64(bits)).astype(np.int64)
+    return np.packbits((np.bincount(slots, minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def folded(sketches: list[bytes], size: int | None = None) -> np.ndarray:
+    """Sketches as rows of 64-bit words, all folded to `size` bytes or to the shortest."""
+    size = size or min(map(len, sketches))
+    if all(len(x) == size for x in sketches):
+        return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, size // 8), axis=0) for x in sketches])
 
 
 def _profile(docs: DataFrame, n: int) -> DataFrame:
@@ -112,21 +122,26 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _signature_rows(docs: DataFrame, n: int, least: int, whole: int) -> DataFrame:
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows (sig, cls): the signatures of each set, once in a task, so that a group of copies is no group of rows after the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         sigs, ids, count = [], [], 0
-        for s in shingle_sets(text_bytes(batch.column(1)), n):
-            if len(s):
-                x = signatures(s, least, whole)
-                sigs.append(x)
-                ids.append(np.full(len(x), set_id(s), np.int64))
-                count += len(x)
-            if count > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sigs))), pa.array(np.concatenate(ids))], ["sig", "cls"])
-                sigs, ids, count = [], [], 0
+        for batch in batches:
+            for s in shingle_sets(text_bytes(batch.column(1)), n):
+                if len(s) and (own := set_id(s)) not in seen:
+                    seen.add(own)
+                    x = signatures(s, least, whole)
+                    sigs.append(x)
+                    ids.append(np.full(len(x), own, np.int64))
+                    count += len(x)
+                if count > 500_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sigs))), pa.array(np.concatenate(ids))], ["sig", "cls"])
+                    sigs, ids, count = [], [], 0
         if count:
             yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sigs))), pa.array(np.concatenate(ids))], ["sig", "cls"])
 
-    return map_batches(docs, run, "sig long, cls long")
+    return docs.mapInArrow(run, "sig long, cls long")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -173,77 +188,100 @@ def _bitmap(ids: DataFrame, column: str) -> bytes:
 
 
 def _fragments(docs: DataFrame, wanted: DataFrame, column: str, n: int) -> DataFrame:
-    """Rows (doc_id, frag, grams) of the wanted documents: their shingles in each fragment of the global order."""
+    """Rows (cls, doc_id, frag, grams) of the wanted documents and, as the filter lets some pass, of others: their shingles in each
+    fragment of the global order."""
     held = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, column))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         bits, at = np.frombuffer(held.value, np.uint8), batch.column(2).to_numpy()
         batch = batch.filter(pa.array(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)))
-        ids, frags, grams = [], [], []
+        own, ids, frags, grams = [], [], [], []
         for i, s in zip(batch.column(0).to_pylist(), shingle_sets(text_bytes(batch.column(1)), n), strict=True):
             edge = np.searchsorted(s >> np.uint64(62), np.arange(FRAGMENTS + 1, dtype=np.uint64))
+            cls = set_id(s)
             for f in range(FRAGMENTS):
+                own.append(cls)
                 ids.append(i)
                 frags.append(f)
                 # The upper two bits are the fragment's; of the rest the lower 48 are kept.
                 grams.append(s[edge[f] : edge[f + 1]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(frags, pa.int32()), pa.array(grams, pa.binary())], ["doc_id", "frag", "grams"])
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(ids, pa.int64()), pa.array(frags, pa.int32()), pa.array(grams, pa.binary())], ["cls", "doc_id", "frag", "grams"])
 
-    return map_batches(docs.select("doc_id", "text", _filter_word(F.col("doc_id")).alias("at")), run, "doc_id long, frag int, grams binary")
+    return map_batches(docs.select("doc_id", "text", _filter_word(F.col("doc_id")).alias("at")), run, "cls long, doc_id long, frag int, grams binary")
 
 
-def _candidates(rows: DataFrame, pivots: int, least: int, whole: int) -> DataFrame:
-    """Distinct pairs (ca, cb) of a signature's first `pivots` classes with its other ones, of different components, that their
-    sizes and sketches do not rule out. rows: sig, cls, meets, comp, n, sketch; the first classes are those that meet most others.
+def _most_apart(a, b, least: int, whole: int):
+    """The largest symmetric difference of linked sets of sizes a and b."""
+    return (a + b) * (whole - least) // (whole + least)
 
-    Reads each signature's rows as a sorted stream; between batches only the pivots of the last signature are
-    held, and pairs are compared where they stand, so that none is emitted that cannot link."""
 
-    def linkable(x: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        _, _, comp, n, sketch = x
-        a, b = n[i], n[j]
-        ok = (comp[i] != comp[j]) & (np.minimum(a, b) * whole >= np.maximum(a, b) * least)
-        i, j, most = i[ok], j[ok], ((a + b) * (whole - least) // (whole + least))[ok]
-        near = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1) <= most
-        return np.stack([i[near], j[near]])
+def _linkable(pairs: DataFrame, least: int, whole: int) -> DataFrame:
+    """Of the pairs (ca, cb, na, nb, sa, sb) those that sizes and sketches do not rule out, as (ca, cb)."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+        sizes = np.array([min(len(x), len(y)) for x, y in zip(left, right, strict=True)])
+        near = np.zeros(batch.num_rows, bool)
+        for size in np.unique(sizes):
+            at = np.flatnonzero(sizes == size)
+            x, y = (folded([side[i] for i in at], int(size)) for side in (left, right))
+            near[at] = np.bitwise_count(x ^ y).sum(axis=1) <= _most_apart(na[at], nb[at], least, whole)
+        yield batch.select(["ca", "cb"]).filter(pa.array(near))
+
+    sized = pairs.where((F.least("na", "nb") * whole >= F.greatest("na", "nb") * least))
+    return map_batches(sized.select("ca", "cb", "na", "nb", "sa", "sb"), run, "ca long, cb long")
+
+
+def _apart(rows: DataFrame, least: int, whole: int) -> DataFrame:
+    """Distinct pairs (ca, cb) of sets of one signature and different components that sizes and sketches do not rule out.
+
+    rows: sig, block, side, cls, comp, main, n, sketch. Of each (sig, block) the sets of side 0, one block of the signature's,
+    are read first and held; those of side 1, the ones outside the main component, meet them in batches. Pairs are compared where they stand, and
+    only those that may link are emitted."""
+
+    def meet(right: list, left: list) -> np.ndarray:
+        (rc, rk, rm, rn), (lc, lk, _, ln) = ([np.concatenate(x) for x in zip(*(v[0] for v in side), strict=True)] for side in (right, left))
+        rs, ls = ([x for v in side for x in v[1]] for side in (right, left))
+        size = min(map(len, rs + ls))
+        rs, ls = folded(rs, size), folded(ls, size)
+        found = []
+        for a in range(0, len(lc), 256):
+            x = slice(a, a + 256)
+            ok = (lk[x, None] != rk) & ((rk == rm) | (lc[x, None] < rc)) & (np.minimum(ln[x, None], rn) * whole >= np.maximum(ln[x, None], rn) * least)
+            i, j = np.nonzero(ok)
+            i += a
+            near = np.bitwise_count(ls[i] ^ rs[j]).sum(axis=1) <= _most_apart(ln[i], rn[j], least, whole)
+            found.append(np.stack([lc[i[near]], rc[j[near]]]))
+        return np.concatenate(found, axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        key, right, told = None, [], set()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = tuple(batch.column(k).to_numpy() for k in range(4)) + (np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(batch.num_rows, -1),)
-            old = 0
-            if held is not None:
-                old, x = len(held[0]), tuple(np.concatenate([h, v]) for h, v in zip(held, x, strict=True))
-            sig, cls = x[:2]
-            first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            size = np.diff(np.concatenate([first, [len(sig)]]))
-            # A signature's held rows are its first ones, and all pivots where there are that many.
-            nth = np.arange(len(sig)) - np.repeat(first, size) + 1
-            small = np.repeat(size <= SHIFTED, size)
-            pairs = []
-            for d in range(1, min(SHIFTED, len(sig) - 1) + 1):
-                at = np.flatnonzero((sig[d:] == sig[:-d]) & small[d:])
-                if not len(at):
-                    break
-                at = at[(nth[at] <= pivots) & (at + d >= old)]
-                pairs.append(linkable(x, at, at + d))
-            for a, m in zip(first[size > SHIFTED].tolist(), size[size > SHIFTED].tolist(), strict=True):
-                members = np.arange(a, a + m)
-                for p in members[nth[a : a + m] <= pivots]:
-                    rest = members[(members > p) & (members >= old)]
-                    pairs.append(linkable(x, np.full(len(rest), p), rest))
-            last = np.arange(first[-1], len(sig))
-            last = last[nth[last] <= pivots]
-            held = tuple(v[last] for v in x)
-            found = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), np.int64)
-            if found.shape[1]:
-                low, high = np.minimum(cls[found[0]], cls[found[1]]), np.maximum(cls[found[0]], cls[found[1]])
-                both = np.unique(np.stack([low, high]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["ca", "cb"])
-
-    stream = rows.repartition("sig").sortWithinPartitions("sig", F.desc("meets"), "cls").select("sig", "cls", "comp", "n", "sketch")
+            sig, block, side, cls, comp, main, n = (batch.column(k).to_numpy() for k in range(7))
+            sketch = batch.column(7).to_pylist()
+            new = np.concatenate([[0], np.flatnonzero((sig[1:] != sig[:-1]) | (block[1:] != block[:-1]) | (side[1:] != side[:-1])) + 1, [len(sig)]])
+            found = []
+            for a, b in zip(new[:-1].tolist(), new[1:].tolist(), strict=True):
+                part = ((cls[a:b], comp[a:b], main[a:b], n[a:b]), sketch[a:b])
+                if (sig[a], block[a]) != key:
+                    key, right = (sig[a], block[a]), []
+                if side[a] == 0:
+                    right.append(part)
+                elif right:
+                    found.append(meet(right, [part]))
+            pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+            pairs = np.unique(np.sort(pairs, axis=0), axis=1).T.tolist()
+            if len(told) > 1_000_000:
+                told = set()
+            fresh = [p for p in map(tuple, pairs) if p not in told]
+            told.update(fresh)
+            if fresh:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*fresh, strict=True)], ["ca", "cb"])
+
+    stream = rows.repartition("sig", "block").sortWithinPartitions("sig", "block", "side").select("sig", "block", "side", "cls", "comp", "main", "n", "sketch")
     return stream.mapInArrow(run, "ca long, cb long").distinct()
 
 
@@ -256,21 +294,24 @@ def _overlaps(pairs: DataFrame) -> DataFrame:
             out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
             return out.reshape(-1).view("<u8")
 
-        left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        both = [len(np.intersect1d(wide(x), wide(y))) for x, y in zip(left, right, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64())], ["a", "b", "both"])
+        left, right = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+        both = [len(np.intersect1d(wide(x), wide(y), assume_unique=True)) for x, y in zip(left, right, strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(both, pa.int64())], ["ca", "cb", "frag", "both"])
 
-    return map_batches(pairs, run, "a long, b long, both long")
+    return map_batches(pairs, run, "ca long, cb long, frag int, both long")
 
 
 def verified_links(pairs: DataFrame, grams: DataFrame, least: int, whole: int) -> DataFrame:
-    """Of the candidate pairs (a, b, na, nb) those that link, as (a, b): partial overlaps are counted in each
-    fragment on its own, then summed for each pair."""
-    near = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
-    left = near.join(grams.select(F.col("doc_id").alias("a"), "frag", F.col("grams").alias("ga")), "a").select("a", "b", "frag", "ga")
-    both = left.join(grams.select(F.col("doc_id").alias("b"), "frag", F.col("grams").alias("gb")), ["b", "frag"])
-    counts = _overlaps(both.select("a", "b", "ga", "gb")).groupBy("a", "b").agg(F.sum("both").alias("both"))
-    return pairs.join(counts, ["a", "b"]).where(F.col("both") * whole >= (F.col("na") + F.col("nb") - F.col("both")) * least).select("a", "b")
+    """Of the candidate pairs (ca, cb, na, nb, a, b), a and b being the documents that stand for the sets, those that link, as (a, b): partial
+    overlaps are counted in each fragment on its own, then summed for each pair. The grams of cb, of which a pair brings one copy, move to those of ca, of
+    which many pairs have the same; rows that repeat a document count once."""
+    small = pairs.count() <= BROADCAST_PAIRS
+    near = F.broadcast if small else lambda df: df
+    right = near(pairs.select("ca", "cb", "b")).join(grams.select(F.col("cls").alias("cb"), F.col("doc_id").alias("b"), "frag", F.col("grams").alias("gb")), ["cb", "b"]).drop("b")
+    left = grams.select(F.col("cls").alias("ca"), F.col("doc_id").alias("a"), "frag", F.col("grams").alias("ga")).join(near(pairs.select("ca", "a").distinct()), ["ca", "a"], "left_semi").drop("a")
+    both = right.join(left, ["ca", "frag"])
+    counts = _overlaps(both.select("ca", "cb", "frag", "ga", "gb")).groupBy("ca", "cb", "frag").agg(F.max("both").alias("both")).groupBy("ca", "cb").agg(F.sum("both").alias("both"))
+    return pairs.join(counts, ["ca", "cb"]).where(F.col("both") * whole >= (F.col("na") + F.col("nb") - F.col("both")) * least).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 4, least: int = 85, whole: int = 100) -> DataFrame:
@@ -280,49 +321,55 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     Equal sets are one class, represented by its least doc_id. The global n-gram order, that of the shingles'
     hashes, is cut into fragments; classes that agree in a fragment share a signature, and by counting
-    every linked pair agrees in one. In each signature its pivots, the classes that meet most others, are paired with
-    the rest first, so the original of a group of near copies joins the group at a cost in proportion to its size. Pairs that sizes and parity sketches do not
-    rule out are verified by summing partial overlaps of fragments. Signatures whose classes are still in different components go on with
-    further pivots, 32 times as many each round, until no untested pair could join two components; pairs
-    inside a component need no test. So no link between components is lost.
+    every linked pair agrees in one. First each signature's pivot, the class that meets most others, is paired with the
+    rest, so that the original of a group of near copies gathers the group at a cost in proportion to its size. Then, in signatures that still
+    hold several components, classes outside the pivot's meet all others of different components, in blocks. In both
+    steps pairs that sizes and parity sketches rule out, by bounds that always hold, are not emitted, and the others are verified by summing
+    partial overlaps of fragments. Pairs inside a component need no test. So no link between components is lost.
 
     Texts without words and null texts have empty sets and link with nothing; rows with null ids are returned
-    with a null component; repeated rows are returned repeatedly; an empty table gives no rows; other columns are
-    ignored."""
+    with a null component; repeated rows are returned repeatedly; a doc_id with several texts has a row for each, and is in the component of each;
+    an empty table gives no rows; other columns are ignored."""
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = materialize(_profile(slim, n), "profiles")
     keyed = slim.where("doc_id is not null")
     classes = rows.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialize(classes, "classes")
-    labels = classes.select("cls", "rep", F.col("rep").alias("comp"))
     shared = materialize(_shared(_signature_rows(keyed, n, least, whole).repartition("sig").sortWithinPartitions("sig", "cls")), "shared")
     meets = materialize(shared.groupBy("cls").agg(F.sum("size").alias("meets")), "meets")
-    wanted = meets.join(classes, "cls").select("rep")
-    grams = materialize(_fragments(keyed, wanted, "rep", n), "fragments").dropDuplicates(["doc_id", "frag"])
-    facts = meets.join(classes.select("cls", "n", "sketch"), "cls")
-    open_, tested, pivots = shared.select("sig", "cls"), None, 1
-    while True:
-        known = facts.join(labels.select("cls", "comp"), "cls")
-        candidates = _candidates(open_.join(known, "cls"), pivots, least, whole)
-        candidates = materialize(candidates if tested is None else candidates.join(tested, ["ca", "cb"], "left_anti"), "candidates")
-        tested = candidates if tested is None else tested.union(candidates)
-        if not candidates.isEmpty():
-            a = classes.select(F.col("cls").alias("ca"), F.col("rep").alias("a"), F.col("n").alias("na"))
-            b = classes.select(F.col("cls").alias("cb"), F.col("rep").alias("b"), F.col("n").alias("nb"))
-            pairs = materialize(candidates.join(a, "ca").join(b, "cb").select("a", "b", "na", "nb"), "pairs")
-            links = materialize(verified_links(pairs, grams, least, whole), "links")
-            comp = labels.select("rep", "comp")
-            edges = links.join(comp.toDF("a", "ka"), "a").join(comp.toDF("b", "kb"), "b").select("ka", "kb")
-            joined = connected_components(edges, "ka", "kb").toDF("comp", "new")
-            labels = materialize(labels.join(joined, "comp", "left").select("cls", "rep", F.coalesce("new", "comp").alias("comp")), "labels")
-        # Signatures that still hold several components go on, unless all their classes were pivots.
-        group = Window.partitionBy("sig")
-        placed = open_.join(labels.select("cls", "comp"), "cls").select("sig", "cls", F.min("comp").over(group).alias("lo"), F.max("comp").over(group).alias("hi"), F.count("*").over(group).alias("size"))
-        open_ = materialize(placed.where((F.col("lo") < F.col("hi")) & (F.col("size") > pivots)).select("sig", "cls"), "open")
-        if open_.isEmpty():
-            break
-        pivots *= 32
+    pivots = shared.join(meets, "cls").groupBy("sig").agg(F.max(F.struct("meets", "cls")).alias("m")).select("sig", F.col("m.cls").alias("pivot"))
+    pivots = materialize(pivots, "pivots")
+    grams = materialize(_fragments(keyed, meets.join(classes, "cls").select("rep"), "rep", n), "fragments")
+    a = classes.select(F.col("cls").alias("ca"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    b = classes.select(F.col("cls").alias("cb"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+
+    def joined(candidates: DataFrame, labels: DataFrame) -> DataFrame:
+        """Labels (cls, rep, comp) after the candidates that link have joined their components."""
+        pairs = materialize(candidates.join(a.drop("sa"), "ca").join(b.drop("sb"), "cb"), "pairs")
+        links = materialize(verified_links(pairs, grams, least, whole), "links")
+        comp = labels.select("rep", "comp").distinct()
+        edges = links.join(comp.toDF("a", "ka"), "a").join(comp.toDF("b", "kb"), "b").select("ka", "kb")
+        merged = connected_components(edges, "ka", "kb").toDF("comp", "new")
+        return materialize(labels.join(merged, "comp", "left").select("cls", "rep", F.coalesce("new", "comp").alias("comp")), "labels")
+
+    star = shared.join(pivots, "sig").where("cls <> pivot").select(F.col("pivot").alias("ca"), F.col("cls").alias("cb")).distinct()
+    first = materialize(_linkable(star.join(a, "ca").join(b, "cb"), least, whole), "candidates")
+    labels = joined(first, classes.select("cls", "rep", F.col("rep").alias("comp")))
+
+    comp = labels.select("cls", "comp")
+    main = pivots.join(comp, pivots["pivot"] == comp["cls"]).select("sig", "pivot", F.col("comp").alias("main"))
+    placed = materialize(shared.select("sig", "cls").join(comp, "cls").join(main, "sig"), "placed")
+    open_ = placed.groupBy("sig").agg(F.count("*").alias("m"), F.count_if(F.col("comp") != F.col("main")).alias("k")).where("k > 0 and m > 2")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    there = placed.where("cls <> pivot").join(open_.select("sig", blocks.alias("blocks")), "sig")
+    held = there.select("sig", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "cls", "comp", "main")
+    sent = there.where("comp <> main").select("sig", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "cls", "comp", "main")
+    rest = _apart(held.union(sent).join(classes.select("cls", "n", "sketch"), "cls"), least, whole)
+    tested = first.select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
+    rest = materialize(rest.join(tested, ["ca", "cb"], "left_anti"), "candidates")
+    if not rest.isEmpty():
+        labels = joined(rest, labels)
     best = labels.select(F.col("cls").alias("cls_"), "comp")
-    joined = rows.join(best, F.col("cls") == F.col("cls_"), "left")
+    out = rows.join(best, F.col("cls") == F.col("cls_"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"))
