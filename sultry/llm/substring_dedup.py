@@ -54,16 +54,16 @@ def bundles(tokens: np.ndarray, ends: np.ndarray, span: int = SPAN) -> tuple[np.
 
 def _bundle_rows(docs: DataFrame, span: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, texts = batch.column(0).to_numpy(), text_bytes(batch.column(1))
+        ids, keys, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), text_bytes(batch.column(2))
         for a, b in chunks([len(t) for t in texts]):
             words = [t.split() for t in texts[a:b]]
             ends = np.cumsum([len(w) for w in words])
             doc, first, count, anchor, path = bundles(word_hashes([w for ws in words for w in ws]), ends, span)
             begin = np.concatenate([[0], ends])[doc]
-            columns = (ids[a + doc], (first - begin).astype(np.int32), count.astype(np.int32), anchor, path)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc_id", "first", "n", "anchor", "path"])
+            columns = (ids[a + doc], keys[a + doc], (first - begin).astype(np.int32), count.astype(np.int32), anchor, path)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc_id", "row", "first", "n", "anchor", "path"])
 
-    return map_batches(docs, run, "doc_id long, first int, n int, anchor long, path long")
+    return map_batches(docs, run, "doc_id long, row long, first int, n int, anchor long, path long")
 
 
 def _lists(column: pa.ListArray, *names: str) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -74,14 +74,14 @@ def _lists(column: pa.ListArray, *names: str) -> tuple[np.ndarray, list[np.ndarr
 
 
 def _looked_up(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """Rows (doc_id, kind, anchor, id, nth, first, n, key) read at source coordinates: for kind 0 a digest of the words of a compacted
-    path, for kind 1 the hash of each window of a branching bundle. wanted: (doc_id, at array<struct>)."""
-    names = ["doc_id", "kind", "anchor", "id", "nth", "first", "n", "key"]
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+    """Rows (doc_id, row, kind, anchor, id, nth, first, n, key) read at source coordinates: for kind 0 a digest of the words of a compacted
+    path, for kind 1 the hash of each window of a branching bundle. wanted: (row, at array<struct>)."""
+    names = ["doc_id", "row", "kind", "anchor", "id", "nth", "first", "n", "key"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, texts = batch.column(0).to_numpy(), text_bytes(batch.column(1))
-        offsets, (kind, anchor, ident, first, n) = _lists(batch.column(2), "kind", "anchor", "id", "first", "n")
+        ids, keys, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), text_bytes(batch.column(2))
+        offsets, (kind, anchor, ident, first, n) = _lists(batch.column(3), "kind", "anchor", "id", "first", "n")
         for a, b in chunks([len(t) for t in texts], 1 << 21):
             out: list[list[np.ndarray]] = [[] for _ in names]
             for i in range(a, b):
@@ -95,65 +95,73 @@ def _looked_up(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
                     start = first[each] + nth
                     key = np.concatenate([key, signed(Rolling(word_hashes(words)).spans(start, start + span))])
                 both = np.concatenate([whole, each]).astype(np.int64)
-                row = (np.full(len(both), ids[i]), kind[both], anchor[both], ident[both], np.concatenate([np.zeros(len(whole), np.int64), nth]), first[both], n[both], key)
+                row = (np.full(len(both), ids[i]), np.full(len(both), keys[i]), kind[both], anchor[both], ident[both], np.concatenate([np.zeros(len(whole), np.int64), nth]), first[both], n[both], key)
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             columns = [pa.array(np.concatenate(x)).cast(t) for x, t in zip(out, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    joined = docs.join(wanted, "doc_id").select("doc_id", "text", "at")
-    return map_batches(joined, run, "doc_id long, kind int, anchor long, id long, nth int, first int, n int, key long")
+    # Rows that repeat a document are read alike, and count once.
+    joined = docs.join(wanted, "row").select("doc_id", "row", "text", "at")
+    return map_batches(joined, run, "doc_id long, row long, kind int, anchor long, id long, nth int, first int, n int, key long")
 
 
 def compacted_paths(occurrences: DataFrame) -> DataFrame:
-    """Maximal nonbranching paths of repeated bundles as rows (doc_id, id, first, n).
+    """Maximal nonbranching paths of repeated bundles as rows (row, id, first, n).
 
-    occurrences: (doc_id, first, n, anchor, total) of unbranched anchors. Two anchors are linked where each always
+    occurrences: (row, first, n, anchor, total) of unbranched anchors. Two anchors are linked where each always
     follows the other; chains of links become one path by joins, named by its least anchor, and each
     occurrence of a path becomes one span of its document."""
-    here = occurrences.select("doc_id", (F.col("first") + F.col("n")).alias("next"), F.col("anchor").alias("a"), F.col("total").alias("ta"))
-    there = occurrences.select("doc_id", F.col("first").alias("next"), F.col("anchor").alias("b"), F.col("total").alias("tb"))
-    steps = here.join(there, ["doc_id", "next"]).groupBy("a", "b").agg(F.count("*").alias("n"), F.first("ta").alias("ta"), F.first("tb").alias("tb"))
+    here = occurrences.select("row", (F.col("first") + F.col("n")).alias("next"), F.col("anchor").alias("a"), F.col("total").alias("ta"))
+    there = occurrences.select("row", F.col("first").alias("next"), F.col("anchor").alias("b"), F.col("total").alias("tb"))
+    steps = here.join(there, ["row", "next"]).groupBy("a", "b").agg(F.count("*").alias("n"), F.first("ta").alias("ta"), F.first("tb").alias("tb"))
     links = materialize(steps.where("n = ta and n = tb and a <> b").select("a", "b"), "unary")
     names = connected_components(links).select(F.col("node").alias("anchor"), F.col("component").alias("id"))
     inner = links.select(F.col("b").alias("anchor"), F.lit(True).alias("inner"))
-    named = occurrences.join(names, "anchor", "left").join(inner, "anchor", "left")
-    heads = F.count_if(F.col("inner").isNull()).over(Window.partitionBy("doc_id").orderBy("first"))
-    named = named.select("doc_id", "first", "n", F.coalesce("id", "anchor").alias("id"), heads.alias("span"))
-    return named.groupBy("doc_id", "span").agg(F.first("id").alias("id"), F.min("first").alias("first"), F.sum("n").cast("int").alias("n")).drop("span")
+    # One join with a row for each anchor, which splits where an anchor has many occurrences.
+    chained = materialize(names.join(inner, "anchor", "left"), "chained")
+    named = occurrences.join(chained, "anchor", "left")
+    heads = F.count_if(F.col("inner").isNull()).over(Window.partitionBy("row").orderBy("first"))
+    named = named.select("row", "first", "n", F.coalesce("id", "anchor").alias("id"), heads.alias("span"))
+    return named.groupBy("row", "span").agg(F.first("id").alias("id"), F.min("first").alias("first"), F.sum("n").cast("int").alias("n")).drop("span")
 
 
 def repeated_windows(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """Rows (doc_id, first, n, mask): runs of n windows from word `first` on, of which those whose bit is set in mask (all where it is null)
-    also start in a document with a smaller id.
+    """Rows (row, first, n, mask): runs of n windows from word `first` on, of which those whose bit is set in mask (all where it is null)
+    also start in a document with a smaller id. docs: doc_id, row, text; row stands for an id and a text.
 
     Bundles of windows meet on their anchor; anchors of a single document end there. Equal bundles of an anchor are one edge
     of the graph, known by its least document. An anchor with one edge only is unbranched: consecutive ones
     compact into long paths, each verified by a digest of its words at its source coordinates. At the other anchors
     the windows of each edge are looked up once, where its least document has them, and meet by hash, so
-    that an edge learns the least document of each of its windows, and its other occurrences from it."""
+    that an edge learns the least document of each of its windows, and its other occurrences from it.
+
+    What all occurrences of an anchor share is aggregated in each task first; occurrences only ever meet one row for their anchor in a
+    join, whose larger side Spark splits where an anchor is hot."""
     rows = materialize(_bundle_rows(docs, span), "bundles")
     shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    met = materialize(rows.join(shared, "anchor").distinct(), "met")  # rows that repeat a doc_id count once
-    edges = met.groupBy("anchor", "path").agg(F.min(F.struct("doc_id", "first")).alias("rep"), F.count("*").alias("total"), F.first("n").alias("n"))
+    # Dealt by document, not by anchor, rows that repeat a document go.
+    met = materialize(rows.join(shared, "anchor").repartition("row", "first").dropDuplicates(["row", "first"]), "met")
+    edges = met.groupBy("anchor", "path").agg(F.min(F.struct("doc_id", "row", "first")).alias("rep"), F.count("*").alias("total"), F.first("n").alias("n"))
     edges = materialize(edges, "edges")
-    branching = edges.groupBy("anchor").agg((F.count("*") > 1).alias("branching"), F.sum("total").alias("total"))
+    branching = materialize(edges.groupBy("anchor").agg((F.count("*") > 1).alias("branching"), F.sum("total").alias("total")), "anchors")
     met = materialize(met.join(branching, "anchor"), "kinds")
     paths = compacted_paths(met.where("not branching"))
-    reps = edges.join(branching.where("branching").select("anchor"), "anchor").select(F.col("rep.doc_id").alias("doc_id"), F.struct(F.lit(1).alias("kind"), "anchor", F.col("path").alias("id"), F.col("rep.first").alias("first"), "n").alias("w"))
-    wanted = paths.select("doc_id", F.struct(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("anchor"), "id", "first", "n").alias("w")).union(reps)
-    wanted = materialize(wanted.groupBy("doc_id").agg(F.collect_list("w").alias("at")), "wanted")
-    there = maybe_in(docs, "doc_id", wanted).where("maybe_").drop("maybe_")
+    reps = edges.join(branching.where("branching").select("anchor"), "anchor").select(F.col("rep.row").alias("row"), F.struct(F.lit(1).alias("kind"), "anchor", F.col("path").alias("id"), F.col("rep.first").alias("first"), "n").alias("w"))
+    wanted = paths.select("row", F.struct(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("anchor"), "id", "first", "n").alias("w")).union(reps)
+    wanted = materialize(wanted.groupBy("row").agg(F.collect_list("w").alias("at")), "wanted")
+    there = maybe_in(docs, "row", wanted).where("maybe_").drop("maybe_")
     found = materialize(_looked_up(there, wanted, span), "looked")
     spans = found.where("kind = 0")
-    least = spans.groupBy("id", "key").agg(F.min("doc_id").alias("lo"), F.count("*").alias("many")).where("many > 1")
-    whole = spans.join(least, ["id", "key"]).where("doc_id > lo").select("doc_id", "first", "n", F.lit(None).cast("long").alias("mask"))
+    least = spans.groupBy("id", "key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    whole = spans.join(least, ["id", "key"]).where("doc_id > lo").select("row", "first", "n", F.lit(None).cast("long").alias("mask"))
     windows = found.where("kind = 1").select("doc_id", "anchor", F.col("id").alias("path"), "nth", "key")
     lows = windows.groupBy("anchor", "key").agg(F.min("doc_id").alias("lo"))
-    known = windows.join(lows, ["anchor", "key"]).groupBy("anchor", "path").agg(F.collect_list(F.struct("nth", "lo")).alias("los"))
+    known = windows.join(lows, ["anchor", "key"]).groupBy("anchor", "path", "nth").agg(F.min("lo").alias("lo"))
+    known = known.groupBy("anchor", "path").agg(F.collect_list(F.struct("nth", "lo")).alias("los"))
     each = met.where("branching").join(known, ["anchor", "path"])
     bits = F.aggregate(F.filter("los", lambda x: x["lo"] < F.col("doc_id")), F.lit(0).cast("long"), lambda acc, x: acc + F.pow(F.lit(2.0), x["nth"]).cast("long"))
-    return whole.union(each.select("doc_id", "first", "n", bits.alias("mask")).where("mask > 0"))
+    return whole.union(each.select("row", "first", "n", bits.alias("mask")).where("mask > 0")).distinct()
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
@@ -161,14 +169,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     consecutive words that also starts in a document with a smaller doc_id; kept words are joined by one space.
 
     Windows are judged on the input. Null and empty texts have no words; a text shorter than a window loses none;
-    rows with null ids are returned whole; rows that repeat a doc_id are one document and must repeat its text;
-    an empty table gives no rows; other columns are ignored. A passage that many documents share
+    rows with null ids are returned whole; rows that repeat a doc_id and its text all lose the same; a doc_id with several texts
+    is several documents, none of which has the smaller id, and each row loses words of its own text; an empty table gives no rows; other columns are ignored. A passage that many documents share
     meets by grouped minima and joins on its hash, never as pairs. Documents that surely lose nothing are not shuffled."""
     if span > 126:
         raise ValueError("a bundle's windows are a mask of 63 bits")
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    slim = slim.select("doc_id", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"), "text")
     gone = repeated_windows(slim.where("doc_id is not null"), span)
-    cuts = materialize(gone.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", F.coalesce("mask", F.lit(-1)).alias("mask"))).alias("cuts")), "cuts")
+    cuts = materialize(gone.groupBy("row").agg(F.collect_list(F.struct("first", "n", F.coalesce("mask", F.lit(-1)).alias("mask"))).alias("cuts")), "cuts")
     no_cuts = F.array().cast("array<struct<first:int,n:int,mask:bigint>>")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -194,7 +203,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             kept = pa.array(out[2], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), kept], ["doc_id", "n_words", "n_removed", "kept"])
 
-    marked = maybe_in(slim, "doc_id", cuts)
-    cut = marked.where("maybe_").join(cuts, "doc_id", "left").select("doc_id", "text", F.coalesce("cuts", no_cuts).alias("cuts"))
+    marked = maybe_in(slim.withColumn("row", F.when(F.col("doc_id").isNotNull(), F.col("row"))), "row", cuts)
+    cut = marked.where("maybe_").join(cuts, "row", "left").select("doc_id", "text", F.coalesce("cuts", no_cuts).alias("cuts"))
     rest = marked.where("not maybe_").select("doc_id", "text", no_cuts.alias("cuts"))
     return map_batches(cut.union(rest), run, "doc_id long, n_words long, n_removed long, kept string")

@@ -254,3 +254,10 @@ def test_classifier_edges(spark):
     rows = quality_classifier.score_quality(docs, labels).collect()
     assert len(rows) == len(EDGES) and all(0 <= r.score <= 1 for r in rows)
     assert quality_classifier.score_quality(frame(spark, []), labels).count() == 0
+
+
+def test_repeats_of_rows_and_ids(spark):
+    a, b = (" ".join(f"{p}{i}" for i in range(80)) for p in "ab")
+    rows = [(1, a), (2, a + " " + b), (2, a + " " + b), (2, b), (3, b + " x"), (None, a)]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(frame(spark, rows)).collect())
+    assert got == [(0, 80, 0), (1, 80, 0), (2, 80, 0), (2, 160, 80), (2, 160, 80), (3, 81, 80)]
