@@ -261,3 +261,17 @@ def test_repeats_of_rows_and_ids(spark):
     rows = [(1, a), (2, a + " " + b), (2, a + " " + b), (2, b), (3, b + " x"), (None, a)]
     got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(frame(spark, rows)).collect())
     assert got == [(0, 80, 0), (1, 80, 0), (2, 80, 0), (2, 160, 80), (2, 160, 80), (3, 81, 80)]
+
+
+@pytest.mark.parametrize("copies", ["null ids", "one id", "one row"])
+def test_sharding_splits_what_agrees(spark, copies):
+    third = F.col("id") % 3 > 0
+    key = F.when(third, F.col("id")).otherwise(F.lit(None if copies == "null ids" else 700).cast("long"))
+    text = F.when(third, F.repeat(F.lit("y"), (F.col("id") % 50).cast("int"))).otherwise(F.concat(F.lit("x" * 40), (F.col("id") if copies != "one row" else F.lit(1)).cast("string")))
+    df = spark.range(6000).select(key.alias("doc_id"), text.alias("text"), F.lit(1).alias("range_"), F.lit(2).alias("tie_"))
+    runs = [sorted(tuple(r) for r in sharding.histogram_sort(df, n_shards=7, range_bytes=2000).select("doc_id", "text", "shard", "slot").na.fill(-1).collect()) for _ in range(2)]
+    assert runs[0] == runs[1] and len(runs[0]) == 6000
+    sizes = [sum(len(t) + 8 for _, t, s, _ in runs[0] if s == k) for k in range(7)]
+    assert max(sizes) - min(sizes) < 0.02 * sum(sizes)
+    for k in range(7):
+        assert sorted(x for _, _, s, x in runs[0] if s == k) == list(range(sum(s == k for _, _, s, _ in runs[0])))
