@@ -7,6 +7,7 @@ from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,20 +16,52 @@ from .common import chunks, map_batches, materialize
 
 CAPACITY = 1024
 END = 2
-#: A plan or offset table is broadcast below this number of rows (about 40 bytes each), else joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: The slots of tasks and lengths are broadcast up to so many bytes of runs (32 each) and keys, else joined by shuffle.
+BROADCAST_BYTES = 64 << 20
 
-_ENCODERS: dict[str, object] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str):
-    """The byte-level BPE vocabulary at `path` (its .tiktoken twin beside the .json), once a worker."""
-    if path not in _ENCODERS:
+class Encoder:
+    """A byte-level BPE vocabulary in two engines with the same ids: tiktoken, and the tokenizers library for texts whose
+    runs of blanks are too long for the backtracking of the first."""
+
+    def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
 
+        self.path, self.slow = path, None
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path.replace(".json", ".tiktoken"), "rb"))}
-        _ENCODERS[path] = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
+        self.fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
+
+    def _slow(self, text: str) -> np.ndarray:
+        from tokenizers import Tokenizer
+
+        self.slow = self.slow or Tokenizer.from_file(self.path)
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text, special tokens in it included."""
+        try:
+            return self.fast.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            return self._slow(text)
+
+    def encode_ordinary(self, text: str) -> list[int]:
+        """The ids of a text that holds no special token."""
+        try:
+            return self.fast.encode_ordinary(text)
+        except ValueError:
+            return self._slow(text).tolist()
+
+    def decode_bytes(self, ids: list[int]) -> bytes:
+        return self.fast.decode_bytes(ids)
+
+
+def encoder(path: str) -> Encoder:
+    """The byte-level BPE vocabulary at `path` (its .tiktoken twin beside the .json), once a worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
@@ -48,13 +81,13 @@ def tokenized_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part, seen = encoder(vocabulary).encode_to_numpy, TaskContext.get().partitionId(), Counter()
+        encode, part, seen = encoder(vocabulary).encode, TaskContext.get().partitionId(), Counter()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in chunks([4 * len(t or "") for t in texts]):
                 out = defaultdict(list)
                 for i in range(a, b):
-                    tokens = (encode(texts[i], allowed_special="all").astype("<u4").tobytes() if texts[i] else b"") + end
+                    tokens = (encode(texts[i]).astype("<u4").tobytes() if texts[i] else b"") + end
                     n = len(tokens) // 4
                     cuts = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
                     for k in range(len(cuts) - 1):
@@ -115,7 +148,7 @@ def best_fit_pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", v
     The pieces are tokenised once and written to the shared folder. Only their histogram, at most `capacity`
     counts, reaches the driver, where best-fit decreasing runs over counts. A piece's rank within its length is
     its number within its task plus the counts of earlier tasks; the plan's slots join on length and rank. No
-    piece is shuffled unless the small sides outgrow BROADCAST_ROWS. Null and empty texts are one END token;
+    piece is shuffled unless the slots outgrow BROADCAST_BYTES. Null and empty texts are one END token;
     repeated rows and null ids are packed like others; an empty table gives no rows; other columns are ignored."""
     spark = docs.sparkSession
     pieces = materialize(tokenized_pieces(docs, doc_id, text, vocabulary, capacity), "pieces")
@@ -126,10 +159,11 @@ def best_fit_pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", v
     bases = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base_"), "n")
     # A task's pieces of one length hold consecutive ranks; cut these runs by the plan's before meeting the pieces.
     overlap = (F.col("first_") < F.col("base_") + F.col("n")) & (F.col("last_") > F.col("base_"))
+    # The plan has a few rows for each different length, of which there are at most `capacity`.
     runs = bases.join(F.broadcast(plan), "length").where(overlap)
     runs = runs.groupBy("length", "part").agg(F.first("base_").alias("base_"), F.array_sort(F.collect_list(F.struct("first_", "last_", "seq_", "offset"))).alias("runs_"))
     runs = materialize(runs, "slots")
-    if runs.count() <= BROADCAST_ROWS:
+    if (runs.agg(F.sum(32 * F.size("runs_") + 48)).first()[0] or 0) <= BROADCAST_BYTES:
         runs = F.broadcast(runs)
     ranked = pieces.join(runs, ["length", "part"]).withColumn("rank_", F.col("base_") + F.col("nth"))
     slot = F.filter("runs_", lambda r: (r["first_"] <= F.col("rank_")) & (F.col("rank_") < r["last_"]))[0]

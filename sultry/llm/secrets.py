@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from math import log2
 
@@ -25,6 +26,7 @@ ALLOWED = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|EXAM
 #: Places where a digit meets a letter, or a lower-case letter an upper-case one: few in words and numbers, many in random strings.
 CHANGE = re.compile(r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])")
 TURN = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_LOG_WINDOW, _LEAST_OF_ALL = log2(WINDOW), min(LEAST.values())
 _C = [0.0] + [c * log2(c) for c in range(1, WINDOW + 2)]
 
 
@@ -65,34 +67,94 @@ def entropy_spans(s: str, least: float, window: int = WINDOW) -> list[tuple[int,
     return out
 
 
+def _kinds(c: str) -> tuple[bool, bool, bool, bool, bool]:
+    """Whether a character is a digit, upper, lower, hexadecimal with small and with capital letters."""
+    return "0" <= c <= "9", "A" <= c <= "Z", "a" <= c <= "z", c in "0123456789abcdef", c in "0123456789ABCDEF"
+
+
+_KINDS = {chr(i): _kinds(chr(i)) for i in range(128)}
+
+
 def random_spans(s: str, whole: str | None = None) -> list[tuple[int, int]]:
-    """Merged windows that are random for their own character class, or for `whole`, that of the candidate. A window without all of
-    hex's or mixed's characters shows only part of a token, so that its span is widened to the letters and digits around it."""
+    """Merged windows that are random for their own character class (that of char_class), or for `whole`, that of the candidate. A window
+    without all of hex's or mixed's characters shows only part of a token, so that its span is widened to the letters and digits around it.
+
+    A step changes the counts of one character that comes and one that goes: of each character for the entropy, of each
+    kind, and of the places where kinds change. Work is in proportion to the length."""
+    out: list[tuple[int, int]] = []
+    counts: dict[str, int] = {}
+    total, n = 0.0, [0, 0, 0, 0, 0]
+    kinds = [_KINDS[c] for c in s]
+    change = [False] + [(p[0] and (q[1] or q[2])) or (q[0] and (p[1] or p[2])) for p, q in zip(kinds, kinds[1:])]
+    turn = [False] + [p[2] and q[1] for p, q in zip(kinds, kinds[1:])]
+    changes = turns = 0
+    for i, c in enumerate(s):
+        k = counts.get(c, 0)
+        counts[c] = k + 1
+        total += _C[k + 1] - _C[k]
+        for x in range(5):
+            n[x] += kinds[i][x]
+        start = i - WINDOW + 1
+        if start > 0:
+            old = s[start - 1]
+            k = counts[old]
+            counts[old] = k - 1
+            total -= _C[k] - _C[k - 1]
+            for x in range(5):
+                n[x] -= kinds[start - 1][x]
+            changes -= change[start]
+            turns -= turn[start]
+        if i:
+            changes += change[i]
+            turns += turn[i]
+        if start < 0 or out and out[-1][0] <= start and i < out[-1][1]:
+            continue
+        bits = _LOG_WINDOW - total / WINDOW
+        if bits < _LEAST_OF_ALL:
+            continue
+        digits, upper, lower, small, capital = n
+        kind, x, y = None, start, i + 1
+        if digits and WINDOW in (small, capital):
+            kind = "hex" if upper or lower else None
+        elif digits and upper and lower:
+            kind = "mixed"
+        elif digits >= 2 and (upper or lower) and changes >= 3:
+            kind = "upper" if upper else "lower"
+        elif not digits and upper and lower and turns >= 4:
+            kind = "letters"
+        if not (whole and bits >= LEAST[whole]):
+            if kind is None or bits < LEAST[kind]:
+                continue
+            if kind in ("lower", "upper", "letters"):
+                while x and s[x - 1].isalnum():
+                    x -= 1
+                while y < len(s) and s[y].isalnum():
+                    y += 1
+        while out and x <= out[-1][1]:
+            x, y = min(x, out[-1][0]), max(y, out[-1][1])
+            out.pop()
+        out.append((x, y))
+    return out
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans as sorted disjoint ones."""
     out: list[tuple[int, int]] = []
-    # Windows below the least threshold of all are out whatever their class.
-    for a, b in entropy_spans(s, min(LEAST.values())):
-        for i in range(a, b - WINDOW + 1):
-            w, x, y = s[i : i + WINDOW], i, i + WINDOW
-            kind = char_class(w)
-            if not (whole and entropy_spans(w, LEAST[whole])):
-                if kind is None or not entropy_spans(w, LEAST[kind]):
-                    continue
-                if kind in ("lower", "upper", "letters"):
-                    while x and s[x - 1].isalnum():
-                        x -= 1
-                    while y < len(s) and s[y].isalnum():
-                        y += 1
-            while out and x <= out[-1][1]:
-                x, y = min(x, out[-1][0]), max(y, out[-1][1])
-                out.pop()
+    for x, y in sorted(spans):
+        if out and x <= out[-1][1]:
+            out[-1] = (out[-1][0], max(y, out[-1][1]))
+        else:
             out.append((x, y))
     return out
 
 
 def outside(start: int, end: int, known: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The parts of [start, end) outside the known spans."""
+    """The parts of [start, end) outside the known spans, which are sorted and disjoint."""
     out = []
-    for x, y in sorted(k for k in known if k[0] < end and start < k[1]):
+    for i in range(bisect_right(known, start, key=lambda k: k[1]), len(known)):
+        x, y = known[i]
+        if x >= end:
+            break
         if start < x:
             out.append((start, x))
         start = max(start, y)
@@ -106,13 +168,15 @@ def find_spans(text: str | None) -> list[dict]:
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    base = [(x, y) for x, _, y in found]
+    base = merged([(x, y) for x, _, y in found])
     for m in CANDIDATE.finditer(text):
         kind = char_class(m[0])
-        whole = kind if kind in ("hex", "mixed") and not ALLOWED.search(m[0]) else None
-        known = base + [(m.start() + a.start(), m.start() + a.end()) for a in ALLOWED.finditer(m[0])]
-        for start, end in outside(m.start(), m.end(), known):
-            found += [(a + start, 3, b + start) for a, b in random_spans(text[start:end], whole)]
+        allowed = merged([(m.start() + a.start(), m.start() + a.end()) for a in ALLOWED.finditer(m[0])])
+        whole = kind if kind in ("hex", "mixed") and not allowed else None
+        for x, y in outside(m.start(), m.end(), base):
+            for start, end in outside(x, y, allowed):
+                if end - start >= WINDOW:
+                    found += [(a + start, 3, b + start) for a, b in random_spans(text[start:end], whole)]
     return [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(found)]
 
 

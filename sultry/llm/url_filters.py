@@ -10,7 +10,8 @@ from .components import connected_components
 
 #: action, host, path. The longest rule that fits decides.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-MAX_RULES = 1000
+#: So many rules are compiled into the plan; more meet the urls in a join.
+COMPILED_RULES = 1000
 
 
 def _after_scheme(url: Column) -> Column:
@@ -29,17 +30,34 @@ def split_url(df: DataFrame, url: str = "url") -> DataFrame:
 
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     """Struct (rule, action) of the longest rule that fits a host and path, or null. A rule fits its host and
-    all subdomains where the path starts with the rule's. The rules travel inside the plan, so their number is
-    bounded by MAX_RULES."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are compiled into the plan")
+    all subdomains where the path starts with the rule's; of equally long ones the last in text order decides. For short lists: the rules travel inside the plan."""
     out = F.lit(None).cast("struct<rule:string,action:string>")
-    for action, h, p in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), r)):
+    for action, h, p in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), r[1] + r[2], r[0])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         out = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(action).alias("action"))).otherwise(out)
     return out
 
 
+def with_rules(split: DataFrame, rules=RULES) -> DataFrame:
+    """Adds fit_, the struct of rule_of, to rows with host and path. rules: a list of (action, host, path), or a table with these columns.
+
+    Long lists are a table: a host's suffixes and its path's prefixes of the lengths that rules have meet the rules in an equi join, once for
+    each different host and path, however many rules a host has."""
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= COMPILED_RULES:
+            return split.withColumn("fit_", rule_of(F.col("host"), F.col("path"), rules))
+        rules = split.sparkSession.createDataFrame(list(rules), "action string, host string, path string")
+    table = rules.select(F.col("host").alias("suffix_"), F.col("path").alias("prefix_"), "action").groupBy("suffix_", "prefix_").agg(F.max("action").alias("action"))
+    # One row: the different lengths of the rules' paths, at most as many as the longest has characters.
+    lengths = table.agg(F.array_sort(F.collect_set(F.length("prefix_"))).alias("lengths_"))
+    labels = F.split("host", r"\.")
+    places = split.select("host", "path").distinct().withColumn("suffix_", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
+    places = places.join(F.broadcast(lengths)).withColumn("n_", F.explode(F.filter("lengths_", lambda n: n <= F.length("path")))).withColumn("prefix_", F.expr("left(path, n_)"))
+    rule = F.concat("suffix_", "prefix_")
+    best = places.join(table, ["suffix_", "prefix_"]).groupBy("host", "path").agg(F.max(F.struct(F.length(rule).alias("n"), rule.alias("rule"), "action")).alias("m"))
+    return split.join(best, ["host", "path"], "left").withColumn("fit_", F.when(F.col("m").isNotNull(), F.struct("m.rule", "m.action"))).drop("m")
+
+
 def canonical_form(url: Column) -> Column:
     """The address a site serves a page's variants under: no fragment, no query parameters that only track or
     page, no `www.` or `m.`, no trailing slash or `.html`, scheme https."""
@@ -88,20 +106,21 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 
 def filter_urls(urls: DataFrame, links: DataFrame, url: str = "url", rules=RULES, default: str = "allow") -> DataFrame:
-    """Adds host, path, rule and verdict to every row of urls.
+    """Adds host, path, rule and verdict to every row of urls. rules: a list of (action, host, path), or a table with these columns.
 
     A url that a rule fits gets the longest rule's action. Any other url takes the decision of its redirect
     equivalence class, the connected component of `links` (a, b): if some address of the class is blocked by
     a rule and none is explicitly allowed, it is blocked, else allowed; explicit allows take precedence. A url
     outside all links gets `default`. Null urls have an empty host and path, no rule and the default verdict.
-    Repeated rows are all judged, extra columns are kept (columns named host, path, rule or verdict are
+    Repeated rows are all judged, extra columns of any name are kept (only columns named host, path, rule or verdict are
     replaced), an empty table stays empty. A hot host or canonical target is only ever grouped by minima and
     flags, never collected."""
     edges = materialize(links.select("a", "b"), "links")
     member = connected_components(edges)
-    judged = split_url(member, "node").withColumn("action_", rule_of(F.col("host"), F.col("path"), rules)["action"])
+    judged = with_rules(split_url(member, "node"), rules).withColumn("action_", F.col("fit_.action"))
     classes = judged.groupBy("component").agg(F.max(F.col("action_") == "block").alias("blocks_"), F.max(F.col("action_") == "allow").alias("allows_"))
     hit = judged.join(classes.where(F.coalesce("blocks_", F.lit(False)) & ~F.coalesce("allows_", F.lit(False))), "component").select(F.col("node").alias("node_"), F.lit("block").alias("passed_"))
-    base = split_url(urls.drop("host", "path", "rule", "verdict"), url).withColumn("fit_", rule_of(F.col("host"), F.col("path"), rules))
-    out = base.join(hit, F.col(url) == F.col("node_"), "left")
-    return out.withColumn("rule", F.col("fit_.rule")).withColumn("verdict", F.coalesce(F.col("fit_.action"), F.col("passed_"), F.lit(default))).drop("fit_", "node_", "passed_")
+    rows = urls.drop("host", "path", "rule", "verdict").select(F.struct("*").alias("row_"))
+    base = with_rules(split_url(rows.withColumn("own_", F.col(f"row_.{url}")), "own_"), rules)
+    out = base.join(hit, F.col("own_") == F.col("node_"), "left")
+    return out.select("row_.*", "host", "path", F.col("fit_.rule").alias("rule"), F.coalesce(F.col("fit_.action"), F.col("passed_"), F.lit(default)).alias("verdict"))
