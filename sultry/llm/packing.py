@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -19,6 +20,9 @@ END = 2
 #: The slots of tasks and lengths are broadcast up to so many bytes of runs (32 each) and keys, else joined by shuffle.
 BROADCAST_BYTES = 64 << 20
 
+#: A run of blanks from which on the fast tokenizer may run out of stack.
+LONG_BLANK = re.compile(r"\s{50000}")
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -42,17 +46,15 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text, special tokens in it included."""
-        try:
-            return self.fast.encode_to_numpy(text, allowed_special="all")
-        except ValueError:
+        if len(text) >= 50_000 and LONG_BLANK.search(text):
             return self._slow(text)
+        return self.fast.encode_to_numpy(text, allowed_special="all")
 
     def encode_ordinary(self, text: str) -> list[int]:
         """The ids of a text that holds no special token."""
-        try:
-            return self.fast.encode_ordinary(text)
-        except ValueError:
+        if len(text) >= 50_000 and LONG_BLANK.search(text):
             return self._slow(text).tolist()
+        return self.fast.encode_ordinary(text)
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return self.fast.decode_bytes(ids)

@@ -108,3 +108,89 @@ def quality(text):
 
 def crc(text):
     return zlib.crc32((text or "").encode())
+
+
+def components(edges):
+    """{node: class} of undirected edges."""
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    return {x: find(x) for x in parent}
+
+
+def verdicts(urls, edges, rules):
+    """{url: verdict}: the longest rule's, else block where the class has a blocked address and no allowed one."""
+    own = lambda u: rule(*url(u), rules)[1]
+    comp = components(edges)
+    said = defaultdict(set)
+    for node, c in comp.items():
+        said[c].add(own(node))
+    return {u: own(u) or ("block" if u in comp and "block" in said[comp[u]] and "allow" not in said[comp[u]] else "allow") for u in urls}
+
+
+def entropy(text):
+    """Places covered by entropy spans, each window judged from scratch."""
+    from math import log2
+
+    from sultry.llm import secrets as s
+
+    taken = {p for a, _, b in base_secrets(text) for p in range(a, b)}
+    out = set()
+    bits = lambda w: -sum(c / len(w) * log2(c / len(w)) for c in Counter(w).values())
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text or ""):
+        allowed = {m.start() + p for a in s.ALLOWED.finditer(m[0]) for p in range(a.start(), a.end())}
+        kind = s.char_class(m[0])
+        whole = kind if kind in ("hex", "mixed") and not allowed else None
+        free = [p for p in range(m.start(), m.end()) if p not in taken and p not in allowed]
+        runs, run = [], []
+        for p in free:
+            if run and p != run[-1] + 1:
+                runs.append(run)
+                run = []
+            run.append(p)
+        for run in [*runs, run]:
+            for i in range(len(run) - 19):
+                w = "".join(text[p] for p in run[i : i + 20])
+                own = s.char_class(w)
+                if whole and bits(w) >= s.LEAST[whole] - 1e-9:
+                    out.update(run[i : i + 20])
+                elif own and bits(w) >= s.LEAST[own] - 1e-9:
+                    a, b = i, i + 20
+                    if own in ("lower", "upper", "letters"):
+                        while a and text[run[a - 1]].isalnum():
+                            a -= 1
+                        while b < len(run) and text[run[b]].isalnum():
+                            b += 1
+                    out.update(run[a:b])
+    return out
+
+
+BOILER = re.compile(r"\b(?:all rights reserved|cookie policy|accept (?:all )?cookies|privacy policy|terms of (?:use|service)|sign in|log in|click here|read more|skip to content|javascript is disabled|share this (?:page|article)|subscribe to our newsletter|previous page|next page)\b", re.I)
+
+
+def line_fails(line):
+    w = words(line)
+    n = len(w)
+    if not n:
+        return False
+    marked = sum(re.search(r"(?:[#*$%&<>]{2}|!!)[.,;:]?$", x) is not None for x in w)
+    bars = sum(x in ("|", ">", ">>", "»", "·", "•") for x in w)
+    different = len(set(w))
+    return marked > 0.3 * n or (n >= 4 and bars > 0.25 * n) or (n >= 4 and line.upper() == line and line.lower() != line) or (n <= 25 and BOILER.search(line) is not None) or (n >= 12 and different < 0.5 * n and different < 40)
+
+
+def kept(text):
+    """(kept, words in failing lines, text without them)"""
+    lines = (text or "").split("\n")
+    lost = sum(len(words(x)) for x in lines if line_fails(x))
+    clean = "\n".join(x for x in lines if not line_fails(x)) if lost else text
+    return not quality(text)[-1] and lost <= 0.3 * len(words(text)), lost, clean

@@ -30,8 +30,8 @@ def test_components(spark):
 def test_url_propagation(spark):
     urls = spark.createDataFrame([(1, "http://a.net/x", "h"), (2, "http://b.net/y", "h"), (3, "http://c.com/de/1", "h"), (4, "http://d.net/z", "h"), (5, None, "h"), (6, "none", "h"), (7, "http://e.net/q", "h"), (7, "http://e.net/q", "h")], "page_id long, url string, host string")
     links = spark.createDataFrame([("http://a.net/x", "http://b.net/y"), ("http://b.net/y", "http://c.com/de/1"), ("http://e.net/q", "http://f.com/de/2"), ("http://e.net/q", "http://g.org/")], "a string, b string")
-    got = sorted((r.page_id, r.verdict, r.rule) for r in url_filters.filter_urls(urls, links).collect() if True)
-    assert got == [(1, "block", None), (2, "block", None), (3, "block", "com/de/"), (4, "allow", None), (5, "allow", None), (6, "allow", None), (7, "allow", None), (7, "allow", None)] or dict((a, b) for a, b, _ in got) == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow"}
+    want = [(1, "block", None), (2, "block", None), (3, "block", "com/de/"), (4, "allow", None), (5, "allow", None), (6, "allow", None), (7, "allow", None), (7, "allow", None)]
+    assert sorted(tuple(r) for r in url_filters.filter_urls(urls, links).select("page_id", "verdict", "rule").collect()) == want
     assert url_filters.filter_urls(urls.limit(0), links).count() == 0
 
 
@@ -140,7 +140,7 @@ def test_special_tokens_as_the_tokenizer_reads_them():
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
     for s in ["a <|endoftext|> b", "éè  x\n\n y", "don't  stop", "\x1c\x85\xa0z", "12345 日本語 🙂"]:
-        assert list(packing.encoder(path).encode_to_numpy(s, allowed_special="all")) == t.encode(s, add_special_tokens=False).ids
+        assert list(packing.encoder(path).encode(s)) == t.encode(s, add_special_tokens=False).ids
 
 
 ITEM = "A farmer in the north has 12 red apples and gives 5 km of rope to Tom before noon so how many are left for the market today."
@@ -275,3 +275,94 @@ def test_sharding_splits_what_agrees(spark, copies):
     assert max(sizes) - min(sizes) < 0.02 * sum(sizes)
     for k in range(7):
         assert sorted(x for _, _, s, x in runs[0] if s == k) == list(range(sum(s == k for _, _, s, _ in runs[0])))
+
+
+def test_verdicts_over_planted_links(spark):
+    r = random.Random(11)
+    hosts = ["a.net", "b.net", "x.org", "c.com", "example.org", "www.example.org", "d.io"]
+    urls = [f"https://{r.choice(hosts)}/{r.choice(['de/', 'fr/', 'es/', 'en/1', 'en/2', 'p/'])}{i}" for i in range(300)]
+    edges, rows = [], []
+    for i, u in enumerate(urls):
+        target = r.choice(urls) if r.random() < 0.6 else None
+        how = r.choice(['<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'])
+        rows.append((i, u, "<head>" + how.format(target) + "</head>" if target else "<p>none</p>", "x", "y"))
+        edges += [(u, target)] if target and target != u else []
+    edges += [(urls[0], urls[1]), (urls[1], urls[2])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, fit_ string, node_ string")
+    links = url_filters.page_links(pages).unionByName(spark.createDataFrame(edges[-2:], "a string, b string"))
+    want = brute.verdicts(set(urls), edges, url_filters.RULES)
+    long = [*url_filters.RULES, *[("block", f"h{i}.net", f"/{'z' * (i % 7)}") for i in range(1500)]]
+    for rules in (url_filters.RULES, long, spark.createDataFrame(long, "action string, host string, path string")):
+        out = url_filters.filter_urls(pages, links, rules=rules)
+        assert out.columns == ["page_id", "url", "html", "fit_", "node_", "host", "path", "rule", "verdict"]
+        got = {x.url: (x.verdict, x.rule) for x in out.collect()}
+        assert got == {u: (want[u], brute.rule(*brute.url(u), url_filters.RULES)[0]) for u in urls}
+    assert {x.fit_ for x in out.collect()} == {"x"}
+
+
+def test_entropy_equals_windows_from_scratch():
+    r = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for _ in range(600):
+        chars = r.choice(["abcdef0123456789", letters + letters.upper() + "0123456789+/_=-", letters + "0123456789", letters + letters.upper(), "aB3-_/"])
+        key = "".join(r.choice(chars) for _ in range(r.randrange(15, 80)))
+        text = r.choice(["", "see ", "AKIA" + "X" * 16 + "/", "token=abcdefghij ", "/example/"]) + key + r.choice(["", " there", "example" + key])
+        spans = [s for s in secrets.find_spans(text) if s["kind"] == "entropy"]
+        assert {p for s in spans for p in range(s["start"], s["end"])} == brute.entropy(text), text
+
+
+def test_recall_of_reparameterised_items(spark):
+    r = random.Random(13)
+    vocab = [f"{a}{b}" for a in ("ba", "ke", "lo", "mi", "tu", "sa", "re") for b in ("ron", "den", "mar", "tis", "pol", "van", "gor", "nes")]
+    names, units = ["Tom", "Anna", "Peter", "Lucy", "Oskar", "Mary"], ["km", "kg", "miles", "hours"]
+    items, docs = [], []
+    for i in range(60):
+        words = [r.choice(vocab) for _ in range(r.randrange(24, 50))]
+        spots = r.sample(range(4, len(words) - 2), 4)
+        for p, v in zip(spots, (str(r.randrange(2, 900)), r.choice(names), f"{r.randrange(2, 90)} {r.choice(units)}", str(r.randrange(1000, 9000))), strict=True):
+            words[p] = v
+        other = list(words)
+        taken = set(words)
+        for p in spots:
+            v = words[p]
+            fresh = next(x for x in (r.choice(names) if v in names else f"{r.randrange(100, 900)} {r.choice(units)}" if " " in v else str(r.randrange(10_000, 99_999)) for _ in range(100)) if x not in taken)
+            other[p] = fresh
+            taken.add(fresh)
+        items.append((i, " ".join(words)))
+        docs += [(2 * i, "before that " + " ".join(words) + " and after"), (2 * i + 1, "before that " + " ".join(other) + " and after")]
+    docs += [(1000 + i, " ".join(r.choice(vocab) for _ in range(60))) for i in range(200)]
+    got = {(x.doc_id, x.item_id) for x in decontamination.find_leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(2 * i, i) for i in range(60)} <= got and sum((2 * i + 1, i) in got for i in range(60)) >= 54
+    assert all(d // 2 == i for d, i in got)
+
+
+VERY_LONG = {1: " " * 1_000_000 + "x", 2: "y" * 1_000_000, 3: " ".join(f"w{i % 5003}" for i in range(1_000_000)), 4: "z1" * 500_000, 5: "\n" * 300_000 + "end"}
+
+
+@pytest.mark.parametrize("name", ["secrets", "packing", "chat", "rules", "repeats", "jaccard", "leaks", "score", "shards"])
+def test_very_long_texts(spark, name):
+    docs = frame(spark, list(VERY_LONG.items())).repartition(5)
+    words = {i: len(t.split()) for i, t in VERY_LONG.items()}
+    if name == "secrets":
+        assert {r.doc_id: r.text for r in secrets.redact(docs).collect()}[3] == VERY_LONG[3]
+    elif name == "packing":
+        got = {}
+        for r in packing.best_fit_pack(docs).collect():
+            got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+        assert got.keys() == VERY_LONG.keys() and got[1] > 1 and got[3] > 1_000_000
+    elif name == "chat":
+        turns = docs.select(F.col("doc_id").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), "text")
+        assert {r.conv_id: r.turns[0]["text"] for r in chat_tree.read_back(*chat_tree.prefix_tree(turns)).collect()} == VERY_LONG
+    elif name == "rules":
+        assert {r.doc_id: r.n_words for r in quality_rules.clean_lines(docs).collect()} == words
+    elif name == "repeats":
+        assert {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(docs).collect()} == {i: (n, 0) for i, n in words.items()}
+    elif name == "jaccard":
+        assert {r.doc_id: r.component_id for r in ngram_jaccard.jaccard_components(docs).collect()} == {i: i for i in VERY_LONG}
+    elif name == "leaks":
+        bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(4990, 5003)))], "item_id long, text string")
+        assert [r.doc_id for r in decontamination.find_leaks(docs, bench).collect()] == [3]
+    elif name == "score":
+        assert all(0 <= r.score <= 1 for r in quality_classifier.score_quality(docs, spark.createDataFrame([(i, i % 2) for i in VERY_LONG], "doc_id long, quality int")).collect())
+    else:
+        assert sorted(r.doc_id for r in sharding.histogram_sort(docs, n_shards=3).collect()) == sorted(VERY_LONG)

@@ -7,8 +7,9 @@ import brute
 import numpy as np
 import pytest
 
+from sultry.llm import quality_classifier
 from sultry.llm import queries as q
-from sultry.llm.url_filters import RULES
+from sultry.llm.url_filters import RULES, page_links
 
 SF = "/root/testdata/sf0.01"
 
@@ -22,11 +23,13 @@ def test_urls(spark):
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").collect()}
     got = q.op1_url_filters(spark, SF).collect()
     assert sorted(r.page_id for r in got) == sorted(pages)
+    edges = [(r.a, r.b) for r in page_links(spark.read.parquet(f"{SF}/pages.parquet")).collect()]
+    want = brute.verdicts({u for u in pages.values() if u}, edges, RULES)
     for r in got:
         host, path = brute.url(pages[r.page_id])
         rule, action = brute.rule(host, path, RULES)
         assert (r.host, r.path, r.rule) == (host, path, rule)
-        assert r.verdict == (action or r.verdict) and r.verdict in ("allow", "block")
+        assert r.verdict == want.get(pages[r.page_id], "allow") and (action is None or r.verdict == action)
 
 
 def test_secrets(spark, docs):
@@ -38,6 +41,8 @@ def test_secrets(spark, docs):
         assert (r.n_assign, r.n_access, r.n_hex) == (kinds[0], kinds[1], kinds[2])
         assert r.base_sha256 == brute.sha(brute.spans(found))
         assert brute.spans(found) == ",".join(s for s in r.spans.split(",") if not s.startswith("entropy"))
+        random = [s.split(":") for s in r.spans.split(",") if s.startswith("entropy")]
+        assert {p for _, a, b in random for p in range(int(a), int(b))} == brute.entropy(docs[r.doc_id])
 
 
 def test_shards(spark, docs):
@@ -129,12 +134,35 @@ def test_quality_rules(spark, docs):
     assert len(rows) == len(docs)
     for r in rows:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute.quality(docs[r.doc_id]), r.doc_id
-        assert not (r.base_failed and r.kept)
+        assert (r.kept, r.n_lost_words) == brute.kept(docs[r.doc_id])[:2], r.doc_id
     good = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()}
     clean = [r for r in rows if r.doc_id in good and not r.base_failed]
     assert sum(r.kept for r in clean) >= 0.99 * len(clean)
 
 
+def test_scores_equal_a_plain_discriminant(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    stats = {r.doc_id: np.array(r.x) for r in quality_classifier.statistics(docs).collect()}
+    known = [(x, labels[i]) for i, x in stats.items() if i in labels and zlib.crc32(str(i).encode()) % 5]
+    x, y = np.array([a for a, _ in known]), np.array([b for _, b in known])
+    center, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale < 1e-9] = 1
+    z = (x - center) / scale
+    each = [np.cov(z[y == k].T, bias=True) for k in (0, 1)]
+    pooled = sum(c * (y == k).mean() for k, c in enumerate(each))
+
+    def density(v, k):
+        c = 0.9 * each[k] + 0.1 * pooled
+        c = 0.95 * c + 0.05 * np.trace(c) / len(c) * np.eye(len(c))
+        d = v - z[y == k].mean(axis=0)
+        return np.log((y == k).mean()) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * d @ np.linalg.solve(c, d)
+
+    for r in q.op10_quality_classifier(spark, SF).collect():
+        v = (stats[r.doc_id] - center) / scale
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(density(v, 1) - density(v, 0), -30, 30)))) < 1e-6
+
+
 def test_classifier(spark, docs):
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
     rows = q.op10_quality_classifier(spark, "/root/testdata/sf0.1").collect()
