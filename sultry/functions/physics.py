@@ -1,7 +1,7 @@
 """Moist-air temperature physics as column functions.
 
 Saturation pressures and input handling are native expressions. Only the root search of the wet bulb is a pandas
-UDF over Arrow batches: a fixed number of bisection steps on whole numpy vectors."""
+UDF over Arrow batches: bracketed inverse quadratic steps on whole numpy vectors."""
 
 from __future__ import annotations
 
@@ -28,7 +28,6 @@ LIQUID_POWER = (CPV - CVL) / RGASV
 LIQUID_RATE = (E0V - (CVV - CVL) * TRIPLE_K) / RGASV
 ICE_POWER = (CPV - CVS) / RGASV
 ICE_RATE = (E0V + E0S - (CVV - CVS) * TRIPLE_K) / RGASV
-STEPS = 60
 TOP_K = 700.0
 
 
@@ -53,20 +52,42 @@ def _np_esat(t: np.ndarray) -> np.ndarray:
     return np.where(t > 0, e, 0.0)
 
 
-def _bisect(f, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Where f, increasing, crosses zero in [low, high]."""
-    low, high = low.copy(), high.copy()
-    for _ in range(STEPS):
-        mid = (low + high) / 2
-        below = f(mid) < 0
-        low, high = np.where(below, mid, low), np.where(below, high, mid)
-    return (low + high) / 2
+def _root(f, low: np.ndarray, high: np.ndarray, close: float = 1e-10, most: int = 80) -> np.ndarray:
+    """Root of f between low and high, where its signs differ, by Chandrupatla's method: an inverse quadratic step where the last three points
+    allow it, else a bisection, so that the bracket always shrinks; elements that have settled stay. Where the signs agree the result means nothing."""
+    new, old = high.copy(), low.copy()  # the last point, and the one across the root from it
+    f_new, f_old = f(new), f(old)
+    part, third, f_third = np.full(len(new), 0.5), old, f_old
+    best = new
+    for _ in range(most):
+        x = new + part * (old - new)
+        fx = f(x)
+        same = np.sign(fx) == np.sign(f_new)
+        third, f_third = np.where(same, new, old), np.where(same, f_new, f_old)
+        old, f_old = np.where(same, old, new), np.where(same, f_old, f_new)
+        new, f_new = x, fx
+        best = np.where(np.abs(f_new) < np.abs(f_old), new, old)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            least = close / np.abs(old - new)
+            if not ((least <= 0.5) & (f_new != 0)).any():
+                break
+            xi, phi = (new - old) / (third - old), (f_new - f_old) / (f_third - f_old)
+            step = f_new / (f_old - f_new) * f_third / (f_old - f_third) + (third - new) / (old - new) * f_new / (f_third - f_new) * f_old / (f_third - f_old)
+            part = np.where((phi**2 < xi) & ((1 - phi) ** 2 < 1 - xi), step, 0.5)
+        part = np.clip(np.nan_to_num(part, nan=0.5), np.minimum(least, 0.5), np.maximum(1 - least, 0.5))
+    return best
 
 
 def _np_tsat(e: np.ndarray) -> np.ndarray:
-    t = _bisect(lambda x: _np_esat(x) - e, np.full(len(e), 1.0), np.full(len(e), TOP_K))
+    """Newton's method on the logarithm of the pressure as a function of 1/T, which is nearly a straight line."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        goal = np.log(e / TRIPLE_PA)
+        u = np.clip(1 / TRIPLE_K - goal / LIQUID_RATE, 1 / TOP_K, 1.0)
+        for _ in range(10):
+            miss = -LIQUID_POWER * np.log(u * TRIPLE_K) + LIQUID_RATE * (1 / TRIPLE_K - u) - goal
+            u = np.clip(u + miss / (LIQUID_POWER / u + LIQUID_RATE), 1 / TOP_K, 1.0)
     bad = ~(e >= 0) | (e > _np_esat(np.array([TOP_K]))[0])
-    return np.where(bad, np.nan, np.where(e == 0, 0.0, t))
+    return np.where(bad, np.nan, np.where(e == 0, 0.0, 1 / u))
 
 
 def _tsat(e: pd.Series) -> pd.Series:
@@ -90,8 +111,8 @@ def _wetbulb(p: pd.Series, t: pd.Series, e: pd.Series) -> pd.Series:
     low = _np_tsat(e)
     high = np.minimum(t, _np_tsat(p))
     at_low, at_high = residual(low), residual(high)
-    root = _bisect(residual, low, high)
-    out[ok] = np.where(at_low == 0, low, np.where((at_high == 0) | (at_low * at_high > 0), high, root))
+    root = _root(residual, low, high)
+    out[ok] = np.where(at_low == 0, low, np.where((at_high == 0) | (at_low * at_high > 0) | (low > high), high, root))
     return pd.Series(out)
 
 
@@ -108,7 +129,7 @@ def wetbulb_romps_vapor(p: Column, t: Column, e: Column) -> Column:
     """Thermodynamic wet bulb in K from pressure (Pa), air temperature (K) and vapour pressure (Pa); null where the
     inputs are missing, not finite, not positive or e > p. The residual's root lies between the
     saturation temperature of e and the lesser of t and that of p; the lower bound counts if its residual is 0, the
-    upper if its own is 0 or both have one sign."""
+    upper if its own is 0 or both have one sign, or where the air is oversaturated."""
     return F.pandas_udf(_wetbulb, "double")(p.cast("double"), t.cast("double"), e.cast("double"))
 
 
