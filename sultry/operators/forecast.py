@@ -81,9 +81,9 @@ def rank_by_cell(rows: DataFrame, n: int = 50) -> DataFrame:
 
 
 def hash_sample(population: DataFrame, excluded: DataFrame, key: str, salt: str, n: int) -> DataFrame:
-    """The n rows outside `excluded` with the lowest SHA-256 of salt and key."""
+    """The n rows outside `excluded` with the lowest SHA-256 of salt, a zero byte and key."""
     rows = population.join(excluded.select(key), key, "left_anti")
-    return rows.withColumn("order_key", F.sha2(F.concat(F.lit(salt), F.col(key).cast("string")), 256)).orderBy("order_key").limit(n)
+    return rows.withColumn("order_key", F.sha2(F.concat(F.lit(salt + "\0"), F.col(key).cast("string")), 256)).orderBy("order_key").limit(n)
 
 
 def payload_coverage(hours: DataFrame, first: Column, key: str = "city_id") -> DataFrame:

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, physics
+from .numbering import global_rank
 
 FIELDS = ["temperature_k", "dew_point_k", "pressure_pa"]
-#: Sides of nearest-axis and threshold joins are one axis or one row; beyond this many rows they are not broadcast.
+#: An axis travels with the plan to every task up to so many values; a longer one is an error, as no grid has one.
 AXIS_ROWS = 100_000
 
 
@@ -64,6 +67,13 @@ def hottest_cells(peaks: DataFrame, n: int = 50, value: str = "wet_bulb_k") -> D
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(value), "lat", "lon")))
 
 
+def ranked_cells(peaks: DataFrame, value: str = "wet_bulb_k") -> DataFrame:
+    """All cells with their rank from 1 in the order of hottest_cells, counted across range partitions."""
+    order = F.struct((-F.col(value)).alias("a"), F.col("lat").alias("b"), F.col("lon").alias("c"))
+    ranked = global_rank(peaks.withColumn("order_", order), "order_", "rank")
+    return ranked.withColumn("rank", (F.col("rank") + 1).cast("int")).drop("order_")
+
+
 def land_cells(peaks: DataFrame, mask: DataFrame, least: float = 0.5) -> DataFrame:
     return peaks.join(mask.where(F.col("fraction") >= least).select("cell_row", "cell_col"), ["cell_row", "cell_col"])
 
@@ -88,20 +98,43 @@ def dilate_cells(cells: DataFrame, rings: int, n_rows: int, n_cols: int) -> Data
     return grown.where(F.col("cell_row").between(0, n_rows - 1)).distinct()
 
 
+def _axis(values: DataFrame, index: str, value: str) -> list[tuple[float, int]]:
+    """The axis as sorted (value, index), the least index of equal values."""
+    rows = values.groupBy(F.col(value).cast("double").alias("v")).agg(F.min(F.col(index).cast("int")).alias("i")).orderBy("v").limit(AXIS_ROWS + 1).collect()
+    if len(rows) > AXIS_ROWS:
+        raise ValueError(f"an axis has more than {AXIS_ROWS} values")
+    return [(r.v, r.i) for r in rows]
+
+
 def nearest_cell(points: DataFrame, lats: DataFrame, lons: DataFrame, key: str) -> DataFrame:
-    """Adds cell_row and cell_col of the nearest row and column axis values, the first of equal ones.
-
-    lats (cell_row, lat) and lons (cell_col, lon) are the two axes of one grid, gathered into one sorted array
-    each and scanned in the row: no pairs are shuffled, and the points need no shuffle."""
-    rows = lats.select(F.struct(F.col("cell_row").cast("int").alias("i"), F.col("lat").alias("v")).alias("x")).agg(F.array_sort(F.collect_set("x")).alias("rows_"))
-    cols = lons.select(F.struct(F.col("cell_col").cast("int").alias("i"), F.col("lon").alias("v")).alias("x")).agg(F.array_sort(F.collect_set("x")).alias("cols_"))
-    both = points.join(F.broadcast(rows)).join(F.broadcast(cols))
-    pick = lambda axis, distance: F.array_min(F.transform(axis, lambda x: F.struct(distance(x["v"]).alias("d"), x["i"].alias("i"))))["i"]
-    return (
-        both.withColumn("cell_row", pick("rows_", lambda v: F.abs(v - F.col("latitude"))))
-        .withColumn("cell_col", pick("cols_", lambda v: geo.wrapped_lon_distance(v, F.col("longitude"))))
-        .drop("rows_", "cols_")
-    )
+    """Adds cell_row and cell_col of the nearest row and column axis values, the first of equal ones; points without a coordinate get null.
+
+    lats (cell_row, lat) and lons (cell_col, lon) are the two axes of one grid, of at most AXIS_ROWS values. Points are searched in the
+    sorted axes in Arrow batches, where they are read: nothing is shuffled, and the work a point is the logarithm of an axis."""
+    rows, cols = _axis(lats, "cell_row", "lat"), _axis(lons, "cell_col", "lon")
+
+    def nearest(axis: list[tuple[float, int]], wraps: bool):
+        at, index = np.array([v for v, _ in axis], float), np.array([i for _, i in axis], np.int64)
+        if wraps:
+            at = (at + 180) % 360 - 180
+            order = np.lexsort([index, at])
+            at, index = at[order], index[order]
+            at, index = np.concatenate([at[-1:] - 360, at, at[:1] + 360]), np.concatenate([index[-1:], index, index[:1]])
+
+        def pick(c: pd.Series) -> pd.Series:
+            x = c.to_numpy(dtype=float, na_value=np.nan)
+            x = (x + 180) % 360 - 180 if wraps else x
+            right = np.clip(np.searchsorted(at, x), 1, len(at) - 1) if len(at) > 1 else np.zeros(len(x), int)
+            left = np.maximum(right - 1, 0)
+            a, b = np.round(np.abs(x - at[left]), 9), np.round(np.abs(at[right] - x), 9)
+            best = np.where((a < b) | (a == b) & (index[left] < index[right]), index[left], index[right])
+            return pd.Series(best).astype("Int64").where(~np.isnan(x), pd.NA)
+
+        return F.pandas_udf(pick, "int")
+
+    if not rows or not cols:
+        return points.withColumn("cell_row", F.lit(None).cast("int")).withColumn("cell_col", F.lit(None).cast("int"))
+    return points.withColumn("cell_row", nearest(rows, False)(F.col("latitude").cast("double"))).withColumn("cell_col", nearest(cols, True)(F.col("longitude").cast("double")))
 
 
 def public_grid(ranked: DataFrame, hours: int = 3) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,30 +46,34 @@ def match_nearest(hours: DataFrame, obs: DataFrame) -> DataFrame:
 
 
 def match_one_to_one(hours: DataFrame, obs: DataFrame) -> DataFrame:
-    """Each report serves one hour: hours in time order take the nearest report that is still free.
-
-    Candidates are found by the distributed join. Choices only depend on each other along a chain of hours that share reports,
-    so each chain, a few rows, is a group of its own."""
-    near = _near(hours.select("station_id", "valid_time").distinct(), obs.select("station_id", "obs_time"))
-    # A conflict only links neighbouring hours through a report exactly between them: chains of these are the groups.
-    shared = F.count("*").over(Window.partitionBy("station_id", "obs_time")) > 1
-    marked = near.withColumn("shared", shared)
-    hourly = marked.groupBy("station_id", "valid_time").agg(F.max("shared").alias("shared"))
-    starts = F.when(~F.col("shared") | ~F.coalesce(F.lag("shared").over(Window.partitionBy("station_id").orderBy("valid_time")), F.lit(False)), 1).otherwise(0)
-    chains = hourly.withColumn("chain", F.sum(starts).over(Window.partitionBy("station_id").orderBy("valid_time"))).drop("shared")
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        used, rows = set(), []
-        for t, part in group.sort_values(["valid_time", "gap_s", "obs_time"]).groupby("valid_time", sort=True):
-            for o in part["obs_time"]:
-                if o not in used:
-                    used.add(o)
-                    rows.append((part["station_id"].iloc[0], t, o))
-                    break
-        return pd.DataFrame(rows, columns=["station_id", "valid_time", "obs_time"])
-
-    joined = marked.join(chains, ["station_id", "valid_time"]).select("station_id", "chain", "valid_time", "obs_time", "gap_s")
-    return joined.groupBy("station_id", "chain").applyInPandas(choose, "station_id long, valid_time timestamp, obs_time timestamp")
+    """Each report serves one hour: hours in time order take the nearest report that is still free, the earlier of equally near ones. Rows
+    (station_id, valid_time, gap_s and the report's fields).
+
+    A report can only be in reach of two hours, so that only the report that the hour before took can be missing: each hour's two nearest
+    reports decide. Hours that depend on the one before form chains, mostly of one hour, and a chain is folded in its row. Reports are told apart by
+    their number among those of one time, so that two reports of one time can serve two hours."""
+    fields = [c for c in obs.columns if c != "station_id"]
+    numbered = obs.withColumn("nth_", F.row_number().over(Window.partitionBy("station_id", "obs_time").orderBy(*[c for c in fields if c != "obs_time"], F.lit(1))))
+    near = _near(hours.select("station_id", "valid_time").distinct(), numbered)
+    place = F.row_number().over(Window.partitionBy("station_id", "valid_time").orderBy("gap_s", "obs_time", "nth_"))
+    two = near.withColumn("place_", place).where("place_ <= 2")
+    report = F.struct("gap_s", "nth_", *fields)
+    hour = two.groupBy("station_id", "valid_time").agg(F.max(F.when(F.col("place_") == 1, report)).alias("one"), F.max(F.when(F.col("place_") == 2, report)).alias("two"))
+    same = lambda a, b: (a["obs_time"] == b["obs_time"]) & (a["nth_"] == b["nth_"])
+    by_time = Window.partitionBy("station_id").orderBy("valid_time")
+    before = F.lag(F.struct("one", "two")).over(by_time)
+    tied = F.coalesce(same(F.col("one"), F.col("before_.one")), F.lit(False)) | F.coalesce(same(F.col("one"), F.col("before_.two")), F.lit(False))
+    chained = hour.withColumn("before_", before).withColumn("starts_", F.when(tied, 0).otherwise(1)).withColumn("chain_", F.sum("starts_").over(by_time))
+    rows = chained.groupBy("station_id", "chain_").agg(F.array_sort(F.collect_list(F.struct("valid_time", "one", "two"))).alias("hours_"))
+    kind = rows.schema["hours_"].dataType.elementType["one"].dataType.simpleString()
+    start = F.struct(F.lit(None).cast(kind).alias("last"), F.array().cast(f"array<struct<valid_time:timestamp,o:{kind}>>").alias("out"))
+
+    def take(acc, h):
+        free = F.when(F.coalesce(same(h["one"], acc["last"]), F.lit(False)), h["two"]).otherwise(h["one"])
+        return F.struct(free.alias("last"), F.array_append(acc["out"], F.struct(h["valid_time"].alias("valid_time"), free.alias("o"))).alias("out"))
+
+    out = rows.select("station_id", F.explode(F.aggregate("hours_", start, take, lambda acc: acc["out"])).alias("h"))
+    return out.where("h.o is not null").select("station_id", "h.valid_time", "h.o.gap_s", *[f"h.o.{c}" for c in fields])
 
 
 def error_rows(pairs: DataFrame, fields: list[str]) -> DataFrame:
@@ -85,14 +88,22 @@ def error_metrics(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(e).alias("bias"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
 
 
-def scorecard(rows: DataFrame) -> DataFrame:
-    """Metrics by model and field, by station too, and by lead bin, in one pass over the errors."""
+def scorecard(rows: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Metrics by model and field, by station too, by lead bin, and by each of a station's groups (station_id, group), in one pass over the errors.
+
+    A row counts once without a group, for the first three, and once for each group."""
     e = F.col("error")
-    sets = [["model", "field"], ["model", "field", "station_id"], ["model", "field", "lead_bin"]]
-    cols = ["model", "field", "station_id", "lead_bin"]
-    return rows.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in cols]).agg(
-        F.count("*").alias("n"), F.avg(e).alias("bias"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse")
+    if groups is None:
+        rows = rows.withColumn("group", F.lit(None).cast("string"))
+    else:
+        of = groups.groupBy("station_id").agg(F.collect_set("group").alias("groups_"))
+        rows = rows.join(of, "station_id", "left").withColumn("group", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce("groups_", F.array().cast("array<string>")))))
+    sets = [["model", "field", "group"], ["model", "field", "group", "station_id"], ["model", "field", "group", "lead_bin"]]
+    cols = ["model", "field", "group", "station_id", "lead_bin"]
+    out = rows.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in cols]).agg(
+        F.count("*").alias("n"), F.avg(e).alias("bias"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.grouping_id().alias("set_")
     )
+    return out.where("group is null or station_id is null and lead_bin is null").drop("set_")
 
 
 def threshold_events(pairs: DataFrame, field: str, thresholds: tuple[float, ...] = (27.0, 30.0, 35.0)) -> DataFrame:
@@ -110,7 +121,7 @@ def pairwise_models(rows: DataFrame, a: str = "ifs", b: str = "gfs") -> DataFram
 
 
 def nearest_station(targets: DataFrame, stations: DataFrame, most_km: float = 100.0) -> DataFrame:
-    """The nearest eligible station (with a wmo_id) within most_km of each target (rank, lat, lon), ties by station id.
+    """The nearest eligible station (with a wmo_id) within most_km of each target (rank, model, lat, lon), ties by station id.
 
     Stations fall into one-degree rows; a target looks into the rows that its radius can reach, so the join is an equi join."""
     reach = int(most_km / 111.0) + 1
@@ -118,14 +129,15 @@ def nearest_station(targets: DataFrame, stations: DataFrame, most_km: float = 10
     asks = targets.select("*", F.explode(F.sequence(F.floor("lat") - reach, F.floor("lat") + reach)).alias("band"))
     km = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude"))
     near = asks.join(own, "band").withColumn("km", km).where(F.col("km") <= most_km)
-    best = near.groupBy("rank", "lat", "lon").agg(F.min_by(F.struct("station_id", "km"), F.struct("km", "station_id")).alias("s"))
-    return best.select("rank", "lat", "lon", "s.station_id", "s.km")
+    best = near.groupBy("rank", "model", "lat", "lon").agg(F.min_by(F.struct("station_id", "km"), F.struct("km", "station_id")).alias("s"))
+    return best.select("rank", "model", "lat", "lon", "s.station_id", "s.km")
 
 
 def new_stations(matched: DataFrame, n: int) -> DataFrame:
-    """Targets up to the one that brings the n-th new station; is_new marks a station's first target. Targets are few (a ranked list)."""
-    first = F.row_number().over(Window.partitionBy("station_id").orderBy("rank")) == 1
-    rows = matched.withColumn("is_new", first)
-    before = F.coalesce(F.sum(F.col("is_new").cast("int")).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("before_", before).where(F.col("before_") < n).drop("before_")
-
+    """Targets (rank, model, station_id) in order of rank and model, up to the one that brings the n-th new station; is_new marks a station's first
+    target. The order is cut at the n-th least of the stations' first targets, so that no task sees the whole list."""
+    order = F.struct("rank", "model")
+    firsts = matched.groupBy("station_id").agg(F.min(order).alias("first_"))
+    last = firsts.orderBy("first_").limit(n).agg(F.max("first_").alias("last_"), F.count("*").alias("found_"))
+    rows = matched.join(firsts, "station_id").join(F.broadcast(last)).where((order <= F.col("last_")) | (F.col("found_") < n))
+    return rows.withColumn("is_new", order == F.col("first_")).drop("first_", "last_", "found_")

@@ -5,13 +5,22 @@ large inputs of the benchmark."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 INIT = "2024-01-01 00:00:00"
 ROWS, COLS = 24, 36
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for files that a query writes and reads back."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; times without a zone are UTC."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -67,7 +76,7 @@ def ga_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def city_hours(spark: SparkSession, sf_dir: str, hours: int = 120) -> DataFrame:
+def city_hours(spark: SparkSession, sf_dir: str, hours: int = 168) -> DataFrame:
     """Hourly forecasts: city_id, hour, valid_time, offset_s, temperature_c, dew_point_c, pressure_pa."""
     key = F.col("c_custkey")
     base = table(spark, sf_dir, "customer").select(key.alias("city_id"), ((key % 25 - 12) * 3600).cast("int").alias("offset_s"), F.explode(F.sequence(F.lit(0), F.lit(hours - 1))).alias("hour"))
@@ -117,7 +126,7 @@ GA = """ga AS (SELECT CASE WHEN event_id % 10 = 0 THEN 'staging.example' WHEN ev
  CASE WHEN event_id % 11 = 0 THEN '(not set)' ELSE concat('/wetbulb-temperature/c', CAST(user_id % 4 AS VARCHAR), '/s/', event_type, '/?q=', CAST(event_id AS VARCHAR)) END AS landing_page,
  event_type AS channel, CAST(ts AS DATE) AS day, 1 + event_id % 6 AS sessions, 1 + event_id % 2 AS users, event_id % 3 AS engaged FROM events)"""
 CITY_HOURS = f"""city_hours AS (SELECT city_id, hour, TIMESTAMP '{INIT}' + to_hours(CAST(hour AS INT)) AS valid_time, offset_s, t AS temperature_c, t - hour % 10 AS dew_point_c, 95000.0::DOUBLE + city_id % 60 * 100 AS pressure_pa
- FROM (SELECT c_custkey AS city_id, CAST((c_custkey % 25 - 12) * 3600 AS INT) AS offset_s, hour, 15 + CAST((c_custkey * 17 + hour * 11) % 300 AS DOUBLE) / 10.0 AS t FROM customer, range(120) h(hour)))"""
+ FROM (SELECT c_custkey AS city_id, CAST((c_custkey % 25 - 12) * 3600 AS INT) AS offset_s, hour, 15 + CAST((c_custkey * 17 + hour * 11) % 300 AS DOUBLE) / 10.0 AS t FROM customer, range(168) h(hour)))"""
 FORECAST = """span AS (SELECT date_trunc('day', min(ts)) AS a, date_trunc('day', max(ts)) AS b FROM events),
 spine AS (SELECT a + to_hours(CAST(h AS INT)) AS valid_time, h AS hour FROM span, range(100000) r(h) WHERE a + to_hours(CAST(h AS INT)) <= b + INTERVAL 23 HOUR),
 fc AS (SELECT model, station_id, valid_time, hour, t AS temperature_c, t - hour % 8 AS dew_point_c, CAST((950 + hour % 60) * 100 AS DOUBLE) AS pressure_pa FROM

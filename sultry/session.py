@@ -21,13 +21,16 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), a new temporary one."""
+    """The folder named by spark.checkpoint.dir; where it is unset on a local master (tests), a new temporary one. On a cluster
+    executors would each write to a disk of their own, so that the setting is needed there."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
     spark.sparkContext.setCheckpointDir(own)
     return own

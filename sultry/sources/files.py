@@ -25,6 +25,7 @@ def admin1_keys(lines: DataFrame) -> DataFrame:
 
 
 def country_codes(spark: SparkSession, path: str) -> DataFrame:
+    """`Name,Code` rows as (country_key, country)."""
     rows = spark.read.csv(path, header=True, schema="Name string, Code string")
     return rows.select(F.lower("Code").alias("country_key"), F.col("Name").alias("country"))
 
@@ -38,19 +39,25 @@ def station_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, path: str) -> DataFrame:
-    """Pipe-separated hourly reports: station, time, three values with quality codes; pressure in Pa."""
-    rows = spark.read.csv(path, header=True, sep="|")
-    number = lambda c: F.col(c).try_cast("double")
+    """Pipe-separated hourly reports: station, time, three values, each with its quality code; pressure becomes Pa. A value that cannot be read, is
+    outside its physical range or has a refused code (not blank, 1 or 5) is null."""
+    rows = spark.read.csv(path, header=True, sep="|", quote="")
+
+    def field(name: str, low: float, high: float, factor: int = 1) -> F.Column:
+        value = F.col(name).try_cast("double") * factor
+        accepted = F.trim(F.coalesce(F.col(f"{name}_Quality_Code"), F.lit(""))).isin("", "1", "5")
+        return F.when(accepted & value.between(low, high), value)
+
     return rows.select(
-        F.col("STATION").alias("station_id"), F.to_timestamp("DATE").alias("obs_time"), number("temperature").alias("temperature_c"), number("dew_point_temperature").alias("dew_point_c"),
-        (number("station_level_pressure") * 100).alias("pressure_pa"), F.col("temperature_Quality_Code").alias("quality_code"),
+        F.col("STATION").alias("station_id"), F.to_timestamp("DATE").alias("obs_time"), field("temperature", -100, 70).alias("temperature_c"), field("dew_point_temperature", -110, 70).alias("dew_point_c"),
+        field("station_level_pressure", 45000, 110000, 100).alias("pressure_pa"),
     )
 
 
 def hourly_payloads(spark: SparkSession, path: str) -> DataFrame:
     """Provider documents, one JSON array or object a file."""
     hourly = "struct<time:array<string>,temperature_2m:array<double>,dew_point_2m:array<double>,surface_pressure:array<double>>"
-    return spark.read.json(path, multiLine=True, schema=f"path string, hourly {hourly}, hourly_units struct<temperature_2m:string>, utc_offset_seconds int")
+    return spark.read.json(path, multiLine=True, schema=f"path long, hourly {hourly}, hourly_units struct<temperature_2m:string>, utc_offset_seconds int")
 
 
 MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split()
@@ -73,13 +80,14 @@ def percent(c: F.Column) -> F.Column:
 
 
 def gsc_export(spark: SparkSession, path: str) -> DataFrame:
+    """A search console table, its click rate as a number."""
     rows = spark.read.csv(path, header=True)
     return rows.withColumn("CTR", percent(F.col("CTR")))
 
 
 def ga_export(spark: SparkSession, path: str) -> DataFrame:
     """Rows with a date; comment lines and the grand total go."""
-    return spark.read.csv(path, header=True, comment="#").where(F.col("Date").isNotNull() & F.col("Date").rlike(r"^\d{8}$"))
+    return spark.read.csv(path, header=True, comment="#").where(F.col("Date").rlike(r"^\d{8}$"))
 
 
 def envelopes(lines: DataFrame) -> DataFrame:
