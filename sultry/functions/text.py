@@ -35,12 +35,65 @@ def route_path(country: Column, state: Column, city: Column) -> Column:
     return F.concat(F.lit("/wetbulb-temperature/"), F.concat_ws("/", country, state, city), F.lit("/"))
 
 
-def normalize_country(name: Column, renames: dict[str, str]) -> Column:
-    """A renamed country, else its name without a leading The and what follows a comma or bracket."""
-    out = F.trim(F.regexp_replace(F.regexp_replace(name, r"^(?i)the\s+", ""), r"\s*[,(].*$", ""))
-    for a, b in renames.items():
-        out = F.when(name == a, b).otherwise(out)
-    return out
+# Countries that the city pages name otherwise than the source of codes.
+COUNTRIES = {
+    "Macedonia, the Former Yugoslav Republic of": "North Macedonia",
+    "Iran, Islamic Republic of": "Iran",
+    "Korea, Democratic People's Republic of": "North Korea",
+    "Korea, Republic of": "South Korea",
+    "Viet Nam": "Vietnam",
+    "Taiwan, Province of China": "Taiwan",
+    "Holy See (Vatican City State)": "Vatican City",
+    "Russian Federation": "Russia",
+    "Bolivia, Plurinational State of": "Bolivia",
+    "Venezuela, Bolivarian Republic of": "Venezuela",
+    "Congo, the Democratic Republic of the": "DR Congo",
+    "Congo": "Republic of Congo",
+    "Lao People's Democratic Republic": "Laos",
+    "Micronesia, Federated States of": "Micronesia",
+    "Moldova, Republic of": "Moldova",
+    "Palestine, State of": "Palestine",
+    "Saint Vincent and the Grenadines": "St Vincent and Grenadines",
+    "Brunei Darussalam": "Brunei",
+    "Syrian Arab Republic": "Syria",
+    "Tanzania, United Republic of": "Tanzania",
+    "Virgin Islands, British": "British Virgin Islands",
+    "Virgin Islands, U.S.": "US Virgin Islands",
+    "Timor-Leste": "East Timor",
+    "Côte d'Ivoire": "Ivory Coast",
+    "Falkland Islands (Malvinas)": "Falkland Islands",
+    "Saint Kitts and Nevis": "St Kitts and Nevis",
+    "Bosnia and Herzegovina": "Bosnia",
+    "Czech Republic": "Czechia",
+    "Bonaire, Sint Eustatius and Saba": "Caribbean Netherlands",
+    "Cocos (Keeling) Islands": "Cocos Islands",
+    "Eswatini": "Swaziland",
+    "Heard Island and McDonald Islands": "Heard and McDonald Islands",
+    "Saint Helena, Ascension and Tristan da Cunha": "Saint Helena",
+    "Saint Pierre and Miquelon": "St Pierre and Miquelon",
+    "Saint Lucia": "St Lucia",
+    "Saint Martin (French part)": "St Martin",
+    "Saint Barthélemy": "St Barthelemy",
+    "Svalbard and Jan Mayen": "Svalbard",
+    "Turks and Caicos Islands": "Turks and Caicos",
+    "Wallis and Futuna": "Wallis and Futuna Islands",
+    "United States Minor Outlying Islands": "US Minor Outlying Islands",
+    "South Georgia and the South Sandwich Islands": "South Georgia",
+    "Sao Tome and Principe": "Sao Tome",
+    "Réunion": "Reunion",
+    "Western Sahara": "Western Sahara",
+    "Sint Maarten (Dutch part)": "Sint Maarten",
+}
+
+
+def normalize_country(name: Column, renames: dict[str, str] = COUNTRIES) -> Column:
+    """A renamed country; else its name without a leading The, a final `of`, what follows a comma, a closing bracket, and what stands before the
+    last `of` or `and`."""
+    renamed = F.element_at(F.create_map(*[F.lit(x) for pair in renames.items() for x in pair]), name)
+    out = name
+    for pattern in (r"^(?i)the ", r" of$", r",.*$", r" \(.*\)$", r"^.*\s+of\s+", r"^.*\s+and\s+"):
+        out = F.regexp_replace(out, pattern, "")
+    return F.coalesce(renamed, F.trim(out))
 
 
 def url_path(url: Column) -> Column:
@@ -83,6 +136,27 @@ def page_anchors(html: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(html, F.lit(r"""<a\s[^>]*href="([^"]*)\""""), F.lit(1))))
 
 
+#: Open graph fields of a page.
+OG = ["title", "description", "type", "url", "image", "site_name"]
+
+
+def tag_attribute(tag: Column, name: str) -> Column:
+    """An attribute's value, quoted or not; empty where it is missing."""
+    pattern = rf"""(?i)\b{name}=(?:"([^"]*)"|'([^']*)'|([^\s>]+))"""
+    return F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
+
+
+def page_fields(html: Column) -> list[Column]:
+    """description, robots, og_*, canonical and n_json_ld of a page; a missing field is empty. Each is that of the first tag with its name."""
+    metas = F.regexp_extract_all(html, F.lit(r"(?i)<meta\b[^>]*>"), F.lit(0))
+    links = F.regexp_extract_all(html, F.lit(r"(?i)<link\b[^>]*>"), F.lit(0))
+    first = lambda tags, key, name, value: F.coalesce(tag_attribute(F.get(F.filter(tags, lambda t: F.lower(tag_attribute(t, key)) == name), F.lit(0)), value), F.lit(""))
+    named = [first(metas, "name", n, "content").alias(n) for n in ("description", "robots")]
+    graph = [first(metas, "property", f"og:{n}", "content").alias(f"og_{n}") for n in OG]
+    scripts = F.regexp_extract_all(html, F.lit(r"""(?is)<script\b[^>]*type=["']application/ld\+json["'][^>]*>.*?</script>"""), F.lit(0))
+    return [*named, *graph, first(links, "rel", "canonical", "href").alias("canonical"), F.size(scripts).cast("bigint").alias("n_json_ld")]
+
+
 def page_indexable(html: Column) -> Column:
     """Whether no robots meta tag says noindex or none."""
     tags = F.regexp_extract_all(html, F.lit(r"""(?i)<meta[^>]*name="robots"[^>]*content="([^"]*)\""""), F.lit(1))

@@ -143,6 +143,16 @@ def public_grid(ranked: DataFrame, hours: int = 3) -> DataFrame:
     return ranked.select("rank", F.col("lat").alias("latitude"), lon.alias("longitude"), (F.col("pressure_pa") / 100).alias("pressure_hpa"), "peak_time", F.timestamp_add("HOUR", F.lit(hours), F.col("peak_time")).alias("until"))
 
 
+def valid_snapshot(ranked: DataFrame, most: int = 50) -> DataFrame:
+    """The ranked list itself; an error where its ranks are not 1 to its length, at most `most`, a cell stands twice, or a value is missing. The list is
+    short, so that its rows are counted over one window."""
+    whole = Window.partitionBy()
+    n, cell = F.count("*").over(whole), F.count("*").over(Window.partitionBy("cell_row", "cell_col"))
+    ranks = (F.min("rank").over(whole) == 1) & (F.max("rank").over(whole) == n) & (n <= most)
+    good = ranks & (cell == 1) & F.col("wet_bulb_k").isNotNull() & F.col("peak_time").isNotNull()
+    return ranked.withColumn("rank", F.when(good, F.col("rank")).otherwise(F.raise_error(F.lit("not a valid snapshot")).cast("int")))
+
+
 def model_comparison(a: DataFrame, b: DataFrame, n: int = 20) -> DataFrame:
     """One row: how many of the n top coordinates two ranked lists share, and how many each has alone."""
     top = lambda d: d.where(F.col("rank") <= n).select(F.round("lat", 4).alias("lat"), F.round(geo.normalize_lon(F.col("lon")), 4).alias("lon")).distinct()

@@ -91,7 +91,8 @@ def slugify(spark, d):
     return _c(spark, d).select("city_id", text.slugify(F.translate("name", " ", "'")).alias("plain"), text.slugify(F.col("name")).alias("city"), text.slugify(F.col("country")).alias("country"))
 
 
-@R.add("slug_latin_portion")
+# The first of two runs of two Latin tokens each, around non-Latin ones, is the name.
+@R.add("slug_latin_portion", C + f"SELECT city_id, {SLUG.format('name')} AS slug FROM cities")
 def slug_latin_portion(spark, d):
     """The longest Latin run of names that mix scripts, as slugs."""
     mixed = F.concat(F.col("name"), F.lit(" (東京 "), F.col("country"), F.lit(" North) Москва"))
@@ -110,9 +111,17 @@ def route_path(spark, d):
     return with_path(_c(spark, d)).select("city_id", "path")
 
 
-@R.add("normalize_country", C + "SELECT city_id, CASE country WHEN 'NATION_3' THEN 'Third' ELSE trim(regexp_replace(regexp_replace(country, '^(?i)the\\s+', ''), '\\s*[,(].*$', '')) END AS country FROM cities")
+_RAW = [*text.COUNTRIES, "the Gambia", "Republic of Nowhere", "Here (There)", "Sun and Moon"]
+_RAWS = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in _RAW) + "]"
+_CLEANED = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '^(?i)the ', ''), ' of$', ''), ',.*$', ''), ' \\(.*\\)$', ''), '^.*\\s+of\\s+', ''), '^.*\\s+and\\s+', ''))"
+
+
+@R.add("normalize_country", "SELECT c_custkey AS city_id, CASE raw " + " ".join("WHEN '{}' THEN '{}'".format(a.replace("'", "''"), b) for a, b in text.COUNTRIES.items()) + f" ELSE {_CLEANED} END AS country FROM (SELECT c_custkey, {_RAWS}[c_custkey % {len(_RAW)} + 1] AS raw FROM customer)")
 def normalize_country(spark, d):
-    return _c(spark, d).select("city_id", text.normalize_country(F.col("country"), {"NATION_3": "Third"}).alias("country"))
+    """Source names, with and without a fixed rename."""
+    k = F.col("c_custkey")
+    raw = F.element_at(F.array(*[F.lit(x) for x in _RAW]), (k % len(_RAW) + 1).cast("int"))
+    return fx.table(spark, d, "customer").select(k.alias("city_id"), text.normalize_country(raw).alias("country"))
 
 
 URL_PATH = "concat(regexp_replace(regexp_replace(regexp_replace({}, '[?#].*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*', ''), '/+$', ''), '/')"
@@ -140,14 +149,14 @@ def safe_int(spark, d):
     return fx.table(spark, d, E).select("event_id", text.safe_int(s).alias("n"))
 
 
-@R.add("fnv1a_bucket")
+@R.add("fnv1a_bucket", C + f"""SELECT city_id, CAST(list_reduce(list_prepend(2166136261, [ord(c) FOR c IN string_split({SLUG.format("concat(name, ' ', CAST(city_id AS VARCHAR))")}, '')]), lambda h, c: (xor(h, CAST(c AS BIGINT)) * 16777619) & 4294967295) % 16 AS INT) AS bucket FROM cities""")
 def fnv1a_bucket(spark, d):
     return _c(spark, d).select("city_id", text.fnv1a_bucket(text.slugify(F.concat_ws(" ", "name", "city_id")), 16).alias("bucket"))
 
 
-@R.add("sha_order_key", C + "SELECT city_id, sha256(concat('2024-01-01T00:00:00Z', chr(1), name, '/', CAST(city_id AS VARCHAR))) AS order_key FROM cities")
+@R.add("sha_order_key", C + "SELECT city_id, sha256(concat('2024-01-01T00:00:00Z', chr(0), name, '/', CAST(city_id AS VARCHAR))) AS order_key FROM cities")
 def sha_order_key(spark, d):
-    return _c(spark, d).select("city_id", F.sha2(F.concat(F.lit("2024-01-01T00:00:00Z\x01"), "name", F.lit("/"), F.col("city_id").cast("string")), 256).alias("order_key"))
+    return _c(spark, d).select("city_id", F.sha2(F.concat(F.lit("2024-01-01T00:00:00Z\0"), "name", F.lit("/"), F.col("city_id").cast("string")), 256).alias("order_key"))
 
 
 @R.add("local_date", f"WITH {fx.CITY_HOURS} SELECT city_id, hour, CAST(valid_time + to_seconds(offset_s) AS DATE) AS local_day FROM city_hours")
@@ -220,12 +229,13 @@ def monthly_tenths(spark, d):
 
 
 @R.add("expand_climate", f"""WITH v AS (SELECT c_custkey AS city_id, {MONTHS_SQL} AS vs FROM customer)
-SELECT city_id, CAST(unnest([i + 1 FOR i IN range(12) IF vs[CAST(i + 1 AS INT)] = list_max(vs)]) AS INT) AS peak_month FROM v""")
+SELECT city_id, CAST(m AS INT) AS month, CASE WHEN vs[m] >= 0 THEN (vs[m] + 5) // 10 ELSE -((-vs[m] + 5) // 10) END / 10.0 AS value, vs[m] = list_max(vs) AS is_peak FROM v, range(1, 13) r(m)""")
 def expand_climate(spark, d):
-    """Peak months from the bitmask."""
+    """Tenths and the bitmask of peak months back to twelve values."""
     bits = F.aggregate(F.zip_with("months", F.sequence(F.lit(0), F.lit(11)), lambda v, i: F.when(v == F.array_max("months"), F.pow(F.lit(2), i).cast("int")).otherwise(0)), F.lit(0), lambda a, x: a + x)
-    months = F.filter(F.sequence(F.lit(1), F.lit(12)), lambda m: F.pmod(F.floor(F.col("bits") / F.pow(F.lit(2), m - 1)), F.lit(2)) == 1)
-    return monthly(spark, d).select("city_id", bits.alias("bits")).select("city_id", F.explode(months).alias("peak_month"))
+    packed = monthly(spark, d).select("city_id", bits.alias("bits"), F.transform("months", lambda v: F.round(v * 10, 0).cast("int")).alias("tenths"))
+    rows = packed.select("city_id", "bits", F.posexplode("tenths").alias("at", "tenths"))
+    return rows.select("city_id", (F.col("at") + 1).alias("month"), (F.col("tenths") / 10.0).alias("value"), (F.getbit(F.col("bits"), F.col("at")) == 1).alias("is_peak"))
 
 
 @R.add("rank_bucket", "SELECT o_orderkey, CASE WHEN r <= 10 THEN 'top_10' WHEN r <= 25 THEN 'top_25' WHEN r <= 50 THEN 'top_50' ELSE 'other' END AS bucket, CASE WHEN r <= 50 THEN '1A' WHEN r <= 100 THEN '1B' WHEN r <= 200 THEN '1C' END AS tier, CASE WHEN r <= 50 THEN 'top_50|top_100|top_200' WHEN r <= 100 THEN 'top_100|top_200' WHEN r <= 200 THEN 'top_200' ELSE '' END AS tags FROM (SELECT o_orderkey, o_orderkey % 250 + 1 AS r FROM orders)")
@@ -242,10 +252,23 @@ for name in ("tier_of_rank", "cohort_tags"):
     R.queries[name], R.sql[name] = rank_bucket, R.sql["rank_bucket"]
 
 
-@R.add("page_metadata", """SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, len(list_distinct(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1))) AS n_anchors, regexp_extract(html, '(?i)<html[^>]*lang="([^"]*)"', 1) AS lang FROM pages""")
+def _attr(tag, name):
+    return f"""concat(regexp_extract({tag}, '(?i)\\b{name}=(?:"([^"]*)"|''([^'']*)''|([^\\s>]+))', 1), regexp_extract({tag}, '(?i)\\b{name}=(?:"([^"]*)"|''([^'']*)''|([^\\s>]+))', 2), regexp_extract({tag}, '(?i)\\b{name}=(?:"([^"]*)"|''([^'']*)''|([^\\s>]+))', 3))"""
+
+
+def _meta(key, name):
+    return f"""coalesce({_attr(f"[t FOR t IN regexp_extract_all(html, '(?i)<meta\\b[^>]*>') IF lower({_attr('t', key)}) = '{name}'][1]", 'content')}, '')"""
+
+
+_PAGE = ", ".join(f"{_meta('name', n)} AS {n}" for n in ("description", "robots")) + ", " + ", ".join(f"{_meta('property', 'og:' + n)} AS og_{n}" for n in text.OG)
+_CANONICAL = f"""coalesce({_attr(f"[t FOR t IN regexp_extract_all(html, '(?i)<link\\b[^>]*>') IF lower({_attr('t', 'rel')}) = 'canonical'][1]", 'href')}, '')"""
+
+
+@R.add("page_metadata", f"""SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, len(list_distinct(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1))) AS n_anchors, regexp_extract(html, '(?i)<html[^>]*lang="([^"]*)"', 1) AS lang,
+{_PAGE}, {_CANONICAL} AS canonical, len(regexp_extract_all(html, '(?is)<script\\b[^>]*type=["'']application/ld\\+json["''][^>]*>.*?</script>')) AS n_json_ld FROM pages""")
 def page_metadata(spark, d):
     html = F.col("html")
-    return fx.table(spark, d, "pages").select("page_id", text.page_title(html).alias("title"), F.size(text.page_anchors(html)).cast("bigint").alias("n_anchors"), F.regexp_extract(html, r'(?i)<html[^>]*lang="([^"]*)"', 1).alias("lang"))
+    return fx.table(spark, d, "pages").select("page_id", text.page_title(html).alias("title"), F.size(text.page_anchors(html)).cast("bigint").alias("n_anchors"), F.regexp_extract(html, r'(?i)<html[^>]*lang="([^"]*)"', 1).alias("lang"), *text.page_fields(html))
 
 
 @R.add("page_indexable", """SELECT page_id, NOT coalesce(list_bool_or([regexp_matches(lower(x), '\\b(?:noindex|none)\\b') FOR x IN regexp_extract_all(html, '(?i)<meta[^>]*name="robots"[^>]*content="([^"]*)"', 1)]), false) AS indexable FROM pages""")
@@ -253,9 +276,13 @@ def page_indexable(spark, d):
     return fx.table(spark, d, "pages").select("page_id", text.page_indexable(F.col("html")).alias("indexable"))
 
 
-@R.add("location_key")
+_PLAIN = "CASE WHEN floor({0}) = 0 THEN '0' ELSE regexp_replace(CAST(floor({0} * 10) / 10 AS VARCHAR), '\\.0$', '') END"
+
+
+@R.add("location_key", C + f"SELECT city_id, concat({_PLAIN.format('latitude')}, ',', {_PLAIN.format('longitude')}) AS key FROM cities")
 def location_key(spark, d):
-    return _c(spark, d).select("city_id", text.location_key(F.round("latitude", 1), F.round("longitude", 1)).alias("key"))
+    tenth = lambda c: F.when(F.floor(c) == 0, -0.0).otherwise(F.floor(F.col(c) * 10) / 10)
+    return _c(spark, d).select("city_id", text.location_key(tenth("latitude"), tenth("longitude")).alias("key"))
 
 
 @R.add("nearby_label", C + "SELECT city_id, concat_ws(', ', name, CASE WHEN country <> 'NATION_1' OR state <> 'BUILDING' THEN state END, CASE WHEN country <> 'NATION_1' THEN country END) AS label FROM cities")
@@ -345,7 +372,7 @@ def validate_hour_window(spark, d):
     return x.groupBy("city_id").agg(F.count("*").alias("n_hours"), F.count_if(F.col("hour") - F.col("p") != 1).alias("n_gaps"), ((F.min("hour") == 6) & (F.max("hour") == 29)).alias("same_window"))
 
 
-@R.add("transform_current_weather")
+@R.add("transform_current_weather", C + "SELECT city_id, name, latitude AS lat, longitude AS lon, floor((population % 40 + 273.15::DOUBLE - 273.15::DOUBLE) * 100 + 0.5) / 100 AS temperature_c, CAST(population % 100 AS DOUBLE) AS humidity, 1704067200000 AS time_ms FROM cities")
 def transform_current_weather(spark, d):
     """A nested provider document becomes a location and a weather struct, flattened here."""
     doc = F.to_json(F.struct(F.col("name"), F.struct(F.col("latitude").alias("lat"), F.col("longitude").alias("lon")).alias("coord"), F.struct((F.col("population") % 40 + 273.15).alias("temp"), (F.col("population") % 100).alias("humidity")).alias("main"), F.lit(1704067200).alias("dt")))

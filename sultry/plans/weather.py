@@ -239,8 +239,9 @@ def hourly_top(spark, d, rows=fx.ROWS, cols=fx.COLS):
 
 @R.add("pipe_global_grid_top50", TOP_HOURLY)
 def pipe_global_grid_top50(spark, d):
-    """Flagship: hourly interpolation, thermodynamic wet bulb, each cell's peak, the 50 hottest."""
-    return hourly_top(spark, d).select("cell_row", "cell_col", r4("wet_bulb_k", "wet_bulb_k"), "peak_step", "peak_time", "rank")
+    """Flagship: hourly interpolation, thermodynamic wet bulb, each cell's peak, the 50 hottest; an error if the list is not a valid snapshot."""
+    top = hourly_top(spark, d).select("cell_row", "cell_col", r4("wet_bulb_k", "wet_bulb_k"), "peak_step", "peak_time", "rank")
+    return g.valid_snapshot(top)
 
 
 @R.add("project_public_grid", PK + ", top AS (SELECT *, CAST(row_number() OVER (ORDER BY round(wet_bulb_k, 6) DESC, lat, lon) AS INT) AS rank FROM peak QUALIFY rank <= 50) SELECT rank, lat AS latitude, CASE WHEN lon > 180 THEN lon - 360 ELSE lon END AS longitude, pressure_pa / 100 AS pressure_hpa, peak_time, peak_time + INTERVAL 3 HOUR AS until FROM top")

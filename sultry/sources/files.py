@@ -54,10 +54,10 @@ def observations(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def hourly_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Provider documents, one JSON array or object a file."""
+def hourly_payloads(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """Provider documents, one a line, or with whole_files one JSON array or object a file."""
     hourly = "struct<time:array<string>,temperature_2m:array<double>,dew_point_2m:array<double>,surface_pressure:array<double>>"
-    return spark.read.json(path, multiLine=True, schema=f"path long, hourly {hourly}, hourly_units struct<temperature_2m:string>, utc_offset_seconds int")
+    return spark.read.json(path, multiLine=whole_files, schema=f"path long, hourly {hourly}, hourly_units struct<temperature_2m:string>, utc_offset_seconds int")
 
 
 MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split()
