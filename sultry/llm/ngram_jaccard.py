@@ -18,7 +18,8 @@ from .components import connected_components
 FRAGMENTS = 4
 #: Bits of the filter that tells tasks which documents take part in a candidate pair; its size never grows.
 FILTER_BITS = 1 << 23
-#: Bits of the parity sketch of a small set; larger sets have twice as many up to SKETCH_DOUBLINGS times.
+#: Bits of the parity sketch of a small set; larger sets have twice as many up to SKETCH_DOUBLINGS times, and a wide sketch of bits in
+#: proportion to their size besides, which is only read for pairs that pass the first.
 SKETCH_BITS, SKETCH_DOUBLINGS = 384, 3
 #: Sets of one signature are compared in blocks of about so many.
 BLOCK = 2048
@@ -93,11 +94,11 @@ def signatures(s: np.ndarray, least: int, whole: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def parity_sketch(s: np.ndarray) -> bytes:
+def parity_sketch(s: np.ndarray, most: int = SKETCH_DOUBLINGS) -> bytes:
     """For each slot whether an odd number of the set's shingles fall there. A shingle in only one of two sets flips one
     bit, so sets that differ by d shingles have sketches that differ by at most d bits. Sets have about as many slots as shingles;
     the halves of a sketch folded by exclusive or are the sketch with half the slots."""
-    bits = SKETCH_BITS << min(SKETCH_DOUBLINGS, max(0, (len(s) * 5 // (4 * SKETCH_BITS)).bit_length()))
+    bits = SKETCH_BITS << min(most, max(0, (len(s) * 5 // (4 * SKETCH_BITS)).bit_length()))
     slots = (mix(s ^ _SALT) % np.uint64(bits)).astype(np.int64)
     return np.packbits((np.bincount(slots, minlength=bits) & 1).astype(bool)).tobytes()
 
@@ -111,14 +112,20 @@ def folded(sketches: list[bytes], size: int | None = None) -> np.ndarray:
 
 
 def _profile(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (doc_id, n_shingles, cls, sketch) for each document."""
+    """Rows (doc_id, n_shingles, cls, sketch, wide) for each document; wide is null where the sketch has enough bits."""
+
+    def row(s: np.ndarray) -> tuple:
+        if not len(s):
+            return 0, None, None, None
+        sketch, wide = parity_sketch(s), parity_sketch(s, 64)
+        return len(s), set_id(s), sketch, wide if len(wide) > len(sketch) else None
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows = [(len(s), set_id(s), parity_sketch(s)) if len(s) else (0, None, None) for s in shingle_sets(text_bytes(batch.column(1)), n)]
-        columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_shingles", "cls", "sketch"])
+        rows = [row(s) for s in shingle_sets(text_bytes(batch.column(1)), n)]
+        columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_shingles", "cls", "sketch", "wide"])
 
-    return map_batches(docs, run, "doc_id long, n_shingles long, cls long, sketch binary")
+    return map_batches(docs, run, "doc_id long, n_shingles long, cls long, sketch binary, wide binary")
 
 
 def _signature_rows(docs: DataFrame, n: int, least: int, whole: int) -> DataFrame:
@@ -333,15 +340,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = materialize(_profile(slim, n), "profiles")
     keyed = slim.where("doc_id is not null")
-    classes = rows.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    classes = rows.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
     classes = materialize(classes, "classes")
     shared = materialize(_shared(_signature_rows(keyed, n, least, whole).repartition("sig").sortWithinPartitions("sig", "cls")), "shared")
     meets = materialize(shared.groupBy("cls").agg(F.sum("size").alias("meets")), "meets")
     pivots = shared.join(meets, "cls").groupBy("sig").agg(F.max(F.struct("meets", "cls")).alias("m")).select("sig", F.col("m.cls").alias("pivot"))
     pivots = materialize(pivots, "pivots")
     grams = materialize(_fragments(keyed, meets.join(classes, "cls").select("rep"), "rep", n), "fragments")
-    a = classes.select(F.col("cls").alias("ca"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = classes.select(F.col("cls").alias("cb"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    a = classes.select(F.col("cls").alias("ca"), F.col("rep").alias("a"), F.col("n").alias("na"), F.coalesce("wide", "sketch").alias("sa"))
+    b = classes.select(F.col("cls").alias("cb"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.coalesce("wide", "sketch").alias("sb"))
 
     def joined(candidates: DataFrame, labels: DataFrame) -> DataFrame:
         """Labels (cls, rep, comp) after the candidates that link have joined their components."""
@@ -366,7 +373,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     sent = there.where("comp <> main").select("sig", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "cls", "comp", "main")
     rest = _apart(held.union(sent).join(classes.select("cls", "n", "sketch"), "cls"), least, whole)
     tested = first.select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
-    rest = materialize(rest.join(tested, ["ca", "cb"], "left_anti"), "candidates")
+    rest = rest.join(tested, ["ca", "cb"], "left_anti")
+    rest = materialize(_linkable(rest.join(a, "ca").join(b, "cb"), least, whole), "candidates")
     if not rest.isEmpty():
         labels = joined(rest, labels)
     best = labels.select(F.col("cls").alias("cls_"), "comp")
