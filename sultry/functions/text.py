@@ -120,11 +120,15 @@ def safe_path(path: Column) -> Column:
     return path.rlike(r"^/(?:[^/?#\x00-\x1f]+/)*$") & ~path.rlike(r"\.\.|://")
 
 
-def fnv1a_bucket(s: Column, n: int) -> Column:
-    """32-bit FNV-1a hash of an ASCII text, modulo n."""
+def fnv1a(s: Column) -> Column:
+    """32-bit FNV-1a hash of an ASCII text."""
     chars = F.filter(F.split(s, ""), lambda c: c != "")
     step = lambda h, c: ((h.bitwiseXOR(F.ascii(c).cast("long"))) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF))
-    return (F.aggregate(chars, F.lit(2166136261).cast("long"), step) % n).cast("int")
+    return F.aggregate(chars, F.lit(2166136261).cast("long"), step)
+
+
+def fnv1a_bucket(s: Column, n: int) -> Column:
+    return (fnv1a(s) % n).cast("int")
 
 
 def page_title(html: Column) -> Column:

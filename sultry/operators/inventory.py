@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
+from ..session import materialize
 
 CELL_DEG, RINGS, NEIGHBOURS = 0.5, 8, 8
 HUB_KM, HUB_POPULATION, HUBS = 150.0, 20000, 2
@@ -33,26 +35,37 @@ def dedupe_slugs(cities: DataFrame) -> DataFrame:
 def nearest_cities(cities: DataFrame, key: str = "city_id", n: int = NEIGHBOURS, rings: int = RINGS, size: float = CELL_DEG) -> DataFrame:
     """The n nearest other cities within `rings` cells of `size` degrees in each direction, ordered by distance and key.
 
-    Cells block the join. In a first round cities only look at one ring; those with n neighbours nearer than the ring covers
-    are done, so that only the others, in sparse country, open all rings."""
+    Cells block the join. Cities look at one ring of cells, then at twice as many each round; those with n neighbours nearer than the
+    rings cover are done. Only cells with cities are asked, as they are few beside the cells around in sparse country."""
     wide = round(360 / size)
-    place = cities.select(key, "latitude", "longitude", geo.geo_cell(F.col("latitude"), size).alias("r"), geo.wrap_cell(geo.geo_cell(F.col("longitude"), size), size).alias("c"))
+    place = materialize(cities.select(key, "latitude", "longitude", geo.geo_cell(F.col("latitude"), size).alias("r"), geo.wrap_cell(geo.geo_cell(F.col("longitude"), size), size).alias("c")), "places")
     other = place.select(F.col(key).alias("other"), F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2"), "r", "c")
 
     def within(points: DataFrame, reach: int) -> DataFrame:
         side = F.sequence(F.lit(-reach), F.lit(reach))
-        asks = points.select(key, "latitude", "longitude", "r", "c", F.explode(side).alias("dr")).select("*", F.explode(side).alias("dc"))
-        asks = asks.select(key, "latitude", "longitude", (F.col("r") + F.col("dr")).alias("r"), F.pmod(F.col("c") + F.col("dc"), F.lit(wide)).cast("int").alias("c")).distinct()
+        # Cities of one cell ask for the same cells, so that cells are paired first.
+        cells = points.select("r", "c").distinct().select("r", "c", F.explode(side).alias("dr")).select("*", F.explode(side).alias("dc"))
+        cells = cells.select(F.col("r").alias("r0"), F.col("c").alias("c0"), (F.col("r") + F.col("dr")).alias("r"), F.pmod(F.col("c") + F.col("dc"), F.lit(wide)).cast("int").alias("c")).distinct()
+        cells = cells.join(place.select("r", "c").distinct(), ["r", "c"])
+        asks = points.withColumnsRenamed({"r": "r0", "c": "c0"}).join(cells, ["r0", "c0"]).select(key, "latitude", "longitude", "r", "c")
         km = geo.haversine_km(F.col("latitude"), F.col("longitude"), F.col("lat2"), F.col("lon2"))
         near = asks.join(other, ["r", "c"]).where(F.col(key) != F.col("other")).select(key, "latitude", "other", km.alias("km"))
         w = Window.partitionBy(key).orderBy("km", "other")
         return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
-    first = within(place, 1)
-    covered = F.lit(size * 111.19) * F.least(F.lit(1.0), F.cos(F.radians("latitude")))
-    done = first.groupBy(key).agg(F.count("*").alias("n"), F.max("km").alias("far"), (F.first(covered)).alias("covered")).where((F.col("n") == n) & (F.col("far") <= F.col("covered"))).select(key)
-    rest = within(place.join(done, key, "left_anti"), rings)
-    return first.join(done, key).select(key, "other", "km", "rank").unionByName(rest.select(key, "other", "km", "rank"))
+    out, left, reach = None, place, 1
+    while True:
+        found = materialize(within(left, reach), "near")
+        if reach < rings:
+            covered = F.lit(size * 111.19 * reach) * F.least(F.lit(1.0), F.cos(F.radians("latitude")))
+            done = found.groupBy(key).agg(F.count("*").alias("n"), F.max("km").alias("far"), F.first(covered).alias("covered")).where((F.col("n") == n) & (F.col("far") <= F.col("covered"))).select(key)
+            left = left.join(done, key, "left_anti")
+            found = found.join(done, key)
+        found = found.select(key, "other", "km", "rank")
+        out = found if out is None else out.unionByName(found)
+        if reach == rings:
+            return out
+        reach = min(2 * reach, rings)
 
 
 def hubs_nearby(cities: DataFrame, neighbours: DataFrame, key: str = "city_id", n: int = HUBS, most_km: float = HUB_KM) -> DataFrame:
@@ -127,27 +140,54 @@ def sitemap_parts(paths: DataFrame, group: str = "country", most: int = 9999) ->
     return paths.withColumn("part", (F.floor((nth - 1) / most) + 1).cast("int"))
 
 
-def region_buckets(cities: DataFrame, most: int = 96, aim: int = 48) -> DataFrame:
-    """For regions of more than `most` cities the least number of buckets, from ceil(n / aim), for which every FNV bucket holds 1 to `most`."""
-
-    def search(region: pd.DataFrame) -> pd.DataFrame:
-        slugs = region["slug"].tolist()
-        n = len(slugs)
-        buckets = 1
-        if n > most:
-            hashes = []
-            for s in slugs:
-                h = 2166136261
-                for c in s.encode():
-                    h = ((h ^ c) * 16777619) & 0xFFFFFFFF
-                hashes.append(h)
-            buckets = -(-n // aim)
-            while buckets < n:
-                counts = pd.Series(hashes).mod(buckets).value_counts()
-                if len(counts) == buckets and counts.max() <= most:
-                    break
-                buckets += 1
-        return pd.DataFrame([(region["country"].iloc[0], region["state"].iloc[0], n, buckets)], columns=["country", "state", "n", "buckets"])
-
-    rows = cities.select("country", "state", text.slugify(F.concat_ws(" ", "name", "city_id")).alias("slug"))
-    return rows.groupBy("country", "state").applyInPandas(search, "country string, state string, n long, buckets long")
+def region_buckets(cities: DataFrame, most: int = 96, aim: int = 48, tries: int = 8) -> DataFrame:
+    """For regions of more than `most` cities the least number of buckets, from ceil(n / aim), for which every FNV bucket holds 1 to `most`; n
+    buckets where there is none.
+
+    Each round counts the buckets of the next `tries` numbers for the regions that are still open, in one aggregation with partial sums, so that no task
+    holds a region."""
+    whole = F.lit(1 << 32)
+    rows = cities.select("country", "state", text.fnv1a(text.slugify(F.concat_ws(" ", "name", "city_id"))).alias("h"))
+    rows = materialize(rows, "hashes")
+    sizes = rows.groupBy("country", "state").agg(F.count("*").alias("n"))
+    small = sizes.where(F.col("n") <= most).select("country", "state", "n", F.lit(1).cast("long").alias("buckets"))
+    open_ = materialize(sizes.where(F.col("n") > most).withColumn("next", F.ceil(F.col("n") / aim).cast("long")), "regions")
+    found = [small]
+    while not open_.isEmpty():
+        asks = open_.withColumn("b", F.explode(F.sequence(F.col("next"), F.least(F.col("next") + tries - 1, F.greatest(F.col("next"), F.col("n") - 1)))))
+        counts = rows.join(asks.select("country", "state", "b"), ["country", "state"]).groupBy("country", "state", "b", F.pmod(F.pmod("h", whole), "b").alias("bucket")).agg(F.count("*").alias("m"))
+        good = counts.groupBy("country", "state", "b").agg(F.count("*").alias("used"), F.max("m").alias("fullest")).where((F.col("used") == F.col("b")) & (F.col("fullest") <= most))
+        best = good.groupBy("country", "state").agg(F.min("b").alias("best"))
+        state = materialize(open_.join(best, ["country", "state"], "left"), "regions")
+        over = F.col("best").isNull() & (F.col("next") + tries >= F.col("n"))
+        found.append(state.where(F.col("best").isNotNull() | over).select("country", "state", "n", F.coalesce("best", "n").alias("buckets")))
+        open_ = state.where(F.col("best").isNull() & ~over).select("country", "state", "n", (F.col("next") + tries).alias("next"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def search_match(log: DataFrame, index: DataFrame, gram: int = 3) -> DataFrame:
+    """Rows (q, query, city_id) of a query log (q, query) with its first match in an index (city_id, label): the exact label, else the first that
+    contains the query. An empty query is in every label; null ones match nothing.
+
+    Labels and queries meet on a run of `gram` characters (fewer for shorter queries): a query on its rarest in the index, so that a label only
+    meets queries it is likely to contain; `contains` decides."""
+    kinds = log.where("query is not null").select("query").distinct()
+    runs = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, n)))
+    size = F.least(F.length("query"), F.lit(gram))
+    asked = kinds.where("query <> ''").select("query", F.explode(runs(F.col("query"), size)).alias("gram"))
+    held = index.select("city_id", "label", F.explode(F.concat(*[runs(F.col("label"), F.lit(n)) for n in range(1, gram + 1)])).alias("gram"))
+    held = held.join(asked.select("gram").distinct(), "gram", "left_semi")
+    common = held.groupBy("gram").agg(F.count("*").alias("labels"))
+    rarest = asked.join(common, "gram", "left").groupBy("query").agg(F.min_by("gram", F.struct(F.coalesce("labels", F.lit(0)), "gram")).alias("gram"))
+    hits = held.join(rarest, "gram").where(F.contains("label", "query"))
+    best = hits.groupBy("query").agg(F.min(F.struct((F.col("label") != F.col("query")).alias("inexact"), "city_id")).alias("b")).select("query", "b.city_id")
+    first = index.agg(F.min("city_id").alias("city_id")).select(F.lit("").alias("query"), "city_id")
+    return log.join(best.unionByName(first), "query", "left").select("q", "query", "city_id")
+
+
+def fingerprints(lines: DataFrame, key: str, line: str) -> DataFrame:
+    """(key, fingerprint): SHA-256 over the SHA-256 of each of 256 parts of a key's lines, sorted; a line's part is the first two digits of its own
+    SHA-256, so that no row gathers more than a part."""
+    part = F.substring(F.sha2(line, 256), 1, 2)
+    parts = lines.groupBy(key, part.alias("part_")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256).alias("h_"))
+    return parts.groupBy(key).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("part_", "h_"))), ""), 256).alias("fingerprint"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators import inventory as inv
+from ..session import materialize
+from ..sources import files, sinks
 from . import fixtures as fx
 from .columns import MERRA, PATH, SLUG, SUFFIX, haversine_sql, merra, with_path
 from .define import Registry
@@ -24,27 +26,32 @@ def deduped(spark, d):
     return inv.dedupe_slugs(_c(spark, d))
 
 
-@R.add("src_geonames", C + ", g AS (SELECT c_custkey AS geonameid, CASE WHEN c_custkey % 6 = 0 THEN 'A' ELSE 'P' END AS f, (c_custkey * 31 % 400) * 500 AS population FROM customer) SELECT geonameid, population FROM g WHERE f = 'P' AND population >= 1000")
+@R.add("src_geonames", C + ", g AS (SELECT c_custkey AS geonameid, c_name AS name, CASE WHEN c_custkey % 6 = 0 THEN 'A' ELSE 'P' END AS f, (c_custkey * 31 % 400) * 500 AS population FROM customer) SELECT geonameid, concat(name, ' \"x\"') AS name, population FROM g WHERE f = 'P' AND population >= 1000")
 def src_geonames(spark, d):
-    """Populated places of 1000 or more."""
-    from ..sources.files import populated_places
-
+    """A dump of 19 tab-separated columns, with quotes in names, written and read back: populated places of 1000 or more."""
     k = F.col("c_custkey")
-    rows = fx.table(spark, d, "customer").select(k.alias("geonameid"), F.when(k % 6 == 0, "A").otherwise("P").alias("featureClass"), (k * 31 % 400 * 500).alias("population"))
-    return populated_places(rows).select("geonameid", "population")
+    values = {"geonameid": k, "name": F.concat("c_name", F.lit(' "x"')), "latitude": F.lit(1.5), "longitude": F.lit(2.5), "featureClass": F.when(k % 6 == 0, "A").otherwise("P"), "population": k * 31 % 400 * 500}
+    fields = [f.split()[0] for f in files.GEONAMES.split(", ")]
+    line = F.concat_ws("\t", *[values.get(f, F.lit("")).cast("string") for f in fields])
+    path = fx.folder(spark, "geonames")
+    fx.table(spark, d, "customer").select(line.alias("value")).write.text(path)
+    return files.populated_places(files.geonames(spark, path)).select("geonameid", "name", "population")
 
 
 @R.add("src_admin1", "SELECT DISTINCT lower(concat(n_name, '.', c_mktsegment)) AS admin1_key, c_mktsegment AS region FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def src_admin1(spark, d):
-    from ..sources.files import admin1_keys
-
     lines = _c(spark, d).select(F.concat_ws("\t", F.concat_ws(".", "country", "state"), "state").alias("value")).distinct()
-    return admin1_keys(lines)
+    path = fx.folder(spark, "admin1")
+    lines.write.text(path)
+    return files.admin1_keys(spark.read.text(path))
 
 
-@R.add("src_country_codes", "SELECT lower(concat('N', CAST(n_nationkey AS VARCHAR))) AS country_key, n_name AS country FROM nation")
+@R.add("src_country_codes", "SELECT lower(concat('N', CAST(n_nationkey AS VARCHAR))) AS country_key, concat(n_name, ', the') AS country FROM nation")
 def src_country_codes(spark, d):
-    return fx.table(spark, d, "nation").select(F.lower(F.concat(F.lit("N"), F.col("n_nationkey").cast("string"))).alias("country_key"), F.col("n_name").alias("country"))
+    """Names, some with commas, and codes written as CSV and read back."""
+    path = fx.folder(spark, "countries")
+    fx.table(spark, d, "nation").select(F.concat("n_name", F.lit(", the")).alias("Name"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("Code")).write.csv(path, header=True)
+    return files.country_codes(spark, path)
 
 
 @R.add("join_resolve_cities", C + " SELECT city_id, country AS country_name, upper(state) AS region FROM cities WHERE city_id % 9 <> 0 AND country <> 'NATION_5' AND latitude <> 0 AND longitude <> 0")
@@ -108,7 +115,10 @@ facts AS (SELECT routes.path, CASE WHEN claims = 1 THEN ident.geonameid END AS g
 
 
 def facts(spark, d):
-    c = _c(spark, d)
+    return facts_of(_c(spark, d))
+
+
+def facts_of(c):
     k = F.col("city_id")
     path = F.concat(F.lit("r"), k.cast("string")).alias("path")
     ident = c.where("city_id % 8 <> 0").select(path, F.when(k % 10 == 2, k - 1).otherwise(k).alias("geonameid"))
@@ -261,11 +271,10 @@ def agg_country_region(spark, d):
     return _c(spark, d).rollup("country", "state").agg(F.count("*").alias("n"))
 
 
-@R.add("agg_inventory_fingerprint", C + f", {DEDUPED} SELECT country, sha256(string_agg(concat(path, chr(9), printf('%.4f', latitude), chr(9), printf('%.4f', longitude), chr(10)), '' ORDER BY concat(path, chr(9), printf('%.4f', latitude), chr(9), printf('%.4f', longitude), chr(10)))) AS fingerprint FROM ded GROUP BY country")
+@R.add("agg_inventory_fingerprint", C + f", {DEDUPED}, ln AS (SELECT country, concat(path, chr(9), printf('%.4f', latitude), chr(9), printf('%.4f', longitude), chr(10)) AS line FROM ded), pt AS (SELECT country, substr(sha256(line), 1, 2) AS part, sha256(string_agg(line, '' ORDER BY line)) AS h FROM ln GROUP BY 1, 2) SELECT country, sha256(string_agg(concat(part, h), '' ORDER BY part)) AS fingerprint FROM pt GROUP BY 1")
 def agg_inventory_fingerprint(spark, d):
-    """SHA-256 of each country's sorted lines."""
     line = F.concat(F.concat_ws("\t", "path", F.format_string("%.4f", "latitude"), F.format_string("%.4f", "longitude")), F.lit("\n"))
-    return deduped(spark, d).groupBy("country").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256).alias("fingerprint"))
+    return inv.fingerprints(deduped(spark, d).select("country", line.alias("line")), "country", "line")
 
 
 @R.add("set_page_routes", C + f", {DEDUPED} SELECT '/' AS path UNION SELECT '/wetbulb-temperature/' UNION SELECT concat('/wetbulb-temperature/', {SLUG.format('country')}, '/') FROM ded UNION SELECT concat('/wetbulb-temperature/', {SLUG.format('country')}, '/', {SLUG.format('state')}, '/') FROM ded UNION SELECT path FROM ded")
@@ -294,7 +303,12 @@ def win_sitemap_parts(spark, d):
     return inv.sitemap_parts(deduped(spark, d), most=20).groupBy("country", "part").agg(F.count("*").alias("n"), F.min("path").alias("first"))
 
 
-R.queries["sink_sitemaps"], R.sql["sink_sitemaps"] = win_sitemap_parts, R.sql["win_sitemap_parts"]
+@R.add("sink_sitemaps", C + f", {DEDUPED} SELECT concat(country, '-', CAST(part AS VARCHAR)) AS member, count(*) AS n, min(path) AS first FROM (SELECT country, path, CAST((row_number() OVER (PARTITION BY country ORDER BY path) - 1) // 20 + 1 AS INT) AS part FROM ded) GROUP BY 1")
+def sink_sitemaps(spark, d):
+    """Url entries written in one folder for each country and part of 20, and read back."""
+    lines = sinks.sitemaps(inv.sitemap_parts(deduped(spark, d), most=20), "https://www.example.org")
+    path = F.regexp_extract("value", r"^<url><loc>https://www\.example\.org(/[^<]*)</loc></url>$", 1)
+    return lines.groupBy("member").agg(F.count("*").alias("n"), F.min(path).alias("first"))
 
 
 @R.add("agg_sitemap_audit", C + ", p AS (SELECT country, name, lag(name) OVER (PARTITION BY country ORDER BY city_id) AS before FROM cities) SELECT country, count(*) AS n, count(*) - count(DISTINCT name) AS n_repeated, count(*) FILTER (before > name) AS out_of_order FROM p GROUP BY 1")
@@ -303,30 +317,60 @@ def agg_sitemap_audit(spark, d):
     return p.groupBy("country").agg(F.count("*").alias("n"), (F.count("*") - F.countDistinct("name")).alias("n_repeated"), F.count_if(F.col("before") > F.col("name")).alias("out_of_order"))
 
 
-@R.add("win_region_buckets")
+BUCKETS = C + f""", hs AS (SELECT country, state, list_reduce(list_prepend(2166136261, [ord(c) FOR c IN string_split({SLUG.format("concat(name, ' ', CAST(city_id AS VARCHAR))")}, '')]), lambda h, c: (xor(h, CAST(c AS BIGINT)) * 16777619) & 4294967295) AS h FROM cities),
+sz AS (SELECT country, state, count(*) AS n FROM hs GROUP BY 1, 2), tr AS (SELECT country, state, n, unnest(range(CAST(ceil(n / 3.0) AS BIGINT), n)) AS b FROM sz WHERE n > 6),
+ct AS (SELECT country, state, b, h % b AS k, count(*) AS m FROM hs JOIN tr USING (country, state) GROUP BY ALL), ok AS (SELECT country, state, b FROM ct GROUP BY ALL HAVING count(*) = b AND max(m) <= 6)
+SELECT country, state, n, CAST(CASE WHEN n <= 6 THEN 1 ELSE coalesce((SELECT min(b) FROM ok WHERE ok.country = sz.country AND ok.state = sz.state), n) END AS BIGINT) AS buckets FROM sz"""
+
+
+@R.add("win_region_buckets", BUCKETS)
 def win_region_buckets(spark, d):
-    return inv.region_buckets(_c(spark, d))
+    """At most 6 cities a bucket, as the projected regions are small."""
+    return inv.region_buckets(_c(spark, d), most=6, aim=3)
 
 
-@R.add("sink_region_shards", C + f", {CLIMATE} SELECT country, state, count(*) AS n, count(DISTINCT (cell_row, cell_col)) FILTER (tenths IS NOT NULL) AS n_cells FROM cities JOIN cc USING (city_id) GROUP BY 1, 2")
+@R.add("sink_region_shards", C + f", {CLIMATE} SELECT country, state, count(*) AS n, count(DISTINCT (cell_row, cell_col)) FILTER (tenths IS NOT NULL) AS n_cells, CAST(count(DISTINCT (cell_row, cell_col)) FILTER (tenths IS NOT NULL) - 1 AS INT) AS last_local FROM cities JOIN cc USING (city_id) GROUP BY 1, 2")
 def sink_region_shards(spark, d):
-    """Row and cell counts of each region's shard."""
-    cells = F.countDistinct(F.when(F.col("tenths").isNotNull(), F.struct("cell_row", "cell_col")))
-    return _c(spark, d).join(climate(spark, d), "city_id").groupBy("country", "state").agg(F.count("*").alias("n"), cells.alias("n_cells"))
+    """A shard for each region, its climate cells numbered anew, written as JSON and read back."""
+    back = sinks.region_shards(_c(spark, d).join(climate(spark, d), "city_id"), ["cell_row", "cell_col"])
+    return back.groupBy("country", "state").agg(F.count("*").alias("n"), F.countDistinct("local").alias("n_cells"), F.coalesce(F.max("local"), F.lit(-1)).alias("last_local"))
+
 
+_PIPE = f"""WITH {fx.CITIES.replace('cities AS', 'everywhere AS')}, cities AS (SELECT * FROM everywhere WHERE city_id % 9 <> 0 AND country <> 'NATION_5' AND latitude <> 0 AND longitude <> 0), {DEDUPED}, {KNN}, {FACTS}, {CLIMATE},
+kn AS (SELECT city_id, count(*) AS n_near, min(km) AS km FROM knn GROUP BY 1)
+SELECT ded.country, ded.state, count(*) AS n, count(DISTINCT ded.path) AS n_paths, CAST(sum(coalesce(n_near, 0)) AS BIGINT) AS n_neighbours, round(min(km), 3) AS nearest_km, count(facts.population) AS with_population, count(facts.elevation) AS with_elevation,
+ count(DISTINCT (cell_row, cell_col)) FILTER (tenths IS NOT NULL) AS n_cells FROM ded LEFT JOIN kn USING (city_id) LEFT JOIN facts ON facts.path = concat('r', CAST(ded.city_id AS VARCHAR)) JOIN cc USING (city_id) GROUP BY 1, 2"""
 
-R.queries["pipe_inventory"], R.sql["pipe_inventory"] = sink_region_shards, R.sql["sink_region_shards"]
+
+@R.add("pipe_inventory", _PIPE)
+def pipe_inventory(spark, d):
+    """Cities with their region and country, paths without collisions, eight neighbours, facts and climate, in one shard for each region, written and read back."""
+    keys = _c(spark, d).select("*", F.when(F.col("city_id") % 9 != 0, F.lower(F.concat_ws(".", "country", "state"))).alias("admin1_key"), F.lower("country").alias("country_key"))
+    admin1 = _c(spark, d).select(F.lower(F.concat_ws(".", "country", "state")).alias("admin1_key"), F.upper("state").alias("region")).distinct()
+    countries = fx.table(spark, d, "nation").where("n_name <> 'NATION_5'").select(F.lower("n_name").alias("country_key"), F.col("n_name").alias("country_name"))
+    known = materialize(inv.resolve_cities(keys, admin1, countries).select(*_c(spark, d).columns), "cities")
+    near = inv.nearest_cities(known).groupBy("city_id").agg(F.array_sort(F.collect_list(F.struct("rank", "other", "km"))).alias("nearby"))
+    about = facts_of(known).withColumn("city_id", F.substring("path", 2, 20).cast("long")).select("city_id", F.col("population").alias("people"), "elevation")
+    rows = inv.dedupe_slugs(known).join(near, "city_id", "left").join(about, "city_id", "left").join(climate(spark, d), "city_id")
+    back = sinks.region_shards(rows.select("city_id", "country", "state", "path", "nearby", "people", "elevation", "cell_row", "cell_col", "tenths"), ["cell_row", "cell_col"])
+    km = F.array_min(F.transform("nearby", lambda x: x["km"]))
+    return back.groupBy("country", "state").agg(
+        F.count("*").alias("n"), F.countDistinct("path").alias("n_paths"), F.sum(F.coalesce(F.size("nearby"), F.lit(0)).cast("long")).alias("n_neighbours"), F.round(F.min(km), 3).alias("nearest_km"),
+        F.count("people").alias("with_population"), F.count("elevation").alias("with_elevation"), F.countDistinct("local").alias("n_cells"),
+    )
 
 
 @R.add("sink_search_index", C + f", {DEDUPED} SELECT concat_ws(', ', name, state, country) AS label, path AS url, round(latitude, 4) AS lat, round(longitude, 4) AS lon FROM ded")
 def sink_search_index(spark, d):
-    return deduped(spark, d).select(F.concat_ws(", ", "name", "state", "country").alias("label"), F.col("path").alias("url"), F.round("latitude", 4).alias("lat"), F.round("longitude", 4).alias("lon"))
+    """The index written as JSON lines and read back."""
+    return sinks.search_index(deduped(spark, d).select(F.concat_ws(", ", "name", "state", "country").alias("label"), F.col("path").alias("url"), F.round("latitude", 4).alias("lat"), F.round("longitude", 4).alias("lon")))
 
 
 @R.add("sink_redirect_shards", C + f", {HIST} SELECT substr(sha256(country), 1, 16) AS shard, country, count(*) AS n FROM fw WHERE rn = 1 GROUP BY 1, 2")
 def sink_redirect_shards(spark, d):
-    rows = inv.first_wins(historical(spark, d), "alias", "city_id")
-    return rows.groupBy(F.substring(F.sha2("country", 256), 1, 16).alias("shard"), "country").agg(F.count("*").alias("n"))
+    """Redirects written in a shard for each country, and read back."""
+    rows = inv.first_wins(historical(spark, d), "alias", "city_id").select("alias", "city_id", "country")
+    return sinks.redirect_shards(rows).groupBy("shard", "country").agg(F.count("*").alias("n"))
 
 
 @R.add("agg_shard_profile", C + " SELECT country, count(*) AS n, CAST(sum(strlen(concat(name, chr(9), state))) AS BIGINT) AS n_bytes, count(DISTINCT state) AS n_regions FROM cities GROUP BY 1")
@@ -372,13 +416,8 @@ def win_shard_slice(spark, d):
 
 @R.add("join_search_match", C + f", {DEDUPED}, qs AS (SELECT n_nationkey AS q, concat('city ', CAST(n_nationkey % 12 AS VARCHAR), CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE ', b' END) AS query FROM nation), idx AS (SELECT city_id, lower(concat_ws(', ', name, state, country)) AS label FROM ded) SELECT q, coalesce((SELECT min(city_id) FROM idx WHERE label = query), (SELECT min(city_id) FROM idx WHERE contains(label, query))) AS city_id FROM qs")
 def join_search_match(spark, d):
-    """Each logged query's exact label, else the first label that contains it; the log is the small side, of a checked size."""
+    """Each logged query's exact label, else the first label that contains it."""
     n = F.col("n_nationkey")
     log = fx.table(spark, d, "nation").select(n.alias("q"), F.concat(F.lit("city "), (n % 12).cast("string"), F.when(n % 2 == 0, "").otherwise(", b")).alias("query"))
     index = _c(spark, d).select("city_id", F.lower(F.concat_ws(", ", "name", "state", "country")).alias("label"))
-    kinds = log.select("query").distinct()
-    if kinds.count() > 10_000:
-        raise ValueError("split the query log: its distinct queries are broadcast")
-    hits = index.join(F.broadcast(kinds), F.contains("label", "query"))
-    best = hits.groupBy("query").agg(F.min(F.struct((F.col("label") != F.col("query")).alias("inexact"), "city_id")).alias("b"))
-    return log.join(best, "query", "left").select("q", F.col("b.city_id").alias("city_id"))
+    return inv.search_match(log, index).select("q", "city_id")
