@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import analytics as an
 from ..operators.forecast import hash_sample
-from ..sources import files
+from ..session import materialize
+from ..sources import files, sinks
+from ..streaming import jobs
 from . import fixtures as fx
 from .columns import CLASSIFY, GA_PATH
 from .define import Registry
+from .streams import alerts_sql, arriving, replay
+from .weather import TOP_HOURLY, pipe_global_grid_top50
 
 R = Registry()
 G = f"WITH {fx.GA}, prod AS (SELECT * FROM ga WHERE coalesce(host_name, 'www.example.org') = 'www.example.org')"
@@ -72,9 +76,25 @@ def agg_week_over_week(spark, d):
     return w.withColumn("change", F.round(100.0 * (F.col("this_week") - F.col("week_before")) / F.nullif("week_before", F.lit(0)), 4))
 
 
-@R.add("pipe_weekly_report", G + f", {PAGES} SELECT {CLASSIFY.format('path')} AS page_type, count(*) AS n_pages, CAST(sum(sessions) AS BIGINT) AS sessions, CAST(sum(users) AS BIGINT) AS users FROM pg GROUP BY ROLLUP (1)")
+@R.add("pipe_weekly_report", G + f""", {PAGES}, wk AS (SELECT * FROM prod WHERE day BETWEEN DATE '2024-01-15' AND DATE '2024-01-21'), wp AS (SELECT {GA_PATH} AS path, sum(sessions) AS sessions, sum(users) AS users FROM wk WHERE landing_page <> '(not set)' GROUP BY 1)
+SELECT 'pages' AS section, {CLASSIFY.format('path')} AS name, 'sessions' AS metric, CAST(sum(sessions) AS DOUBLE) AS value FROM wp GROUP BY 2 UNION ALL SELECT 'pages', {CLASSIFY.format('path')}, 'users', sum(users) FROM wp GROUP BY 2
+UNION ALL SELECT 'channels', coalesce(channel, '(not set)'), 'sessions', sum(sessions) FROM wk GROUP BY 2 UNION ALL SELECT 'events', event_type, 'count', count(*) FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-15' AND DATE '2024-01-21' GROUP BY 2
+UNION ALL SELECT 'totals', 'sessions', 'this_week', sum(sessions) FILTER (day >= DATE '2024-01-15') FROM prod WHERE day BETWEEN DATE '2024-01-08' AND DATE '2024-01-21' UNION ALL SELECT 'totals', 'sessions', 'week_before', sum(sessions) FILTER (day < DATE '2024-01-15') FROM prod WHERE day BETWEEN DATE '2024-01-08' AND DATE '2024-01-21'
+UNION ALL SELECT 'totals', 'sessions', 'change', round(100.0 * (sum(sessions) FILTER (day >= DATE '2024-01-15') - sum(sessions) FILTER (day < DATE '2024-01-15')) / nullif(sum(sessions) FILTER (day < DATE '2024-01-15'), 0), 4) FROM prod WHERE day BETWEEN DATE '2024-01-08' AND DATE '2024-01-21'""")
 def pipe_weekly_report(spark, d):
-    return an.page_rollup(_ga(spark, d)).rollup("page_type").agg(F.count("*").alias("n_pages"), F.sum("sessions").alias("sessions"), F.sum("users").alias("users"))
+    """A week's pages, channels, product events and headline totals against the week before, as rows (section, name, metric, value)."""
+    inside = F.col("day").between(_date("2024-01-15"), _date("2024-01-21"))
+    week = _ga(spark, d).where(inside)
+    long = lambda df, section, name, *metrics: df.select(F.lit(section).alias("section"), F.col(name).alias("name"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("m")).select("section", "name", "m.metric", "m.value")
+    pages = an.page_rollup(week).groupBy("page_type").agg(F.sum("sessions").alias("sessions"), F.sum("users").alias("users"))
+    products = _events(spark, d).withColumn("day", F.to_date("ts")).where(inside).groupBy("event_type").agg(F.count("*").alias("count"))
+    totals = agg_week_over_week(spark, d).withColumn("name", F.lit("sessions"))
+    return (
+        long(pages, "pages", "page_type", "sessions", "users")
+        .unionByName(long(an.dimension_rollup(week, "channel"), "channels", "name", "sessions"))
+        .unionByName(long(products, "events", "event_type", "count"))
+        .unionByName(long(totals, "totals", "name", "this_week", "week_before", "change"))
+    )
 
 
 def _win(n, a, b, m):
@@ -129,10 +149,15 @@ def win_spike_baseline(spark, d):
     return an.spike_days(_spiky(spark, d))
 
 
-@R.add("pipe_spike_alerts", f"WITH {SPIKE}")
+@R.add("pipe_spike_alerts", f"WITH RECURSIVE spk AS ({'WITH ' + SPIKE}), dd AS (SELECT day, 1 AS seq, CAST(floor(sessions * CASE WHEN day(day) % 2 = 0 THEN 0.7::DOUBLE ELSE 0.95::DOUBLE END) AS BIGINT) AS sessions, CASE WHEN day(day) % 3 = 0 THEN 'unknown' ELSE 'search' END AS attribution FROM spk UNION ALL SELECT day, 2, CAST(sessions AS BIGINT), 'search' FROM spk), " + alerts_sql("dd"))
 def pipe_spike_alerts(spark, d):
-    """Spiking days; the stream that alerts on them is in streaming."""
-    return an.spike_days(_spiky(spark, d))
+    """Spiking days, seen twice: with part of their sessions, some without a known source, and whole; alerts once a day, and again where that changed enough."""
+    days = an.spike_days(_spiky(spark, d)).select("day", F.col("sessions").cast("long").alias("sessions"))
+    n = F.dayofmonth("day")
+    part = F.floor(F.col("sessions") * F.when(n % 2 == 0, 0.7).otherwise(0.95)).cast("long")
+    seen = days.select("day", F.lit(1).cast("long").alias("seq"), part.alias("sessions"), F.when(n % 3 == 0, "unknown").otherwise("search").alias("attribution"))
+    seen = seen.unionByName(days.select("day", F.lit(2).cast("long").alias("seq"), "sessions", F.lit("search").alias("attribution")))
+    return replay(jobs.spike_alerts(arriving(materialize(seen, "spikes"), F.col("seq"), "spikes", cuts=[1])))
 
 
 @R.add("flag_alert_quality", G + ", s AS (SELECT day, channel, sum(sessions) AS v FROM (SELECT day, CASE WHEN sessions = 6 THEN '(not set)' ELSE channel END AS channel, sessions FROM prod) GROUP BY 1, 2), b AS (SELECT day, channel, row_number() OVER (PARTITION BY day ORDER BY v DESC, channel) AS rn FROM s) SELECT day, CASE WHEN channel = '(not set)' THEN 'unknown' ELSE channel END AS attribution, channel = '(not set)' AS not_set_dominates FROM b WHERE rn = 1")
@@ -179,36 +204,37 @@ def src_byte_ranges(spark, d):
     return files.byte_ranges(lines)
 
 
-@R.add("src_power_climatology")
+@R.add("src_power_climatology", "SELECT c_custkey AS cell, CAST(m + 1 AS INT) AS month, CASE WHEN c_custkey % 9 <> 0 THEN CAST((c_custkey + m) % 40 AS DOUBLE) END AS value FROM customer, range(12) t(m)")
 def src_power_climatology(spark, d):
+    """Climate documents, some with a fill value, whose months are then all unknown."""
     k = F.col("c_custkey")
     months = F.struct(*[F.when((k % 9 == 0) & F.lit(i == 3), -999.0).otherwise((k + i) % 40 * 1.0).alias(m) for i, m in enumerate(files.MONTHS)])
     doc = F.to_json(F.struct(F.struct(F.lit("LST").alias("time_standard"), F.lit(-999.0).alias("fill_value")).alias("header"), F.struct(F.struct(months.alias("T2MWET")).alias("parameter")).alias("properties")))
-    return files.power_climatology(fx.table(spark, d, "customer").select(k.alias("cell"), doc.alias("value")))
+    rows = files.power_climatology(fx.table(spark, d, "customer").select(k.alias("cell"), doc.alias("value")))
+    return rows.select("cell", "months", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month")).select("cell", "month", F.get("months", F.col("month") - 1).alias("value"))
 
 
 @R.add("src_gsc_exports", f"WITH {fx.GSC} SELECT id, clicks, round(clicks * 100.0 / nullif(impressions, 0), 2) AS ctr FROM gsc WHERE impressions > 0")
 def src_gsc_exports(spark, d):
-    """Percent strings to numbers."""
+    """A table with percent strings written as CSV and read back."""
     rows = fx.gsc_snapshots(spark, d).where("impressions > 0")
     shown = F.concat(F.round(F.col("clicks") * F.lit(100.0) / F.col("impressions"), 2).cast("string"), F.lit("%"))
-    return rows.select("id", "clicks", shown.alias("CTR")).select("id", "clicks", files.percent(F.col("CTR")).alias("ctr"))
+    path = fx.folder(spark, "gsc")
+    rows.select("id", F.col("clicks").alias("Clicks"), shown.alias("CTR")).write.csv(path, header=True)
+    return files.gsc_export(spark, path).select(F.col("id").cast("long").alias("id"), F.col("Clicks").cast("long").alias("clicks"), F.col("CTR").alias("ctr"))
 
 
 @R.add("src_ga_export", f"WITH {DAYS} SELECT strftime(day, '%Y%m%d') AS date, sessions FROM dy")
 def src_ga_export(spark, d):
-    """A CSV with a preamble and a grand total, written and read back through the reader."""
-    import uuid
-
-    from ..session import shared_dir
-
+    """A report, one file with a preamble, a header and a grand total, written and read back. A report has a row for each day."""
     days = _days(spark, d)
-    body = days.select(F.concat_ws(",", F.date_format("day", "yyyyMMdd"), F.col("sessions").cast("string")).alias("value"))
-    total = days.agg(F.concat(F.lit("Grand total,"), F.sum("sessions").cast("string")).alias("value"))
-    path = f"{shared_dir(spark)}/ga-{uuid.uuid4().hex}"
-    body.union(total).union(spark.createDataFrame([("# exported",)], "value string")).write.text(path)
-    rows = spark.read.csv(path, comment="#", schema="Date string, Sessions long").where(F.col("Date").rlike(r"^\d{8}$"))
-    return rows.select(F.col("Date").alias("date"), F.col("Sessions").alias("sessions"))
+    line = lambda n, text: F.struct(F.lit(n).alias("n"), text.alias("value"))
+    body = days.select(line(2, F.concat_ws(",", F.date_format("day", "yyyyMMdd"), F.col("sessions").cast("string"))).alias("l"))
+    total = days.agg(line(3, F.concat(F.lit("Grand total,"), F.sum("sessions").cast("string"))).alias("l"))
+    head = spark.range(2).select(line(0, F.when(F.col("id") == 0, "# exported").otherwise("Date,Sessions")).alias("l")).select(F.struct(F.when(F.col("l.value").startswith("#"), 0).otherwise(1).alias("n"), F.col("l.value")).alias("l"))
+    path = fx.folder(spark, "ga")
+    head.union(body).union(total).select("l.*").orderBy("n", "value").coalesce(1).select("value").write.text(path)
+    return files.ga_export(spark, path).select(F.col("Date").alias("date"), F.col("Sessions").cast("long").alias("sessions"))
 
 
 @R.add("src_event_log", "SELECT event_type AS event, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_id % 13 <> 0 GROUP BY 1")
@@ -233,31 +259,40 @@ def classify_search_health(spark, d):
     return fx.gsc_snapshots(spark, d).groupBy("url").agg(F.when(late | (F.count_if(F.col("clicks") == 13) > 0), "degraded").otherwise("ok").alias("health"))
 
 
-@R.add("sink_upsert_history", f"WITH {fx.GSC} SELECT url, id, clicks FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY id DESC) AS rn FROM gsc) WHERE rn = 1")
+@R.add("sink_upsert_history", f"WITH {fx.GSC} SELECT snapshot_at, url, id, clicks FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_at, url ORDER BY id DESC) AS rn FROM gsc) WHERE rn = 1")
 def sink_upsert_history(spark, d):
-    return an.latest_per_key(fx.gsc_snapshots(spark, d).select("url", "id", "clicks"), ["url"], "id")
+    """Two batches put into a table by snapshot and url, the later row of a key staying."""
+    rows = fx.gsc_snapshots(spark, d).select("snapshot_at", "url", "id", "clicks", F.year("snapshot_at").alias("year"))
+    table = fx.folder(spark, "history")
+    for batch in (rows.where("id % 3 <> 0"), rows.where("id % 3 = 0")):
+        back = sinks.upsert(table, batch, ["snapshot_at", "url", "year"], "id", "year")
+    return back.select("snapshot_at", "url", "id", "clicks")
 
 
 @R.add("sink_history_csv", f"WITH {fx.GSC} SELECT CAST(snapshot_at AS VARCHAR) AS snapshot_at, url, CAST(clicks AS VARCHAR) AS clicks FROM gsc")
 def sink_history_csv(spark, d):
     """Ordered history written as CSV and read back."""
-    from ..sources import sinks
-
     return sinks.history_csv(fx.gsc_snapshots(spark, d).select("snapshot_at", "url", "clicks"))
 
 
-@R.add("sink_content_addressed", "SELECT o_orderkey, sha256(concat(CAST(o_orderkey AS VARCHAR), ':', o_orderstatus)) AS name FROM orders")
+@R.add("sink_content_addressed", "SELECT DISTINCT sha256(concat(CAST(o_custkey AS VARCHAR), ':', o_orderstatus)) AS name, concat(CAST(o_custkey AS VARCHAR), ':', o_orderstatus) AS value FROM orders")
 def sink_content_addressed(spark, d):
-    return fx.table(spark, d, "orders").select("o_orderkey", F.sha2(F.concat_ws(":", F.col("o_orderkey").cast("string"), "o_orderstatus"), 256).alias("name"))
+    """Objects written once under their digests, in two batches that share some, and read back."""
+    docs = fx.table(spark, d, "orders").select("o_orderkey", F.concat_ws(":", F.col("o_custkey").cast("string"), "o_orderstatus").alias("doc"))
+    path = fx.folder(spark, "objects")
+    for batch in (docs.where("o_orderkey % 2 = 0"), docs):
+        back = sinks.content_addressed(batch, "doc", path)
+    return back.select("name", "value")
 
 
-@R.add("sink_snapshot_json")
+@R.add("sink_snapshot_json", TOP_HOURLY)
 def sink_snapshot_json(spark, d):
-    """One document of the ranked cells, written and read back."""
-    from ..sources import sinks
-    from .weather import pipe_global_grid_top50
-
-    return sinks.snapshot_json(pipe_global_grid_top50(spark, d))
+    """One document of the ranked cells, written, read back and taken apart."""
+    top = pipe_global_grid_top50(spark, d)
+    doc = sinks.snapshot_json(top)
+    row = ", ".join(f"{f.name}:{f.dataType.simpleString()}" for f in top.schema.fields)
+    rows = doc.select(F.explode(F.from_json("value", f"count long, rows array<struct<rank:int,r:struct<{row}>>>")["rows"]).alias("x"))
+    return rows.select("x.r.*")
 
 
 @R.add("set_cohort_union", f"WITH {fx.CITIES}, top AS (SELECT city_id FROM cities ORDER BY population DESC, city_id LIMIT 200), k AS (SELECT city_id FROM (SELECT city_id, sha256(concat('gsc', CAST(city_id AS VARCHAR))) AS o FROM cities WHERE city_id NOT IN (SELECT city_id FROM top)) ORDER BY o LIMIT 200) SELECT city_id, 'tier' AS cohort FROM top UNION ALL SELECT city_id, 'control' FROM k")
@@ -339,16 +374,16 @@ def stream_snapshot_state(spark, d):
     return s.groupBy((F.col("id") % 10).alias("product")).agg(an.worst_state(F.col("state")).alias("worst"), F.count("*").alias("n"))
 
 
-@R.add("stream_publish_guard", f"WITH x AS ({_PAIR}), y AS ({_PAIR2}) SELECT id, CASE WHEN y.b <= {NOWS} THEN 'candidate-expired' WHEN y.init < x.init THEN 'older-run' WHEN y.init > x.init THEN 'newer-run' WHEN {NOWS} >= x.b AND y.a >= x.b THEN 'same-run-after-expiry' ELSE 'same-run-current' END AS decision FROM x JOIN y USING (id)")
-def stream_publish_guard(spark, d):
+@R.add("batch_publish_guard", f"WITH x AS ({_PAIR}), y AS ({_PAIR2}) SELECT id, CASE WHEN y.b <= {NOWS} THEN 'candidate-expired' WHEN y.init < x.init THEN 'older-run' WHEN y.init > x.init THEN 'newer-run' WHEN {NOWS} >= x.b AND y.a >= x.b THEN 'same-run-after-expiry' ELSE 'same-run-current' END AS decision FROM x JOIN y USING (id)")
+def batch_publish_guard(spark, d):
     """Batch twin of the publish guard."""
     y = _second(spark, d).toDF("id", "i2", "a2", "b2")
     decision = an.publish_decision(_ts("2024-01-02 12:00:00"), F.col("i2"), F.col("a2"), F.col("b2"), F.col("init"), F.col("b"))
     return products(spark, d).join(y, "id").select("id", decision.alias("decision"))
 
 
-@R.add("stream_daily_budget", "WITH n AS (SELECT event_type AS provider, CAST(ts AS DATE) AS day, count(*) AS used FROM events GROUP BY 1, 2) SELECT provider, day, used, used > 70 AS over FROM n")
-def stream_daily_budget(spark, d):
+@R.add("batch_daily_budget", "WITH n AS (SELECT event_type AS provider, CAST(ts AS DATE) AS day, count(*) AS used FROM events GROUP BY 1, 2) SELECT provider, day, used, used > 70 AS over FROM n")
+def batch_daily_budget(spark, d):
     """Batch twin: attempts of a UTC day and whether they exceed the limit."""
     n = _events(spark, d).groupBy(F.col("event_type").alias("provider"), F.to_date("ts").alias("day")).agg(F.count("*").alias("used"))
     return n.withColumn("over", F.col("used") > 70)
@@ -356,11 +391,11 @@ def stream_daily_budget(spark, d):
 
 @R.add("stream_budget_status", "WITH n AS (SELECT event_type AS provider, CAST(ts AS DATE) AS day, count(*) AS used FROM events GROUP BY 1, 2) SELECT provider, day, CASE WHEN used / 80.0 >= 1 THEN 'down' WHEN used / 80.0 >= 0.9 THEN 'degraded' ELSE 'ok' END AS status FROM n")
 def stream_budget_status(spark, d):
-    return stream_daily_budget(spark, d).select("provider", "day", an.budget_state(F.col("used"), F.lit(80)).alias("status"))
+    return batch_daily_budget(spark, d).select("provider", "day", an.budget_state(F.col("used"), F.lit(80)).alias("status"))
 
 
-@R.add("stream_minute_rate", "SELECT a.event_id, count(*) AS in_minute FROM events a JOIN events b ON b.ts <= a.ts AND b.ts > a.ts - INTERVAL 1 MINUTE GROUP BY 1")
-def stream_minute_rate(spark, d):
+@R.add("batch_minute_rate", "SELECT a.event_id, count(*) AS in_minute FROM events a JOIN events b ON b.ts <= a.ts AND b.ts > a.ts - INTERVAL 1 MINUTE GROUP BY 1")
+def batch_minute_rate(spark, d):
     """Batch twin: attempts in the minute up to each one. Each attempt looks into its own and the minute before."""
     e = _events(spark, d).select("event_id", "ts", F.floor(F.unix_micros("ts") / 60000000).alias("m"))
     other = e.select(F.col("ts").alias("t2"), F.explode(F.array("m", F.col("m") + 1)).alias("m"))
@@ -386,8 +421,8 @@ def win_latest_cycles(spark, d):
     return panels(spark, d).groupBy("panel").agg(F.max("event_id").alias("latest"), F.max(F.when(F.col("outcome") == "error", F.col("event_id"))).alias("latest_failed"))
 
 
-@R.add("stream_panel_state", f"WITH {PANELS}, g AS (SELECT panel, max(seen) FILTER (outcome <> 'error') AS collected, max(seen) AS attempted, arg_max(status, seen) FILTER (outcome <> 'error') AS status, arg_max(outcome, seen) = 'error' AS failed FROM pn GROUP BY 1) SELECT panel, CASE WHEN epoch(TIMESTAMP '2024-01-31') - epoch(collected) > 7200 OR (failed AND attempted > collected) THEN 'stale' ELSE status END AS state FROM g".replace("epoch(collected)", "floor(epoch(collected))"))
-def stream_panel_state(spark, d):
+@R.add("batch_panel_state", f"WITH {PANELS}, g AS (SELECT panel, max(seen) FILTER (outcome <> 'error') AS collected, max(seen) AS attempted, arg_max(status, seen) FILTER (outcome <> 'error') AS status, arg_max(outcome, seen) = 'error' AS failed FROM pn GROUP BY 1) SELECT panel, CASE WHEN epoch(TIMESTAMP '2024-01-31') - epoch(collected) > 7200 OR (failed AND attempted > collected) THEN 'stale' ELSE status END AS state FROM g".replace("epoch(collected)", "floor(epoch(collected))"))
+def batch_panel_state(spark, d):
     """Batch twin: the last good result of each panel, stale by age or a failed attempt since."""
     good = F.col("outcome") != "error"
     g = panels(spark, d).groupBy("panel").agg(F.max(F.when(good, F.col("at"))).alias("collected"), F.max("at").alias("attempted"), F.max_by(F.when(good, F.col("status")), F.when(good, F.col("at"))).alias("status"), (F.max_by("outcome", "at") == "error").alias("failed"))

@@ -270,12 +270,6 @@ def set_top_overlap(spark, d):
     return cells(a).intersect(cells(b))
 
 
-@R.add("stream_peak_update", PK + f"SELECT {_PEAK_COLS} FROM peak")
-def stream_peak_update(spark, d):
-    """Batch twin of the streaming running maximum."""
-    return _peak_cols(peaks(spark, d))
-
-
 @R.add("validate_axes", GRID_BASE + """SELECT 'latitude' AS axis, count(DISTINCT lat) AS n_values, count(*) FILTER (lat IS NULL OR NOT isfinite(lat) OR abs(lat) > 90) AS n_bad, count(DISTINCT cell_row) - count(DISTINCT lat) AS n_repeated FROM grid
 UNION ALL SELECT 'longitude', count(DISTINCT lon), count(*) FILTER (lon IS NULL OR NOT isfinite(lon) OR lon < -180 OR lon >= 360), count(DISTINCT cell_col) - count(DISTINCT lon) FROM grid""")
 def validate_axes(spark, d):
