@@ -23,7 +23,7 @@ DRIFT = 4
 #: Bits of the filter that tells tasks which windows can be in the benchmark; its size never grows.
 FILTER_BITS = 1 << 23
 
-# Units that count as one placeholder after a number.
+# A default, not a fixed list: units that count as one placeholder after a number.
 UNITS = "mm cm m km in ft yd mi mg g kg oz lb lbs t ml l s sec min h hr hrs day days week weeks month months year years hour hours minute minutes second seconds usd eur gbp dollars euros cents meters metres miles percent %".split()
 
 _EDGE = re.compile(rb"^[^\w\x80-\xff%]+|[^\w\x80-\xff%]+$")
@@ -41,15 +41,22 @@ class _Forms(dict):
     MOST = 400_000
 
     def __init__(self) -> None:
+        import xxhash
+
+        self.digest = xxhash.xxh3_64_intdigest
         self.hashes, self.literals, self.flags = array("Q"), array("Q"), array("B")
 
     def __missing__(self, w: bytes) -> int:
-        core = _EDGE.sub(b"", w)
-        low = core.decode("utf-8", "replace").lower().encode()
-        self.hashes.append(int(word_hashes([low])[0]))
-        self.literals.append(self.hashes[-1] if low else int(word_hashes([w])[0]))
-        capital = bool(core) and core != low and core[:1] != low[:1]
-        self.flags.append(bool(_NUMBER.match(core)) | 2 * (low in _UNITS) | 4 * capital | 8 * (w[-1:] in b".!?:"))
+        # Most words are plain letters, with which there is little to do.
+        letters = w.isalpha()
+        core = w if letters else _EDGE.sub(b"", w)
+        low = core if core.isascii() and core.islower() else core.decode("utf-8", "replace").lower().encode()
+        h = self.digest(low)
+        self.hashes.append(h)
+        self.literals.append(h if low else self.digest(w))
+        capital = core != low and core[:1] != low[:1]
+        number = not letters and _NUMBER.match(core) is not None
+        self.flags.append(number | 2 * (low in _UNITS) | 4 * capital | 8 * (not letters and w[-1:] in b".!?:"))
         n = self[w] = len(self)
         return n
 
@@ -57,8 +64,9 @@ class _Forms(dict):
 _FORMS = _Forms()
 
 
-def canonical(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes, value hashes, kinds (0 plain, 1 number, 2 unit, 3 name) and literal hashes, which tell signs apart, of the words of a text.
+def canonical(words: list[bytes], begins: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes, value hashes, kinds (0 plain, 1 number, 2 unit, 3 name) and literal hashes, which tell signs apart, of the words of texts that
+    begin at the places `begins` (one text by default).
 
     Punctuation around a word goes and case folds. A number becomes its placeholder, a unit after a number
     too, and so does a name: a capitalised word that does not begin a sentence."""
@@ -67,9 +75,12 @@ def canonical(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
         _FORMS = _Forms()
     at = np.fromiter(map(_FORMS.__getitem__, words), np.int64, len(words))
     values, flags = np.frombuffer(_FORMS.hashes, np.uint64)[at], np.frombuffer(_FORMS.flags, np.uint8)[at]
+    first = np.zeros(len(words) + 1, bool)
+    first[0 if begins is None else begins] = True
+    first = first[:-1]
     number = (flags & 1).astype(bool)
-    after = np.concatenate([[False], number[:-1]])
-    start = np.concatenate([[True], (flags[:-1] & 8).astype(bool)])
+    after = np.concatenate([[False], number[:-1]]) & ~first
+    start = np.concatenate([[True], (flags[:-1] & 8).astype(bool)]) | first
     kind = np.where(number, 1, np.where(after & ((flags & 2) > 0), 2, np.where(~start & ((flags & 4) > 0), 3, 0))).astype(np.int8)
     tokens = values.copy()
     for k, name in ((1, "number"), (2, "unit"), (3, "name")):
@@ -77,48 +88,56 @@ def canonical(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return tokens, values, kind, np.frombuffer(_FORMS.literals, np.uint64)[at]
 
 
-def _windows(words: list[bytes], sizes: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, bool]]:
-    """For each size up to the number of words, twice (hashes, keep, values, kind, size, typed): the template windows with enough
-    plain words, then the windows of values where there are too few of these. The kind of a window's first word depends on the word
+def _windows(words: list[bytes], ends: np.ndarray, sizes: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, bool]]:
+    """For each size twice (places, hashes, values, kind, size, typed): the template windows with enough plain words, then the windows of
+    values where there are too few of these, of texts one after the other that end at `ends`. The kind of a window's first word depends on the word
     before it, so that windows that just have enough plain words are hashed both ways."""
     if not words:
         return
-    tokens, values, kind, literal = canonical(words)
+    lengths = np.diff(np.concatenate([[0], ends]))
+    tokens, values, kind, literal = canonical(words, ends - lengths)
+    until = np.repeat(ends, lengths)
     plain = np.concatenate([[0], np.cumsum(kind == 0)])
     typed, untyped = Rolling(tokens), None
     for k in sizes:
         if k > len(words):
             continue
+        inside = np.arange(len(words) - k + 1) + k <= until[: len(words) - k + 1]
         n_plain, least = plain[k:] - plain[: len(plain) - k], min(PLAIN, k)
-        yield typed.windows(k)[: len(n_plain)], n_plain >= least, values, kind, k, True
-        few = n_plain <= least
-        if few.any():
+        at = np.flatnonzero(inside & (n_plain >= least))
+        yield at, typed.windows(k)[at], values, kind, k, True
+        few = np.flatnonzero(inside & (n_plain <= least))
+        if len(few):
             untyped = untyped or Rolling(literal)
-            yield mix(untyped.windows(k)[: len(n_plain)] ^ _VALUES), few, literal, kind, k, False
+            yield few, mix(untyped.spans(few, few + k) ^ _VALUES), literal, kind, k, False
 
 
 def template_windows(texts: DataFrame, key: str, text: str, wanted: bytes | None = None, size: int = WINDOW, short: list[int] | None = None) -> DataFrame:
     """Rows (key, pos, size, hash, slots): the windows of each text. Those with at least PLAIN plain words are templates, slots being
     the value hashes of the placeholders in order; the others are hashed by value, and slots are the values of all words. `wanted`, a bitmap over
     the low bits of the hash, leaves out windows that cannot match. With `short` there are windows of these sizes besides; without it, a text
-    shorter than a window forms one window of all its words."""
+    shorter than a window forms one window of all its words. Texts are read some megabytes at a time."""
     held = None if wanted is None else texts.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         keys, data = batch.column(0).to_pylist(), text_bytes(batch.column(1))
         bits = None if held is None else np.frombuffer(held.value, np.uint8)
-        for a, b in chunks([len(t) for t in data]):
+        # Texts of their own window size go one by one.
+        for a, b in chunks([len(t) for t in data]) if short is not None else ((i, i + 1) for i in range(len(data))):
             out: list[list] = [[], [], [], [], []]
-            for i in range(a, b):
-                words = data[i].split()
-                for hashes, keep, values, kind, k, typed in _windows(words, [min(size, len(words))] if short is None else [size, *short]):
-                    if bits is not None:
-                        at = (hashes & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-                        keep = keep & ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
-                    for p in np.flatnonzero(keep).tolist():
-                        slot = np.flatnonzero(kind[p : p + k]) + p if typed else np.arange(p, p + k)
-                        for column, value in zip(out, (keys[i], p, k, int(hashes[p : p + 1].view(np.int64)[0]), signed(values[slot]).tolist()), strict=True):
-                            column.append(value)
+            split = [t.split() for t in data[a:b]]
+            ends = np.cumsum([len(w) for w in split])
+            words = [w for ws in split for w in ws]
+            for at, hashes, values, kind, k, typed in _windows(words, ends, [min(size, len(words))] if short is None else [size, *short]):
+                if bits is not None:
+                    low = (hashes & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+                    some = ((bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1).astype(bool)
+                    at, hashes = at[some], hashes[some]
+                texts_of = np.searchsorted(ends, at, "right")
+                for p, i, h in zip(at.tolist(), texts_of.tolist(), signed(hashes).tolist(), strict=True):
+                    slot = np.flatnonzero(kind[p : p + k]) + p if typed else np.arange(p, p + k)
+                    for column, value in zip(out, (keys[a + i], p - int(ends[i]) + len(split[i]), k, h, signed(values[slot]).tolist()), strict=True):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.list_(pa.int64()))], ["key", "pos", "size", "hash", "slots"])
 
     return map_batches(texts.select(F.col(key).cast("long"), F.col(text)), run, "key long, pos int, size int, hash long, slots array<long>")
