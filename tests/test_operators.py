@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sultry.functions import geo, physics, text, times
 from sultry.operators import analytics, grid, inventory, numbering, verify
+from sultry.sources import sinks
 
 
 def one(spark, c):
@@ -167,12 +168,108 @@ def test_one_run_of_streams_equals_its_twin(spark):
     from sultry.plans import streams
 
     got = {(r.key, r.event_id): r.state for r in streams.stream_freshness(spark, "/root/testdata/sf0.001").collect()}
-    rows = sorted(((r.ts, r.event_id, r.user_id % 4, r.event_type) for r in spark.read.parquet("/root/testdata/sf0.001/events.parquet").collect()))
+    rows = sorted(((r.ts, r.event_id, r.user_id, r.event_type) for r in spark.read.parquet("/root/testdata/sf0.001/events.parquet").collect()))
     stored, want = {}, {}
     for ts, i, k, kind in rows:
         if kind == "purchase":
             stored[k] = ts
         else:
             age = (ts - stored[k]).total_seconds() if k in stored else None
-            want[k, i] = "miss" if age is None or age >= 600 else "fresh" if age < 300 else "stale"
+            want[k, i] = "miss" if age is None or age >= 12 * 3600 else "fresh" if age < 3 * 3600 else "stale"
     assert got == want
+
+
+def test_one_to_one_tells_reports_of_one_time_apart(spark):
+    t = dt.datetime(2024, 1, 1, 12)
+    half = t + dt.timedelta(minutes=30)
+    hours = spark.createDataFrame([(1, t), (1, t + dt.timedelta(hours=1)), (2, t), (2, t + dt.timedelta(hours=1)), (3, t)], "station_id long, valid_time timestamp")
+    obs = spark.createDataFrame([(1, half, 5.0), (1, half, 6.0), (2, half, 7.0), (3, t + dt.timedelta(minutes=31), 1.0)], "station_id long, obs_time timestamp, temperature_c double")
+    got = sorted((r.station_id, r.valid_time, r.obs_time, r.temperature_c) for r in verify.match_one_to_one(hours, obs).collect())
+    assert got == [(1, t, half, 5.0), (1, t + dt.timedelta(hours=1), half, 6.0), (2, t, half, 7.0)]
+
+
+def test_one_to_one_chains(spark):
+    t = dt.datetime(2024, 1, 1)
+    at = lambda m: t + dt.timedelta(minutes=m)
+    hours = spark.createDataFrame([(1, at(60 * h)) for h in range(4)], "station_id long, valid_time timestamp")
+    obs = spark.createDataFrame([(1, at(m), float(m)) for m in (30, 90, 150, 160)], "station_id long, obs_time timestamp, temperature_c double")
+    got = sorted((r.valid_time.hour, r.temperature_c) for r in verify.match_one_to_one(hours, obs).collect())
+    assert got == [(0, 30.0), (1, 90.0), (2, 150.0), (3, 160.0)]
+
+
+def test_new_stations_stop_at_the_nth(spark):
+    rows = [(1, "gfs", 7), (1, "ifs", 8), (2, "gfs", 7), (2, "ifs", 9), (3, "gfs", 8), (3, "ifs", 5)]
+    got = sorted((r.rank, r.model, r.is_new) for r in verify.new_stations(spark.createDataFrame(rows, "rank int, model string, station_id long"), 3).collect())
+    assert got == [(1, "gfs", True), (1, "ifs", True), (2, "gfs", False), (2, "ifs", True)]
+    assert verify.new_stations(spark.createDataFrame(rows, "rank int, model string, station_id long"), 9).count() == 6
+
+
+def test_search_takes_any_number_of_queries(spark):
+    index = spark.range(300).select(F.col("id").alias("city_id"), F.concat(F.lit("city "), F.col("id").cast("string"), F.lit(", state")).alias("label"))
+    log = spark.range(12_000).select(F.col("id").alias("q"), F.concat(F.lit("y "), F.col("id").cast("string")).alias("query"))
+    log = log.unionByName(spark.createDataFrame([(-1, ""), (-2, None), (-3, "ci"), (-4, "city 7, state"), (-5, "9"), (-6, "none")], "q long, query string"))
+    got = {r.q: r.city_id for r in inventory.search_match(log, index).collect()}
+    want = {q: next((i for i in range(300) if f"y {q}" in f"city {i}, state"), None) for q in range(0, 12_000, 97)}
+    assert {q: got[q] for q in want} == want and len(got) == 12_006
+    assert [got[q] for q in (-1, -2, -3, -4, -5, -6)] == [0, None, 0, 7, 9, None]
+
+
+def test_region_buckets_are_the_least(spark):
+    cities = spark.range(400).select(F.lit("a").alias("country"), F.when(F.col("id") < 5, "s").otherwise("t").alias("state"), F.lit("City").alias("name"), F.col("id").alias("city_id"))
+    got = {r.state: (r.n, r.buckets) for r in inventory.region_buckets(cities, most=20, aim=10).collect()}
+
+    def fnv(s):
+        h = 2166136261
+        for c in s.encode():
+            h = ((h ^ c) * 16777619) & 0xFFFFFFFF
+        return h
+
+    hashes = [fnv(f"city-{i}") for i in range(5, 400)]
+    fits = lambda b: (lambda c: len(c) == b and max(c.values()) <= 20)({k: sum(h % b == k for h in hashes) for k in {h % b for h in hashes}})
+    assert got == {"s": (5, 1), "t": (395, next((b for b in range(40, 395) if fits(b)), 395))}
+
+
+def test_sinks(spark, tmp_path):
+    table = f"file://{tmp_path}/history"
+    rows = lambda *x: spark.createDataFrame(list(x), "k long, v string, n long, part long")
+    for batch in (rows((1, "a", 1, 0), (2, "b", 1, 1)), rows((1, "c", 2, 0), (3, "d", 1, 2)), rows((2, "old", 0, 1))):
+        back = sinks.upsert(table, batch, ["k", "part"], "n", "part")
+    assert sorted((r.k, r.v) for r in back.collect()) == [(1, "c"), (2, "b"), (3, "d")]
+    docs = spark.createDataFrame([("x",), ("x",), ("y",)], "doc string")
+    for _ in range(2):
+        back = sinks.content_addressed(docs, "doc", f"file://{tmp_path}/objects")
+    assert sorted(r.value for r in back.collect()) == ["x", "y"]
+    ranked = spark.range(5).select(F.col("id").alias("rank"))
+    with pytest.raises(ValueError):
+        sinks.snapshot_json(ranked, most=4)
+    shards = sinks.redirect_shards(spark.createDataFrame([("/a/", "X"), ("/b/", "Y"), ("/c/", "X")], "alias string, country string"))
+    assert sorted((r.alias, r.country) for r in shards.collect()) == [("/a/", "X"), ("/b/", "Y"), ("/c/", "X")]
+
+
+def test_publish_guard_tries_a_batch_again(spark, tmp_path):
+    from sultry.streaming import jobs
+
+    write = jobs.publish_guard(f"file://{tmp_path}/published")
+    day = lambda n: dt.datetime(2024, 1, n)
+    for number, runs in enumerate([[(1, day(2)), (2, day(1))], [(3, day(2))], [(4, day(5))]]):
+        for _ in range(2):
+            write(spark.createDataFrame(runs, "id long, init timestamp"), number)
+    assert sorted((r.id, r.init) for r in spark.read.parquet(f"file://{tmp_path}/published").collect()) == [(1, day(2)), (4, day(5))]
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace
+
+    from sultry import session
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
+
+
+def test_invalid_snapshot_is_an_error(spark):
+    rows = [(1, 0, 0, 300.0, dt.datetime(2024, 1, 1)), (3, 0, 1, 299.0, dt.datetime(2024, 1, 1))]
+    bad = spark.createDataFrame(rows, "rank int, cell_row int, cell_col int, wet_bulb_k double, peak_time timestamp")
+    with pytest.raises(Exception, match="snapshot"):
+        grid.valid_snapshot(bad).collect()
