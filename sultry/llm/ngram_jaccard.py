@@ -343,28 +343,38 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     classes = rows.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
     classes = materialize(classes, "classes")
     shared = materialize(_shared(_signature_rows(keyed, n, least, whole).repartition("sig").sortWithinPartitions("sig", "cls")), "shared")
-    meets = materialize(shared.groupBy("cls").agg(F.sum("size").alias("meets")), "meets")
-    pivots = shared.join(meets, "cls").groupBy("sig").agg(F.max(F.struct("meets", "cls")).alias("m")).select("sig", F.col("m.cls").alias("pivot"))
+    meets = materialize(shared.groupBy("cls").agg(F.sum("size").alias("meets")).join(classes.select("cls", "n"), "cls"), "meets")
+    shared = materialize(shared.join(meets, "cls").select("sig", "cls", "n", "meets"), "sized")
+    pivots = shared.groupBy("sig").agg(F.max(F.struct("meets", "cls", "n")).alias("m")).select("sig", F.col("m.cls").alias("pivot"), F.col("m.n").alias("pivot_n"))
     pivots = materialize(pivots, "pivots")
-    grams = materialize(_fragments(keyed, meets.join(classes, "cls").select("rep"), "rep", n), "fragments")
     a = classes.select(F.col("cls").alias("ca"), F.col("rep").alias("a"), F.col("n").alias("na"), F.coalesce("wide", "sketch").alias("sa"))
     b = classes.select(F.col("cls").alias("cb"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.coalesce("wide", "sketch").alias("sb"))
 
     def joined(candidates: DataFrame, labels: DataFrame) -> DataFrame:
         """Labels (cls, rep, comp) after the candidates that link have joined their components."""
         pairs = materialize(candidates.join(a.drop("sa"), "ca").join(b.drop("sb"), "cb"), "pairs")
+        # Only the texts of documents in these pairs are hashed again.
+        grams = materialize(_fragments(keyed, pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", n), "fragments")
         links = materialize(verified_links(pairs, grams, least, whole), "links")
         comp = labels.select("rep", "comp").distinct()
         edges = links.join(comp.toDF("a", "ka"), "a").join(comp.toDF("b", "kb"), "b").select("ka", "kb")
         merged = connected_components(edges, "ka", "kb").toDF("comp", "new")
         return materialize(labels.join(merged, "comp", "left").select("cls", "rep", F.coalesce("new", "comp").alias("comp")), "labels")
 
-    star = shared.join(pivots, "sig").where("cls <> pivot").select(F.col("pivot").alias("ca"), F.col("cls").alias("cb")).distinct()
-    first = materialize(_linkable(star.join(a, "ca").join(b, "cb"), least, whole), "candidates")
+    def near(pairs: DataFrame) -> DataFrame:
+        """The pairs (ca, cb) that may link: short sketches first, as most pairs go there, then the wide ones of those that have them."""
+        short = lambda side: side.drop("sa", "sb").join(sketches.select(F.col("cls").alias(side.columns[0]), F.col("sketch").alias(f"s{side.columns[1]}")), side.columns[0])
+        some = materialize(_linkable(pairs.join(short(a), "ca").join(short(b), "cb"), least, whole), "short")
+        return _linkable(some.join(a, "ca").join(b, "cb"), least, whole)
+
+    sketches = classes.select("cls", "sketch").join(meets.select("cls"), "cls")
+    fits = F.least("n", "pivot_n") * whole >= F.greatest("n", "pivot_n") * least
+    star = shared.join(pivots, "sig").where((F.col("cls") != F.col("pivot")) & fits).select(F.col("pivot").alias("ca"), F.col("cls").alias("cb")).distinct()
+    first = materialize(near(star), "candidates")
     labels = joined(first, classes.select("cls", "rep", F.col("rep").alias("comp")))
 
     comp = labels.select("cls", "comp")
-    main = pivots.join(comp, pivots["pivot"] == comp["cls"]).select("sig", "pivot", F.col("comp").alias("main"))
+    main = pivots.select("sig", "pivot").join(comp, F.col("pivot") == F.col("cls")).select("sig", "pivot", F.col("comp").alias("main"))
     placed = materialize(shared.select("sig", "cls").join(comp, "cls").join(main, "sig"), "placed")
     open_ = placed.groupBy("sig").agg(F.count("*").alias("m"), F.count_if(F.col("comp") != F.col("main")).alias("k")).where("k > 0 and m > 2")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
