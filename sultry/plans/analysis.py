@@ -295,7 +295,7 @@ def sink_snapshot_json(spark, d):
     return rows.select("x.r.*")
 
 
-@R.add("set_cohort_union", f"WITH {fx.CITIES}, top AS (SELECT city_id FROM cities ORDER BY population DESC, city_id LIMIT 200), k AS (SELECT city_id FROM (SELECT city_id, sha256(concat('gsc', CAST(city_id AS VARCHAR))) AS o FROM cities WHERE city_id NOT IN (SELECT city_id FROM top)) ORDER BY o LIMIT 200) SELECT city_id, 'tier' AS cohort FROM top UNION ALL SELECT city_id, 'control' FROM k")
+@R.add("set_cohort_union", f"WITH {fx.CITIES}, top AS (SELECT city_id FROM cities ORDER BY population DESC, city_id LIMIT 200), k AS (SELECT city_id FROM (SELECT city_id, sha256(concat('gsc', chr(0), CAST(city_id AS VARCHAR))) AS o FROM cities WHERE city_id NOT IN (SELECT city_id FROM top)) ORDER BY o LIMIT 200) SELECT city_id, 'tier' AS cohort FROM top UNION ALL SELECT city_id, 'control' FROM k")
 def set_cohort_union(spark, d):
     c = fx.cities(spark, d)
     top = c.orderBy(F.desc("population"), "city_id").limit(200).select("city_id")
