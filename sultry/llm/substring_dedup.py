@@ -136,10 +136,11 @@ def repeated_windows(docs: DataFrame, span: int = SPAN) -> DataFrame:
     the windows of each edge are looked up once, where its least document has them, and meet by hash, so
     that an edge learns the least document of each of its windows, and its other occurrences from it.
 
-    What all occurrences of an anchor share is aggregated in each task first; occurrences only ever meet one row for their anchor in a
-    join, whose larger side Spark splits where an anchor is hot."""
+    What all occurrences of an anchor share is aggregated in each task first and written; occurrences only ever meet one row for their anchor in a
+    join, whose larger side Spark splits where an anchor is hot (it cannot where the other side is an aggregate of the same stage)."""
     rows = materialize(_bundle_rows(docs, span), "bundles")
     shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
+    shared = materialize(shared, "shared")
     # Dealt by document, not by anchor, rows that repeat a document go.
     met = materialize(rows.join(shared, "anchor").repartition("row", "first").dropDuplicates(["row", "first"]), "met")
     edges = met.groupBy("anchor", "path").agg(F.min(F.struct("doc_id", "row", "first")).alias("rep"), F.count("*").alias("total"), F.first("n").alias("n"))
@@ -154,11 +155,12 @@ def repeated_windows(docs: DataFrame, span: int = SPAN) -> DataFrame:
     found = materialize(_looked_up(there, wanted, span), "looked")
     spans = found.where("kind = 0")
     least = spans.groupBy("id", "key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    least = materialize(least, "least")
     whole = spans.join(least, ["id", "key"]).where("doc_id > lo").select("row", "first", "n", F.lit(None).cast("long").alias("mask"))
     windows = found.where("kind = 1").select("doc_id", "anchor", F.col("id").alias("path"), "nth", "key")
     lows = windows.groupBy("anchor", "key").agg(F.min("doc_id").alias("lo"))
     known = windows.join(lows, ["anchor", "key"]).groupBy("anchor", "path", "nth").agg(F.min("lo").alias("lo"))
-    known = known.groupBy("anchor", "path").agg(F.collect_list(F.struct("nth", "lo")).alias("los"))
+    known = materialize(known.groupBy("anchor", "path").agg(F.collect_list(F.struct("nth", "lo")).alias("los")), "known")
     each = met.where("branching").join(known, ["anchor", "path"])
     bits = F.aggregate(F.filter("los", lambda x: x["lo"] < F.col("doc_id")), F.lit(0).cast("long"), lambda acc, x: acc + F.pow(F.lit(2.0), x["nth"]).cast("long"))
     return whole.union(each.select("row", "first", "n", bits.alias("mask")).where("mask > 0")).distinct()

@@ -119,7 +119,9 @@ def filter_urls(urls: DataFrame, links: DataFrame, url: str = "url", rules=RULES
     member = connected_components(edges)
     judged = with_rules(split_url(member, "node"), rules).withColumn("action_", F.col("fit_.action"))
     classes = judged.groupBy("component").agg(F.max(F.col("action_") == "block").alias("blocks_"), F.max(F.col("action_") == "allow").alias("allows_"))
-    hit = judged.join(classes.where(F.coalesce("blocks_", F.lit(False)) & ~F.coalesce("allows_", F.lit(False))), "component").select(F.col("node").alias("node_"), F.lit("block").alias("passed_"))
+    # Written, so that Spark can split the join below where a class is hot.
+    blocked = materialize(classes.where(F.coalesce("blocks_", F.lit(False)) & ~F.coalesce("allows_", F.lit(False))).select("component"), "blocked")
+    hit = judged.join(blocked, "component").select(F.col("node").alias("node_"), F.lit("block").alias("passed_"))
     rows = urls.drop("host", "path", "rule", "verdict").select(F.struct("*").alias("row_"))
     base = with_rules(split_url(rows.withColumn("own_", F.col(f"row_.{url}")), "own_"), rules)
     out = base.join(hit, F.col("own_") == F.col("node_"), "left")
