@@ -49,6 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids = keyed.groupBy("row_").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
     known = materialize(parts.select(F.col("doc_id").alias("row_"), "component_id").distinct().join(ids, "row_"), "rows")
     first = known.groupBy("component_id").agg(F.min_by("row_", F.struct(F.col("id").isNull(), "id", "row_")).alias("first"))
+    first = materialize(first, "first")  # so that the join splits where a component is hot
     judged = materialize(known.join(first, "component_id").select("row_", (F.col("row_") == F.col("first")).alias("stays"), "copies"), "judged")
     kept = _without(keyed, judged.where("not stays or copies > 1").select("row_"))
     single = keyed.join(judged.where("stays and copies > 1").select("row_"), "row_", "left_semi").dropDuplicates(["row_"])
