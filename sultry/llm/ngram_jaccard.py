@@ -244,8 +244,8 @@ def _apart(rows: DataFrame, least: int, whole: int) -> DataFrame:
     """Distinct pairs (ca, cb) of sets of one signature and different components that sizes and sketches do not rule out.
 
     rows: sig, block, side, cls, comp, main, n, sketch. Of each (sig, block) the sets of side 0, one block of the signature's,
-    are read first and held; those of side 1, the ones outside the main component, meet them in batches. Pairs are compared where they stand, and
-    only those that may link are emitted."""
+    are read first and held; those of side 1, the ones outside the main component, meet them in batches. A signature of one block, numbered -1, has
+    no side 1: its sets meet each other at its end. Pairs are compared where they stand, and only those that may link are emitted."""
 
     def meet(right: list, left: list) -> np.ndarray:
         (rc, rk, rm, rn), (lc, lk, _, ln) = ([np.concatenate(x) for x in zip(*(v[0] for v in side), strict=True)] for side in (right, left))
@@ -264,6 +264,26 @@ def _apart(rows: DataFrame, least: int, whole: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, right, told = None, [], set()
+
+        def alone() -> list[np.ndarray]:
+            """The pairs within a signature of one block that has ended."""
+            if key is None or key[1] >= 0 or not right:
+                return []
+            columns = tuple(np.concatenate(x) for x in zip(*(v[0] for v in right), strict=True))
+            sketches, out = [x for v in right for x in v[1]], np.flatnonzero(columns[1] != columns[2])
+            return [meet([(columns, sketches)], [(tuple(c[out] for c in columns), [sketches[i] for i in out])])] if len(out) else []
+
+        def fresh(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            nonlocal told
+            pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+            pairs = np.unique(np.sort(pairs, axis=0), axis=1).T.tolist()
+            if len(told) > 1_000_000:
+                told = set()
+            new = [p for p in map(tuple, pairs) if p not in told]
+            told.update(new)
+            if new:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*new, strict=True)], ["ca", "cb"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -274,19 +294,14 @@ def _apart(rows: DataFrame, least: int, whole: int) -> DataFrame:
             for a, b in zip(new[:-1].tolist(), new[1:].tolist(), strict=True):
                 part = ((cls[a:b], comp[a:b], main[a:b], n[a:b]), sketch[a:b])
                 if (sig[a], block[a]) != key:
+                    found += alone()
                     key, right = (sig[a], block[a]), []
                 if side[a] == 0:
                     right.append(part)
                 elif right:
                     found.append(meet(right, [part]))
-            pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
-            pairs = np.unique(np.sort(pairs, axis=0), axis=1).T.tolist()
-            if len(told) > 1_000_000:
-                told = set()
-            fresh = [p for p in map(tuple, pairs) if p not in told]
-            told.update(fresh)
-            if fresh:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*fresh, strict=True)], ["ca", "cb"])
+            yield from fresh(found)
+        yield from fresh(alone())
 
     stream = rows.repartition("sig", "block").sortWithinPartitions("sig", "block", "side").select("sig", "block", "side", "cls", "comp", "main", "n", "sketch")
     return stream.mapInArrow(run, "ca long, cb long").distinct()
@@ -379,8 +394,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     open_ = placed.groupBy("sig").agg(F.count("*").alias("m"), F.count_if(F.col("comp") != F.col("main")).alias("k")).where("k > 0 and m > 2")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     there = placed.where("cls <> pivot").join(open_.select("sig", blocks.alias("blocks")), "sig")
-    held = there.select("sig", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "cls", "comp", "main")
-    sent = there.where("comp <> main").select("sig", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "cls", "comp", "main")
+    own = F.when(F.col("blocks") == 1, -1).otherwise(F.pmod(F.xxhash64("cls"), F.col("blocks"))).cast("int")
+    held = there.select("sig", own.alias("block"), F.lit(0).alias("side"), "cls", "comp", "main")
+    sent = there.where("comp <> main and blocks > 1").select("sig", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "cls", "comp", "main")
     rest = _apart(held.union(sent).join(classes.select("cls", "n", "sketch"), "cls"), least, whole)
     tested = first.select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
     rest = rest.join(tested, ["ca", "cb"], "left_anti")

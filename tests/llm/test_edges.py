@@ -366,3 +366,10 @@ def test_very_long_texts(spark, name):
         assert all(0 <= r.score <= 1 for r in quality_classifier.score_quality(docs, spark.createDataFrame([(i, i % 2) for i in VERY_LONG], "doc_id long, quality int")).collect())
     else:
         assert sorted(r.doc_id for r in sharding.histogram_sort(docs, n_shards=3).collect()) == sorted(VERY_LONG)
+
+
+def test_pairs_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 2)
+    docs = random_docs(3, n=80)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.jaccard_components(frame(spark, list(docs.items()))).collect()}
+    assert got == brute.jaccard(docs)
