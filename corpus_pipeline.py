@@ -52,7 +52,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = materialize(first, "first")  # so that the join splits where a component is hot
     judged = materialize(known.join(first, "component_id").select("row_", (F.col("row_") == F.col("first")).alias("stays"), "copies"), "judged")
     kept = _without(keyed, judged.where("not stays or copies > 1").select("row_"))
-    single = keyed.join(judged.where("stays and copies > 1").select("row_"), "row_", "left_semi").dropDuplicates(["row_"])
+    copied = judged.where("stays and copies > 1").select("row_")
+    single = maybe_in(keyed, "row_", copied).where("maybe_").join(copied, "row_", "left_semi").select(*keyed.columns).dropDuplicates(["row_"])
     return kept.select(*COLUMNS).union(single.select(*COLUMNS))
 
 
