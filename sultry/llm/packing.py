@@ -108,18 +108,18 @@ def plan_best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> list[t
     """Best-fit decreasing over a histogram of lengths: rows (length, first, last, sequence, offset) say that
     pieces of that length ranked first to last (exclusive) go to sequences sequence, sequence + 1, ... at offset.
 
-    Sequences filled alike are one group; the longest length is placed first, each into the tightest group it
-    fits, splitting a group where only some of its sequences are used. Work and rows depend on the number of
-    different lengths, not on the number of documents."""
+    Sequences filled alike are one group. The longest length is placed first, into the tightest group that it fits: as
+    the sequence just used is then the tightest, each takes as many pieces as fit before the next does. Work and rows depend on
+    the number of different lengths, not on the number of documents."""
     groups: dict[int, list[tuple[int, int]]] = defaultdict(list)  # free space: runs of (first sequence, count)
     free: list[int] = []
     plan, opened = [], 0
 
-    def add(space: int, run: tuple[int, int]) -> None:
-        if space:
+    def add(space: int, first: int, count: int) -> None:
+        if space and count:
             if not groups[space]:
                 insort(free, space)
-            groups[space].append(run)
+            groups[space].append((first, count))
 
     for length in sorted(histogram, reverse=True):
         rank, left = 0, histogram[length]
@@ -130,19 +130,55 @@ def plan_best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> list[t
                 first, count = groups[space].pop()
                 if not groups[space]:
                     free.pop(i)
-                used = min(left, count)
-                if count > used:
-                    add(space, (first + used, count - used))
             else:
                 space = capacity
-                used = -(-left // (capacity // length))
-                first, opened = opened, opened + used
-            plan.append((length, rank, rank + used, first, capacity - space))
-            add(space - length, (first, used))
-            rank, left = rank + used, left - used
+                first, count = opened, -(-left // (capacity // length))
+                opened += count
+            per = space // length
+            full = min(left // per, count)
+            rest = left - full * per if full < count else 0
+            for sequence, n, held in ((first, full, per), (first + full, 1, rest)):
+                if n and held:
+                    for j in range(held):
+                        plan.append((length, rank + j * n, rank + (j + 1) * n, sequence, capacity - space + j * length))
+                    add(space - held * length, sequence, n)
+                    rank, left = rank + n * held, left - n * held
+            used = full + (rest > 0)
+            add(space, first + used, count - used)
     return plan
 
 
+def with_slots(pieces: DataFrame, counts: DataFrame, plan: DataFrame) -> DataFrame:
+    """The pieces with rank_, their number within their length, and slot_, the row of the plan (length, first_, last_, ...) whose ranks hold it.
+
+    `counts` has n pieces for each length and task (part). A piece's rank is its number within its task plus the counts of earlier tasks. No
+    piece is shuffled unless the slots outgrow BROADCAST_BYTES."""
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base_"), "n")
+    # A task's pieces of one length hold consecutive ranks; cut these runs by the plan's before meeting the pieces.
+    overlap = (F.col("first_") < F.col("base_") + F.col("n")) & (F.col("last_") > F.col("base_"))
+    slot = F.struct(*[c for c in plan.columns if c != "length"])
+    # The plan's rows depend on the number of lengths, of which there are at most as many as a sequence has tokens.
+    runs = bases.join(F.broadcast(plan), "length").where(overlap)
+    runs = runs.groupBy("length", "part").agg(F.first("base_").alias("base_"), F.array_sort(F.collect_list(slot)).alias("runs_"))
+    runs = materialize(runs, "slots")
+    if (runs.agg(F.sum(8 * len(plan.columns) * F.size("runs_") + 48)).first()[0] or 0) <= BROADCAST_BYTES:
+        runs = F.broadcast(runs)
+    ranked = pieces.join(runs, ["length", "part"]).withColumn("rank_", F.col("base_") + F.col("nth"))
+    holds = F.filter("runs_", lambda r: (r["first_"] <= F.col("rank_")) & (F.col("rank_") < r["last_"]))[0]
+    return ranked.withColumn("slot_", holds).drop("runs_", "base_")
+
+
+def sequence_of(rank: F.Column, slot: str = "slot_") -> F.Column:
+    """The sequence of a ranked piece in its slot."""
+    return F.expr(f"{slot}.seq_") + F.floor((rank - F.expr(f"{slot}.first_")) / F.expr(f"{slot}.per_")).cast("long")
+
+
+def offset_of(rank: F.Column, slot: str = "slot_") -> F.Column:
+    """The offset of a ranked piece in its sequence: so many pieces of its length come before it in the slot."""
+    return F.expr(f"{slot}.offset_") + F.pmod(rank - F.expr(f"{slot}.first_"), F.expr(f"{slot}.per_")) * F.col("length")
+
+
 def best_fit_pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids, sequence_id, offset): all documents' pieces packed into few
     sequences of at most `capacity` tokens, without gaps from offset 0.
@@ -156,18 +192,6 @@ def best_fit_pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", v
     pieces = materialize(tokenized_pieces(docs, doc_id, text, vocabulary, capacity), "pieces")
     counts = materialize(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = spark.createDataFrame(plan_best_fit(histogram, capacity) or [(0, 0, 0, 0, 0)], "length long, first_ long, last_ long, seq_ long, offset long")
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base_"), "n")
-    # A task's pieces of one length hold consecutive ranks; cut these runs by the plan's before meeting the pieces.
-    overlap = (F.col("first_") < F.col("base_") + F.col("n")) & (F.col("last_") > F.col("base_"))
-    # The plan has a few rows for each different length, of which there are at most `capacity`.
-    runs = bases.join(F.broadcast(plan), "length").where(overlap)
-    runs = runs.groupBy("length", "part").agg(F.first("base_").alias("base_"), F.array_sort(F.collect_list(F.struct("first_", "last_", "seq_", "offset"))).alias("runs_"))
-    runs = materialize(runs, "slots")
-    if (runs.agg(F.sum(32 * F.size("runs_") + 48)).first()[0] or 0) <= BROADCAST_BYTES:
-        runs = F.broadcast(runs)
-    ranked = pieces.join(runs, ["length", "part"]).withColumn("rank_", F.col("base_") + F.col("nth"))
-    slot = F.filter("runs_", lambda r: (r["first_"] <= F.col("rank_")) & (F.col("rank_") < r["last_"]))[0]
-    placed = ranked.withColumn("slot_", slot)
-    return placed.select("doc_id", "piece", "start", "length", "ids", (F.col("slot_.seq_") + F.col("rank_") - F.col("slot_.first_")).alias("sequence_id"), F.col("slot_.offset").alias("offset"))
+    plan = spark.createDataFrame(plan_best_fit(histogram, capacity) or [(0, 0, 0, 0, 0)], "length long, first_ long, last_ long, seq_ long, offset_ long").withColumn("per_", F.lit(1))
+    rank = F.col("rank_")
+    return with_slots(pieces, counts, plan).select("doc_id", "piece", "start", "length", "ids", sequence_of(rank).alias("sequence_id"), offset_of(rank).alias("offset"))
