@@ -97,14 +97,15 @@ def clean_lines(docs: DataFrame, text: str = "text", most_lost: float = MOST_LOS
     Every line of a text is judged first; failing lines go; then a document is rejected when they held more than
     `most_lost` of its words, or when base_failed. Null and empty texts have no words, fail the base rule and stay
     null or empty. Each row is judged on its own where it is read, without a shuffle, so repeated rows and hot
-    sources cost nothing extra. Columns with these names are replaced; an empty table stays empty. A filter on any of the
+    sources cost nothing extra. Columns with these names are replaced, others may have any name; an empty table stays empty. A filter on any of the
     results leaves the plan as large as it is."""
     names = ["cleaned", "n_lost_words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     docs = docs.drop(*names)
     columns = docs.columns
-    judged = judged_lines(docs, text)
+    own = [f"in{i}_" for i in range(len(columns))]  # so that no column has the name of a working one
+    judged = judged_lines(docs.toDF(*own), own[columns.index(text)])
     judged = step(judged, n_lost_words=_sum(F.transform("lines_", lambda x: F.when(x["bad"], F.size(x["words"])).otherwise(0).cast("long"))))
     good = F.array_join(F.transform(F.filter("lines_", lambda x: ~x["bad"]), lambda x: x["line"]), "\n")
     kept = ~F.col("base_failed") & (F.col("n_lost_words") <= most_lost * F.col("n_words"))
-    judged = step(judged, cleaned=F.when(F.col("n_lost_words") > 0, good).otherwise(F.col(text)), kept=kept)
-    return judged.select(*columns, *names)
+    judged = step(judged, cleaned=F.when(F.col("n_lost_words") > 0, good).otherwise(F.col(own[columns.index(text)])), kept=kept)
+    return judged.select(*own, *names).toDF(*columns, *names)
