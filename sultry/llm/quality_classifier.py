@@ -14,6 +14,8 @@ from .common import map_batches, materialize, words_col
 
 #: Share of the pooled covariance in each class's, then of a multiple of the identity.
 POOLED, RIDGE = 0.1, 0.05
+#: The least multiple of the identity, for statistics that are all constant.
+FLOOR = 1e-6
 THRESHOLD = 0.3
 
 
@@ -89,7 +91,7 @@ def fit(training: DataFrame, pooled: float = POOLED, ridge: float = RIDGE) -> Di
     factors, offsets = [], []
     for y in (0, 1):
         c = (1 - pooled) * covariances[y] + pooled * shared
-        c = (1 - ridge) * c + ridge * np.trace(c) / d * np.eye(d)
+        c = (1 - ridge) * c + max(ridge * np.trace(c) / d, FLOOR) * np.eye(d)
         lower = np.linalg.cholesky(c)
         factors.append(np.linalg.inv(lower))
         offsets.append(np.log(n[y] / n.sum()) - np.log(np.diag(lower)).sum())
