@@ -20,7 +20,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 #: Bits a character from which a window of 20 characters of the class counts as random.
-LEAST = {"hex": 3.0, "mixed": 3.8, "lower": 3.5, "upper": 3.5, "letters": 4.0}
+LEAST = {"hex": 3.0, "mixhex": 3.1, "mixed": 3.8, "lower": 3.5, "upper": 3.5, "letters": 4.0}
 #: Strings that look random but are public by nature: identifiers, documentation examples, runs of an alphabet.
 ALLOWED = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|EXAMPLE|example|0123456789|abcdefghij|ABCDEFGHIJ")
 #: Places where a digit meets a letter, or a lower-case letter an upper-case one: few in words and numbers, many in random strings.
@@ -31,14 +31,14 @@ _C = [0.0] + [c * log2(c) for c in range(1, WINDOW + 2)]
 
 
 def char_class(s: str) -> str | None:
-    """hex: hexadecimal with digits and letters; mixed: digits, upper and lower case; lower, upper: digits and letters of one case;
+    """hex: hexadecimal with digits and letters; mixhex: the same with letters of both cases; mixed: digits, upper and lower case; lower, upper: digits and letters of one case;
     letters: upper and lower case in turn too often for words; else not judged."""
     digits = sum("0" <= c <= "9" for c in s)
     if digits and re.fullmatch("[0-9a-f]+|[0-9A-F]+", s):
         return "hex" if re.search("[a-fA-F]", s) else None
     upper, lower = re.search("[A-Z]", s), re.search("[a-z]", s)
     if digits and upper and lower:
-        return "mixed"
+        return "mixhex" if re.fullmatch("[0-9a-fA-F]+", s) else "mixed"
     if digits >= 2 and (upper or lower) and len(CHANGE.findall(s)) >= 3:
         return "upper" if upper else "lower"
     return "letters" if not digits and upper and lower and len(TURN.findall(s)) >= 4 else None
@@ -67,9 +67,9 @@ def entropy_spans(s: str, least: float, window: int = WINDOW) -> list[tuple[int,
     return out
 
 
-def _kinds(c: str) -> tuple[bool, bool, bool, bool, bool]:
-    """Whether a character is a digit, upper, lower, hexadecimal with small and with capital letters."""
-    return "0" <= c <= "9", "A" <= c <= "Z", "a" <= c <= "z", c in "0123456789abcdef", c in "0123456789ABCDEF"
+def _kinds(c: str) -> tuple[bool, bool, bool, bool, bool, bool]:
+    """Whether a character is a digit, upper, lower, hexadecimal with small, with capital and with either letters."""
+    return "0" <= c <= "9", "A" <= c <= "Z", "a" <= c <= "z", c in "0123456789abcdef", c in "0123456789ABCDEF", c in "0123456789abcdefABCDEF"
 
 
 _KINDS = {chr(i): _kinds(chr(i)) for i in range(128)}
@@ -83,7 +83,7 @@ def random_spans(s: str, whole: str | None = None) -> list[tuple[int, int]]:
     kind, and of the places where kinds change. Work is in proportion to the length."""
     out: list[tuple[int, int]] = []
     counts: dict[str, int] = {}
-    total, n = 0.0, [0, 0, 0, 0, 0]
+    total, n = 0.0, [0, 0, 0, 0, 0, 0]
     kinds = [_KINDS[c] for c in s]
     change = [False] + [(p[0] and (q[1] or q[2])) or (q[0] and (p[1] or p[2])) for p, q in zip(kinds, kinds[1:])]
     turn = [False] + [p[2] and q[1] for p, q in zip(kinds, kinds[1:])]
@@ -92,7 +92,7 @@ def random_spans(s: str, whole: str | None = None) -> list[tuple[int, int]]:
         k = counts.get(c, 0)
         counts[c] = k + 1
         total += _C[k + 1] - _C[k]
-        for x in range(5):
+        for x in range(6):
             n[x] += kinds[i][x]
         start = i - WINDOW + 1
         if start > 0:
@@ -100,7 +100,7 @@ def random_spans(s: str, whole: str | None = None) -> list[tuple[int, int]]:
             k = counts[old]
             counts[old] = k - 1
             total -= _C[k] - _C[k - 1]
-            for x in range(5):
+            for x in range(6):
                 n[x] -= kinds[start - 1][x]
             changes -= change[start]
             turns -= turn[start]
@@ -112,12 +112,12 @@ def random_spans(s: str, whole: str | None = None) -> list[tuple[int, int]]:
         bits = _LOG_WINDOW - total / WINDOW
         if bits < _LEAST_OF_ALL:
             continue
-        digits, upper, lower, small, capital = n
+        digits, upper, lower, small, capital, either = n
         kind, x, y = None, start, i + 1
         if digits and WINDOW in (small, capital):
             kind = "hex" if upper or lower else None
         elif digits and upper and lower:
-            kind = "mixed"
+            kind = "mixhex" if either == WINDOW else "mixed"
         elif digits >= 2 and (upper or lower) and changes >= 3:
             kind = "upper" if upper else "lower"
         elif not digits and upper and lower and turns >= 4:
@@ -172,7 +172,7 @@ def find_spans(text: str | None) -> list[dict]:
     for m in CANDIDATE.finditer(text):
         kind = char_class(m[0])
         allowed = merged([(m.start() + a.start(), m.start() + a.end()) for a in ALLOWED.finditer(m[0])])
-        whole = kind if kind in ("hex", "mixed") and not allowed else None
+        whole = kind if kind in ("hex", "mixhex", "mixed") and not allowed else None
         for x, y in outside(m.start(), m.end(), base):
             for start, end in outside(x, y, allowed):
                 if end - start >= WINDOW:
@@ -204,14 +204,24 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def redacted(text: str | None, mark: str) -> str | None:
+    """The text with `mark` in place of its spans; what lies between them is cut out once and joined once."""
+    out, at = [], 0
+    for span in find_spans(text):
+        if span["start"] >= at:
+            out += [text[at : span["start"]], mark]
+        at = max(at, span["end"])
+    return "".join([*out, text[at:]]) if out else text
+
+
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns with every secret span of the text replaced by `mark`; overlapping spans are
-    replaced once. Texts without secrets stay as they are."""
-    found = find_secrets(docs, text)
-    # Spans come by start: keep what lies between them, stepping over overlaps.
-    step = lambda acc, s: F.when(
-        s["start"] >= acc["at"], F.struct(F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"), s["end"].alias("at"))
-    ).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at")))
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    cut = F.aggregate(F.col("secrets"), begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
-    return found.withColumn(text, F.when(F.size("secrets") > 0, cut).otherwise(F.col(text))).drop("secrets")
+    replaced once. Texts without secrets stay as they are, null ones null. Time is in proportion to a text's length, however many spans it has."""
+    names = docs.columns
+    at = names.index(text)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        new = pa.array([redacted(t, mark) for t in batch.column(at).to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(batch.columns)], names)
+
+    return map_batches(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))

@@ -149,7 +149,7 @@ def entropy(text):
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text or ""):
         allowed = {m.start() + p for a in s.ALLOWED.finditer(m[0]) for p in range(a.start(), a.end())}
         kind = s.char_class(m[0])
-        whole = kind if kind in ("hex", "mixed") and not allowed else None
+        whole = kind if kind in ("hex", "mixhex", "mixed") and not allowed else None
         free = [p for p in range(m.start(), m.end()) if p not in taken and p not in allowed]
         runs, run = [], []
         for p in free:
