@@ -11,7 +11,10 @@ from . import oracles
 from .chat_tree import prefix_tree, read_back
 from .common import ship
 from .decontamination import find_leaks
+from .filter_audit import audit_filters
+from .hard_negatives import mine_hard_negatives
 from .ngram_jaccard import jaccard_components
+from .nnls_packing import nnls_pack
 from .packing import best_fit_pack
 from .quality_classifier import score_quality
 from .quality_rules import clean_lines
@@ -80,8 +83,23 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = nnls_pack(_table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return mine_hard_negatives(vectors, anchor=lambda vec_id: vec_id % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_sharding, op4_decontamination, op5_chat_formatting, op6_best_fit_packing, op7_substring_dedup, op8_ngram_jaccard, op9_quality_rules, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_sharding, op4_decontamination, op5_chat_formatting, op6_best_fit_packing, op7_substring_dedup, op8_ngram_jaccard, op9_quality_rules, op10_quality_classifier, op11_nnls_packing, op12_filter_audit, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
