@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import materialize
 
 PRODUCTION = "www.example.org"
+#: Values that split a bracket in a round of nearest_ranks, and the rows from which on its values are counted one by one.
+PROBES, NEAR = 63, 4096
 
 
 def production_rows(rows: DataFrame, host: str = PRODUCTION) -> DataFrame:
@@ -83,10 +86,46 @@ def attribution(rows: DataFrame, key: str, source: str, value: str) -> DataFrame
     return best.select(key, F.when(lost, "unknown").otherwise(F.col(f"b.{source}")).alias("attribution"), lost.alias("not_set_dominates"))
 
 
+def nearest_ranks(rows: DataFrame, group: str, value: str, percents: list[int], least: int = NEAR) -> DataFrame:
+    """Rows (group, percent, value): the least value that at least `percent` of a group's values do not exceed, exactly.
+
+    Each group and percent has a bracket of values that holds the wanted rank. A round takes PROBES values that split it about evenly, from a
+    sketch of fixed size, counts its rows up to each, and keeps the part between two of them that the rank falls into. When a bracket
+    holds `least` rows or one value, its values are counted one by one. No task holds a group, and brackets are a few rows for each group."""
+    rows = materialize(rows.select(F.col(group).alias("g_"), F.col(value).alias("v_")).where("v_ is not null").groupBy("g_", "v_").agg(F.count("*").alias("n_")), "values")
+    sizes = rows.groupBy("g_").agg(F.sum("n_").alias("in_"), F.min("v_").alias("low"), F.max("v_").alias("high"))
+    open_ = sizes.withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percents])))
+    # rank counts within the bracket, which is [low, high].
+    open_ = open_.withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("in_") * F.col("percent") / 100)).cast("long"))
+    open_, closed = materialize(open_.select("g_", "percent", "rank", "in_", "low", "high"), "brackets"), []
+    small = (F.col("in_") <= least) | (F.col("low") == F.col("high"))
+    inside = lambda brackets: rows.join(brackets, rows["g_"].eqNullSafe(brackets["b_"])).where("v_ between low and high")
+    shares = [i / (PROBES + 1) for i in range(1, PROBES + 1)]
+    while True:
+        closed.append(open_.where(small))
+        open_ = materialize(open_.where(~small), "open")
+        if open_.isEmpty():
+            break
+        named = open_.withColumnRenamed("g_", "b_")
+        # Frequent values count once here: probes only have to split what is left of different ones.
+        probes = inside(named).groupBy("b_", "percent").agg(F.array_distinct(F.percentile_approx("v_", shares, 1000)).alias("probes"))
+        probed = materialize(named.join(probes.withColumnsRenamed({"b_": "p_", "percent": "q_"}), (F.col("b_").eqNullSafe(F.col("p_"))) & (F.col("percent") == F.col("q_"))).drop("p_", "q_"), "probes")
+        part = F.size(F.filter("probes", lambda p: p < F.col("v_")))
+        counts = inside(probed).groupBy("b_", "percent", part.alias("part")).agg(F.sum("n_").alias("n"), F.min("v_").alias("low"), F.max("v_").alias("high"), F.first("rank").alias("rank"))
+        upto = F.sum("n").over(Window.partitionBy("b_", "percent").orderBy("part"))  # at most PROBES + 1 rows
+        hit = counts.withColumn("upto", upto).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
+        open_ = materialize(hit.select(F.col("b_").alias("g_"), "percent", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), F.col("n").alias("in_"), "low", "high"), "brackets")
+    last = inside(reduce(DataFrame.unionByName, closed).withColumnRenamed("g_", "b_"))
+    upto = F.sum("n_").over(Window.partitionBy("b_", "percent").orderBy("v_"))
+    return last.withColumn("upto", upto).where("upto >= rank").groupBy(F.col("b_").alias(group), "percent").agg(F.min("v_").alias(value))
+
+
 def latency_summary(rows: DataFrame, status: str, ms: str) -> DataFrame:
     """Count and nearest-rank p50, p95 and maximum by status."""
-    p = lambda q: F.expr(f"percentile_disc({q}) within group (order by {ms})")
-    return rows.groupBy(status).agg(F.count("*").alias("n"), p(0.5).alias("p50"), p(0.95).alias("p95"), F.max(ms).alias("max_ms"))
+    ranks = nearest_ranks(rows, status, ms, [50, 95]).withColumnRenamed(status, "s_")
+    ranks = ranks.groupBy("s_").agg(*[F.max(F.when(F.col("percent") == p, F.col(ms))).alias(f"p{p}") for p in (50, 95)])
+    counts = rows.groupBy(status).agg(F.count("*").alias("n"), F.max(ms).alias("max_ms"))
+    return counts.join(ranks, F.col(status).eqNullSafe(F.col("s_")), "left").select(status, "n", "p50", "p95", "max_ms")
 
 
 def ready_runs(index: DataFrame, run: str, need: list[tuple[int, str]]) -> DataFrame:
@@ -96,6 +135,21 @@ def ready_runs(index: DataFrame, run: str, need: list[tuple[int, str]]) -> DataF
     return hits.groupBy(run).agg(F.count("*").alias("n")).where(F.col("n") == len(need)).select(run)
 
 
+def run_readiness(index: DataFrame, runs: DataFrame, fields: list[str], mask: str) -> DataFrame:
+    """Rows (run, needed, listed, ready, wins) of runs (run, steps: the steps that each is needed for): a run is ready when its index lists every field for
+    each of its steps, and the mask for step 0; of the ready ones the newest wins.
+
+    Runs differ in their needs, so that these are rows, and the division counts what of them the index has."""
+    steps = runs.select("run", F.explode("steps").alias("step")).distinct()
+    needs = steps.withColumn("param", F.explode(F.array(*[F.lit(f) for f in fields])))
+    needs = needs.unionByName(runs.select("run", F.lit(0).alias("step"), F.lit(mask).alias("param"))).distinct()
+    listed = index.select("run", F.col("step").cast("int").alias("step"), "param").distinct().withColumn("there", F.lit(True))
+    counts = needs.join(listed, ["run", "step", "param"], "left").groupBy("run").agg(F.count("*").alias("needed"), F.count("there").alias("listed"))
+    counts = counts.withColumn("ready", F.col("needed") == F.col("listed"))
+    newest = counts.where("ready").agg(F.max("run").alias("newest"))
+    return counts.join(F.broadcast(newest)).select("run", "needed", "listed", "ready", (F.col("run").eqNullSafe(F.col("newest"))).alias("wins"))
+
+
 def status_changes(docs: DataFrame, key: str, time: str, fields: list[str]) -> DataFrame:
     """Rows whose fields differ from the key's row before; the first row counts as a change."""
     w = Window.partitionBy(key).orderBy(time)

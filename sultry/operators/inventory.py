@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..session import materialize
+from .numbering import grouped_rank
 
 CELL_DEG, RINGS, NEIGHBOURS = 0.5, 8, 8
+#: Cities from which on a cell is halved for its own, and how often at most.
+FULL, DEPTH = 64, 8
+FINGERPRINT = pa.schema([("key", pa.string()), ("fingerprint", pa.string())])
 HUB_KM, HUB_POPULATION, HUBS = 150.0, 20000, 2
 MATCH_KM, MATCH_DEG = 3.0, 0.05
 
@@ -35,39 +43,87 @@ def dedupe_slugs(cities: DataFrame) -> DataFrame:
 def nearest_cities(cities: DataFrame, key: str = "city_id", n: int = NEIGHBOURS, rings: int = RINGS, size: float = CELL_DEG) -> DataFrame:
     """The n nearest other cities within `rings` cells of `size` degrees in each direction, ordered by distance and key.
 
-    Cells block the join. Cities look at one ring of cells, then at twice as many each round; those with n neighbours nearer than the
-    rings cover are done. Only cells with cities are asked, as they are few beside the cells around in sparse country."""
-    wide = round(360 / size)
-    place = materialize(cities.select(key, "latitude", "longitude", geo.geo_cell(F.col("latitude"), size).alias("r"), geo.wrap_cell(geo.geo_cell(F.col("longitude"), size), size).alias("c")), "places")
-    other = place.select(F.col(key).alias("other"), F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2"), "r", "c")
+    Cells block the join. Where a cell holds more than FULL cities, its own look around in cells that have been halved until they hold fewer, and
+    those that find too few there in cells of twice the size, up to `size`; then at twice as many rings each round. Cities with n neighbours nearer than
+    their cells cover are done. Of cities at one point only the n + 1 with the least keys can be neighbours of others, or of each other, so that
+    neither dense country nor a stack of cities makes all pairs. Only cells with cities are asked, as they are few beside the cells around in sparse
+    country."""
+    place = materialize(cities.select(key, "latitude", "longitude"), "places")
+    stack = Window.partitionBy("latitude", "longitude").orderBy(key)
+    other = place.withColumn("nth_", F.row_number().over(stack)).where(F.col("nth_") <= n + 1)
+    other = materialize(other.select(F.col(key).alias("other"), F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2")), "others")
 
-    def within(points: DataFrame, reach: int) -> DataFrame:
+    def cells(lat: str, lon: str, s: float) -> list[Column]:
+        return [geo.geo_cell(F.col(lat), s).alias("r"), geo.wrap_cell(geo.geo_cell(F.col(lon), s), s).alias("c")]
+
+    def within(points: DataFrame, s: float, reach: int) -> DataFrame:
         side = F.sequence(F.lit(-reach), F.lit(reach))
+        points, others = points.select("*", *cells("latitude", "longitude", s)), other.select("*", *cells("lat2", "lon2", s))
         # Cities of one cell ask for the same cells, so that cells are paired first.
-        cells = points.select("r", "c").distinct().select("r", "c", F.explode(side).alias("dr")).select("*", F.explode(side).alias("dc"))
-        cells = cells.select(F.col("r").alias("r0"), F.col("c").alias("c0"), (F.col("r") + F.col("dr")).alias("r"), F.pmod(F.col("c") + F.col("dc"), F.lit(wide)).cast("int").alias("c")).distinct()
-        cells = cells.join(place.select("r", "c").distinct(), ["r", "c"])
-        asks = points.withColumnsRenamed({"r": "r0", "c": "c0"}).join(cells, ["r0", "c0"]).select(key, "latitude", "longitude", "r", "c")
+        asked = points.select("r", "c").distinct().select("r", "c", F.explode(side).alias("dr")).select("*", F.explode(side).alias("dc"))
+        asked = asked.select(F.col("r").alias("r0"), F.col("c").alias("c0"), (F.col("r") + F.col("dr")).alias("r"), F.pmod(F.col("c") + F.col("dc"), F.lit(round(360 / s))).cast("int").alias("c")).distinct()
+        asked = asked.join(others.select("r", "c").distinct(), ["r", "c"])
+        asks = points.withColumnsRenamed({"r": "r0", "c": "c0"}).join(asked, ["r0", "c0"]).select(key, "latitude", "longitude", "r", "c")
         km = geo.haversine_km(F.col("latitude"), F.col("longitude"), F.col("lat2"), F.col("lon2"))
-        near = asks.join(other, ["r", "c"]).where(F.col(key) != F.col("other")).select(key, "latitude", "other", km.alias("km"))
+        near = asks.join(others, ["r", "c"]).where(F.col(key) != F.col("other")).select(key, "latitude", "other", km.alias("km"))
         w = Window.partitionBy(key).orderBy("km", "other")
         return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
-    out, left, reach = None, place, 1
+    def settled(found: DataFrame, s: float, reach: int) -> DataFrame:
+        covered = F.lit(s * 111.19 * reach) * F.least(F.lit(1.0), F.cos(F.radians("latitude")))
+        return found.groupBy(key).agg(F.count("*").alias("n"), F.max("km").alias("far"), F.first(covered).alias("covered")).where((F.col("n") == n) & (F.col("far") <= F.col("covered"))).select(key)
+
+    out, left, waiting = [], place, None
+    for level, points in _crowded(place, other, cells, size):
+        # What a finer round left over asks again in cells of twice the size.
+        asking = points if waiting is None else points.unionByName(waiting)
+        s = size / 2**level
+        found = materialize(within(asking, s, 1), "near")
+        done = materialize(settled(found, s, 1), "done")
+        out.append(found.join(done, key))
+        waiting = asking.join(done, key, "left_anti")
+        left = left.join(done, key, "left_anti")
+    reach = _first_reach(place, n, rings, size)
     while True:
-        found = materialize(within(left, reach), "near")
+        found = materialize(within(left, size, reach), "near")
         if reach < rings:
-            covered = F.lit(size * 111.19 * reach) * F.least(F.lit(1.0), F.cos(F.radians("latitude")))
-            done = found.groupBy(key).agg(F.count("*").alias("n"), F.max("km").alias("far"), F.first(covered).alias("covered")).where((F.col("n") == n) & (F.col("far") <= F.col("covered"))).select(key)
-            left = left.join(done, key, "left_anti")
+            done = settled(found, size, reach)
+            left = materialize(left.join(done, key, "left_anti"), "left")
             found = found.join(done, key)
-        found = found.select(key, "other", "km", "rank")
-        out = found if out is None else out.unionByName(found)
+        out.append(found)
         if reach == rings:
-            return out
+            return reduce(DataFrame.unionByName, [f.select(key, "other", "km", "rank") for f in out])
         reach = min(2 * reach, rings)
 
 
+def _crowded(place: DataFrame, other: DataFrame, cells, size: float) -> Iterator[tuple[int, DataFrame]]:
+    """(level, places) from the finest level down to 1: the places whose cell holds more than FULL cities at every coarser level and no more at this one,
+    or at DEPTH in any case. A cell of level k has size / 2**k degrees."""
+    crowd, found = other, []
+    names = ["latitude", "longitude"]
+    for level in range(DEPTH + 1):
+        here = crowd.select("lat2", "lon2", *cells("lat2", "lon2", size / 2**level))
+        full = here.groupBy("r", "c").agg(F.count("*").alias("n")).where(F.col("n") > FULL).select("r", "c") if level < DEPTH else None
+        points = place.join(crowd.select(F.col("lat2").alias("latitude"), F.col("lon2").alias("longitude")).distinct(), names, "left_semi") if level else None
+        if full is None or (full := materialize(full, "full")).isEmpty():
+            found.append((level, points))
+            break
+        rest = here.join(full, ["r", "c"], "left_semi").select("lat2", "lon2").distinct()
+        crowd = materialize(rest, "crowd")
+        if level:
+            found.append((level, points.join(crowd.select(F.col("lat2").alias("latitude"), F.col("lon2").alias("longitude")), names, "left_anti")))
+    return iter([(level, points) for level, points in reversed(found) if level])
+
+
+def _first_reach(place: DataFrame, n: int, rings: int, size: float) -> int:
+    """Rings of cells that hold n cities where these lie evenly in the box around them all: fewer rounds find nothing."""
+    total, *box = place.agg(F.count("*"), F.max("latitude") - F.min("latitude"), F.max("longitude") - F.min("longitude")).first()
+    if not total:
+        return rings
+    in_cell = total / max(1.0, (box[0] / size) * (box[1] / size))
+    return max(1, min(rings, round(math.sqrt(n / in_cell) / 2)))
+
+
 def hubs_nearby(cities: DataFrame, neighbours: DataFrame, key: str = "city_id", n: int = HUBS, most_km: float = HUB_KM) -> DataFrame:
     """Up to n hubs, cities of HUB_POPULATION or more, within most_km that are not neighbours already; the most populous first."""
     reach = int(most_km / 111.0) + 1
@@ -135,9 +191,9 @@ def unique_identity(old: DataFrame, new: DataFrame, on: list[str], key: str) ->
 
 
 def sitemap_parts(paths: DataFrame, group: str = "country", most: int = 9999) -> DataFrame:
-    """Numbered parts of at most `most` paths for each group, in path order."""
-    nth = F.row_number().over(Window.partitionBy(group).orderBy("path"))
-    return paths.withColumn("part", (F.floor((nth - 1) / most) + 1).cast("int"))
+    """Numbered parts of at most `most` paths for each group, in path order; a large group is numbered by many tasks."""
+    nth = grouped_rank(paths, [group], ["path"], "nth_")
+    return nth.withColumn("part", (F.floor(F.col("nth_") / most) + 1).cast("int")).drop("nth_")
 
 
 def region_buckets(cities: DataFrame, most: int = 96, aim: int = 48, tries: int = 8) -> DataFrame:
@@ -186,8 +242,22 @@ def search_match(log: DataFrame, index: DataFrame, gram: int = 3) -> DataFrame:
 
 
 def fingerprints(lines: DataFrame, key: str, line: str) -> DataFrame:
-    """(key, fingerprint): SHA-256 over the SHA-256 of each of 256 parts of a key's lines, sorted; a line's part is the first two digits of its own
-    SHA-256, so that no row gathers more than a part."""
-    part = F.substring(F.sha2(line, 256), 1, 2)
-    parts = lines.groupBy(key, part.alias("part_")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256).alias("h_"))
-    return parts.groupBy(key).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("part_", "h_"))), ""), 256).alias("fingerprint"))
+    """(key, fingerprint): SHA-256 of each key's lines in order, one after the other.
+
+    A digest takes bytes in one order only, so a key's lines pass through one task. They come sorted, by a sort that spills, and each updates
+    the digest and is forgotten: such a task may be long, but holds one line at a time."""
+    rows = lines.select(F.col(key).cast("string").alias("key"), F.col(line).alias("line")).repartition("key").sortWithinPartitions("key", "line")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, running = None, None
+        for batch in batches:
+            for k, text_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if running is None or k != current:
+                    if running is not None:
+                        yield pa.RecordBatch.from_pydict({"key": [current], "fingerprint": [running.hexdigest()]}, FINGERPRINT)
+                    current, running = k, hashlib.sha256()
+                running.update((text_ or "").encode())
+        if running is not None:
+            yield pa.RecordBatch.from_pydict({"key": [current], "fingerprint": [running.hexdigest()]}, FINGERPRINT)
+
+    return rows.mapInArrow(digest, "key string, fingerprint string").withColumnRenamed("key", key)

@@ -18,3 +18,24 @@ def global_rank(df: DataFrame, order: str, name: str) -> DataFrame:
     before = counts.select("part_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base_"))
     within = F.row_number().over(Window.partitionBy("part_").orderBy(order)) - 1
     return ranged.withColumn("within_", within).join(before, "part_").withColumn(name, F.col("base_") + F.col("within_")).drop("part_", "within_", "base_")
+
+
+def grouped_rank(df: DataFrame, group: list[str], order: list[str], name: str, parts: int | None = None) -> DataFrame:
+    """Adds the rank, from 0, of each row within its group by `order` (unique within a group).
+
+    Rows are dealt by ranges of (group, order), so that a hot group covers as many partitions as it has rows for, and written once. A row's
+    rank is its number within its partition's part of the group plus the rows that earlier partitions have of it: a sum over a row for each group and
+    partition that meet."""
+    keys = [*group, *order]
+    ranged = (df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)).withColumn("part_", F.spark_partition_id())
+    ranged = materialize(ranged, "ranged")
+    counts = ranged.groupBy(*group, "part_").agg(F.count("*").alias("n_"))
+    earlier = Window.partitionBy(*group).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*group, "part_", F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("base_"))
+    within = F.row_number().over(Window.partitionBy("part_", *group).orderBy(*order)) - 1
+    # Groups may be null; the names of the counted side keep the join's sides apart.
+    side = before.select(*[F.col(g).alias(f"{g}_of_") for g in group], F.col("part_").alias("part_of_"), "base_")
+    same = F.col("part_") == F.col("part_of_")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"{g}_of_"))
+    return ranged.withColumn("within_", within).join(side, same).select(*df.columns, (F.col("base_") + F.col("within_")).alias(name))

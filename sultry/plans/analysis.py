@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -174,27 +175,43 @@ def agg_latency_summary(spark, d):
     return an.latency_summary(_events(spark, d), "event_type", "value")
 
 
-INDEX = "idx AS (SELECT DISTINCT concat('run', CAST(l_suppkey % 8 AS VARCHAR)) AS run, CAST(l_linenumber AS INT) AS step, CASE l_partkey % 3 WHEN 0 THEN '2t' WHEN 1 THEN '2d' ELSE 'sp' END AS param FROM lineitem WHERE l_suppkey % 8 <> 3 OR l_linenumber <> 5)"
+#: Eight runs six hours apart. Run 3 has no index for step 5, run 7 no mask, run 1 has step 4 in another stream and run 5 step 2 of the day before.
+INDEX = """idx AS (SELECT DISTINCT l_suppkey % 8 AS k, CAST(l_linenumber AS INT) AS step, CASE l_partkey % 3 WHEN 0 THEN '2t' WHEN 1 THEN '2d' ELSE 'sp' END AS param FROM lineitem WHERE l_suppkey % 8 <> 3 OR l_linenumber <> 5
+UNION SELECT DISTINCT l_suppkey % 8, 0, 'lsm' FROM lineitem WHERE l_suppkey % 8 <> 7),
+listed AS (SELECT TIMESTAMP '2024-01-01' + to_hours(CAST(6 * k AS BIGINT)) AS run, k, step, param FROM idx WHERE NOT (k = 1 AND step = 4) AND NOT (k = 5 AND step = 2))"""
 
 
 def _index(spark, d):
-    li = fx.table(spark, d, "lineitem").where("l_suppkey % 8 <> 3 or l_linenumber <> 5")
-    p = F.col("l_partkey") % 3
-    return li.select(F.concat(F.lit("run"), (F.col("l_suppkey") % 8).cast("string")).alias("run"), F.col("l_linenumber").cast("int").alias("step"), F.when(p == 0, "2t").when(p == 1, "2d").otherwise("sp").alias("param")).distinct()
+    """Index lines of the runs as they lie in files (run, for_step, value), some of them broken, of another stream or of another day."""
+    k, p = F.col("k"), F.col("l_partkey") % 3
+    li = fx.table(spark, d, "lineitem").withColumn("k", F.col("l_suppkey") % 8)
+    rows = li.where("k <> 3 or l_linenumber <> 5").select("k", F.col("l_linenumber").cast("int").alias("step"), F.when(p == 0, "2t").when(p == 1, "2d").otherwise("sp").alias("param"))
+    rows = rows.union(li.where("k <> 7").select("k", F.lit(0), F.lit("lsm"))).distinct().withColumn("run", _run_time(k))
+    day = F.when((k == 5) & (F.col("step") == 2), F.timestamp_add("DAY", F.lit(-1), F.col("run"))).otherwise(F.col("run"))
+    stream = F.when((k == 1) & (F.col("step") == 4), "enfo").otherwise("oper")
+    line = F.to_json(F.struct(F.date_format(day, "yyyyMMdd").alias("date"), F.date_format("run", "HH00").alias("time"), F.lit("fc").alias("type"), stream.alias("stream"), F.lit("sfc").alias("levtype"), "param", "step", (F.col("step") + 100).alias("_length")))
+    lines = rows.select("run", F.col("step").alias("for_step"), line.alias("value"))
+    broken = fx.table(spark, d, "nation").select(_run_time(F.lit(0)).alias("run"), F.lit(0).alias("for_step"), F.concat(F.lit("{bad "), "n_name").alias("value"))
+    return lines.union(broken)
 
 
-@R.add("src_run_index", f"WITH {INDEX} SELECT run, step, param, CAST(100 + step AS BIGINT) AS length FROM idx WHERE step % 4 <> 0")
+def _run_time(k):
+    return F.timestamp_add("HOUR", (6 * k).cast("int"), _ts("2024-01-01"))
+
+
+@R.add("src_run_index", f"WITH {INDEX} SELECT CAST(run AS TIMESTAMP) AS run, step, param, CAST(100 + step AS BIGINT) AS length FROM listed")
 def src_run_index(spark, d):
-    """JSON lines, some of them broken or of another stream."""
-    line = F.to_json(F.struct(F.col("run").alias("date"), F.lit("00").alias("time"), F.lit("fc").alias("type"), F.when(F.col("step") % 4 == 0, "enfo").otherwise("oper").alias("stream"), F.lit("sfc").alias("levtype"), "param", "step", (F.col("step") + 100).alias("_length")))
-    lines = _index(spark, d).select(line.alias("value"))
-    broken = fx.table(spark, d, "nation").select(F.concat(F.lit("{bad "), "n_name").alias("value"))
-    return files.run_index(lines.union(broken)).select(F.col("date").alias("run"), "step", "param", "length")
+    return files.run_index(_index(spark, d)).select("run", "step", "param", "length")
 
 
-@R.add("agg_run_ready", f"WITH {INDEX} SELECT run FROM idx WHERE step BETWEEN 1 AND 7 GROUP BY run HAVING count(*) = 21")
+@R.add("agg_run_ready", f"""WITH {INDEX}, runs AS (SELECT k, TIMESTAMP '2024-01-01' + to_hours(6 * k) AS run FROM range(8) t(k)),
+needs AS (SELECT run, s.step, p.param FROM runs, LATERAL (SELECT unnest(range(1 + k % 2, 8)) AS step) s, (VALUES ('2t'), ('2d'), ('sp')) p(param) UNION SELECT run, 0, 'lsm' FROM runs),
+c AS (SELECT needs.run, count(*) AS needed, count(listed.run) AS listed FROM needs LEFT JOIN listed USING (run, step, param) GROUP BY 1)
+SELECT CAST(run AS TIMESTAMP) AS run, needed, listed, needed = listed AS ready, run IS NOT DISTINCT FROM (SELECT max(run) FROM c WHERE needed = listed) AS wins FROM c""")
 def agg_run_ready(spark, d):
-    return an.ready_runs(_index(spark, d), "run", [(s, p) for s in range(1, 8) for p in ("2t", "2d", "sp")])
+    """Every other run needs its steps from 2 on, the rest from 1; all need the mask."""
+    runs = spark.range(8).select(_run_time(F.col("id")).alias("run"), F.sequence((1 + F.col("id") % 2).cast("int"), F.lit(7)).alias("steps"))
+    return an.run_readiness(src_run_index(spark, d), runs, ["2t", "2d", "sp"], "lsm")
 
 
 @R.add("src_byte_ranges", """WITH r AS (SELECT concat('f', CAST(o_custkey % 20 AS VARCHAR)) AS file, o_orderkey AS line, o_orderkey * 1000 AS start FROM orders), e AS (SELECT *, lead(start) OVER (PARTITION BY file ORDER BY line) - 1 AS "end" FROM r) SELECT file, line, start, 'TMP' AS field, 'surface' AS level, "end" FROM e WHERE "end" IS NOT NULL""")
@@ -396,11 +413,12 @@ def stream_budget_status(spark, d):
 
 @R.add("batch_minute_rate", "SELECT a.event_id, count(*) AS in_minute FROM events a JOIN events b ON b.ts <= a.ts AND b.ts > a.ts - INTERVAL 1 MINUTE GROUP BY 1")
 def batch_minute_rate(spark, d):
-    """Batch twin: attempts in the minute up to each one. Each attempt looks into its own and the minute before."""
-    e = _events(spark, d).select("event_id", "ts", F.floor(F.unix_micros("ts") / 60000000).alias("m"))
-    other = e.select(F.col("ts").alias("t2"), F.explode(F.array("m", F.col("m") + 1)).alias("m"))
-    near = e.join(other, "m").where((F.col("t2") <= F.col("ts")) & (F.unix_micros("ts") - F.unix_micros("t2") < 60000000))
-    return near.groupBy("event_id").agg(F.count("*").alias("in_minute"))
+    """Batch twin: attempts in the minute up to each one. Times are counted once, each meets its own and the next minute, and a sliding frame adds up."""
+    e = _events(spark, d).select("event_id", F.unix_micros("ts").alias("us"))
+    n = e.groupBy("us").agg(F.count("*").alias("n")).withColumn("m", F.floor(F.col("us") / 60_000_000))
+    both = n.withColumn("own", F.lit(True)).unionByName(n.withColumn("m", F.col("m") + 1).withColumn("own", F.lit(False)))
+    upto = Window.partitionBy("m").orderBy("us").rangeBetween(-59_999_999, 0)
+    return e.join(both.withColumn("in_minute", F.sum("n").over(upto)).where("own"), "us").select("event_id", "in_minute")
 
 
 PANELS = "pn AS (SELECT event_id, user_id % 12 AS panel, ts AS seen, event_type AS outcome, CASE WHEN event_type = 'error' THEN 'down' WHEN value > 15 THEN 'degraded' ELSE 'ok' END AS status FROM events)"

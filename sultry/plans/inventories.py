@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators import inventory as inv
+from ..operators.numbering import global_rank, grouped_rank
 from ..session import materialize
 from ..sources import files, sinks
 from . import fixtures as fx
@@ -205,8 +206,6 @@ def validate_climate_context(spark, d):
 @R.add("win_dense_cell_index", C + f", {CLIMATE}, f AS (SELECT cell_row, cell_col, min(city_id) AS first FROM cc WHERE tenths IS NOT NULL GROUP BY 1, 2) SELECT cell_row, cell_col, CAST(row_number() OVER (ORDER BY first) - 1 AS INT) AS idx FROM f")
 def win_dense_cell_index(spark, d):
     """Cells numbered by their first city; the index covers one value a cell, ordered by range and counted across partitions."""
-    from ..operators.numbering import global_rank
-
     f = climate(spark, d).where("tenths is not null").groupBy("cell_row", "cell_col").agg(F.min("city_id").alias("first"))
     return global_rank(f, "first", "idx").select("cell_row", "cell_col", F.col("idx").cast("int").alias("idx"))
 
@@ -271,7 +270,7 @@ def agg_country_region(spark, d):
     return _c(spark, d).rollup("country", "state").agg(F.count("*").alias("n"))
 
 
-@R.add("agg_inventory_fingerprint", C + f", {DEDUPED}, ln AS (SELECT country, concat(path, chr(9), printf('%.4f', latitude), chr(9), printf('%.4f', longitude), chr(10)) AS line FROM ded), pt AS (SELECT country, substr(sha256(line), 1, 2) AS part, sha256(string_agg(line, '' ORDER BY line)) AS h FROM ln GROUP BY 1, 2) SELECT country, sha256(string_agg(concat(part, h), '' ORDER BY part)) AS fingerprint FROM pt GROUP BY 1")
+@R.add("agg_inventory_fingerprint", C + f", {DEDUPED}, ln AS (SELECT country, concat(path, chr(9), printf('%.4f', latitude), chr(9), printf('%.4f', longitude), chr(10)) AS line FROM ded) SELECT country, sha256(string_agg(line, '' ORDER BY line)) AS fingerprint FROM ln GROUP BY 1")
 def agg_inventory_fingerprint(spark, d):
     line = F.concat(F.concat_ws("\t", "path", F.format_string("%.4f", "latitude"), F.format_string("%.4f", "longitude")), F.lit("\n"))
     return inv.fingerprints(deduped(spark, d).select("country", line.alias("line")), "country", "line")
@@ -303,11 +302,22 @@ def win_sitemap_parts(spark, d):
     return inv.sitemap_parts(deduped(spark, d), most=20).groupBy("country", "part").agg(F.count("*").alias("n"), F.min("path").alias("first"))
 
 
-@R.add("sink_sitemaps", C + f", {DEDUPED} SELECT concat(country, '-', CAST(part AS VARCHAR)) AS member, count(*) AS n, min(path) AS first FROM (SELECT country, path, CAST((row_number() OVER (PARTITION BY country ORDER BY path) - 1) // 20 + 1 AS INT) AS part FROM ded) GROUP BY 1")
+_WET = "/wetbulb-temperature/"
+_PARTS = f"""parts AS (SELECT concat(country, '-', CAST((row_number() OVER (PARTITION BY country ORDER BY path) - 1) // 20 + 1 AS VARCHAR)) AS member, path FROM ded),
+cats AS (SELECT concat('{_WET}', {SLUG.format('country')}, '/') AS path FROM ded UNION SELECT concat('{_WET}', {SLUG.format('country')}, '/', {SLUG.format('state')}, '/') FROM ded),
+members AS (SELECT * FROM parts UNION ALL SELECT 'categories', path FROM cats UNION ALL SELECT 'main', unnest(['/', '{_WET}']))"""
+
+
+@R.add("sink_sitemaps", C + f", {DEDUPED}, {_PARTS} SELECT member, count(*) AS n, min(path) AS first FROM members GROUP BY 1 UNION ALL SELECT 'index', count(DISTINCT member), concat('/sitemaps/', min(member), '.xml') FROM members")
 def sink_sitemaps(spark, d):
-    """Url entries written in one folder for each country and part of 20, and read back."""
-    lines = sinks.sitemaps(inv.sitemap_parts(deduped(spark, d), most=20), "https://www.example.org")
-    path = F.regexp_extract("value", r"^<url><loc>https://www\.example\.org(/[^<]*)</loc></url>$", 1)
+    """The main pages, the categories and parts of 20 paths of each country, with an index of them, written as one version and read back."""
+    cities = deduped(spark, d)
+    parts = inv.sitemap_parts(cities, most=20).select(F.concat_ws("-", "country", "part").alias("member"), "path")
+    top = ["/", _WET]
+    categories = set_category_routes(spark, d).where(~F.col("path").isin(top)).select(F.lit("categories").alias("member"), "path")
+    main = spark.createDataFrame([("main", p) for p in top], "member string, path string")
+    lines = sinks.sitemap_set(parts.union(categories).union(main), "https://www.example.org", fx.folder(spark, "sitemaps"))
+    path = F.regexp_extract("value", r"^<(?:url|sitemap)><loc>https://www\.example\.org(/[^<]*)</loc></(?:url|sitemap)>$", 1)
     return lines.groupBy("member").agg(F.count("*").alias("n"), F.min(path).alias("first"))
 
 
@@ -402,15 +412,13 @@ def select_popular(spark, d):
 
 @R.add("win_ordered_directory", C + f", {DEDUPED} SELECT country, path, CAST(row_number() OVER (PARTITION BY country ORDER BY name, path) AS INT) AS nth FROM ded")
 def win_ordered_directory(spark, d):
-    w = Window.partitionBy("country").orderBy(F.collate("name", "UNICODE"), "path")
-    return deduped(spark, d).select("country", "path", F.row_number().over(w).alias("nth"))
+    rows = deduped(spark, d).select("country", "path", F.collate("name", "UNICODE").alias("name"))
+    return grouped_rank(rows, ["country"], ["name", "path"], "nth").select("country", "path", (F.col("nth") + 1).cast("int").alias("nth"))
 
 
 @R.add("win_shard_slice", C + " SELECT city_id FROM (SELECT city_id, row_number() OVER (ORDER BY city_id) AS r FROM cities) WHERE (r - 1) % 7 = 3")
 def win_shard_slice(spark, d):
     """Every seventh row from the fourth, by a rank counted across partitions."""
-    from ..operators.numbering import global_rank
-
     return global_rank(_c(spark, d).select("city_id"), "city_id", "nth").where("nth % 7 = 3").select("city_id")
 
 

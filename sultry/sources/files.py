@@ -99,9 +99,14 @@ def envelopes(lines: DataFrame) -> DataFrame:
 
 
 def run_index(lines: DataFrame) -> DataFrame:
-    """JSON-lines field index: forecasts of the operational stream at the surface with a positive length; bad lines are skipped."""
+    """JSON-lines field index: forecasts of the operational stream at the surface with a positive length; bad lines are skipped. Lines with the run (a time)
+    and the step that their file is for count only where they name the same date, hour and step: an index of another run left in place lists nothing."""
     row = F.from_json("value", "date string, time string, type string, stream string, levtype string, param string, step int, _length long")
-    return lines.select(row.alias("r")).where("r.type = 'fc' and r.stream = 'oper' and r.levtype = 'sfc' and r._length > 0").select("r.date", "r.time", "r.param", "r.step", F.col("r._length").alias("length"))
+    named = [c for c in ("run", "for_step") if c in lines.columns]
+    rows = lines.select(*named, row.alias("r")).where("r.type = 'fc' and r.stream = 'oper' and r.levtype = 'sfc' and r._length > 0 and r.param is not null")
+    if named:
+        rows = rows.where((F.col("r.date") == F.date_format("run", "yyyyMMdd")) & (F.col("r.time") == F.date_format("run", "HH00")) & (F.col("r.step") == F.col("for_step")))
+    return rows.select(*[c for c in named if c == "run"], "r.date", "r.time", "r.param", "r.step", F.col("r._length").alias("length"))
 
 
 def byte_ranges(lines: DataFrame) -> DataFrame:

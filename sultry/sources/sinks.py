@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, shared_dir
@@ -69,6 +69,41 @@ def sitemaps(parts: DataFrame, base: str, path: str | None = None) -> DataFrame:
     return parts.sparkSession.read.schema("value string, member string").text(path)
 
 
+def _point(spark: SparkSession, pointer: str, target: str) -> None:
+    """Makes the file `pointer` name `target`, by a rename over the old one: readers see either."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    files = jvm.org.apache.hadoop.fs
+    new = f"{pointer}-{uuid.uuid4().hex}"
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    out = files.Path(new).getFileSystem(conf).create(files.Path(new))
+    out.write(target.encode())
+    out.close()
+    rename = getattr(files, "Options$Rename")
+    over = gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    files.FileContext.getFileContext(files.Path(pointer).toUri(), conf).rename(files.Path(new), files.Path(pointer), over)
+
+
+def sitemap_set(pages: DataFrame, base: str, root: str) -> DataFrame:
+    """Writes the url entries of pages (member, path) in one folder for each member, then an index of the members that are there, and then lets
+    `root`/current name this version. Whoever reads meanwhile, or after a run that failed, finds the version before, whole."""
+    spark, version = pages.sparkSession, uuid.uuid4().hex
+    loc = lambda kind, path: F.concat(F.lit(f"<{kind}><loc>{base}"), path, F.lit(f"</loc></{kind}>"))
+    folder = f"{root}/{version}"
+    pages.select("member", loc("url", F.col("path")).alias("value")).repartition("member").write.partitionBy("member").text(f"{folder}/members")
+    members = spark.read.schema("value string, member string").text(f"{folder}/members").select("member").distinct()
+    members.orderBy("member").select(loc("sitemap", F.concat(F.lit("/sitemaps/"), "member", F.lit(".xml"))).alias("value")).write.text(f"{folder}/index")
+    _point(spark, f"{root}/current", version)
+    return read_sitemaps(spark, root)
+
+
+def read_sitemaps(spark: SparkSession, root: str) -> DataFrame:
+    """Rows (member, value) of the current version, its index as a member of that name."""
+    folder = f"{root}/{spark.read.text(f'{root}/current').first()[0]}"
+    members = spark.read.schema("value string, member string").text(f"{folder}/members").select("member", "value")
+    return members.union(spark.read.text(f"{folder}/index").select(F.lit("index"), "value"))
+
+
 def search_index(rows: DataFrame, path: str | None = None) -> DataFrame:
     """Entries of a search index as JSON lines."""
     path = _path(rows, path, "index")
