@@ -97,14 +97,15 @@ def failure_masks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     return fails(rows.join(hashes, "hash_", "left_anti").join(alone, "hash_", "left")).union(fails(text_flags(told)))
 
 
-def orders() -> list[tuple[str, int, int, int]]:
-    """(filter_order, step, bit, before): every order of the filters, step by step; before is the mask of the filters already applied."""
+def orders() -> list[tuple[int, str, int, bool, bool]]:
+    """(mask, filter_order, step, has, met): for each mask of failed filters and every order of the filters, step by step, whether the step's filter is
+    among the failed, and whether one of those applied before is."""
     out = []
     for order in permutations(FILTERS):
         before = 0
         for step, f in enumerate(order, 1):
             bit = 1 << FILTERS.index(f)
-            out.append(("".join(order), step, bit, before))
+            out += [(mask, "".join(order), step, mask & bit != 0, mask & before != 0) for mask in range(1 << len(FILTERS))]
             before |= bit
     return out
 
@@ -115,7 +116,7 @@ def audit_filters(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
 
     Each document has a mask of the filters that it fails, its part and its labels; counts of these, which add up, are all that the orders need:
     a step removes the masks with its bit and none of the bits before. A document's removals over all orders go evenly to the filters it
-    fails. The table of orders has 600 rows.
+    fails. The table of orders has 600 rows for each of 32 masks.
 
     Null texts are empty; a null part is the empty string; null ids fail E never and have no label; repeated rows count each, and equal ids are not
     smaller than each other; of several labels of one document each counts where it is 1 once; an empty table gives no rows; other columns are ignored."""
@@ -126,17 +127,16 @@ def audit_filters(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     marked = masks.join(materialize(known, "labels"), "id_", "left")
     n = F.count("*").alias("n")
     counts = materialize(marked.groupBy("part_", "mask").agg(n, F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")), "counts")
-    plan = spark.createDataFrame(orders(), "filter_order string, step int, bit int, before int")
-    has, met = F.col("mask").bitwiseAND(F.col("bit")) != 0, F.col("mask").bitwiseAND(F.col("before")) != 0
+    plan = spark.createDataFrame(orders(), "mask int, filter_order string, step int, has boolean, met boolean")
+    has, met = F.col("has"), F.col("met")
     total = lambda when, c, name: F.sum(F.when(when, F.col(c)).otherwise(0)).cast("long").alias(name)
     share = F.lit(factorial(len(FILTERS))) * F.col("n") / F.bit_count("mask")
-    # Every mask meets every step, at most 32 by 600 rows for each part, which are summed at once.
-    steps = counts.join(F.broadcast(plan.withColumn("one_", F.lit(1))), F.lit(1) == F.col("one_"))
+    steps = counts.join(F.broadcast(plan), "mask")  # 600 rows for each of a part's at most 32 masks, which are summed at once
     return steps.groupBy(F.col("part_").alias("part"), "filter_order", "step").agg(
         total(~has & ~met, "n", "kept"),
         total(has & ~met, "n", "removed"),
         total(has & met, "n", "redundant"),
-        total(F.col("mask") == F.col("bit"), "n", "unique_fails"),
+        total(has & (F.bit_count("mask") == 1), "n", "unique_fails"),
         total(has & ~met, "good", "good_lost"),
         total(has & ~met, "toxic", "toxic_lost"),
         F.sum(F.when(has, share.cast("long")).otherwise(0)).cast("long").alias("shapley"),
