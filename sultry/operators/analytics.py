@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..session import materialize
+from .checks import guarded, guarded_total
 
 PRODUCTION = "www.example.org"
 #: Values that split a bracket in a round of nearest_ranks, and the rows from which on its values are counted one by one.
@@ -41,6 +42,52 @@ def dimension_rollup(rows: DataFrame, dimension: str, metric: str = "sessions")
     return production_rows(rows).groupBy(F.coalesce(F.col(dimension).cast("string"), F.lit("(not set)")).alias("name")).agg(F.sum(metric).alias(metric))
 
 
+# The product events, and the failure rates that are told of them.
+PRODUCT_EVENTS = (
+    "location_search_success", "location_search_no_match", "current_location_success", "current_location_failure", "weather_load_success", "weather_load_failure",
+    "forecast_view", "forecast_load_failure", "map_view", "map_interaction", "hotspot_city_click",
+)
+RATES = {
+    "search_no_match": ("location_search_success", "location_search_no_match"), "current_location_failure": ("current_location_success", "current_location_failure"),
+    "weather_load_failure": ("weather_load_success", "weather_load_failure"), "forecast_load_failure": ("forecast_view", "forecast_load_failure"),
+}
+
+
+def product_events(events: DataFrame, keys: list[str], event: str = "event") -> DataFrame:
+    """Counts of the product events by `keys`, a column each, and the share of bad outcomes among good and bad ones, null where there is neither."""
+    n = events.groupBy(*keys).agg(*[F.count_if(F.col(event) == e).alias(e) for e in PRODUCT_EVENTS])
+    rate = lambda good, bad: F.col(bad) / F.nullif(F.col(good) + F.col(bad), F.lit(0))
+    return n.withColumns({f"{name}_rate": rate(*of) for name, of in RATES.items()})
+
+
+def week_over_week(rows: DataFrame, day: str, week: tuple[str, str], before: tuple[str, str], metrics: list[str]) -> DataFrame:
+    """(metric, this_week, week_before, change) of each headline metric; change is in percent, null where the week before has none."""
+    total = lambda m, days: F.coalesce(F.sum(F.when(F.col(day).between(*[F.lit(x).cast("date") for x in days]), F.col(m))), F.lit(0)).cast("long")
+    one = rows.agg(*[F.struct(F.lit(m).alias("metric"), total(m, week).alias("this_week"), total(m, before).alias("week_before")).alias(m) for m in metrics])
+    out = one.select(F.inline(F.array(*metrics)))
+    return out.withColumn("change", 100.0 * (F.col("this_week") - F.col("week_before")) / F.nullif("week_before", F.lit(0)))
+
+
+def alert_quality(rows: DataFrame, key: str, source: str, page: str, least: float = 5.0) -> DataFrame:
+    """(key, attribution, not_set_dominates, repeat_heavy, not_set_landing_sessions) of each key's rows: whether the traffic may be called demand for
+    anything. A source or page that is not set is the largest single one as any other is."""
+    named = attribution(rows, key, source, "sessions")
+    not_set = F.col(page).isNull() | (F.col(page) == "(not set)")
+    pages = rows.where(~not_set).groupBy(key, text.url_path(F.col(page)).alias("path")).agg(F.sum("sessions").alias("sessions"), F.sum("users").alias("users"))
+    heavy = repeat_heavy(pages, least).groupBy(key).agg(F.lit(True).alias("repeat_heavy"))
+    lost = rows.groupBy(key).agg(F.coalesce(F.sum(F.when(not_set, F.col("sessions"))), F.lit(0)).alias("not_set_landing_sessions"))
+    return named.join(heavy, key, "left").join(lost, key).select(key, "attribution", "not_set_dominates", F.coalesce("repeat_heavy", F.lit(False)).alias("repeat_heavy"), "not_set_landing_sessions")
+
+
+def search_health(pages: DataFrame, inspections: DataFrame, through: Column, most_days: int = 2) -> DataFrame:
+    """(status, latest, inspected, failed) of search data by day and of inspections (outcome, verdict): degraded when the newest data lies more than
+    most_days before the day that should be complete, when an inspection failed, or when a verdict is FAIL."""
+    data = pages.agg(F.max("day").alias("latest"))
+    seen = inspections.agg(F.count_if(F.col("outcome") == "ok").alias("inspected"), F.count_if(~F.col("outcome").eqNullSafe(F.lit("ok"))).alias("failed"), F.coalesce(F.bool_or(F.col("verdict") == "FAIL"), F.lit(False)).alias("refused"))
+    bad = F.col("latest").isNull() | (F.datediff(through, F.col("latest")) > most_days) | (F.col("failed") > 0) | F.col("refused")
+    return data.join(F.broadcast(seen)).select(F.when(bad, "degraded").otherwise("ok").alias("status"), "latest", "inspected", "failed")
+
+
 def windows_ending(rows: DataFrame, day: str, through: Column, metrics: list[str], lengths: tuple[int, ...] = (7, 28)) -> DataFrame:
     """Sums over the last and the prior n days that end at a complete day; days without rows count as nothing."""
     age = F.datediff(through, F.col(day))
@@ -150,6 +197,19 @@ def run_readiness(index: DataFrame, runs: DataFrame, fields: list[str], mask: st
     return counts.join(F.broadcast(newest)).select("run", "needed", "listed", "ready", (F.col("run").eqNullSafe(F.col("newest"))).alias("wins"))
 
 
+def download_timing(products: DataFrame, timing: DataFrame, run: str = "init") -> DataFrame:
+    """Products with first_ready and retrieved of their run's download. A product whose run has no timing, or has it twice, is an error."""
+    known = timing.groupBy(run).agg(F.first("first_ready").alias("first_ready"), F.first("retrieved").alias("retrieved"), F.count("*").alias("n_timings"))
+    rows = products.join(known, run, "left")
+    return guarded(rows, {"a product's run has no download timing": F.col("n_timings").isNull(), "a run has two download timings": F.col("n_timings") > 1}).drop("n_timings")
+
+
+def cohort_union(tier: DataFrame, controls: DataFrame, key: str, size: int = 400) -> DataFrame:
+    """(key, cohort) of both cohorts. Cohorts that share a city, or that are not `size` cities together, are an error."""
+    both = tier.select(key, F.lit("tier").alias("cohort")).unionByName(controls.select(key, F.lit("control").alias("cohort")))
+    return guarded_total(both, {"cohorts share a city": F.count("*") != F.countDistinct(key), f"cohorts are not {size} cities": F.count("*") != size})
+
+
 def status_changes(docs: DataFrame, key: str, time: str, fields: list[str]) -> DataFrame:
     """Rows whose fields differ from the key's row before; the first row counts as a change."""
     w = Window.partitionBy(key).orderBy(time)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..session import materialize
+from .checks import guarded
 from .numbering import grouped_rank
 
 CELL_DEG, RINGS, NEIGHBOURS = 0.5, 8, 8
@@ -156,13 +157,64 @@ def match_population(cities: DataFrame, gazetteer: DataFrame) -> DataFrame:
 
 
 def location_facts(routes: DataFrame, identities: DataFrame, source: DataFrame) -> DataFrame:
-    """Facts of each route (path): null for routes without an identity or whose id several routes claim. A population of 0 and an
-    elevation of -9999 are unknown."""
-    claims = identities.groupBy("geonameid").agg(F.count("*").alias("claims"))
-    named = routes.join(identities.join(claims, "geonameid"), "path", "left")
-    facts = named.withColumn("geonameid", F.when(F.col("claims") == 1, F.col("geonameid"))).join(source, "geonameid", "left")
+    """Facts of each route (path, latitude, longitude) by its identity (path, geonameid, time_zone) in the source (geonameid, latitude, longitude, population,
+    elevation, dem, time_zone): null for routes without an id or with one that several claim. A population of 0 is unknown, as is an elevation model's -9999,
+    which counts where no elevation was surveyed.
+
+    What has drifted since the identities were reviewed is an error: routes and identities that are not the same paths, an id that the source lacks or has
+    twice, another time zone, a place more than MATCH_KM away, a value out of range."""
+    known = identities.groupBy("path").agg(F.first(F.struct("geonameid", "time_zone")).alias("i"), F.count("*").alias("n_identities"))
+    claims = identities.where("geonameid is not null").groupBy("geonameid").agg(F.count("*").alias("claims"))
+    places = source.select("geonameid", F.struct("latitude", "longitude", "population", "elevation", "dem", "time_zone").alias("s"))
+    places = places.join(claims, "geonameid", "left_semi").groupBy("geonameid").agg(F.first("s").alias("s"), F.count("*").alias("n_places"))
+    rows = routes.select("path", F.struct("latitude", "longitude").alias("r")).join(known, "path", "full_outer")
+    rows = rows.select("path", "r", "n_identities", F.col("i.geonameid").alias("geonameid"), F.col("i.time_zone").alias("time_zone")).join(claims, "geonameid", "left").join(places, "geonameid", "left")
+    matched, sea = F.col("claims") == 1, F.nullif("s.dem", F.lit(-9999))
+    km = geo.haversine_km(F.col("r.latitude"), F.col("r.longitude"), F.col("s.latitude"), F.col("s.longitude"))
+    height = F.coalesce("s.elevation", sea)
+    rows = guarded(
+        rows,
+        {
+            "routes and identities are not the same paths": F.col("r").isNull() | F.col("n_identities").isNull() | (F.col("n_identities") > 1),
+            "an identity names an id that the source lacks": F.col("geonameid").isNotNull() & F.col("s").isNull(),
+            "the source has an id twice": F.col("n_places") > 1,
+            "an identity's time zone differs from its source": matched & ~F.col("time_zone").eqNullSafe(F.col("s.time_zone")),
+            "an identity's place is too far from its route": matched & ~F.coalesce(km <= MATCH_KM, F.lit(False)),
+            "a population is negative": matched & (F.col("s.population") < 0),
+            "an elevation is out of range": matched & ~height.between(-1000, 9000),
+        },
+    )
+    of = lambda c: F.when(matched, c)
     state = F.when(F.col("claims").isNull(), "unmatched").when(F.col("claims") > 1, "ambiguous").otherwise("matched")
-    return facts.select("path", "geonameid", F.nullif("population", F.lit(0)).alias("population"), F.nullif("elevation", F.lit(-9999)).alias("elevation"), state.alias("state"))
+    return rows.select(
+        "path", of(F.col("geonameid")).alias("geonameid"), of(F.nullif("s.population", F.lit(0))).alias("population"), of(height).alias("elevation"),
+        of(F.when(F.col("s.elevation").isNotNull(), "elevation").when(sea.isNotNull(), "dem")).alias("elevation_source"), of(F.col("s.time_zone")).alias("time_zone"), state.alias("state"),
+    )
+
+
+def climate_cells(points: DataFrame, values: DataFrame) -> DataFrame:
+    """Points (with cell_row, cell_col) with the tenths of their cell (values: cell_row, cell_col, tenths) or the reason why they have none: on the edge of
+    two cells, or a cell whose values are not usable (null). A cell that the values lack is an error, and so is one that they have twice."""
+    cells = values.groupBy("cell_row", "cell_col").agg(F.first("tenths").alias("tenths"), F.count("*").alias("n_cells"))
+    rows = points.join(cells, ["cell_row", "cell_col"], "left")
+    edge = F.col("cell_row").isNull() | F.col("cell_col").isNull()
+    rows = guarded(rows, {"the climate values lack a cell": ~edge & F.col("n_cells").isNull(), "the climate values have a cell twice": F.col("n_cells") > 1}).drop("n_cells")
+    return rows.withColumn("reason", F.when(edge, "cellEdgeTie").when(F.col("tenths").isNull(), "fillOrInvalidValue"))
+
+
+def reviewed_enrichment(paths: DataFrame, facts: DataFrame, climate: DataFrame) -> DataFrame:
+    """Rows (path, elevation, time_zone, tenths), one for each reviewed path. What elsewhere is an exclusion is an error here: a path without facts or
+    climate, an identity that is not matched, an unknown elevation or climate value."""
+    rows = paths.select("path").join(facts, "path", "left").join(climate.select("path", "tenths", F.lit(True).alias("placed")), "path", "left")
+    return guarded(
+        rows,
+        {
+            "a reviewed path is not matched": ~F.coalesce(F.col("state") == "matched", F.lit(False)),
+            "a reviewed path has no elevation": F.col("elevation").isNull(),
+            "a reviewed path has no climate cell": F.col("placed").isNull(),
+            "a reviewed path has no climate values": F.col("tenths").isNull(),
+        },
+    ).select("path", "elevation", "time_zone", "tenths")
 
 
 def koppen_modal(points: DataFrame, raster: DataFrame, key: str = "city_id", least: float = 0.67) -> DataFrame:
@@ -178,6 +230,19 @@ def koppen_modal(points: DataFrame, raster: DataFrame, key: str = "city_id", lea
     return out.select(key, F.when(reason.isNull(), F.col("center")).alias("cls"), reason.alias("reason"))
 
 
+def tier_violations(manifest: DataFrame, path_pattern: str) -> DataFrame:
+    """(rule, violations) of a manifest (rank, tier, path, popular) of 200 cities: ranks 1 to 200, tiers of 50, 50 and 100 by rank, 40 popular, proper paths."""
+    rank, tier = F.col("rank"), F.col("tier")
+    want = F.when(rank <= 50, "1A").when(rank <= 100, "1B").otherwise("1C")
+    off = lambda cond, n: F.abs(F.count_if(cond) - n)
+    rules = {
+        "rows": F.abs(F.count("*") - 200), "ranks": F.count("*") - F.countDistinct("rank") + F.count_if(~rank.between(1, 200)), "tier 1A": off(tier == "1A", 50), "tier 1B": off(tier == "1B", 50), "tier 1C": off(tier == "1C", 100),
+        "tier of rank": F.count_if(tier != want), "popular": off(F.col("popular"), 40), "paths": F.count("*") - F.countDistinct("path") + F.count_if(~F.col("path").rlike(path_pattern)),
+    }
+    one = manifest.agg(*[v.cast("long").alias(k) for k, v in rules.items()])
+    return one.unpivot([], [f"`{k}`" for k in rules], "rule", "violations")
+
+
 def first_wins(rows: DataFrame, alias: str, order: str) -> DataFrame:
     """The first row of each alias, with the number of rows it beat."""
     best = rows.groupBy(alias).agg(F.min_by(F.struct(*[c for c in rows.columns if c != alias]), order).alias("f"), (F.count("*") - 1).alias("collided"))

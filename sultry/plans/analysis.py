@@ -60,41 +60,58 @@ def agg_dimension_rollup(spark, d):
     return an.dimension_rollup(_ga(spark, d), "channel")
 
 
-@R.add("agg_product_events", "SELECT CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'error') AS errors, round(count(*) FILTER (event_type = 'error') / nullif(count(*) FILTER (event_type = 'click'), 0), 4) AS error_rate FROM events GROUP BY 1")
+def _product(spark, d):
+    """Each event as one of the eleven product events, and some of none."""
+    names = F.array(*[F.lit(e) for e in an.PRODUCT_EVENTS], F.lit("page_view"))
+    return _events(spark, d).select(F.to_date("ts").alias("day"), names[F.pmod(F.col("event_id") * 7 + F.col("user_id"), F.lit(12)).cast("int")].alias("event"))
+
+
+_NAMES = f"[{', '.join(repr(e) for e in (*an.PRODUCT_EVENTS, 'page_view'))}]"
+PRODUCT = f"pe AS (SELECT CAST(ts AS DATE) AS day, ({_NAMES})[CAST((event_id * 7 + user_id) % 12 AS INT) + 1] AS event FROM events)"
+_COUNTS = ", ".join(f"count(*) FILTER (event = '{e}') AS {e}" for e in an.PRODUCT_EVENTS)
+_RATES = ", ".join(f"round({bad} / nullif({good} + {bad}, 0), 6) AS {name}_rate" for name, (good, bad) in an.RATES.items())
+
+
+@R.add("agg_product_events", f"WITH {PRODUCT}, n AS (SELECT day, {_COUNTS} FROM pe GROUP BY 1) SELECT *, {_RATES} FROM n")
 def agg_product_events(spark, d):
-    p = _events(spark, d).groupBy(F.to_date("ts").alias("day")).pivot("event_type", ["click", "error"]).count()
-    n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return p.select("day", n("click").alias("clicks"), n("error").alias("errors"), F.round(n("error") / F.nullif(n("click"), F.lit(0)), 4).alias("error_rate"))
+    out = an.product_events(_product(spark, d), ["day"])
+    return out.withColumns({f"{name}_rate": F.round(f"{name}_rate", 6) for name in an.RATES})
 
 
-WEEK = G + ", w AS (SELECT CAST(sum(sessions) FILTER (day BETWEEN DATE '2024-01-15' AND DATE '2024-01-21') AS BIGINT) AS now_, CAST(sum(sessions) FILTER (day BETWEEN DATE '2024-01-08' AND DATE '2024-01-14') AS BIGINT) AS before_ FROM prod) SELECT now_ AS this_week, before_ AS week_before, round(100.0 * (now_ - before_) / nullif(before_, 0), 4) AS change FROM w"
+METRICS = ["sessions", "users", "views", "engaged"]
+WEEKS = ("2024-01-15", "2024-01-21"), ("2024-01-08", "2024-01-14")
+_week = lambda m, k: f"coalesce(sum({m}) FILTER (day BETWEEN DATE '{WEEKS[k][0]}' AND DATE '{WEEKS[k][1]}'), 0)"
+WEEK = G + ", v AS (SELECT *, 2 * sessions + engaged AS views FROM prod), w AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST({_week(m, 0)} AS BIGINT) AS this_week, CAST({_week(m, 1)} AS BIGINT) AS week_before FROM v" for m in METRICS) + ") "
 
 
-@R.add("agg_week_over_week", WEEK)
+@R.add("agg_week_over_week", WEEK + "SELECT *, round(100.0 * (this_week - week_before) / nullif(week_before, 0), 4) AS change FROM w")
 def agg_week_over_week(spark, d):
-    inside = lambda a, b: F.sum(F.when(F.col("day").between(_date(a), _date(b)), F.col("sessions")))
-    w = an.production_rows(_ga(spark, d)).agg(inside("2024-01-15", "2024-01-21").alias("this_week"), inside("2024-01-08", "2024-01-14").alias("week_before"))
-    return w.withColumn("change", F.round(100.0 * (F.col("this_week") - F.col("week_before")) / F.nullif("week_before", F.lit(0)), 4))
+    rows = an.production_rows(_ga(spark, d)).withColumn("views", 2 * F.col("sessions") + F.col("engaged"))
+    return an.week_over_week(rows, "day", *WEEKS, METRICS).withColumn("change", F.round("change", 4))
 
 
-@R.add("pipe_weekly_report", G + f""", {PAGES}, wk AS (SELECT * FROM prod WHERE day BETWEEN DATE '2024-01-15' AND DATE '2024-01-21'), wp AS (SELECT {GA_PATH} AS path, sum(sessions) AS sessions, sum(users) AS users FROM wk WHERE landing_page <> '(not set)' GROUP BY 1)
+_EVENT_ROWS = " UNION ALL ".join(f"SELECT 'events', '{e}', 'count', count(*) FILTER (event = '{e}') FROM pe WHERE day BETWEEN DATE '2024-01-15' AND DATE '2024-01-21'" for e in an.PRODUCT_EVENTS)
+_RATE_ROWS = " UNION ALL ".join(f"SELECT 'rates', '{name}', 'share', round(count(*) FILTER (event = '{bad}') / nullif(count(*) FILTER (event IN ('{good}', '{bad}')), 0), 6) FROM pe WHERE day BETWEEN DATE '2024-01-15' AND DATE '2024-01-21'" for name, (good, bad) in an.RATES.items())
+
+
+@R.add("pipe_weekly_report", WEEK.rstrip() + f""", {PRODUCT}, wk AS (SELECT * FROM prod WHERE day BETWEEN DATE '2024-01-15' AND DATE '2024-01-21'), wp AS (SELECT {GA_PATH} AS path, sum(sessions) AS sessions, sum(users) AS users FROM wk WHERE landing_page <> '(not set)' GROUP BY 1)
 SELECT 'pages' AS section, {CLASSIFY.format('path')} AS name, 'sessions' AS metric, CAST(sum(sessions) AS DOUBLE) AS value FROM wp GROUP BY 2 UNION ALL SELECT 'pages', {CLASSIFY.format('path')}, 'users', sum(users) FROM wp GROUP BY 2
-UNION ALL SELECT 'channels', coalesce(channel, '(not set)'), 'sessions', sum(sessions) FROM wk GROUP BY 2 UNION ALL SELECT 'events', event_type, 'count', count(*) FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-15' AND DATE '2024-01-21' GROUP BY 2
-UNION ALL SELECT 'totals', 'sessions', 'this_week', sum(sessions) FILTER (day >= DATE '2024-01-15') FROM prod WHERE day BETWEEN DATE '2024-01-08' AND DATE '2024-01-21' UNION ALL SELECT 'totals', 'sessions', 'week_before', sum(sessions) FILTER (day < DATE '2024-01-15') FROM prod WHERE day BETWEEN DATE '2024-01-08' AND DATE '2024-01-21'
-UNION ALL SELECT 'totals', 'sessions', 'change', round(100.0 * (sum(sessions) FILTER (day >= DATE '2024-01-15') - sum(sessions) FILTER (day < DATE '2024-01-15')) / nullif(sum(sessions) FILTER (day < DATE '2024-01-15'), 0), 4) FROM prod WHERE day BETWEEN DATE '2024-01-08' AND DATE '2024-01-21'""")
+UNION ALL SELECT 'channels', coalesce(channel, '(not set)'), 'sessions', sum(sessions) FROM wk GROUP BY 2 UNION ALL {_EVENT_ROWS} UNION ALL {_RATE_ROWS}
+UNION ALL SELECT 'totals', metric, 'this_week', this_week FROM w UNION ALL SELECT 'totals', metric, 'week_before', week_before FROM w UNION ALL SELECT 'totals', metric, 'change', round(100.0 * (this_week - week_before) / nullif(week_before, 0), 4) FROM w""")
 def pipe_weekly_report(spark, d):
-    """A week's pages, channels, product events and headline totals against the week before, as rows (section, name, metric, value)."""
-    inside = F.col("day").between(_date("2024-01-15"), _date("2024-01-21"))
+    """A week's pages, channels, product events with their rates, and headline totals against the week before, as rows (section, name, metric, value)."""
+    inside = F.col("day").between(*[_date(x) for x in WEEKS[0]])
     week = _ga(spark, d).where(inside)
     long = lambda df, section, name, *metrics: df.select(F.lit(section).alias("section"), F.col(name).alias("name"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("m")).select("section", "name", "m.metric", "m.value")
+    wide = lambda df, section, metric, names: df.select(F.inline(F.array(*[F.struct(F.lit(section).alias("section"), F.lit(n.removesuffix("_rate")).alias("name"), F.lit(metric).alias("metric"), F.round(F.col(n).cast("double"), 6).alias("value")) for n in names])))
     pages = an.page_rollup(week).groupBy("page_type").agg(F.sum("sessions").alias("sessions"), F.sum("users").alias("users"))
-    products = _events(spark, d).withColumn("day", F.to_date("ts")).where(inside).groupBy("event_type").agg(F.count("*").alias("count"))
-    totals = agg_week_over_week(spark, d).withColumn("name", F.lit("sessions"))
+    products = an.product_events(_product(spark, d).where(inside), [])
     return (
         long(pages, "pages", "page_type", "sessions", "users")
         .unionByName(long(an.dimension_rollup(week, "channel"), "channels", "name", "sessions"))
-        .unionByName(long(products, "events", "event_type", "count"))
-        .unionByName(long(totals, "totals", "name", "this_week", "week_before", "change"))
+        .unionByName(wide(products, "events", "count", an.PRODUCT_EVENTS))
+        .unionByName(wide(products, "rates", "share", [f"{name}_rate" for name in an.RATES]))
+        .unionByName(long(agg_week_over_week(spark, d), "totals", "metric", "this_week", "week_before", "change"))
     )
 
 
@@ -161,13 +178,23 @@ def pipe_spike_alerts(spark, d):
     return replay(jobs.spike_alerts(arriving(materialize(seen, "spikes"), F.col("seq"), "spikes", cuts=[1])))
 
 
-@R.add("flag_alert_quality", G + ", s AS (SELECT day, channel, sum(sessions) AS v FROM (SELECT day, CASE WHEN sessions = 6 THEN '(not set)' ELSE channel END AS channel, sessions FROM prod) GROUP BY 1, 2), b AS (SELECT day, channel, row_number() OVER (PARTITION BY day ORDER BY v DESC, channel) AS rn FROM s) SELECT day, CASE WHEN channel = '(not set)' THEN 'unknown' ELSE channel END AS attribution, channel = '(not set)' AS not_set_dominates FROM b WHERE rn = 1")
+_SOURCES = G + ", src AS (SELECT * REPLACE (CASE WHEN sessions = 6 THEN '(not set)' ELSE channel END AS channel) FROM prod), s AS (SELECT day, channel, sum(sessions) AS v FROM src GROUP BY 1, 2), b AS (SELECT day, channel, row_number() OVER (PARTITION BY day ORDER BY v DESC, channel) AS rn FROM s)"
+
+
+def _sources(spark, d):
+    return an.production_rows(_ga(spark, d)).withColumn("channel", F.when(F.col("sessions") == 6, "(not set)").otherwise(F.col("channel")))
+
+
+@R.add("flag_alert_quality", _SOURCES + f""", pd AS (SELECT day, {GA_PATH} AS path, sum(sessions) AS sessions, sum(users) AS users FROM src WHERE landing_page <> '(not set)' GROUP BY 1, 2), hv AS (SELECT DISTINCT day FROM pd WHERE users > 0 AND sessions / users >= 2.6),
+lost AS (SELECT day, CAST(coalesce(sum(sessions) FILTER (landing_page = '(not set)'), 0) AS BIGINT) AS n FROM src GROUP BY 1)
+SELECT day, CASE WHEN channel = '(not set)' THEN 'unknown' ELSE channel END AS attribution, channel = '(not set)' AS not_set_dominates, day IN (SELECT day FROM hv) AS repeat_heavy, n AS not_set_landing_sessions FROM b JOIN lost USING (day) WHERE rn = 1""")
 def flag_alert_quality(spark, d):
-    rows = an.production_rows(_ga(spark, d)).withColumn("channel", F.when(F.col("sessions") == 6, "(not set)").otherwise(F.col("channel")))
-    return an.attribution(rows, "day", "channel", "sessions")
+    return an.alert_quality(_sources(spark, d), "day", "channel", "landing_page", 2.6)
 
 
-R.queries["derive_attribution"], R.sql["derive_attribution"] = flag_alert_quality, R.sql["flag_alert_quality"]
+@R.add("derive_attribution", _SOURCES + " SELECT day, CASE WHEN channel = '(not set)' THEN 'unknown' ELSE channel END AS attribution FROM b WHERE rn = 1")
+def derive_attribution(spark, d):
+    return an.attribution(_sources(spark, d), "day", "channel", "sessions").select("day", "attribution")
 
 
 @R.add("agg_latency_summary", "SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS max_ms FROM events GROUP BY 1")
@@ -226,8 +253,10 @@ def src_power_climatology(spark, d):
     """Climate documents, some with a fill value, whose months are then all unknown."""
     k = F.col("c_custkey")
     months = F.struct(*[F.when((k % 9 == 0) & F.lit(i == 3), -999.0).otherwise((k + i) % 40 * 1.0).alias(m) for i, m in enumerate(files.MONTHS)])
-    doc = F.to_json(F.struct(F.struct(F.lit("LST").alias("time_standard"), F.lit(-999.0).alias("fill_value")).alias("header"), F.struct(F.struct(months.alias("T2MWET")).alias("parameter")).alias("properties")))
-    rows = files.power_climatology(fx.table(spark, d, "customer").select(k.alias("cell"), doc.alias("value")))
+    header = F.struct(F.lit("LST").alias("time_standard"), F.lit(-999.0).alias("fill_value"), F.lit("1991-2020").alias("range"), F.array(F.lit("POWER"), F.lit("MERRA2")).alias("sources"), F.struct(F.lit("v2").alias("version")).alias("api"))
+    unit = F.struct(F.struct(F.lit("C").alias("units")).alias("T2MWET"))
+    doc = F.to_json(F.struct(header.alias("header"), unit.alias("parameters"), F.struct(F.struct(months.alias("T2MWET")).alias("parameter")).alias("properties")))
+    rows = files.power_climatology(fx.table(spark, d, "customer").select(k.alias("cell"), doc.alias("value")), "v2", "1991-2020")
     return rows.select("cell", "months", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month")).select("cell", "month", F.get("months", F.col("month") - 1).alias("value"))
 
 
@@ -261,19 +290,28 @@ def src_event_log(spark, d):
     return files.envelopes(lines).groupBy("event").agg(F.count("*").alias("n"))
 
 
-@R.add("extract_snapshot_meta", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'a' WHEN o_orderkey % 3 = 1 THEN 'b' END AS valid_from, o_orderkey % 3 = 2 AS invalid FROM orders")
+@R.add("extract_snapshot_meta", f"""WITH k AS (SELECT o_orderkey, o_orderkey % 6 AS k FROM orders), m AS (SELECT o_orderkey, CASE WHEN k IN (0, 1, 2, 5) THEN TIMESTAMP '2024-01-01 06:00:00' END AS initialization,
+ CASE WHEN k IN (0, 1, 5) THEN TIMESTAMP '2024-01-02 00:00:00' WHEN k = 2 THEN TIMESTAMP '2024-01-03 00:00:00' END AS valid_from, CASE WHEN k IN (0, 1, 2, 3) THEN TIMESTAMP '2024-01-03 00:00:00' END AS valid_to, CASE WHEN k = 0 THEN 50 WHEN k = 1 THEN 2 END AS published FROM k)
+SELECT o_orderkey, initialization, valid_from, valid_to, CAST(published AS INT) AS published, CASE WHEN valid_from IS NULL OR valid_to IS NULL OR valid_from >= valid_to THEN 'invalid' ELSE 'published' END AS availability FROM m""")
 def extract_snapshot_meta(spark, d):
-    """The first of several JSON paths that is present."""
-    k = F.col("o_orderkey")
-    doc = F.when(k % 3 == 0, '{"window": {"validFrom": "a"}}').when(k % 3 == 1, '{"validFrom": "b"}').otherwise("{}")
-    start = F.coalesce(F.get_json_object("doc", "$.window.validFrom"), F.get_json_object("doc", "$.validFrom"))
-    return fx.table(spark, d, "orders").select("o_orderkey", doc.alias("doc")).select("o_orderkey", start.alias("valid_from"), start.isNull().alias("invalid"))
-
-
-@R.add("classify_search_health", f"WITH {fx.GSC} SELECT url, CASE WHEN DATE '2001-12-31' - max(snapshot_at) > 400 OR count(*) FILTER (clicks = 13) > 0 THEN 'degraded' ELSE 'ok' END AS health FROM gsc GROUP BY 1")
+    """Documents of two formats; one with a list in place of its count, one reversed, one without a start, one unreadable, one whose end is no time."""
+    a, b, c = "2024-01-01T06:00:00Z", "2024-01-02T00:00:00Z", "2024-01-03T00:00:00Z"
+    docs = [
+        f'{{"discovery": {{"initialization": "{a}"}}, "validFrom": "{b}", "validTo": "{c}", "counts": {{"published": 50}}}}',
+        f'{{"model": {{"initialization": "{a}", "validTimeBounds": {{"start": "{b}", "end": "{c}"}}}}, "hotspots": [{{}}, {{}}]}}',
+        f'{{"model": {{"initialization": "{a}"}}, "validFrom": "{c}", "validTo": "{c}"}}', f'{{"validTo": "{c}"}}', "{", f'{{"model": {{"initialization": "{a}"}}, "validFrom": "{b}", "validTo": "soon", "counts": {{"published": -1}}}}',
+    ]
+    doc = F.array(*[F.lit(x) for x in docs])[(F.col("o_orderkey") % 6).cast("int")]
+    return files.snapshot_meta(fx.table(spark, d, "orders").select("o_orderkey", doc.alias("doc")), "doc")
+
+
+@R.add("classify_search_health", f"""WITH {fx.GSC}, site AS (SELECT url, string_split(url, '/')[3]::BIGINT % 9 AS site, snapshot_at, id FROM gsc), i AS (SELECT site, count(*) FILTER (id % 97 <> 0) AS inspected, count(*) FILTER (id % 97 = 0) AS failed, bool_or(id % 89 = 0) AS refused FROM site WHERE id % 13 = 0 AND site = 4 GROUP BY 1)
+SELECT CASE WHEN DATE '1998-08-05' - (SELECT max(snapshot_at) FROM site WHERE site = 4) > 2 OR failed > 0 OR refused THEN 'degraded' ELSE 'ok' END AS status, (SELECT max(snapshot_at) FROM site WHERE site = 4) AS latest, inspected, failed FROM i""")
 def classify_search_health(spark, d):
-    late = F.datediff(_date("2001-12-31"), F.max("snapshot_at")) > 400
-    return fx.gsc_snapshots(spark, d).groupBy("url").agg(F.when(late | (F.count_if(F.col("clicks") == 13) > 0), "degraded").otherwise("ok").alias("health"))
+    """One site's search data, and inspections of some of its pages."""
+    rows = fx.gsc_snapshots(spark, d).where(F.split("url", "/")[2].cast("long") % 9 == 4)
+    inspections = rows.where("id % 13 = 0").select(F.when(F.col("id") % 97 == 0, "error").otherwise("ok").alias("outcome"), F.when(F.col("id") % 89 == 0, "FAIL").otherwise("PASS").alias("verdict"))
+    return an.search_health(rows.select(F.col("snapshot_at").alias("day")), inspections, _date("1998-08-05"))
 
 
 @R.add("sink_upsert_history", f"WITH {fx.GSC} SELECT snapshot_at, url, id, clicks FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_at, url ORDER BY id DESC) AS rn FROM gsc) WHERE rn = 1")
@@ -314,9 +352,10 @@ def sink_snapshot_json(spark, d):
 
 @R.add("set_cohort_union", f"WITH {fx.CITIES}, top AS (SELECT city_id FROM cities ORDER BY population DESC, city_id LIMIT 200), k AS (SELECT city_id FROM (SELECT city_id, sha256(concat('gsc', chr(0), CAST(city_id AS VARCHAR))) AS o FROM cities WHERE city_id NOT IN (SELECT city_id FROM top)) ORDER BY o LIMIT 200) SELECT city_id, 'tier' AS cohort FROM top UNION ALL SELECT city_id, 'control' FROM k")
 def set_cohort_union(spark, d):
+    """The 200 ranked cities and as many controls; fewer cities than 400 leave as many controls as there are."""
     c = fx.cities(spark, d)
     top = c.orderBy(F.desc("population"), "city_id").limit(200).select("city_id")
-    return top.withColumn("cohort", F.lit("tier")).unionByName(hash_sample(c, top, "city_id", "gsc", 200).select("city_id", F.lit("control").alias("cohort")))
+    return an.cohort_union(top, hash_sample(c, top, "city_id", "gsc", 200), "city_id", min(400, c.count()))
 
 
 @R.add("join_cohort_metrics", f"WITH {fx.CITIES}, {fx.GSC}, m AS (SELECT url, CAST(sum(clicks) AS BIGINT) AS clicks FROM gsc GROUP BY 1) SELECT city_id, clicks FROM (SELECT city_id, concat('/c/', CAST(city_id AS VARCHAR), '/') AS url FROM cities WHERE population >= 100000) LEFT JOIN m USING (url)")
@@ -374,11 +413,12 @@ def join_public_private_run(spark, d):
     return products(spark, d).join(y, "id").select("id", (F.col("init").eqNullSafe(F.col("i2")) & F.col("a").eqNullSafe(F.col("a2"))).alias("same"))
 
 
-@R.add("join_download_timing", f"WITH x AS ({_PAIR}), t AS (SELECT DISTINCT init, init + INTERVAL 5 HOUR AS first_ready FROM x) SELECT id, first_ready FROM x JOIN t USING (init)")
+@R.add("join_download_timing", f"WITH x AS ({_PAIR}) SELECT id, init + INTERVAL 5 HOUR AS first_ready, init + INTERVAL 6 HOUR AS retrieved FROM x")
 def join_download_timing(spark, d):
     x = products(spark, d)
-    t = x.select("init").distinct().withColumn("first_ready", F.timestamp_add("HOUR", F.lit(5), F.col("init")))
-    return x.join(t, "init").select("id", "first_ready")
+    later = lambda h: F.timestamp_add("HOUR", F.lit(h), F.col("init"))
+    timing = x.select("init").distinct().select("init", later(5).alias("first_ready"), later(6).alias("retrieved"))
+    return an.download_timing(x, timing).select("id", "first_ready", "retrieved")
 
 
 NOWS = "TIMESTAMP '2024-01-02 12:00:00'"

@@ -333,13 +333,15 @@ def validate_city_manifest(spark, d):
     return with_path(_c(spark, d)).groupBy("path").agg(F.count("*").alias("n_rows"), F.count_if(~ok).alias("n_out_of_range")).where("n_rows > 1 or n_out_of_range > 0")
 
 
-BOTS = r"(?i)bot|crawl|spider|slurp|headless|preview|facebookexternalhit"
+# The parts of a user agent's name that mark it as a bot.
+BOT_NAMES = "googlebot bingbot slurp duckduckbot baiduspider yandexbot applebot petalbot semrushbot ahrefsbot mj12bot dotbot bytespider crawler spider bot".split()
+BOTS = f"(?i){'|'.join(BOT_NAMES)}"
 
 
-@R.add("filter_bots", "SELECT event_id FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Googlebot/2.1' WHEN 1 THEN 'HeadlessChrome' ELSE concat('Mozilla ', event_type) END AS ua FROM events) WHERE NOT regexp_matches(ua, '(?i)bot|crawl|spider|slurp|headless|preview|facebookexternalhit')")
+@R.add("filter_bots", f"SELECT event_id FROM (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'Googlebot/2.1' WHEN 1 THEN 'HeadlessChrome' WHEN 2 THEN 'LinkPreview crawl' WHEN 3 THEN 'Yahoo! SLURP' ELSE concat('Mozilla ', event_type) END AS ua FROM events) WHERE NOT regexp_matches(ua, '{BOTS}')")
 def filter_bots(spark, d):
-    k = F.col("event_id") % 4
-    ua = F.when(k == 0, "Googlebot/2.1").when(k == 1, "HeadlessChrome").otherwise(F.concat(F.lit("Mozilla "), "event_type"))
+    k = F.col("event_id") % 6
+    ua = F.when(k == 0, "Googlebot/2.1").when(k == 1, "HeadlessChrome").when(k == 2, "LinkPreview crawl").when(k == 3, "Yahoo! SLURP").otherwise(F.concat(F.lit("Mozilla "), "event_type"))
     return fx.table(spark, d, E).select("event_id", ua.alias("ua")).where(~F.col("ua").rlike(BOTS)).select("event_id")
 
 

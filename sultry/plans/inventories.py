@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
@@ -109,9 +111,10 @@ def join_population_match(spark, d):
     return inv.match_population(c, gazetteer(spark, d)).select("city_id", "geonameid", "population", "tier", F.round("km", 3).alias("km"))
 
 
-FACTS = f"""routes AS (SELECT concat('r', CAST(city_id AS VARCHAR)) AS path, city_id, population FROM cities), ident AS (SELECT path, CASE WHEN city_id % 10 = 2 THEN city_id - 1 ELSE city_id END AS geonameid FROM routes WHERE city_id % 8 <> 0),
-src AS (SELECT city_id AS geonameid, population, CASE WHEN city_id % 6 = 0 THEN -9999 ELSE city_id % 900 END AS elevation FROM cities), cl AS (SELECT geonameid, count(*) AS claims FROM ident GROUP BY 1),
-facts AS (SELECT routes.path, CASE WHEN claims = 1 THEN ident.geonameid END AS geonameid, CASE WHEN claims = 1 THEN nullif(src.population, 0) END AS population, CASE WHEN claims = 1 THEN nullif(elevation, -9999) END AS elevation,
+FACTS = """routes AS (SELECT concat('r', CAST(city_id AS VARCHAR)) AS path, city_id, population FROM cities), ident AS (SELECT path, CASE WHEN city_id % 10 = 2 AND (city_id - 1) % 8 <> 0 AND city_id - 1 IN (SELECT city_id FROM cities) THEN city_id - 1 ELSE city_id END AS geonameid FROM routes WHERE city_id % 8 <> 0),
+src AS (SELECT city_id AS geonameid, population, CASE WHEN city_id % 6 <> 0 THEN city_id % 900 END AS surveyed, CASE WHEN city_id % 12 = 0 THEN -9999 ELSE city_id % 700 END AS dem, concat('Etc/GMT-', CAST(city_id % 12 AS VARCHAR)) AS time_zone FROM cities), cl AS (SELECT geonameid, count(*) AS claims FROM ident GROUP BY 1),
+facts AS (SELECT routes.path, CASE WHEN claims = 1 THEN ident.geonameid END AS geonameid, CASE WHEN claims = 1 THEN nullif(src.population, 0) END AS population, CASE WHEN claims = 1 THEN coalesce(surveyed, nullif(dem, -9999)) END AS elevation,
+ CASE WHEN claims = 1 AND surveyed IS NOT NULL THEN 'elevation' WHEN claims = 1 AND dem <> -9999 THEN 'dem' END AS elevation_source, CASE WHEN claims = 1 THEN time_zone END AS time_zone,
  CASE WHEN claims IS NULL THEN 'unmatched' WHEN claims > 1 THEN 'ambiguous' ELSE 'matched' END AS state FROM routes LEFT JOIN ident USING (path) LEFT JOIN cl ON cl.geonameid = ident.geonameid LEFT JOIN src ON src.geonameid = ident.geonameid)"""
 
 
@@ -120,11 +123,15 @@ def facts(spark, d):
 
 
 def facts_of(c):
+    """Every tenth city claims the id of the one before, if that is there to claim it."""
     k = F.col("city_id")
-    path = F.concat(F.lit("r"), k.cast("string")).alias("path")
-    ident = c.where("city_id % 8 <> 0").select(path, F.when(k % 10 == 2, k - 1).otherwise(k).alias("geonameid"))
-    source = c.select(k.alias("geonameid"), "population", F.when(k % 6 == 0, -9999).otherwise(k % 900).alias("elevation"))
-    return inv.location_facts(c.select(path), ident, source)
+    path, zone = F.concat(F.lit("r"), k.cast("string")).alias("path"), F.concat(F.lit("Etc/GMT-"), (k % 12).cast("string")).alias("time_zone")
+    before = c.select((k + 1).alias("city_id"), F.lit(True).alias("before"))
+    claimed = F.when(k % 8 != 0, F.when((k % 10 == 2) & ((k - 1) % 8 != 0) & F.col("before"), k - 1).otherwise(k))
+    ident = c.join(before, "city_id", "left").select(path, claimed.alias("geonameid"), zone)
+    surveyed, dem = F.when(k % 6 != 0, k % 900), F.when(k % 12 == 0, -9999).otherwise(k % 700)
+    source = c.select(k.alias("geonameid"), "latitude", "longitude", "population", surveyed.alias("elevation"), dem.alias("dem"), zone)
+    return inv.location_facts(c.select(path, "latitude", "longitude"), ident, source)
 
 
 @R.add("join_location_facts", C + f", {FACTS} SELECT * FROM facts")
@@ -144,14 +151,15 @@ def validate_location_facts(spark, d):
     return one.unpivot([], ["`one row a route`", "`unique id`", "population", "elevation"], "rule", "violations")
 
 
-CLIMATE = f"{MERRA}, vals AS (SELECT cell_row, cell_col, (cell_row * 13 + cell_col * 7) % 300 AS tenths FROM (SELECT DISTINCT cell_row, cell_col FROM merra WHERE cell_row IS NOT NULL) WHERE (cell_row + cell_col) % 9 <> 0), cc AS (SELECT city_id, cell_row, cell_col, tenths FROM merra LEFT JOIN vals USING (cell_row, cell_col))"
+CLIMATE = f"{MERRA}, vals AS (SELECT cell_row, cell_col, (cell_row * 13 + cell_col * 7) % 300 AS tenths FROM (SELECT DISTINCT cell_row, cell_col FROM merra WHERE cell_row IS NOT NULL) WHERE (cell_row + cell_col) % 9 <> 0), cc AS (SELECT city_id, cell_row, cell_col, tenths, CASE WHEN cell_row IS NULL OR cell_col IS NULL THEN 'cellEdgeTie' WHEN tenths IS NULL THEN 'fillOrInvalidValue' END AS reason FROM merra LEFT JOIN vals USING (cell_row, cell_col))"
 
 
 def climate(spark, d):
+    """Each ninth cell has no usable values."""
     m = merra(spark, d).select("city_id", "cell_row", "cell_col")
     r, c = F.col("cell_row"), F.col("cell_col")
-    values = m.where("cell_row is not null").select("cell_row", "cell_col").distinct().where((r + c) % 9 != 0).withColumn("tenths", (r * 13 + c * 7) % 300)
-    return m.join(values, ["cell_row", "cell_col"], "left").select("city_id", "cell_row", "cell_col", "tenths")
+    values = m.where("cell_row is not null").select("cell_row", "cell_col").distinct().withColumn("tenths", F.when((r + c) % 9 != 0, (r * 13 + c * 7) % 300))
+    return inv.climate_cells(m, values).select("city_id", "cell_row", "cell_col", "tenths", "reason")
 
 
 @R.add("join_climate_cell", C + f", {CLIMATE} SELECT * FROM cc")
@@ -188,19 +196,24 @@ def agg_koppen_modal(spark, d):
     return inv.koppen_modal(_points(spark, d), fx.raster(spark), least=0.1).withColumn("cls", F.col("cls").cast("int"))
 
 
-@R.add("agg_climate_counts", C + f", {CLIMATE}, {KOP.format(0.1, 0.1)} SELECT coalesce(reason, 'classed') AS reason, count(*) AS n, count(tenths) AS with_cell FROM kop JOIN cc USING (city_id) GROUP BY 1")
+@R.add("agg_climate_counts", C + f", {CLIMATE}, {KOP.format(0.1, 0.1)} SELECT coalesce(kop.reason, 'classed') AS reason, count(*) AS n, count(tenths) AS with_cell FROM kop JOIN cc USING (city_id) GROUP BY 1")
 def agg_climate_counts(spark, d):
     k = inv.koppen_modal(_points(spark, d), fx.raster(spark), least=0.1)
-    return k.join(climate(spark, d), "city_id").groupBy(F.coalesce("reason", F.lit("classed")).alias("reason")).agg(F.count("*").alias("n"), F.count("tenths").alias("with_cell"))
+    return k.join(climate(spark, d).drop("reason"), "city_id").groupBy(F.coalesce("reason", F.lit("classed")).alias("reason")).agg(F.count("*").alias("n"), F.count("tenths").alias("with_cell"))
 
 
-@R.add("validate_climate_context", C + f", {CLIMATE} SELECT 'missing cells' AS rule, count(*) FILTER (cell_row IS NOT NULL AND tenths IS NULL) AS violations FROM cc UNION ALL SELECT 'unused cells', count(*) FROM vals ANTI JOIN cc USING (cell_row, cell_col)")
+@R.add("validate_climate_context", C + f""", {CLIMATE} SELECT 'one row a route' AS rule, count(*) - count(DISTINCT city_id) AS violations FROM cc UNION ALL SELECT 'every route', count(*) FROM cities ANTI JOIN cc USING (city_id)
+UNION ALL SELECT 'exclusions are the null rows', count(*) FILTER ((tenths IS NULL) <> (reason IS NOT NULL)) FROM cc UNION ALL SELECT 'unused cells', count(*) FROM vals ANTI JOIN cc USING (cell_row, cell_col) UNION ALL SELECT 'missing cells', count(*) FILTER (cell_row IS NOT NULL AND tenths IS NULL) FROM cc""")
 def validate_climate_context(spark, d):
+    """Violations of each rule; cells without usable values are told as missing."""
     cc = climate(spark, d)
-    missing = cc.agg(F.count_if(F.col("cell_row").isNotNull() & F.col("tenths").isNull()).alias("violations")).select(F.lit("missing cells").alias("rule"), "violations")
+    rule = lambda name, n: n.select(F.lit(name).alias("rule"), "violations")
+    own = cc.agg((F.count("*") - F.countDistinct("city_id")).alias("a"), F.count_if(F.col("tenths").isNull() != F.col("reason").isNotNull()).alias("b"), F.count_if(F.col("cell_row").isNotNull() & F.col("tenths").isNull()).alias("c"))
+    named = [rule(name, own.select(F.col(c).alias("violations"))) for name, c in (("one row a route", "a"), ("exclusions are the null rows", "b"), ("missing cells", "c"))]
+    absent = _c(spark, d).join(cc, "city_id", "left_anti").agg(F.count("*").alias("violations"))
     used = cc.where("tenths is not null").select("cell_row", "cell_col").distinct()
-    unused = used.join(cc, ["cell_row", "cell_col"], "left_anti").agg(F.count("*").alias("violations")).select(F.lit("unused cells").alias("rule"), "violations")
-    return missing.unionByName(unused)
+    unused = used.join(cc, ["cell_row", "cell_col"], "left_anti").agg(F.count("*").alias("violations"))
+    return reduce(DataFrame.unionByName, [*named, rule("every route", absent), rule("unused cells", unused)])
 
 
 @R.add("win_dense_cell_index", C + f", {CLIMATE}, f AS (SELECT cell_row, cell_col, min(city_id) AS first FROM cc WHERE tenths IS NOT NULL GROUP BY 1, 2) SELECT cell_row, cell_col, CAST(row_number() OVER (ORDER BY first) - 1 AS INT) AS idx FROM f")
@@ -219,10 +232,15 @@ def join_enrichment_parity(spark, d):
     return reviewed.join(f.select("path", F.col("population").alias("generated")), "path").where(~F.col("reviewed").eqNullSafe(F.col("generated")))
 
 
-@R.add("pipe_reviewed_enrichment", C + f", {FACTS}, {CLIMATE} SELECT facts.path, elevation, tenths FROM facts JOIN cc ON facts.path = concat('r', CAST(cc.city_id AS VARCHAR)) WHERE state = 'matched' AND elevation IS NOT NULL AND tenths IS NOT NULL AND city_id % 20 = 3")
+@R.add("pipe_reviewed_enrichment", C + f", {FACTS}, {CLIMATE} SELECT facts.path, elevation, time_zone, tenths FROM facts JOIN cc ON facts.path = concat('r', CAST(cc.city_id AS VARCHAR)) WHERE state = 'matched' AND elevation IS NOT NULL AND tenths IS NOT NULL AND city_id % 20 = 3")
 def pipe_reviewed_enrichment(spark, d):
-    cc = climate(spark, d).where("city_id % 20 = 3 and tenths is not null").select(F.concat(F.lit("r"), F.col("city_id").cast("string")).alias("path"), "tenths")
-    return facts(spark, d).where("state = 'matched' and elevation is not null").join(cc, "path").select("path", "elevation", "tenths")
+    """The reviewed paths are those that were complete when they were reviewed; each must still be."""
+    path = F.concat(F.lit("r"), F.col("city_id").cast("string")).alias("path")
+    k, r, c = F.col("city_id"), F.col("cell_row"), F.col("cell_col")
+    alone = ~((k % 10 == 1) & ((k + 1) % 8 != 0)) & ~((k % 10 == 2) & ((k - 1) % 8 != 0))
+    whole = (k % 20 == 3) & (k % 8 != 0) & alone & (k % 12 != 0) & r.isNotNull() & ((r + c) % 9 != 0)
+    reviewed = merra(spark, d).where(whole).select(path)
+    return inv.reviewed_enrichment(reviewed, facts(spark, d), climate(spark, d).select(path, "tenths"))
 
 
 HIST = f"hist AS (SELECT city_id, name, country, state, latitude, longitude, concat('/', {SLUG.format('name')}, '/', {SLUG.format('state')}, '/', {SLUG.format('country')}, '/') AS alias FROM cities WHERE city_id % 5 <> 0), fw AS (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY city_id) AS rn, count(*) OVER (PARTITION BY alias) - 1 AS collided FROM hist)"
@@ -260,9 +278,14 @@ def set_alias_overlap(spark, d):
     return old.join(now, "alias", "left_semi").withColumn("overlaps", F.lit(True)).unionByName(old.join(now, "alias", "left_anti").withColumn("overlaps", F.lit(False)))
 
 
-@R.add("pipe_legacy_redirects", C + f", {HIST}, {IDENT} SELECT alias, city_id FROM idn WHERE n_matches = 1")
+@R.add("pipe_legacy_redirects", C + f""", {HIST}, {IDENT}, now_ AS (SELECT DISTINCT concat('/', {SLUG.format('name')}, '/', {SLUG.format('state')}, '/', {SLUG.format('country')}, '/') AS alias FROM cities WHERE city_id % 2 = 0)
+SELECT alias, city_id, n_matches, alias IN (SELECT alias FROM now_) AS overlaps, CASE WHEN alias IN (SELECT alias FROM now_) THEN 'overlap' WHEN n_matches = 1 THEN 'redirect' WHEN n_matches = 0 THEN 'gone' ELSE 'ambiguous' END AS outcome FROM idn""")
 def pipe_legacy_redirects(spark, d):
-    return identity(spark, d).where("n_matches = 1").select("alias", "city_id")
+    """The first row of each alias, its one current city, and whether a current path has the alias: such a page answers itself, so that no redirect may."""
+    overlap = set_alias_overlap(spark, d).where("overlaps").select("alias", F.lit(True).alias("overlaps"))
+    rows = identity(spark, d).join(overlap, "alias", "left").withColumn("overlaps", F.coalesce("overlaps", F.lit(False)))
+    outcome = F.when(F.col("overlaps"), "overlap").when(F.col("n_matches") == 1, "redirect").when(F.col("n_matches") == 0, "gone").otherwise("ambiguous")
+    return rows.select("alias", "city_id", "n_matches", "overlaps", outcome.alias("outcome"))
 
 
 @R.add("agg_country_region", C + " SELECT country, state, count(*) AS n FROM cities GROUP BY ROLLUP (country, state)")
@@ -400,9 +423,18 @@ def tiers(spark, d):
     return top.select("city_id", "name", r.alias("rank")).withColumn("tier", F.when(F.col("rank") <= 50, "1A").when(F.col("rank") <= 100, "1B").otherwise("1C"))
 
 
-@R.add("validate_tier_manifest", C + ", t AS (SELECT city_id, row_number() OVER (ORDER BY population DESC, city_id) AS rank FROM cities QUALIFY rank <= 200) SELECT CASE WHEN rank <= 50 THEN '1A' WHEN rank <= 100 THEN '1B' ELSE '1C' END AS tier, count(*) AS n, CAST(min(rank) AS INT) AS first, CAST(max(rank) AS INT) AS last, count(*) - count(DISTINCT city_id) AS n_repeated FROM t GROUP BY 1")
+_PATHS = "^/wetbulb-temperature/[a-z0-9-]+/[a-z0-9-]+/[a-z0-9-]+/$"
+
+
+@R.add("validate_tier_manifest", C + f""", {DEDUPED}, t AS (SELECT city_id, path, row_number() OVER (ORDER BY population DESC, city_id) AS rank FROM ded QUALIFY rank <= 200), m AS (SELECT *, CASE WHEN rank <= 50 THEN '1A' WHEN rank <= 100 THEN '1B' ELSE '1C' END AS tier, rank <= 40 AS popular FROM t)
+SELECT 'rows' AS rule, abs(count(*) - 200) AS violations FROM m UNION ALL SELECT 'ranks', count(*) - count(DISTINCT rank) + count(*) FILTER (rank NOT BETWEEN 1 AND 200) FROM m
+UNION ALL SELECT 'tier 1A', abs(count(*) FILTER (tier = '1A') - 50) FROM m UNION ALL SELECT 'tier 1B', abs(count(*) FILTER (tier = '1B') - 50) FROM m UNION ALL SELECT 'tier 1C', abs(count(*) FILTER (tier = '1C') - 100) FROM m
+UNION ALL SELECT 'tier of rank', count(*) FILTER (tier <> CASE WHEN rank <= 50 THEN '1A' WHEN rank <= 100 THEN '1B' ELSE '1C' END) FROM m UNION ALL SELECT 'popular', abs(count(*) FILTER (popular) - 40) FROM m
+UNION ALL SELECT 'paths', count(*) - count(DISTINCT path) + count(*) FILTER (NOT regexp_matches(path, '{_PATHS}')) FROM m""")
 def validate_tier_manifest(spark, d):
-    return tiers(spark, d).groupBy("tier").agg(F.count("*").alias("n"), F.min("rank").alias("first"), F.max("rank").alias("last"), (F.count("*") - F.countDistinct("city_id")).alias("n_repeated"))
+    """Violations of each rule by the manifest of 200 ranked cities with their paths, of which 40 are popular."""
+    m = tiers(spark, d).join(deduped(spark, d).select("city_id", "path"), "city_id").withColumn("popular", F.col("rank") <= 40)
+    return inv.tier_violations(m, _PATHS)
 
 
 @R.add("select_popular", C + " SELECT city_id, name FROM (SELECT city_id, name, row_number() OVER (ORDER BY population DESC, city_id) AS r FROM cities) WHERE r <= 40")

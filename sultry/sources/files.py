@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.checks import guarded
+
 # The columns of the gazetteer's dump.
 GEONAMES = "geonameid long, name string, asciiname string, alternates string, latitude double, longitude double, featureClass string, featureCode string, countryCode string, cc2 string, admin1 string, admin2 string, admin3 string, admin4 string, population long, elevation int, dem int, timezone string, modified date"
 
@@ -63,13 +65,19 @@ def hourly_payloads(spark: SparkSession, path: str, whole_files: bool = False) -
 MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split()
 
 
-def power_climatology(docs: DataFrame) -> DataFrame:
-    """(cell, months array<double>) of climate documents (cell, value JSON); a fill value or one out of range makes all twelve null, a changed header is an error."""
+def power_climatology(docs: DataFrame, version: str | None = None, period: str | None = None) -> DataFrame:
+    """(cell, months array<double>) of climate documents (cell, value JSON); a fill value or one out of range makes all twelve null. A document whose header is
+    not as agreed is an error: time standard and fill value, and where given the version of the service and the period, with its sources and unit."""
     fields = ",".join(f"{m}:double" for m in MONTHS)
-    doc = F.from_json("value", f"header struct<time_standard:string,fill_value:double>, properties struct<parameter:struct<T2MWET:struct<{fields}>>>")
+    header = "header struct<time_standard:string,fill_value:double,range:string,sources:array<string>,api:struct<version:string>>"
+    doc = F.from_json("value", f"{header}, parameters struct<T2MWET:struct<units:string>>, properties struct<parameter:struct<T2MWET:struct<{fields}>>>")
     rows = docs.select("cell", doc.alias("d"))
     months = F.array(*[F.col(f"d.properties.parameter.T2MWET.{m}") for m in MONTHS])
+    # Fixed values of the service: local solar time, its fill value, its two sources and its unit.
     good = (F.col("d.header.time_standard") == "LST") & (F.col("d.header.fill_value") == -999)
+    if version is not None:
+        sources = F.array_sort(F.array_distinct("d.header.sources")) == F.array(F.lit("MERRA2"), F.lit("POWER"))
+        good &= (F.col("d.header.api.version") == version) & (F.col("d.header.range") == period) & sources & (F.col("d.parameters.T2MWET.units") == "C")
     checked = F.when(F.coalesce(good, F.lit(False)), months).otherwise(F.raise_error(F.lit("climate document changed")).cast("array<double>"))
     return rows.select("cell", F.when(F.forall(checked, lambda v: v.isNotNull() & v.between(-100, 60)), checked).alias("months"))
 
@@ -109,11 +117,38 @@ def run_index(lines: DataFrame) -> DataFrame:
     return rows.select(*[c for c in named if c == "run"], "r.date", "r.time", "r.param", "r.step", F.col("r._length").alias("length"))
 
 
-def byte_ranges(lines: DataFrame) -> DataFrame:
-    """(file, field, level, start, end) of a colon-separated inventory (file, line): a record ends before the next begins; the last one has no end and goes."""
+#: Where a published snapshot may hold a field: the first path that is there counts. These are the names of two document formats.
+META = {
+    "initialization": ("$.model.initialization", "$.discovery.initialization", "$.initialization"),
+    "valid_from": ("$.validFrom", "$.model.validTimeBounds.start"),
+    "valid_to": ("$.validTo", "$.model.validTimeBounds.end"),
+}
+
+
+def snapshot_meta(rows: DataFrame, doc: str) -> DataFrame:
+    """Rows with initialization, valid_from and valid_to (times; null where they are not proper UTC times), published (the count, or the length of the list)
+    and availability of a JSON document: invalid if its window is missing or reversed."""
+    found = {name: F.coalesce(*[F.get_json_object(doc, path) for path in paths]) for name, paths in META.items()}
+    time = lambda c: F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{3})?Z$"), c.try_cast("timestamp"))
+    out = rows.select("*", *[time(c).alias(name) for name, c in found.items()])
+    count = F.get_json_object(doc, "$.counts.published").try_cast("int")
+    listed = F.json_array_length(F.get_json_object(doc, "$.hotspots"))
+    bad = F.col("valid_from").isNull() | F.col("valid_to").isNull() | (F.col("valid_from") >= F.col("valid_to"))
+    return out.withColumn("published", F.coalesce(F.when(count >= 0, count), listed)).withColumn("availability", F.when(bad, "invalid").otherwise("published")).drop(doc)
+
+
+def byte_ranges(lines: DataFrame, requested: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(file, field, level, start, end) of a colon-separated inventory (file, line): a record ends before the next begins; the last one has no end and goes.
+    Lines that cannot be read are skipped. With `requested` (field, level), only these, and a file that has not exactly one record of each is an error."""
     from pyspark.sql import Window
 
     p = F.split("value", ":")
-    rows = lines.select("file", "line", p[1].cast("long").alias("start"), p[3].alias("field"), p[4].alias("level"))
+    rows = lines.where(F.size(p) >= 6).select("file", "line", F.get(p, F.lit(1)).try_cast("long").alias("start"), F.get(p, F.lit(3)).alias("field"), F.get(p, F.lit(4)).alias("level")).where("start is not null")
     end = F.lead("start").over(Window.partitionBy("file").orderBy("line")) - 1
-    return rows.withColumn("end", end).where("end is not null")
+    records = rows.withColumn("end", end).where("end is not null")
+    if requested is None:
+        return records
+    wanted = lines.select("file").distinct().withColumn("w_", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(l).alias("level")) for f, l in requested]))).select("file", "w_.field", "w_.level")
+    counts = records.groupBy("file", "field", "level").agg(F.count("*").alias("n"), F.first(F.struct("line", "start", "end")).alias("r"))
+    picked = guarded(wanted.join(counts, ["file", "field", "level"], "left"), {"an inventory has not exactly one record of a requested field": ~F.coalesce(F.col("n") == 1, F.lit(False))})
+    return picked.select("file", "r.line", "r.start", "field", "level", "r.end")
