@@ -53,6 +53,29 @@ RATES = {
 }
 
 
+# The fields that each product event may have, and the values that each field may have.
+EVENT_FIELDS = {
+    "location_search_success": ("search_method",), "location_search_no_match": ("search_method",), "current_location_success": (), "current_location_failure": ("failure_category",),
+    "weather_load_success": ("trigger",), "weather_load_failure": ("trigger", "failure_category"), "forecast_view": (), "forecast_load_failure": ("failure_category",),
+    "map_view": (), "map_interaction": ("interaction_type",), "hotspot_city_click": ("rank_bucket",),
+}
+FIELD_VALUES = {
+    "search_method": ("static", "places"),
+    "trigger": ("page_init", "current_location", "places_search"),
+    "failure_category": ("denied", "timeout", "unsupported", "http", "invalid_payload", "network", "unknown"),
+    "interaction_type": ("pointer", "keyboard", "zoom"),
+    "rank_bucket": ("top_10", "top_25", "top_50", "other"),
+}
+
+
+def allowed_events(rows: DataFrame, event: str = "event", fields: str = "fields") -> DataFrame:
+    """Rows of known events, whose fields (a map) are those that the event may have with a value that the field may have. The contract is a few fixed rows."""
+    contract = [(e, {f: list(FIELD_VALUES[f]) for f in of}) for e, of in EVENT_FIELDS.items()]
+    allowed = rows.sparkSession.createDataFrame(contract, f"{event} string, allowed_ map<string, array<string>>")
+    kept = F.map_filter(fields, lambda k, v: F.coalesce(F.array_contains(F.element_at("allowed_", k), v), F.lit(False)))
+    return rows.join(F.broadcast(allowed), event).withColumn(fields, kept).drop("allowed_")
+
+
 def product_events(events: DataFrame, keys: list[str], event: str = "event") -> DataFrame:
     """Counts of the product events by `keys`, a column each, and the share of bad outcomes among good and bad ones, null where there is neither."""
     n = events.groupBy(*keys).agg(*[F.count_if(F.col(event) == e).alias(e) for e in PRODUCT_EVENTS])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import physics, times
+from .checks import guarded_total
 
 
 def explode_payload(payload: DataFrame, unit: str = "°C") -> DataFrame:
@@ -86,6 +87,27 @@ def hash_sample(population: DataFrame, excluded: DataFrame, key: str, salt: str,
     return rows.withColumn("order_key", F.sha2(F.concat(F.lit(salt + "\0"), F.col(key).cast("string")), 256)).orderBy("order_key").limit(n)
 
 
+def with_controls(population: DataFrame, found: DataFrame, key: str, salt: str, n: int, limit: int) -> DataFrame:
+    """(key, is_control) of the places found and a sample of n others as controls. More than `limit` together are an error, as a provider is asked for each."""
+    controls = hash_sample(population, found, key, salt, n)
+    both = found.select(key, F.lit(False).alias("is_control")).unionByName(controls.select(key, F.lit(True).alias("is_control")))
+    return guarded_total(both, {f"more than {limit} places to refine": F.count("*") > limit})
+
+
+def snapshot_violations(ranked: DataFrame, refined: DataFrame, times_: dict[str, Column], most: int = 50) -> DataFrame:
+    """(rule, violations) of a snapshot: ranks 1, 2, ... to at most `most`; one place a cell; peaks inside the window; as many published as cells allow,
+    all of them refined places; and init <= first_seen <= retrieved < start < end (times_)."""
+    t = times_
+    outside = (F.col("peak_time") < t["start"]) | (F.col("peak_time") >= t["end"])
+    top = ranked.agg((F.count_if(~F.col("rank").between(1, most)) + F.abs(F.count("*") - F.coalesce(F.max("rank"), F.lit(0)))).alias("ranks"), (F.count("*") - F.countDistinct("cell")).alias("cells"), F.count_if(outside).alias("window"), F.count("*").alias("published"))
+    whole = refined.agg(F.countDistinct("cell").alias("n_cells"), F.count("*").alias("n"), F.countDistinct("path").alias("n_paths"))
+    stray = ranked.join(refined.select("path"), "path", "left_anti").agg(F.count("*").alias("stray"))
+    late = F.coalesce((t["init"] <= t["first_seen"]) & (t["first_seen"] <= t["retrieved"]) & (t["retrieved"] < t["start"]) & (t["start"] < t["end"]), F.lit(False))
+    one = top.join(F.broadcast(whole)).join(F.broadcast(stray))
+    counts = F.abs(F.col("published") - F.least(F.lit(most), F.col("n_cells"))) + F.col("stray") + F.col("n") - F.col("n_paths")
+    return one.select("ranks", "cells", "window", counts.alias("counts"), F.when(late, 0).otherwise(1).cast("long").alias("times")).unpivot([], ["ranks", "cells", "window", "counts", "times"], "rule", "violations")
+
+
 def payload_coverage(hours: DataFrame, first: Column, key: str = "city_id") -> DataFrame:
     """Whether a location has 24 distinct hours in the window and 24 in each of the five local days from its first full one."""
     inside = (F.col("valid_time") >= first) & (F.col("valid_time") < F.timestamp_add("HOUR", F.lit(24), first))

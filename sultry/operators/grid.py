@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, physics
+from .checks import guarded
 from .numbering import global_rank
 
 FIELDS = ["temperature_k", "dew_point_k", "pressure_pa"]
@@ -153,9 +154,17 @@ def valid_snapshot(ranked: DataFrame, most: int = 50) -> DataFrame:
     return ranked.withColumn("rank", F.when(good, F.col("rank")).otherwise(F.raise_error(F.lit("not a valid snapshot")).cast("int")))
 
 
-def model_comparison(a: DataFrame, b: DataFrame, n: int = 20) -> DataFrame:
-    """One row: how many of the n top coordinates two ranked lists share, and how many each has alone."""
-    top = lambda d: d.where(F.col("rank") <= n).select(F.round("lat", 4).alias("lat"), F.round(geo.normalize_lon(F.col("lon")), 4).alias("lon")).distinct()
-    x, y = top(a).withColumn("in_a", F.lit(1)), top(b).withColumn("in_b", F.lit(1))
-    both = x.join(y, ["lat", "lon"], "full_outer")
-    return both.agg(F.count_if(F.col("in_a").isNotNull() & F.col("in_b").isNotNull()).alias("both"), F.count_if(F.col("in_b").isNull()).alias("only_a"), F.count_if(F.col("in_a").isNull()).alias("only_b"))
+def model_comparison(a: DataFrame, b: DataFrame, candidates_a: DataFrame, candidates_b: DataFrame, path: str = "path", tops: tuple[int, ...] = (20, 50)) -> DataFrame:
+    """One row on two models' ranked cells (rank, lat, lon, wet_bulb_k) and candidate places (path): how many of the first n coordinates they share, the
+    hottest cell of each, and how many candidates both have, or one alone. Two lists without cells are not compared: that is an error."""
+    cells = lambda d: d.select("rank", F.round("lat", 4).alias("lat"), F.round(geo.normalize_lon(F.col("lon")), 4).alias("lon"))
+    x, y = cells(a).withColumnRenamed("rank", "rank_a"), cells(b).withColumnRenamed("rank", "rank_b")
+    met = x.join(y, ["lat", "lon"]).agg(*[F.countDistinct(F.when((F.col("rank_a") <= n) & (F.col("rank_b") <= n), F.struct("lat", "lon"))).alias(f"top{n}_overlap") for n in tops])
+    first = lambda d, side: d.agg(F.min_by(F.struct("lat", "lon", "wet_bulb_k"), "rank").alias("t")).select(*[F.col(f"t.{c}").alias(f"{c}_{side}") for c in ("lat", "lon", "wet_bulb_k")])
+    places = lambda d, side: d.select(path).distinct().withColumn(f"in_{side}", F.lit(True))
+    both = places(candidates_a, "a").join(places(candidates_b, "b"), path, "full_outer")
+    shared = both.agg(
+        F.count("in_a").alias("candidates_a"), F.count("in_b").alias("candidates_b"), F.count_if(F.col("in_a") & F.col("in_b")).alias("candidates_both"), F.count_if(F.col("in_b").isNull()).alias("only_a"), F.count_if(F.col("in_a").isNull()).alias("only_b")
+    )
+    one = met.join(F.broadcast(first(a, "a"))).join(F.broadcast(first(b, "b"))).join(F.broadcast(shared))
+    return guarded(one, {"a model has no ranked cells": F.col("wet_bulb_k_a").isNull() | F.col("wet_bulb_k_b").isNull()})

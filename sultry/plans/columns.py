@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, text, times
+from ..operators import analytics as an
 from . import fixtures as fx
 from .define import Registry
 
@@ -350,15 +351,21 @@ def src_web_pages(spark, d):
     return fx.table(spark, d, "pages").where("url is not null").select("page_id", "url", F.octet_length("html").cast("bigint").alias("n_bytes"))
 
 
-CONTRACT = [("click", "k"), ("view", "k"), ("purchase", None)]
+_EVENTS = [*an.PRODUCT_EVENTS, "page_view"]
+_VALUES = [v for values in an.FIELD_VALUES.values() for v in values]
+_given = lambda i: f"([{', '.join(map(repr, _VALUES))}])[CAST((event_id + {i}) % {len(_VALUES)} AS INT) + 1]"
+_allowed = lambda i, f: f"CASE WHEN event IN ({', '.join(repr(e) for e, of in an.EVENT_FIELDS.items() if f in of)}) AND {_given(i)} IN ({', '.join(map(repr, an.FIELD_VALUES[f]))}) THEN {_given(i)} END AS {f}"
+_ALLOWED = f"""WITH e AS (SELECT event_id, ([{', '.join(map(repr, _EVENTS))}])[CAST(user_id % {len(_EVENTS)} AS INT) + 1] AS event FROM events)
+SELECT event_id, event, {', '.join(_allowed(i, f) for i, f in enumerate(an.FIELD_VALUES))} FROM e WHERE event <> 'page_view'"""
 
 
-@R.add("event_allowlist", "SELECT event_id, event_type, CASE WHEN event_type IN ('click', 'view') THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events WHERE event_type IN ('click', 'view', 'purchase')")
+@R.add("event_allowlist", _ALLOWED)
 def event_allowlist(spark, d):
-    """Known events keep the fields that the contract allows them. The contract is a few fixed rows."""
-    allowed = spark.createDataFrame(CONTRACT, "event_type string, field string")
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    return fx.table(spark, d, E).join(F.broadcast(allowed), "event_type").select("event_id", "event_type", F.when(F.col("field") == "k", k).alias("k"))
+    """Each event with a value for every field, of that field or of another: known events keep the fields that they may have with values that these may have."""
+    pick = lambda xs, i: F.array(*[F.lit(x) for x in xs])[F.pmod(i, F.lit(len(xs))).cast("int")]
+    given = F.create_map(*[c for i, f in enumerate(an.FIELD_VALUES) for c in (F.lit(f), pick(_VALUES, F.col("event_id") + i))])
+    rows = fx.table(spark, d, E).select("event_id", pick(_EVENTS, F.col("user_id")).alias("event"), given.alias("fields"))
+    return an.allowed_events(rows).select("event_id", "event", *[F.element_at("fields", f).alias(f) for f in an.FIELD_VALUES])
 
 
 @R.add("flag_peak_passed", f"WITH {fx.CITY_HOURS} SELECT city_id, hour, valid_time <= TIMESTAMP '2024-01-03 00:00:00' AS passed FROM city_hours")

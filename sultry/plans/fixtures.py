@@ -1,7 +1,7 @@
 """Projection of the driver tables onto the domain schemas, as DataFrames and as DuckDB CTEs.
 
-Both sides use the same integer arithmetic, so inputs are equal. The grid has 24 x 36 cells, 96 x 144 for
-large inputs of the benchmark."""
+Both sides use the same integer arithmetic, so inputs are equal. The grid has 24 x 36 cells whatever the size of the tables, so that times of its
+queries say what a small grid costs."""
 
 from __future__ import annotations
 

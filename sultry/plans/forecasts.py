@@ -12,10 +12,12 @@ from ..sources import files
 from . import fixtures as fx
 from .columns import PATH, with_path
 from .define import Registry
-from .weather import esat_sql, wet_sql
+from .weather import _DILATE, HOT, NEAR, esat_sql, join_cities_in_hot_cells, wet_sql
 
 R = Registry()
 NOW = "2024-01-02 05:30:00"
+#: The most places that one snapshot may ask a provider for.
+PLACES = 1_000_000
 _td = "least(dew_point_c, temperature_c) + 273.15::DOUBLE"
 HOURS_WET = f"""{fx.CITY_HOURS}, ch AS (SELECT *, city_id * 1000 + hour AS id FROM city_hours), kinds AS (SELECT DISTINCT pressure_pa, temperature_c, dew_point_c, dense_rank() OVER (ORDER BY pressure_pa, temperature_c, dew_point_c) AS id FROM ch),
 {wet_sql(f"SELECT id, pressure_pa AS p, temperature_c + 273.15::DOUBLE AS t, {_td} AS lo, {esat_sql(_td)} AS e FROM kinds")},
@@ -165,17 +167,19 @@ def agg_snapshot_counts(spark, d):
     return whole.join(F.broadcast(top))
 
 
-INHABITED = f"""{fx.CITIES}, p24 AS ({PEAK24}), k30 AS (SELECT city_id FROM (SELECT city_id, sha256(concat('init', chr(0), CAST(city_id AS VARCHAR))) AS o FROM cities WHERE city_id % 3 <> 0 ORDER BY o LIMIT 30)),
-refined AS (SELECT city_id, {PATH} || CAST(city_id AS VARCHAR) AS path, {_CELL} AS cell, wet_bulb_c, valid_time AS peak_time, city_id % 3 <> 0 AS is_control FROM p24 JOIN cities USING (city_id) WHERE city_id % 3 = 0 OR city_id IN (SELECT city_id FROM k30))"""
+INHABITED = f"""{fx.CITIES}, cand AS ({HOT.rstrip()}, dil AS ({_DILATE}), {NEAR} SELECT city_id FROM near JOIN dil USING (cell_row, cell_col)), p24 AS ({PEAK24}),
+k30 AS (SELECT city_id FROM (SELECT city_id, sha256(concat('init', chr(0), CAST(city_id AS VARCHAR))) AS o FROM cities WHERE city_id NOT IN (SELECT city_id FROM cand) ORDER BY o LIMIT 30)),
+refined AS (SELECT city_id, {PATH} || CAST(city_id AS VARCHAR) AS path, {_CELL} AS cell, wet_bulb_c, valid_time AS peak_time, city_id NOT IN (SELECT city_id FROM cand) AS is_control FROM p24 JOIN cities USING (city_id) WHERE city_id IN (SELECT city_id FROM cand) OR city_id IN (SELECT city_id FROM k30))"""
 
 
 @R.add("pipe_inhabited_top50", H.rstrip() + f""", {INHABITED}, {TOP} SELECT rank, path, round(wet_bulb_c, 6) AS wet_bulb_c, is_control, (SELECT count(*) FILTER (NOT is_control) FROM refined) AS n_candidates, (SELECT count(*) FILTER (is_control) FROM refined) AS n_controls,
 (SELECT count(DISTINCT cell) FROM refined) AS n_cells, count(*) OVER () AS n_published, count(*) FILTER (is_control AND rank <= 20) OVER () AS controls_in_top20 FROM top""")
 def pipe_inhabited_top50(spark, d):
-    """Candidates and a hashed sample of controls, their maxima over 24 hours, one location a model cell, the 50 hottest; with the snapshot's counts."""
+    """Cities in and around the grid's hot cells and a hashed sample of controls, their maxima over 24 hours, one location a model cell, the 50 hottest; with
+    the snapshot's counts."""
     c = with_path(fx.cities(spark, d)).withColumn("path", F.concat("path", F.col("city_id").cast("string")))
-    found = c.where("city_id % 3 = 0")
-    wanted = found.select("city_id", F.lit(False).alias("is_control")).unionByName(fc.hash_sample(c, found, "city_id", "init", 30).select("city_id", F.lit(True).alias("is_control")))
+    found = materialize(join_cities_in_hot_cells(spark, d).select("city_id"), "candidates")
+    wanted = materialize(fc.with_controls(c, found, "city_id", "init", 30, PLACES), "wanted")
     cell = geo.cell_id(F.floor(F.col("latitude") / 5) * 5.0, F.floor(F.col("longitude") / 10) * 10.0)
     places = wanted.join(c.select("city_id", "path", cell.alias("cell")), "city_id")
     rows = fc.location_maximum(_hours_of(spark, d, wanted), _ts("2024-01-01 06:00:00")).join(places, "city_id").select("city_id", "path", "cell", "wet_bulb_c", "peak_time", "is_control")
@@ -192,13 +196,14 @@ def _hours_of(spark, d, wanted):
     return fc.with_wet_bulb_c(fx.city_hours(spark, d).join(wanted.select("city_id"), "city_id", "left_semi"))
 
 
-@R.add("validate_snapshot", H.rstrip() + f""", {REFINED}, {TOP} SELECT 'ranks' AS rule, CAST(count(*) FILTER (rank NOT BETWEEN 1 AND 50) + abs(count(*) - max(rank)) AS BIGINT) AS violations FROM top
-UNION ALL SELECT 'cells', count(*) - count(DISTINCT cell) FROM top UNION ALL SELECT 'window', count(*) FILTER (peak_time < TIMESTAMP '2024-01-01 06:00:00' OR peak_time >= TIMESTAMP '2024-01-02 06:00:00') FROM top""")
+@R.add("validate_snapshot", H.rstrip() + f""", {REFINED}, {TOP} SELECT 'ranks' AS rule, CAST(count(*) FILTER (rank NOT BETWEEN 1 AND 50) + abs(count(*) - coalesce(max(rank), 0)) AS BIGINT) AS violations FROM top
+UNION ALL SELECT 'cells', count(*) - count(DISTINCT cell) FROM top UNION ALL SELECT 'window', count(*) FILTER (peak_time < TIMESTAMP '2024-01-01 06:00:00' OR peak_time >= TIMESTAMP '2024-01-02 06:00:00') FROM top
+UNION ALL SELECT 'counts', abs((SELECT count(*) FROM top) - least(50, count(DISTINCT cell))) + (SELECT count(*) FROM top WHERE path NOT IN (SELECT path FROM refined)) + count(*) - count(DISTINCT path) FROM refined
+UNION ALL SELECT 'times', CASE WHEN TIMESTAMP '{fx.INIT}' <= TIMESTAMP '2024-01-01 04:30:00' AND TIMESTAMP '2024-01-01 05:10:00' < TIMESTAMP '2024-01-01 06:00:00' THEN 0 ELSE 1 END""")
 def validate_snapshot(spark, d):
-    top = fc.rank_by_cell(refined(spark, d))
-    outside = (F.col("peak_time") < _ts("2024-01-01 06:00:00")) | (F.col("peak_time") >= _ts("2024-01-02 06:00:00"))
-    one = top.agg((F.count_if(~F.col("rank").between(1, 50)) + F.abs(F.count("*") - F.max("rank"))).alias("ranks"), (F.count("*") - F.countDistinct("cell")).alias("cells"), F.count_if(outside).alias("window"))
-    return one.unpivot([], ["ranks", "cells", "window"], "rule", "violations")
+    rows = materialize(refined(spark, d), "refined")
+    times_ = {"init": _ts(fx.INIT), "first_seen": _ts("2024-01-01 04:30:00"), "retrieved": _ts("2024-01-01 05:10:00"), "start": _ts("2024-01-01 06:00:00"), "end": _ts("2024-01-02 06:00:00")}
+    return fc.snapshot_violations(fc.rank_by_cell(rows), rows, times_)
 
 
 @R.add("topk_hash_sample", f"WITH {fx.CITIES} SELECT city_id, sha256(concat('init', chr(0), CAST(city_id AS VARCHAR))) AS order_key FROM cities WHERE city_id % 3 <> 0 ORDER BY order_key LIMIT 30")
@@ -223,8 +228,8 @@ def topk_validation_sample(spark, d):
 @R.add("set_candidates_plus_controls", f"WITH {fx.CITIES}, k AS (SELECT city_id, 'control' AS kind FROM (SELECT city_id, sha256(concat('init', chr(0), CAST(city_id AS VARCHAR))) AS o FROM cities WHERE city_id % 3 <> 0 ORDER BY o LIMIT 30)) SELECT city_id, 'candidate' AS kind FROM cities WHERE city_id % 3 = 0 UNION ALL SELECT * FROM k")
 def set_candidates_plus_controls(spark, d):
     c = fx.cities(spark, d)
-    found = c.where("city_id % 3 = 0")
-    return found.select("city_id", F.lit("candidate").alias("kind")).unionByName(fc.hash_sample(c, found, "city_id", "init", 30).select("city_id", F.lit("control").alias("kind")))
+    both = fc.with_controls(c, c.where("city_id % 3 = 0"), "city_id", "init", 30, PLACES)
+    return both.select("city_id", F.when(F.col("is_control"), "control").otherwise("candidate").alias("kind"))
 
 
 @R.add("validate_hourly_coverage", f"""WITH {fx.CITY_HOURS}, x AS (SELECT *, CAST(valid_time + to_seconds(offset_s) AS DATE) AS local_day, valid_time - lag(valid_time) OVER (PARTITION BY city_id ORDER BY valid_time) AS gap FROM city_hours),

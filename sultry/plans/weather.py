@@ -258,9 +258,23 @@ def _two(spark, d):
     return g.hottest_cells(p, 20), g.hottest_cells(p.withColumn("temperature_k", F.round("temperature_k", 6)), 20, "temperature_k")
 
 
-@R.add("agg_model_comparison", _WARMER + " SELECT count(*) FILTER (ta.lat IS NOT NULL AND tb.lat IS NOT NULL) AS both, count(*) FILTER (tb.lat IS NULL) AS only_a, count(*) FILTER (ta.lat IS NULL) AS only_b FROM ta FULL OUTER JOIN tb ON ta.lat = tb.lat AND ta.lon = tb.lon")
+_RANKED = """, a AS (SELECT lat, lon, wet_bulb_k, row_number() OVER (ORDER BY round(wet_bulb_k, 6) DESC, lat, lon) AS r FROM peak), b AS (SELECT lat, lon, round(temperature_k, 6) AS wet_bulb_k, row_number() OVER (ORDER BY round(temperature_k, 6) DESC, lat, lon) AS r FROM peak),
+t AS (SELECT * FROM (SELECT 'a' AS m, * FROM a WHERE r <= 50 UNION ALL SELECT 'b', * FROM b WHERE r <= 50)), o AS (SELECT x.r AS ra, y.r AS rb FROM t x JOIN t y ON x.m = 'a' AND y.m = 'b' AND x.lat = y.lat AND x.lon = y.lon),
+ca AS (SELECT city_id FROM cities WHERE city_id % 3 = 0), cb AS (SELECT city_id FROM cities WHERE city_id % 4 = 0)"""
+
+
+@R.add("agg_model_comparison", PK.rstrip() + f""", {fx.CITIES}{_RANKED} SELECT (SELECT count(*) FROM o WHERE ra <= 20 AND rb <= 20) AS top20_overlap, (SELECT count(*) FROM o) AS top50_overlap,
+ (SELECT CAST(round(lat, 4) AS DOUBLE) FROM a WHERE r = 1) AS lat_a, (SELECT round((lon + 180) - 360 * floor((lon + 180) / 360) - 180, 4) FROM a WHERE r = 1) AS lon_a, (SELECT round(wet_bulb_k, 6) FROM a WHERE r = 1) AS wet_bulb_k_a,
+ (SELECT CAST(round(lat, 4) AS DOUBLE) FROM b WHERE r = 1) AS lat_b, (SELECT round((lon + 180) - 360 * floor((lon + 180) / 360) - 180, 4) FROM b WHERE r = 1) AS lon_b, (SELECT wet_bulb_k FROM b WHERE r = 1) AS wet_bulb_k_b,
+ (SELECT count(*) FROM ca) AS candidates_a, (SELECT count(*) FROM cb) AS candidates_b, (SELECT count(*) FROM ca JOIN cb USING (city_id)) AS candidates_both, (SELECT count(*) FROM ca ANTI JOIN cb USING (city_id)) AS only_a, (SELECT count(*) FROM cb ANTI JOIN ca USING (city_id)) AS only_b""")
 def agg_model_comparison(spark, d):
-    return g.model_comparison(*_two(spark, d))
+    """The wet bulb against the temperature as if of two models, with candidates that overlap in part."""
+    p = peaks(spark, d)
+    a, b = g.hottest_cells(p, 50), g.hottest_cells(p.withColumn("temperature_k", F.round("temperature_k", 6)), 50, "temperature_k").withColumn("wet_bulb_k", F.col("temperature_k"))
+    c = fx.cities(spark, d).select(F.col("city_id").alias("path"))
+    out = g.model_comparison(a, b, c.where("path % 3 = 0"), c.where("path % 4 = 0"))
+    rounded = {f"{x}_{m}": F.round(f"{x}_{m}", 4) for x in ("lat",) for m in "ab"} | {f"lon_{m}": F.round(geo.normalize_lon(F.col(f"lon_{m}")), 4) for m in "ab"} | {f"wet_bulb_k_{m}": F.round(f"wet_bulb_k_{m}", 6) for m in "ab"}
+    return out.withColumns(rounded)
 
 
 @R.add("set_top_overlap", _WARMER + " SELECT round(lat, 4) AS lat, round(lon, 4) AS lon FROM (SELECT * FROM ta INTERSECT SELECT * FROM tb)")
