@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..session import materialize
 from .checks import guarded, guarded_total
+from .numbering import neighbours
 
 PRODUCTION = "www.example.org"
 #: Values that split a bracket in a round of nearest_ranks, and the rows from which on its values are counted one by one.
@@ -235,10 +236,10 @@ def cohort_union(tier: DataFrame, controls: DataFrame, key: str, size: int = 400
 
 def status_changes(docs: DataFrame, key: str, time: str, fields: list[str]) -> DataFrame:
     """Rows whose fields differ from the key's row before; the first row counts as a change."""
-    w = Window.partitionBy(key).orderBy(time)
-    same = reduce(lambda a, b: a & b, [F.col(f).eqNullSafe(F.lag(f).over(w)) for f in fields])
-    first = F.row_number().over(w) == 1
-    return docs.withColumn("before", F.lag(fields[0]).over(w)).withColumn("changed_", first | ~same).where("changed_").drop("changed_")
+    rows = neighbours(docs, [key], [time], fields, "was_")
+    same = reduce(lambda a, b: a & b, [F.col(f).eqNullSafe(F.col(f"was_.{f}")) for f in fields])
+    changed = rows.where(F.col("was_").isNull() | ~same)
+    return changed.select(*docs.columns, F.col(f"was_.{fields[0]}").alias("before"))
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -287,5 +288,5 @@ def panel_state(status: Column, collected: Column, attempted: Column, failed: Co
 
 def confirmed_failures(checks: DataFrame, key: str, time: str, categories: str) -> DataFrame:
     """Checks that fail with a category that the check before had too."""
-    before = F.lag(categories).over(Window.partitionBy(key).orderBy(time))
-    return checks.withColumn("confirmed", F.coalesce(F.arrays_overlap(F.col(categories), before), F.lit(False)))
+    rows = neighbours(checks, [key], [time], [categories], "was_")
+    return rows.withColumn("confirmed", F.coalesce(F.arrays_overlap(F.col(categories), F.col(f"was_.{categories}")), F.lit(False))).drop("was_")

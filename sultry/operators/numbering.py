@@ -39,3 +39,23 @@ def grouped_rank(df: DataFrame, group: list[str], order: list[str], name: str, p
     for g in group:
         same &= F.col(g).eqNullSafe(F.col(f"{g}_of_"))
     return ranged.withColumn("within_", within).join(side, same).select(*df.columns, (F.col("base_") + F.col("within_")).alias(name))
+
+
+def neighbours(df: DataFrame, group: list[str], order: list[str], columns: list[str], name: str, ahead: bool = False, parts: int | None = None) -> DataFrame:
+    """Adds, as a struct, `columns` of the row before (or with `ahead`, after) each in its group by `order` (unique within a group); null for the first.
+
+    Rows are dealt by ranges of (group, order) and written once, so that a hot group covers many partitions. Each looks within its partition; those at its
+    edge take the nearest row of the group in another partition, of which there is one for each group and partition that meet."""
+    keys = [*group, *order]
+    ranged = (df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)).withColumn("part_", F.spark_partition_id())
+    ranged = materialize(ranged, "ranged")
+    row, at = F.struct(*columns), F.struct(*order)
+    step = F.lead if ahead else F.lag
+    ends = ranged.groupBy(*group, "part_").agg((F.min_by(row, at) if ahead else F.max_by(row, at)).alias("end_"))
+    ends = ends.select(*[F.col(g).alias(f"{g}_of_") for g in group], F.col("part_").alias("part_of_"), step("end_").over(Window.partitionBy(*group).orderBy("part_")).alias("next_"))
+    same = F.col("part_") == F.col("part_of_")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"{g}_of_"))
+    w = Window.partitionBy("part_", *group).orderBy(*order)
+    near = ranged.withColumn("near_", step(F.struct(row.alias("r"))).over(w))
+    return near.join(ends, same).select(*df.columns, F.when(F.col("near_").isNull(), F.col("next_")).otherwise(F.col("near_.r")).alias(name))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators import inventory as inv
-from ..operators.numbering import global_rank, grouped_rank
+from ..operators.numbering import global_rank, grouped_rank, neighbours
 from ..session import materialize
 from ..sources import files, sinks
 from . import fixtures as fx
@@ -346,8 +346,8 @@ def sink_sitemaps(spark, d):
 
 @R.add("agg_sitemap_audit", C + ", p AS (SELECT country, name, lag(name) OVER (PARTITION BY country ORDER BY city_id) AS before FROM cities) SELECT country, count(*) AS n, count(*) - count(DISTINCT name) AS n_repeated, count(*) FILTER (before > name) AS out_of_order FROM p GROUP BY 1")
 def agg_sitemap_audit(spark, d):
-    p = _c(spark, d).withColumn("before", F.lag("name").over(Window.partitionBy("country").orderBy("city_id")))
-    return p.groupBy("country").agg(F.count("*").alias("n"), (F.count("*") - F.countDistinct("name")).alias("n_repeated"), F.count_if(F.col("before") > F.col("name")).alias("out_of_order"))
+    p = neighbours(_c(spark, d).select("country", "city_id", "name"), ["country"], ["city_id"], ["name"], "before")
+    return p.groupBy("country").agg(F.count("*").alias("n"), (F.count("*") - F.countDistinct("name")).alias("n_repeated"), F.count_if(F.col("before.name") > F.col("name")).alias("out_of_order"))
 
 
 BUCKETS = C + f""", hs AS (SELECT country, state, list_reduce(list_prepend(2166136261, [ord(c) FOR c IN string_split({SLUG.format("concat(name, ' ', CAST(city_id AS VARCHAR))")}, '')]), lambda h, c: (xor(h, CAST(c AS BIGINT)) * 16777619) & 4294967295) AS h FROM cities),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.checks import guarded
+from ..operators.numbering import neighbours
 
 # The columns of the gazetteer's dump.
 GEONAMES = "geonameid long, name string, asciiname string, alternates string, latitude double, longitude double, featureClass string, featureCode string, countryCode string, cc2 string, admin1 string, admin2 string, admin3 string, admin4 string, population long, elevation int, dem int, timezone string, modified date"
@@ -140,12 +141,9 @@ def snapshot_meta(rows: DataFrame, doc: str) -> DataFrame:
 def byte_ranges(lines: DataFrame, requested: list[tuple[str, str]] | None = None) -> DataFrame:
     """(file, field, level, start, end) of a colon-separated inventory (file, line): a record ends before the next begins; the last one has no end and goes.
     Lines that cannot be read are skipped. With `requested` (field, level), only these, and a file that has not exactly one record of each is an error."""
-    from pyspark.sql import Window
-
     p = F.split("value", ":")
     rows = lines.where(F.size(p) >= 6).select("file", "line", F.get(p, F.lit(1)).try_cast("long").alias("start"), F.get(p, F.lit(3)).alias("field"), F.get(p, F.lit(4)).alias("level")).where("start is not null")
-    end = F.lead("start").over(Window.partitionBy("file").orderBy("line")) - 1
-    records = rows.withColumn("end", end).where("end is not null")
+    records = neighbours(rows, ["file"], ["line"], ["start"], "next_", ahead=True).withColumn("end", F.col("next_.start") - 1).where("end is not null").drop("next_")
     if requested is None:
         return records
     wanted = lines.select("file").distinct().withColumn("w_", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(l).alias("level")) for f, l in requested]))).select("file", "w_.field", "w_.level")
