@@ -91,7 +91,7 @@ class Bucket:
         """(anchor, rows, scores) for every anchor that can score `least` or more in this bucket; rows that cannot are left out where lists show it."""
         reach = np.where(least >= 0, self.longest, self.shortest) * anchors.norms
         with np.errstate(divide="ignore", invalid="ignore"):
-            t = np.where(reach > 0, least / reach, np.where(least > 0, 2.0, -1.0))
+            t = np.where(reach > 0, least / reach - 1e-12, np.where(least > 0, 2.0, -1.0))  # less than rounding can add
         live = np.flatnonzero(t <= 1 + 1e-9)
         if not len(live):
             return
