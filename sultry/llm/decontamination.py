@@ -20,6 +20,8 @@ PLAIN = 5
 COVERAGE = 0.6
 #: Shifts of one passage may differ by so many tokens, as a capitalised word can be read as a name in one place and not in another.
 DRIFT = 4
+#: Bytes of text that a task looks at together.
+CHUNK = 1 << 20
 #: Bits of the filter that tells tasks which windows can be in the benchmark; its size never grows.
 FILTER_BITS = 1 << 23
 
@@ -41,7 +43,7 @@ class _Forms(dict):
     """Numbers of words seen by this worker, with what canonical forms need of each: the hash of its bare, folded form, the same or of the
     word itself where it is all punctuation, and whether it is a number, a unit, capitalised, and whether a sentence ends with it. Emptied when it has grown to MOST words."""
 
-    MOST = 400_000
+    MOST = 200_000
 
     def __init__(self) -> None:
         import xxhash
@@ -170,7 +172,7 @@ def template_windows(texts: DataFrame, key: str, text: str, wanted: bytes | None
         keys, data = batch.column(0).to_pylist(), text_bytes(batch.column(1))
         bits = None if held is None else np.frombuffer(held.value, np.uint8)
         # Texts of their own window size go one by one.
-        for a, b in chunks([len(t) for t in data]) if short is not None else ((i, i + 1) for i in range(len(data))):
+        for a, b in chunks([len(t) for t in data], CHUNK) if short is not None else ((i, i + 1) for i in range(len(data))):
             out: list[list] = [[], [], [], [], []]
             split = [t.split() for t in data[a:b]]
             ends = np.cumsum([len(w) for w in split])

@@ -277,7 +277,7 @@ def _apart(rows: DataFrame, least: int, whole: int) -> DataFrame:
             nonlocal told
             pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
             pairs = np.unique(np.sort(pairs, axis=0), axis=1).T.tolist()
-            if len(told) > 1_000_000:
+            if len(told) > 200_000:
                 told = set()
             new = [p for p in map(tuple, pairs) if p not in told]
             told.update(new)
