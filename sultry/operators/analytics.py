@@ -174,7 +174,7 @@ def nearest_ranks(rows: DataFrame, group: str, value: str, percents: list[int],
     shares = [i / (PROBES + 1) for i in range(1, PROBES + 1)]
     while True:
         closed.append(open_.where(small))
-        open_ = materialize(open_.where(~small), "open")
+        open_ = open_.where(~small)
         if open_.isEmpty():
             break
         named = open_.withColumnRenamed("g_", "b_")

@@ -106,7 +106,7 @@ def _crowded(place: DataFrame, other: DataFrame, cells, size: float) -> Iterator
         here = crowd.select("lat2", "lon2", *cells("lat2", "lon2", size / 2**level))
         full = here.groupBy("r", "c").agg(F.count("*").alias("n")).where(F.col("n") > FULL).select("r", "c") if level < DEPTH else None
         points = place.join(crowd.select(F.col("lat2").alias("latitude"), F.col("lon2").alias("longitude")).distinct(), names, "left_semi") if level else None
-        if full is None or (full := materialize(full, "full")).isEmpty():
+        if full is None or full.isEmpty():
             found.append((level, points))
             break
         rest = here.join(full, ["r", "c"], "left_semi").select("lat2", "lon2").distinct()

@@ -24,6 +24,15 @@ def test_grouped_rank_of_a_hot_group_splits(spark):
     assert numbering.grouped_rank(df.limit(0), ["country"], ["path"], "nth").count() == 0
 
 
+@pytest.mark.parametrize("ahead", [False, True])
+def test_neighbours_across_partitions(spark, ahead):
+    df = spark.range(3000).select(F.when(F.col("id") % 7 == 0, F.lit("a")).when(F.col("id") % 501 == 1, F.lit(None)).otherwise(F.lit("hot")).alias("g"), (F.col("id") * 7919 % 30_011).alias("o"), F.when(F.col("id") % 3 != 0, F.col("id")).alias("v"))
+    rows = sorted(((r.g or "", r.o, r.v) for r in df.collect()), reverse=ahead)
+    want = {(g, o): (rows[i - 1][2],) if i and rows[i - 1][0] == g else None for i, (g, o, _) in enumerate(rows)}
+    got = {(r.g or "", r.o): None if r.near is None else (r.near.v,) for r in numbering.neighbours(df, ["g"], ["o"], ["v"], "near", ahead, parts=8).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("least", [4096, 40])
 def test_nearest_ranks(spark, least):
     r = random.Random(3)
