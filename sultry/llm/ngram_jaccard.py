@@ -33,7 +33,7 @@ _SALT = np.uint64(0xD6E8FEB86659FD93)
 def shingle_sets(texts: list[bytes], n: int, fold: bool = True) -> Iterator[np.ndarray]:
     """The sorted distinct 64-bit shingle hashes of each text; the whole sequence is one shingle where a text has
     fewer than n words; nothing without words. The order of the hashes is the global n-gram order."""
-    for a, b in chunks([len(t) for t in texts]):
+    for a, b in chunks([len(t) for t in texts], 1 << 20):
         words = [(t.translate(_FOLD) if fold else t).split() for t in texts[a:b]]
         ends = np.cumsum([len(w) for w in words])
         roll = Rolling(word_hashes([w for ws in words for w in ws]))
