@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize
+from .common import map_batches, materialize, text_bytes
 from .packing import default_vocabulary, encoder
 
 OPEN, MIDDLE, CLOSE = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
@@ -39,12 +40,99 @@ def parse_turn(s: str) -> tuple[str, str]:
     return unescape(m[1]), unescape(m[2])
 
 
-def _conversations(turns: DataFrame) -> DataFrame:
-    """Rows (conv_id, turns, path): a conversation's turns in order, and the hash of each of its prefixes."""
-    row = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("turns"))
-    step = lambda acc, t: F.array_append(acc, F.substring(F.sha2(F.concat(F.coalesce(F.element_at(F.slice(acc, -1, 1), 1), F.lit("")), F.sha2(t["role"], 256), F.sha2(t["text"], 256)), 256), 1, 32))
-    return whole.withColumn("path", F.aggregate("turns", F.array().cast("array<string>"), lambda acc, t: F.when(F.size(acc) > 0, step(acc, t)).otherwise(F.array(F.substring(F.sha2(F.concat(F.sha2(t["role"], 256), F.sha2(t["text"], 256)), 256), 1, 32)))))
+#: Odd bases of the two 64-bit sums that name a prefix of turns.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_MOST = (1 << 64) - 1
+
+
+def _turn_hashes(role: bytes, text: bytes) -> tuple[int, int]:
+    """Two 64-bit hashes of a turn."""
+    import xxhash
+
+    both = xxhash.xxh3_128_intdigest(len(role).to_bytes(8, "little") + role + text)
+    return both & _MOST, both >> 64
+
+
+def _prefix(sums: tuple[int, int], n: int) -> str:
+    """The name of a prefix of n turns: 32 hexadecimal digits."""
+    return f"{sums[0]:016x}{(sums[1] + n) & _MOST:016x}"
+
+
+def _ordered(turns: DataFrame) -> DataFrame:
+    """Rows (cid, role, text, part, nth, sums, before): the turns in ranges of (conversation, turn, role, text), numbered within their conversation's part of a
+    range, with the sums over the turns of the part up to each, and up to the one before. Sum i adds hash i of turn k times its base to the k, so that sums of
+    parts make those of the whole. A task keeps a few numbers; cid is conv_id as text, empty for null."""
+    cid = F.coalesce(F.col("conv_id").cast("string"), F.lit(""))
+    rows = turns.select(cid.alias("cid"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # Ranges go by the beginnings of texts, as their bounds are sampled; the order within a range is by whole ones.
+    dealt = rows.repartitionByRange("cid", "turn", F.substring("role", 1, 16), F.substring("text", 1, 32)).sortWithinPartitions("cid", "turn", "role", "text")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, now, nth, sums, powers = TaskContext.get().partitionId(), None, 0, (0, 0), (1, 1)
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for cid, role, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), text_bytes(batch.column(2)), strict=True):
+                if cid != now:
+                    now, nth, sums, powers = cid, 0, (0, 0), (1, 1)
+                before = sums
+                sums = tuple((s + h * p) & _MOST for s, h, p in zip(sums, _turn_hashes(role, text), powers, strict=True))
+                powers = tuple(p * b & _MOST for p, b in zip(powers, _BASES, strict=True))
+                for column, value in zip(out, (nth, b"".join(x.to_bytes(8, "little") for x in sums), b"".join(x.to_bytes(8, "little") for x in before)), strict=True):
+                    column.append(value)
+                nth += 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * batch.num_rows, pa.int32()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["cid", "role", "text", "part", "nth", "sums", "before"])
+
+    return dealt.select("cid", "role", "text").mapInArrow(number, "cid string, role string, text string, part int, nth long, sums binary, before binary")
+
+
+def _numbers(b: bytes) -> tuple[int, int]:
+    return int.from_bytes(b[:8], "little"), int.from_bytes(b[8:], "little")
+
+
+def _joined(base: tuple[int, int], n: int, sums: tuple[int, int]) -> tuple[int, int]:
+    """The sums over n turns with sums `base` and then those of a part."""
+    return tuple((x + pow(b, n, 1 << 64) * s) & _MOST for x, b, s in zip(base, _BASES, sums, strict=True))
+
+
+def _bases(ordered: DataFrame) -> DataFrame:
+    """Rows (cid, part, n, base) of conversations that cover several ranges: the number and sums of the turns in earlier ones. At most two conversations of a
+    range do, so that the table has a few rows for each range."""
+    parts = ordered.groupBy("cid", "part").agg(F.count("*").alias("n"), F.max_by("sums", "nth").alias("sums"))
+    whole = parts.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("part", "n", "sums"))).alias("parts")).where(F.size("parts") > 1)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[], [], [], []]
+        for cid, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            n, sums = 0, (0, 0)
+            for r in rows:
+                for column, value in zip(out, (cid, r["part"], n, b"".join(x.to_bytes(8, "little") for x in sums)), strict=True):
+                    column.append(value)
+                sums, n = _joined(sums, n, _numbers(r["sums"])), n + r["n"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["cid", "part", "n", "base"])
+
+    return map_batches(whole, run, "cid string, part int, n long, base binary")
+
+
+def _named(ordered: DataFrame, bases: DataFrame) -> DataFrame:
+    """Rows (cid, role, text, depth, node_id, parent_id): each turn with the names of the prefix that ends with it and of the one before."""
+    rows = ordered.join(F.broadcast(bases), ["cid", "part"], "left").select("cid", "role", "text", "nth", "sums", "before", "n", "base")
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        depths, nodes, parents = [], [], []
+        for nth, sums, before, n, base in zip(*(batch.column(i).to_pylist() for i in range(3, 8)), strict=True):
+            here, last = _numbers(sums), _numbers(before)
+            if n:
+                start = _numbers(base)
+                here, last = _joined(start, n, here), _joined(start, n, last)
+            depth = (n or 0) + nth
+            depths.append(depth)
+            nodes.append(_prefix(here, depth))
+            parents.append(_prefix(last, depth - 1) if depth else None)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(depths, pa.int64()), pa.array(nodes, pa.string()), pa.array(parents, pa.string())], ["cid", "role", "text", "depth", "node_id", "parent_id"])
+
+    return map_batches(rows, run, "cid string, role string, text string, depth long, node_id string, parent_id string")
 
 
 def prefix_tree(turns: DataFrame, vocabulary: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -54,19 +142,23 @@ def prefix_tree(turns: DataFrame, vocabulary: str | None = None) -> tuple[DataFr
     tokens (the ids of its last turn, formatted), start (place of its first token when the tree is emitted depth first,
     every shared turn once), position (position id of its first token: the tokens of its ancestors), ancestors
     (array<struct<start,end>> of emitted intervals that its tokens may attend to besides themselves, in order),
-    loss_start and loss_end (its own tokens under the loss mask, none unless an assistant's). leaves:
+    loss_start and loss_end (its own tokens under the loss mask, none unless an assistant's), and segment and path, which read_back follows. leaves:
     conv_id, node_id and n_turns of each conversation.
 
     Turns are ordered by turn, then role and text; null roles and texts are empty; rows without a conv_id
     are one conversation with a null id; repeated rows are further turns; other columns are ignored; an empty table
-    gives no rows. Equal prefixes meet by their hash, combined before the shuffle, so a hot first turn is
-    one row from each task. Nodes are sorted by path over all partitions and numbered by running sums
-    within a partition plus the sums of earlier ones; no task holds a whole tree. Only one conversation's turns are gathered in a row."""
+    gives no rows.
+
+    Prefixes are named by sums of turn hashes, which parts of a conversation add to, so that a conversation covers as many tasks as it has rows for. Equal
+    ones meet by name, combined before the shuffle, so that a hot first turn is one row from each task. A conversation's key lists
+    the nodes that it takes where the tree branches; a node belongs to the least key that has it, and the nodes of one key are a segment: turns
+    that follow each other without a branch. Depth first is the order of (key, depth), whose sums number the tokens. Of a node's ancestors each segment is one
+    interval, so that rows grow with the branches above a node, not with its depth; no task holds a tree or a conversation."""
     vocabulary = vocabulary or default_vocabulary()
-    convs = materialize(_conversations(turns.select("conv_id", "turn", "role", "text")), "conversations")
-    leaves = convs.select("conv_id", F.element_at("path", -1).alias("node_id"), F.size("path").cast("long").alias("n_turns"))
-    each = convs.select("path", F.posexplode("turns").alias("depth", "t")).select(F.col("path")[F.col("depth")].alias("node_id"), "depth", F.array_join(F.slice("path", 1, F.col("depth") + 1), "").alias("path"), "t.role", "t.text")
-    nodes = each.groupBy("node_id").agg(*[F.first(c).alias(c) for c in ("depth", "path", "role", "text")])
+    ordered = materialize(_ordered(turns.select("conv_id", "turn", "role", "text")), "turns")
+    named = _named(ordered, materialize(_bases(ordered), "bases"))
+    members = materialize(named.select("cid", "depth", "node_id", "parent_id"), "members")
+    each = named.groupBy("node_id").agg(*[F.first(c).alias(c) for c in ("parent_id", "depth", "role", "text")])
 
     def tokenize(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode_ordinary
@@ -76,33 +168,45 @@ def prefix_tree(turns: DataFrame, vocabulary: str | None = None) -> tuple[DataFr
             tokens.append(head + body + tail)
             starts.append(len(head) if role == "assistant" else 0)
             ends.append(len(head) + len(body) if role == "assistant" else 0)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(tokens, pa.list_(pa.int32())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["node_id", "depth", "path", "tokens", "loss_start", "loss_end"])
-
-    made = map_batches(nodes.select("node_id", "depth", "path", "role", "text"), tokenize, "node_id string, depth int, path string, tokens array<int>, loss_start int, loss_end int")
-    # Depth first is the order of paths: equal-length hashes one after the other.
-    count = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    made = made.withColumn("tree_id", F.substring("path", 1, 32)).repartitionByRange(count, "path").withColumn("part", F.spark_partition_id())
-    made = materialize(made.withColumn("n", F.size("tokens").cast("long")), "nodes")
-    sums = made.groupBy("tree_id", "part").agg(F.sum("n").alias("n"))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(tokens, pa.list_(pa.int32())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["node_id", "parent_id", "depth", "tokens", "loss_start", "loss_end"])
+
+    made = map_batches(each.select("node_id", "parent_id", "depth", "role", "text"), tokenize, "node_id string, parent_id string, depth long, tokens array<int>, loss_start int, loss_end int")
+    made = materialize(made.withColumn("n", F.size("tokens").cast("long")), "made")
+    # Keys: the first node, and the nodes that follow a branch.
+    forks = made.where("parent_id is not null").groupBy("parent_id").agg(F.count("*").alias("k")).where("k > 1").select("parent_id")
+    marks = materialize(made.join(forks, "parent_id", "left_semi").select("node_id").union(made.where("parent_id is null").select("node_id")), "marks")
+    keys = members.join(marks, "node_id").groupBy("cid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "node_id"))), lambda x: x["node_id"]), "").alias("key"))
+    ends = members.groupBy("cid").agg(F.max_by("node_id", "depth").alias("node_id"), F.count("*").alias("n_turns"))
+    keys = materialize(keys.join(ends, "cid"), "keys")
+    owner = members.join(keys.select("cid", "key"), "cid").groupBy("node_id").agg(F.min("key").alias("segment"))
+    slim = made.select("node_id", "depth", "n").join(owner, "node_id").withColumn("tree_id", F.substring("segment", 1, 32))
+    slim = materialize(slim.repartitionByRange("segment", "depth").withColumn("part", F.spark_partition_id()), "placed")
+    sums = slim.groupBy("tree_id", "part").agg(F.sum("n").alias("n"))
     earlier = F.sum("n").over(Window.partitionBy("tree_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     bases = sums.select("tree_id", "part", F.coalesce(earlier, F.lit(0)).alias("base"))
-    within = F.sum("n").over(Window.partitionBy("tree_id", "part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
-    places = made.select("tree_id", "part", "node_id", "path", "n", F.coalesce(within, F.lit(0)).alias("within")).join(bases, ["tree_id", "part"])
-    places = materialize(places.select("node_id", "path", "n", (F.col("base") + F.col("within")).alias("start")), "places")
-    up = F.transform(F.sequence(F.lit(0), (F.length("path") / 32).cast("int") - 1), lambda i: F.substring(F.col("path"), i * 32 + 1, F.lit(32)))
-    lines = places.where(F.length("path") > 32).select(F.col("node_id").alias("below"), F.posexplode(up).alias("level", "node_id")).where("node_id <> below")
-    above = lines.join(places.select("node_id", "start", "n"), "node_id").groupBy("below").agg(F.array_sort(F.collect_list(F.struct("level", "start", (F.col("start") + F.col("n")).alias("end")))).alias("a"))
-    above = above.select(F.col("below").alias("node_id"), F.transform("a", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("ancestors"))
-    out = made.join(places.select("node_id", "start"), "node_id").join(above, "node_id", "left")
-    out = out.withColumn("ancestors", F.coalesce("ancestors", F.array().cast("array<struct<start:bigint,end:bigint>>")))
+    within = F.sum("n").over(Window.partitionBy("tree_id", "part").orderBy("segment", "depth").rowsBetween(Window.unboundedPreceding, -1))
+    places = slim.withColumn("within", F.coalesce(within, F.lit(0))).join(bases, ["tree_id", "part"])
+    places = materialize(places.select("tree_id", "node_id", "segment", "depth", "n", (F.col("base") + F.col("within")).alias("start")), "places")
+    # The longest conversation of a key passes all segments above its own.
+    longest = keys.groupBy("key").agg(F.max_by("cid", F.struct("n_turns", "cid")).alias("cid"))
+    passed = members.select("cid", "node_id").join(longest, "cid").join(places.select("node_id", "segment", "depth", "start", "n"), "node_id").where("segment <> key")
+    runs = passed.groupBy("key", "segment").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.max("depth").alias("until"))
+    above = runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "segment", "until"))).alias("above"))
+    begins = places.groupBy("segment").agg(F.min("start").alias("begin"))
+    begins = materialize(begins.join(above.withColumnRenamed("key", "segment"), "segment", "left"), "segments")
+    out = places.drop("n", "depth").join(begins, "segment").join(made.drop("n"), "node_id")
+    up = F.coalesce("above", F.array().cast("array<struct<start:bigint,end:bigint,segment:string,until:bigint>>"))
+    own = F.when(F.col("start") > F.col("begin"), F.array(F.struct(F.col("begin").alias("start"), F.col("start").alias("end")))).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
+    out = out.withColumn("ancestors", F.concat(F.transform(up, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))), own))
+    out = out.withColumn("path", F.array_append(F.transform(up, lambda x: F.struct(x["segment"].alias("segment"), x["until"].alias("until"))), F.struct("segment", F.col("depth").alias("until"))))
     position = F.aggregate("ancestors", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
-    parent = F.when(F.col("depth") > 0, F.expr("substring(path, length(path) - 63, 32)"))
-    return out.select("tree_id", "node_id", parent.alias("parent_id"), "depth", "tokens", "start", position.alias("position"), "ancestors", "loss_start", "loss_end"), leaves
+    nodes = out.select("tree_id", "node_id", "parent_id", F.col("depth").cast("int").alias("depth"), "tokens", "start", position.alias("position"), "ancestors", "loss_start", "loss_end", "segment", "path")
+    return nodes, keys.select(F.when(F.col("cid") != "", F.col("cid").cast("long")).alias("conv_id"), "node_id", "n_turns")
 
 
-def read_back(nodes: DataFrame, leaves: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Rows (conv_id, turns array<struct<depth, role, text, loss, n_chars>>): each conversation decoded from the
-    emitted tokens of its leaf and of the intervals the leaf attends to."""
+def read_turns(nodes: DataFrame, leaves: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """Rows (conv_id, depth, role, text, loss, n_chars): the turns of each conversation, decoded from the emitted tokens of its leaf and of the segments above
+    it."""
     vocabulary = vocabulary or default_vocabulary()
 
     def decode(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -114,10 +218,44 @@ def read_back(nodes: DataFrame, leaves: DataFrame, vocabulary: str | None = None
             for column, value in zip(out, (role, text, unescape(read(tokens[a:b]).decode()) if b else None, len(s)), strict=True):
                 column.append(value)
         columns = [pa.array(x, t) for x, t in zip(out, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["tree_id", "start", "role", "text", "loss", "n_chars"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["segment", "depth", "role", "text", "loss", "n_chars"])
+
+    nodes = materialize(nodes, "tree")
+    read = map_batches(nodes.select("segment", "depth", "tokens", "loss_start", "loss_end"), decode, "segment string, depth int, role string, text string, loss string, n_chars long")
+    wanted = leaves.join(nodes.select("node_id", "path"), "node_id").select("conv_id", F.explode("path").alias("p")).select("conv_id", "p.segment", "p.until")
+    return materialize(wanted, "wanted").join(materialize(read, "read"), "segment").where("depth <= until").select("conv_id", "depth", "role", "text", "loss", "n_chars")
 
-    read = map_batches(nodes.select("tree_id", "start", "tokens", "loss_start", "loss_end"), decode, "tree_id string, start long, role string, text string, loss string, n_chars long")
-    spots = F.array_append(F.transform("ancestors", lambda x: x["start"]), F.col("start"))
-    wanted = leaves.join(nodes.select("node_id", "tree_id", "start", "ancestors"), "node_id").select("conv_id", "tree_id", F.posexplode(spots).alias("depth", "start"))
+
+def read_back(nodes: DataFrame, leaves: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """Rows (conv_id, turns array<struct<depth, role, text, loss, n_chars>>): read_turns with each conversation in one row, for conversations that fit one."""
     row = F.struct("depth", "role", "text", "loss", "n_chars")
-    return wanted.join(read, ["tree_id", "start"]).groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("turns"))
+    return read_turns(nodes, leaves, vocabulary).groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("turns"))
+
+
+def conversation_digests(turns: DataFrame) -> DataFrame:
+    """Rows (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) of the rows of read_turns: SHA-256 of role, newline, text and newline
+    of each turn, and of all text under the loss mask. A digest takes turns one after the other, so that a conversation passes through one task,
+    sorted, and is not held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digests, counts = None, None, [0, 0, 0]
+
+        def told() -> pa.RecordBatch:
+            columns = ([now], [counts[0]], [digests[0].hexdigest()], [counts[1]], [digests[1].hexdigest()], [counts[2]])
+            types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+        for batch in batches:
+            for conv, role, text, loss, n in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if digests is None or conv != now:
+                    if digests:
+                        yield told()
+                    now, digests, counts = conv, (hashlib.sha256(), hashlib.sha256()), [0, 0, 0]
+                digests[0].update(f"{role}\n{text}\n".encode())
+                digests[1].update((loss or "").encode())
+                counts = [counts[0] + 1, counts[1] + len(loss or ""), counts[2] + n]
+        if digests:
+            yield told()
+
+    rows = turns.repartition("conv_id").sortWithinPartitions("conv_id", "depth").select("conv_id", "role", "text", "loss", "n_chars")
+    return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
