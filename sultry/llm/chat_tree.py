@@ -174,6 +174,7 @@ def prefix_tree(turns: DataFrame, vocabulary: str | None = None) -> tuple[DataFr
     made = materialize(made.withColumn("n", F.size("tokens").cast("long")), "made")
     # Keys: the first node, and the nodes that follow a branch.
     forks = made.where("parent_id is not null").groupBy("parent_id").agg(F.count("*").alias("k")).where("k > 1").select("parent_id")
+    forks = materialize(forks, "forks")  # so that the join splits below a hot first turn
     marks = materialize(made.join(forks, "parent_id", "left_semi").select("node_id").union(made.where("parent_id is null").select("node_id")), "marks")
     keys = members.join(marks, "node_id").groupBy("cid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "node_id"))), lambda x: x["node_id"]), "").alias("key"))
     ends = members.groupBy("cid").agg(F.max_by("node_id", "depth").alias("node_id"), F.count("*").alias("n_turns"))
