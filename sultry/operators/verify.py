@@ -88,6 +88,13 @@ def error_metrics(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(e).alias("bias"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
 
 
+def exact_avg(c: Column) -> Column:
+    """Average of doubles, added as decimals of twelve places: the order of adding, which differs between runs, does not change it, and a figure halfway
+    between two rounded ones stays there. A plain average where a value has no such decimal: not finite, or 1e16 and more."""
+    exact = c.try_cast("decimal(28,12)")
+    return F.when(F.count(exact) == F.count(c), F.avg(exact).cast("double")).otherwise(F.avg(c))
+
+
 def scorecard(rows: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Metrics by model and field, by station too, by lead bin, and by each of a station's groups (station_id, group), in one pass over the errors.
 
@@ -101,7 +108,7 @@ def scorecard(rows: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     sets = [["model", "field", "group"], ["model", "field", "group", "station_id"], ["model", "field", "group", "lead_bin"]]
     cols = ["model", "field", "group", "station_id", "lead_bin"]
     out = rows.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in cols]).agg(
-        F.count("*").alias("n"), F.avg(e).alias("bias"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.grouping_id().alias("set_")
+        F.count("*").alias("n"), exact_avg(e).alias("bias"), exact_avg(F.abs(e)).alias("mae"), F.sqrt(exact_avg(e * e)).alias("rmse"), F.grouping_id().alias("set_")
     )
     return out.where("group is null or station_id is null and lead_bin is null").drop("set_")
 

@@ -139,6 +139,20 @@ def test_error_metrics(spark):
     assert (r.n, r.bias, r.mae) == (2, -1.0, 2.0) and abs(r.rmse - math.sqrt(5)) < 1e-12
 
 
+@pytest.mark.parametrize("values", [[0.1, 0.2, 0.3], [0.3, 0.2, 0.1]])
+def test_scorecard_does_not_depend_on_order(spark, values):
+    rows = spark.createDataFrame([("a", 1, "0-6", "t", -v) for v in values], "model string, station_id long, lead_bin string, field string, error double").coalesce(1)
+    got = verify.scorecard(rows).collect()
+    assert len(got) == 3 and {(r.n, r.bias, r.mae) for r in got} == {(3, -0.2, 0.2)} and all(abs(r.rmse - math.sqrt(0.14 / 3)) < 1e-12 for r in got)
+
+
+def test_scorecard_keeps_errors_without_a_decimal(spark):
+    rows = spark.createDataFrame([("a", "t", math.nan), ("a", "t", 1.0), ("b", "t", 1e20), ("b", "t", 3e20)], "model string, field string, error double")
+    got = {r.model: r for r in verify.scorecard(rows.selectExpr("*", "1L as station_id", "'0-6' as lead_bin")).where("station_id is null and lead_bin is null").collect()}
+    assert got["a"].n == 2 and math.isnan(got["a"].bias) and math.isnan(got["a"].rmse)
+    assert (got["b"].n, got["b"].bias, got["b"].mae) == (2, 2e20, 2e20)
+
+
 def test_collisions_get_suffix(spark):
     c = spark.createDataFrame([(1, "Metsamor", "Armenia", "04", 40.0, 44.0), (2, "Metsamor", "Armenia", "04", 41.0, 44.5), (3, "Erevan", "Armenia", "11", 40.2, 44.5)], "city_id long, name string, country string, state string, latitude double, longitude double")
     paths = {r.city_id: r.path for r in inventory.dedupe_slugs(c).collect()}
