@@ -192,9 +192,9 @@ def flag_alert_quality(spark, d):
     return an.alert_quality(_sources(spark, d), "day", "channel", "landing_page", 2.6)
 
 
-@R.add("derive_attribution", _SOURCES + " SELECT day, CASE WHEN channel = '(not set)' THEN 'unknown' ELSE channel END AS attribution FROM b WHERE rn = 1")
+@R.add("derive_attribution", _SOURCES + " SELECT day, CASE WHEN channel = '(not set)' THEN 'unknown' ELSE channel END AS attribution, channel = '(not set)' AS not_set_dominates FROM b WHERE rn = 1")
 def derive_attribution(spark, d):
-    return an.attribution(_sources(spark, d), "day", "channel", "sessions").select("day", "attribution")
+    return an.attribution(_sources(spark, d), "day", "channel", "sessions")
 
 
 @R.add("agg_latency_summary", "SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS max_ms FROM events GROUP BY 1")

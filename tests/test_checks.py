@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from sultry import registry
 from sultry.operators import analytics, forecast, grid, inventory
 from sultry.sources import files
 
@@ -142,3 +143,16 @@ def test_tier_manifest(spark):
     told = lambda r: {x.rule: x.violations for x in inventory.tier_violations(spark.createDataFrame(r, "rank int, tier string, path string, popular boolean"), "^/wetbulb-temperature/[a-z0-9-]+/[a-z0-9-]+/[a-z0-9-]+/$").collect() if x.violations}
     assert told(rows) == {}
     assert told(rows[:-1]) == {"rows": 1, "tier 1C": 1} and told([(1, "1B", "/x", False), *rows[1:]]) == {"tier 1A": 1, "tier 1B": 1, "tier of rank": 1, "popular": 1, "paths": 1}
+
+
+def events(spark, path, rows):
+    """A folder with a table of events (event_id, day of January, event_type)."""
+    rows = [(i, dt.datetime(2024, 1, day), 1, kind, 1.0) for i, day, kind in rows]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_attribution_tells_what_dominates(spark, tmp_path):
+    d = events(spark, tmp_path, [(1, 1, "click"), (2, 1, "view"), (3, 2, "click"), (5, 2, "view")])
+    got = {r.day.day: (r.attribution, r.not_set_dominates) for r in registry.queries()["derive_attribution"](spark, d).collect()}
+    assert got == {1: ("view", False), 2: ("unknown", True)}
