@@ -156,3 +156,8 @@ def test_attribution_tells_what_dominates(spark, tmp_path):
     d = events(spark, tmp_path, [(1, 1, "click"), (2, 1, "view"), (3, 2, "click"), (5, 2, "view")])
     got = {r.day.day: (r.attribution, r.not_set_dominates) for r in registry.queries()["derive_attribution"](spark, d).collect()}
     assert got == {1: ("view", False), 2: ("unknown", True)}
+
+
+def test_agents_of_events_without_a_type_are_kept(spark, tmp_path):
+    d = events(spark, tmp_path, [(i, 1, None if i % 2 else "click") for i in range(12)] + [(16, 1, None)])
+    assert sorted(r.event_id for r in registry.queries()["filter_bots"](spark, d).collect()) == [1, 2, 4, 5, 7, 8, 10, 11, 16]
