@@ -167,8 +167,10 @@ def agg_pairwise_models(spark, d):
 
 @R.add("agg_observed_peak", O.rstrip() + f", {CLEAN} SELECT station_id, obs_time, round(temperature_c, 4) AS temperature_c FROM clean WHERE temperature_c IS NOT NULL ORDER BY temperature_c DESC, station_id, obs_time LIMIT 1")
 def agg_observed_peak(spark, d):
+    # The SQL's order is of the rounded temperature: of equal ones the first station and time.
+    rows = _r(_clean(spark, d).where("temperature_c is not null"), "temperature_c")
     order = F.struct(F.col("temperature_c"), -F.col("station_id"), -F.unix_micros("obs_time"))
-    return _clean(spark, d).where("temperature_c is not null").agg(F.max_by(F.struct("station_id", "obs_time", F.round("temperature_c", 4).alias("temperature_c")), order).alias("p")).select("p.*")
+    return rows.agg(F.max_by(F.struct("station_id", "obs_time", "temperature_c"), order).alias("p")).select("p.*")
 
 
 @R.add("agg_availability", M + "SELECT (SELECT count(DISTINCT station_id) FROM fc) AS stations, (SELECT count(DISTINCT station_id) FROM clean) AS with_data, (SELECT count(*) FROM fc) AS possible, count(*) AS matched, count(*) FILTER (o_temperature_c IS NOT NULL) AS scored FROM pairs")
