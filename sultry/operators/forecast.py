@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import physics, times
 from .checks import guarded_total
 
+HOUR_US = 3_600_000_000
+#: The most that a local time is from UTC, in seconds.
+OFFSET_S = 18 * 3600
+
 
 def explode_payload(payload: DataFrame, unit: str = "°C") -> DataFrame:
     """Hourly rows of provider documents (path, hourly struct of aligned arrays, hourly_units, utc_offset_seconds). Documents with other units
@@ -27,6 +31,15 @@ def with_wet_bulb_c(hours: DataFrame) -> DataFrame:
     return hours.withColumn("wet_bulb_c", F.round(wet, 6))
 
 
+def _distinct_times(time: Column, near: Column) -> Column:
+    """The number of distinct times of a group, null ones aside. `near` says which are within 64 hours of each other: of these, whole hours are bits of
+    a number, so that rows are combined before a shuffle; only other times make a set."""
+    us = F.unix_micros(time)
+    whole = F.coalesce(near & (us % HOUR_US == 0), F.lit(False))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.floor(us / HOUR_US), F.lit(64)).cast("int"))
+    return F.bit_count(F.coalesce(F.bit_or(F.when(whole, bit)), F.lit(0).cast("long"))) + F.size(F.collect_set(F.when(~whole, us)))
+
+
 def _peak(*extra: str) -> Column:
     return F.max_by(F.struct("wet_bulb_c", F.col("valid_time").alias("peak_time"), "temperature_c", "dew_point_c", *extra), F.struct(F.col("wet_bulb_c"), -F.unix_timestamp("valid_time")))
 
@@ -35,15 +48,16 @@ def location_maximum(hours: DataFrame, first: Column, n: int = 24, key: str = "c
     """Each location's maximum over n hours from `first`, with the inputs of the earliest hour that has it; only locations
     with all n hours count."""
     rows = hours.where((F.col("valid_time") >= first) & (F.col("valid_time") < F.timestamp_add("HOUR", F.lit(n), first)))
-    best = rows.groupBy(key).agg(_peak().alias("p"), F.count("wet_bulb_c").alias("n"), F.countDistinct("valid_time").alias("d"))
+    best = rows.groupBy(key).agg(_peak().alias("p"), F.count("wet_bulb_c").alias("n"), _distinct_times(F.col("valid_time"), F.lit(n <= 64)).alias("d"))
     return best.where((F.col("n") == n) & (F.col("d") == n)).select(key, "p.*")
 
 
 def daily_complete_maximum(hours: DataFrame, key: str = "city_id") -> DataFrame:
     """Maximum of each local date that has all its 24 hours."""
     day = times.local_date(F.col("valid_time"), F.col("offset_s"))
-    best = hours.groupBy(key, day.alias("local_day")).agg(_peak().alias("p"), F.countDistinct(F.when(F.col("wet_bulb_c").isNotNull(), F.col("valid_time"))).alias("n"))
-    return best.where("n = 24").select(key, "local_day", "p.wet_bulb_c", "p.peak_time")
+    time, us = F.when(F.col("wet_bulb_c").isNotNull(), F.col("valid_time")), F.unix_micros("valid_time")
+    best = hours.groupBy(key, day.alias("local_day")).agg(F.max(F.struct("wet_bulb_c", (-us).alias("before"))).alias("p"), _distinct_times(time, F.col("offset_s").between(-OFFSET_S, OFFSET_S)).alias("n"))
+    return best.where("n = 24").select(key, "local_day", "p.wet_bulb_c", F.timestamp_micros(-F.col("p.before")).alias("peak_time"))
 
 
 def five_day_remaining(hours: DataFrame, retrieved: Column, key: str = "city_id", days: int = 5) -> DataFrame:

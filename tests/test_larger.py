@@ -1,8 +1,16 @@
-"""Cases that larger tables bring: equal values after rounding."""
+"""Cases that larger tables bring: equal values after rounding, rows that are combined before a shuffle."""
 
 import datetime as dt
+import random
+
+from pyspark.sql import functions as F
 
 from sultry import registry
+from sultry.operators import forecast
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_peak_of_equal_rounded_temperatures(spark, tmp_path):
@@ -12,3 +20,28 @@ def test_peak_of_equal_rounded_temperatures(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     r = registry.queries()["agg_observed_peak"](spark, str(tmp_path)).first()
     assert (r.station_id, r.obs_time, r.temperature_c) == (1, at - dt.timedelta(microseconds=1), 34.99)
+
+
+def test_days_are_combined_before_the_shuffle(spark):
+    """Hours go through one shuffle, as one row for each day of a task; days with 24 different times count, whole hours or not."""
+    r = random.Random(5)
+    rows = []
+    for city in range(60):
+        step, off, at = r.choice([1, 1, 1, 0.5, 2]), r.choice([0, 3600, -19800, 64800, 90000 * 40, None]), dt.datetime(2024, 1, 2) - dt.timedelta(hours=r.choice([0, 5.5, 24, 0.25]))
+        for i in range(80):
+            time = at + dt.timedelta(hours=i * step) + dt.timedelta(minutes=r.choice([0] * 200 + [20]))
+            rows += [(city, time, off if r.random() < 0.99 else 0, None if r.random() < 0.005 else round(r.random(), 1))] * r.choice([1] * 50 + [2])
+    hours = spark.createDataFrame(rows, "city_id long, valid_time timestamp, offset_s int, wet_bulb_c double")
+    hours = hours.withColumns({"temperature_c": F.lit(1.0), "dew_point_c": F.lit(1.0)}).repartition(3)
+    days = {}
+    for c, t, o, w in rows:
+        days.setdefault((c, None if o is None else (t + dt.timedelta(seconds=o)).date()), []).append((w, t))
+    want = {}
+    for k, seen in days.items():
+        seen = [x for x in seen if x[0] is not None]
+        if len({t for _, t in seen}) == 24:
+            best = max(w for w, _ in seen)
+            want[k] = (best, min(t for w, t in seen if w == best))
+    out = forecast.daily_complete_maximum(hours)
+    assert plan(out).count("Exchange hashpartitioning") == 1
+    assert {(x.city_id, x.local_day): (x.wet_bulb_c, x.peak_time) for x in out.collect()} == want and len(want) > 30
