@@ -2,11 +2,13 @@
 
 import datetime as dt
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from sultry import registry
 from sultry.operators import forecast
+from sultry.streaming import jobs
 
 
 def plan(df):
@@ -45,3 +47,16 @@ def test_days_are_combined_before_the_shuffle(spark):
     out = forecast.daily_complete_maximum(hours)
     assert plan(out).count("Exchange hashpartitioning") == 1
     assert {(x.city_id, x.local_day): (x.wet_bulb_c, x.peak_time) for x in out.collect()} == want and len(want) > 30
+
+
+def test_reports_meet_forecasts_by_station_and_hour(spark):
+    """The join's keys hold the hour, so that a stream's row does not look through all of a station's; pairs up to exactly half an hour apart, once each."""
+    r = random.Random(8)
+    at = lambda: dt.datetime(1970, 1, 1) + r.choice([dt.timedelta(minutes=30 * r.randrange(-9, 9)), dt.timedelta(seconds=r.randrange(-16000, 16000)), dt.timedelta(minutes=30, microseconds=r.choice([-1, 1]))])
+    f, o = ([(r.choice([1, 1, 2, None]), at(), float(i)) for i in range(150)] for _ in range(2))
+    out = jobs.observe_forecasts(spark.createDataFrame(f, "station_id long, valid_time timestamp, forecast double"), spark.createDataFrame(o, "station_id long, obs_time timestamp, observed double"))
+    keys = re.search(r"Join \[([^\]]*)\], \[([^\]]*)\]", plan(out))
+    assert all(k.count(",") == 1 for k in keys.groups()), keys
+    want = sorted((s, a, v, b, w) for s, a, v in f for z, b, w in o if s is not None and s == z and abs(a - b) <= dt.timedelta(minutes=30))
+    assert sorted(map(tuple, out.collect())) == want and len(want) > 500
+    assert out.columns == ["station_id", "valid_time", "forecast", "obs_time", "observed"]
