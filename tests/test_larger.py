@@ -3,11 +3,15 @@
 import datetime as dt
 import random
 import re
+from collections import Counter
+
+import pytest
 
 from pyspark.sql import functions as F
 
 from sultry import registry
-from sultry.operators import forecast
+from sultry.operators import forecast, inventory
+from sultry.session import materialize
 from sultry.streaming import jobs
 
 
@@ -60,3 +64,34 @@ def test_reports_meet_forecasts_by_station_and_hour(spark):
     want = sorted((s, a, v, b, w) for s, a, v in f for z, b, w in o if s is not None and s == z and abs(a - b) <= dt.timedelta(minutes=30))
     assert sorted(map(tuple, out.collect())) == want and len(want) > 500
     assert out.columns == ["station_id", "valid_time", "forecast", "obs_time", "observed"]
+
+
+@pytest.mark.parametrize(("held", "work"), [(10**6, 10**9), (10**6, 1500), (50, 10**9)])
+def test_buckets_of_regions(spark, monkeypatch, held, work):
+    """Regions by tasks that hold them, in one and in more rounds, and by counting; the numbers asked grow from round to round."""
+    monkeypatch.setattr(inventory, "WORK", work)
+    k = F.col("id")
+    cities = spark.range(400).select(k.alias("city_id"), F.concat(F.lit("City "), (k % 7).cast("string")).alias("name"), F.when(k % 50 != 0, F.lit("x")).alias("country"), F.when(k < 300, "a").when(k < 370, "b").otherwise("c").alias("state"))
+
+    def fnv(name):
+        h = 2166136261
+        for c in name:
+            h = (h ^ ord(c)) * 16777619 & 0xFFFFFFFF
+        return h
+
+    by = {}
+    for r in cities.collect():
+        by.setdefault((r.country, r.state), []).append(fnv(f"{r['name'].lower().replace(' ', '-')}-{r.city_id}"))
+    most, aim = 9, 3
+    want = {}
+    for key, hs in by.items():
+        n = len(hs)
+        fits = lambda b, hs=hs: len(c := Counter(h % b for h in hs)) == b and max(c.values()) <= most  # noqa: E731, B023
+        want[key] = (n, 1 if n <= most else n if key[0] is None else next((b for b in range(-(-n // aim), n) if fits(b)), n))
+    asked = []
+    monkeypatch.setattr(inventory, "materialize", lambda df, name, f=materialize: asked.append(name) or f(df, name))
+    got = {(r.country, r.state): (r.n, r.buckets) for r in inventory.region_buckets(cities, most, aim, 64, held).collect()}
+    monkeypatch.setattr(inventory, "materialize", materialize)
+    assert got == want and any(1 < b < n for n, b in want.values()) and any(b == n > most for n, b in want.values())
+    if held > 100:
+        assert asked.count("regions") <= 5
