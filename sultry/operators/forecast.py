@@ -101,11 +101,12 @@ def hash_sample(population: DataFrame, excluded: DataFrame, key: str, salt: str,
     return rows.withColumn("order_key", F.sha2(F.concat(F.lit(salt + "\0"), F.col(key).cast("string")), 256)).orderBy("order_key").limit(n)
 
 
-def with_controls(population: DataFrame, found: DataFrame, key: str, salt: str, n: int, limit: int) -> DataFrame:
-    """(key, is_control) of the places found and a sample of n others as controls. More than `limit` together are an error, as a provider is asked for each."""
+def with_controls(population: DataFrame, found: DataFrame, key: str, salt: str, n: int, limit: int | None) -> DataFrame:
+    """(key, is_control) of the places found and a sample of n others as controls. More than `limit` together are an error where a provider is asked for each;
+    None where none is asked."""
     controls = hash_sample(population, found, key, salt, n)
     both = found.select(key, F.lit(False).alias("is_control")).unionByName(controls.select(key, F.lit(True).alias("is_control")))
-    return guarded_total(both, {f"more than {limit} places to refine": F.count("*") > limit})
+    return both if limit is None else guarded_total(both, {f"more than {limit} places to refine": F.count("*") > limit})
 
 
 def snapshot_violations(ranked: DataFrame, refined: DataFrame, times_: dict[str, Column], most: int = 50) -> DataFrame:

@@ -25,8 +25,9 @@ hw AS (SELECT ch.*, round(wet_bulb_k - 273.15, 6) AS wet_bulb_c, CAST(valid_time
 H = f"WITH RECURSIVE {HOURS_WET} "
 
 
-def _hours(spark, d):
-    return fc.with_wet_bulb_c(fx.city_hours(spark, d))
+def _hours(spark, d, of=None):
+    """Hours with their wet bulbs; only those of wanted locations (`of`) go through the solver."""
+    return fc.with_wet_bulb_c(fx.city_hours(spark, d, of=of))
 
 
 def _ts(s):
@@ -176,13 +177,13 @@ refined AS (SELECT city_id, {PATH} || CAST(city_id AS VARCHAR) AS path, {_CELL}
 (SELECT count(DISTINCT cell) FROM refined) AS n_cells, count(*) OVER () AS n_published, count(*) FILTER (is_control AND rank <= 20) OVER () AS controls_in_top20 FROM top""")
 def pipe_inhabited_top50(spark, d):
     """Cities in and around the grid's hot cells and a hashed sample of controls, their maxima over 24 hours, one location a model cell, the 50 hottest; with
-    the snapshot's counts."""
+    the snapshot's counts. No provider is asked, as the hours are made from the table, so that places have no limit."""
     c = with_path(fx.cities(spark, d)).withColumn("path", F.concat("path", F.col("city_id").cast("string")))
     found = materialize(join_cities_in_hot_cells(spark, d).select("city_id"), "candidates")
-    wanted = materialize(fc.with_controls(c, found, "city_id", "init", 30, PLACES), "wanted")
+    wanted = materialize(fc.with_controls(c, found, "city_id", "init", 30, None), "wanted")
     cell = geo.cell_id(F.floor(F.col("latitude") / 5) * 5.0, F.floor(F.col("longitude") / 10) * 10.0)
     places = wanted.join(c.select("city_id", "path", cell.alias("cell")), "city_id")
-    rows = fc.location_maximum(_hours_of(spark, d, wanted), _ts("2024-01-01 06:00:00")).join(places, "city_id").select("city_id", "path", "cell", "wet_bulb_c", "peak_time", "is_control")
+    rows = fc.location_maximum(_hours(spark, d, wanted), _ts("2024-01-01 06:00:00")).join(places, "city_id").select("city_id", "path", "cell", "wet_bulb_c", "peak_time", "is_control")
     rows = materialize(rows, "refined")
     top = fc.rank_by_cell(rows)
     whole = rows.agg(F.count_if(~F.col("is_control")).alias("n_candidates"), F.count_if("is_control").alias("n_controls"), F.countDistinct("cell").alias("n_cells"))
@@ -191,11 +192,6 @@ def pipe_inhabited_top50(spark, d):
     return out.join(F.broadcast(whole)).join(F.broadcast(some))
 
 
-def _hours_of(spark, d, wanted):
-    """Only wanted locations' hours go through the solver."""
-    return fc.with_wet_bulb_c(fx.city_hours(spark, d).join(wanted.select("city_id"), "city_id", "left_semi"))
-
-
 @R.add("validate_snapshot", H.rstrip() + f""", {REFINED}, {TOP} SELECT 'ranks' AS rule, CAST(count(*) FILTER (rank NOT BETWEEN 1 AND 50) + abs(count(*) - coalesce(max(rank), 0)) AS BIGINT) AS violations FROM top
 UNION ALL SELECT 'cells', count(*) - count(DISTINCT cell) FROM top UNION ALL SELECT 'window', count(*) FILTER (peak_time < TIMESTAMP '2024-01-01 06:00:00' OR peak_time >= TIMESTAMP '2024-01-02 06:00:00') FROM top
 UNION ALL SELECT 'counts', abs((SELECT count(*) FROM top) - least(50, count(DISTINCT cell))) + (SELECT count(*) FROM top WHERE path NOT IN (SELECT path FROM refined)) + count(*) - count(DISTINCT path) FROM refined

@@ -6,11 +6,11 @@ import re
 from collections import Counter
 
 import pytest
-
 from pyspark.sql import functions as F
 
 from sultry import registry
 from sultry.operators import forecast, inventory
+from sultry.plans import fixtures, forecasts
 from sultry.session import materialize
 from sultry.streaming import jobs
 
@@ -95,3 +95,11 @@ def test_buckets_of_regions(spark, monkeypatch, held, work):
     assert got == want and any(1 < b < n for n, b in want.values()) and any(b == n > most for n, b in want.values())
     if held > 100:
         assert asked.count("regions") <= 5
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_inhabited_places_have_no_limit(spark, monkeypatch):
+    monkeypatch.setattr(forecasts, "PLACES", 5)
+    assert registry.queries()["pipe_inhabited_top50"](spark, SMALL).first().n_candidates > 5
