@@ -256,6 +256,8 @@ def forecast_is_current(spark, d):
 @R.add("join_pinned_daily", H.rstrip() + f", {DAILY}, {REFINED}, {TOP} SELECT top.city_id, rank, CAST(count(daily.local_day) AS BIGINT) AS n_days, round(max(daily.wet_bulb_c), 6) AS max_c FROM top LEFT JOIN daily ON daily.city_id = top.city_id GROUP BY 1, 2")
 def join_pinned_daily(spark, d):
     """Hotspots with up to seven daily maxima of their own location."""
-    daily = fc.daily_complete_maximum(_hours(spark, d)).groupBy("city_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("local_day", "wet_bulb_c"))), 1, 7).alias("days"))
-    top = fc.rank_by_cell(refined(spark, d)).join(daily, "city_id", "left")
+    # The ranked locations are few: only their hours become days.
+    ranked = materialize(fc.rank_by_cell(refined(spark, d)).select("city_id", "rank"), "ranked")
+    daily = fc.daily_complete_maximum(_hours(spark, d, ranked)).groupBy("city_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("local_day", "wet_bulb_c"))), 1, 7).alias("days"))
+    top = ranked.join(daily, "city_id", "left")
     return top.select("city_id", "rank", F.coalesce(F.size("days"), F.lit(0)).cast("bigint").alias("n_days"), F.round(F.array_max(F.transform("days", lambda x: x["wet_bulb_c"])), 6).alias("max_c"))

@@ -103,3 +103,10 @@ SMALL = "/root/testdata/sf0.001"
 def test_inhabited_places_have_no_limit(spark, monkeypatch):
     monkeypatch.setattr(forecasts, "PLACES", 5)
     assert registry.queries()["pipe_inhabited_top50"](spark, SMALL).first().n_candidates > 5
+
+
+def test_only_ranked_locations_have_days(spark, monkeypatch):
+    seen, daily = [], forecast.daily_complete_maximum
+    monkeypatch.setattr(forecast, "daily_complete_maximum", lambda hours: seen.append(hours) or daily(hours))
+    assert registry.queries()["join_pinned_daily"](spark, SMALL).count() == 50
+    assert seen[0].select("city_id").distinct().count() == 50 < fixtures.table(spark, SMALL, "customer").count()
