@@ -111,7 +111,7 @@ m AS (SELECT city_id, local_day, CASE WHEN NOT differ AND a IS NOT NULL THEN a E
 @R.add("join_merge_runs", H.rstrip() + f", {MERGE} SELECT city_id, local_day, round(wet_bulb_c, 6) AS wet_bulb_c, run FROM (SELECT *, count(*) FILTER (wet_bulb_c IS NULL) OVER (PARTITION BY city_id) AS gaps FROM m) WHERE gaps = 0")
 def join_merge_runs(spark, d):
     # The wet bulbs are computed once: the narrow table of daily maxima is read twice.
-    daily = materialize(fc.daily_complete_maximum(_hours(spark, d)).withColumn("offset_s", ((F.col("city_id") % 25 - 12) * 3600).cast("int")), "daily")
+    daily = materialize(fc.daily_complete_maximum(_hours(spark, d)).select("city_id", "local_day", "wet_bulb_c", ((F.col("city_id") % 25 - 12) * 3600).cast("int").alias("offset_s")), "daily")
     cut = F.lit("2024-01-04").cast("date")
     spine = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("city_id"), F.explode(F.expr("sequence(date'2024-01-02', date'2024-01-06')")).alias("local_day"))
     pinned = daily.where((F.col("city_id") % 3 != 0) | (F.col("local_day") < cut)).select("city_id", "local_day", (F.col("wet_bulb_c") + 1).alias("wet_bulb_c"), (F.col("offset_s") + F.when(F.col("city_id") % 5 == 0, 3600).otherwise(0)).alias("offset_s"))

@@ -110,3 +110,10 @@ def test_only_ranked_locations_have_days(spark, monkeypatch):
     monkeypatch.setattr(forecast, "daily_complete_maximum", lambda hours: seen.append(hours) or daily(hours))
     assert registry.queries()["join_pinned_daily"](spark, SMALL).count() == 50
     assert seen[0].select("city_id").distinct().count() == 50 < fixtures.table(spark, SMALL, "customer").count()
+
+
+def test_runs_are_made_of_combined_days(spark, monkeypatch):
+    plans = {}
+    monkeypatch.setattr(forecasts, "materialize", lambda df, name: plans.update({name: plan(df)}) or materialize(df, name))
+    assert registry.queries()["join_merge_runs"](spark, SMALL).count() > 0
+    assert plans["daily"].count("ENSURE_REQUIREMENTS") == 1 and "REPARTITION_BY_NUM" in plans["daily"]
