@@ -248,7 +248,7 @@ SELECT city_id, local_day = CAST(TIMESTAMP '{NOW}' + to_seconds(offset_s) AS DAT
 def forecast_is_current(spark, d):
     """Whether the first day is today's local date with its peak still ahead."""
     daily = fc.daily_complete_maximum(_hours(spark, d))
-    first = daily.groupBy("city_id").agg(F.min_by(F.struct("local_day", "peak_time"), "local_day").alias("f"))
+    first = daily.groupBy("city_id").agg(F.min(F.struct("local_day", "peak_time")).alias("f"))
     today = times.local_date(_ts(NOW), ((F.col("city_id") % 25 - 12) * 3600).cast("int"))
     return first.select("city_id", ((F.col("f.local_day") == today) & (F.col("f.peak_time") > _ts(NOW))).alias("current"))
 

@@ -117,3 +117,9 @@ def test_runs_are_made_of_combined_days(spark, monkeypatch):
     monkeypatch.setattr(forecasts, "materialize", lambda df, name: plans.update({name: plan(df)}) or materialize(df, name))
     assert registry.queries()["join_merge_runs"](spark, SMALL).count() > 0
     assert plans["daily"].count("ENSURE_REQUIREMENTS") == 1 and "REPARTITION_BY_NUM" in plans["daily"]
+
+
+def test_first_days_are_of_combined_days(spark):
+    out = registry.queries()["forecast_is_current"](spark, SMALL)
+    assert plan(out).count("ENSURE_REQUIREMENTS") == 2 and "REPARTITION_BY_NUM" in plan(out)
+    assert out.count() == fixtures.table(spark, SMALL, "customer").count()
