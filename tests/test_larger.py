@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sultry import registry
+from sultry.functions import geo
 from sultry.operators import forecast, inventory
 from sultry.plans import fixtures, forecasts
 from sultry.session import materialize
@@ -123,3 +124,22 @@ def test_first_days_are_of_combined_days(spark):
     out = registry.queries()["forecast_is_current"](spark, SMALL)
     assert plan(out).count("ENSURE_REQUIREMENTS") == 2 and "REPARTITION_BY_NUM" in plan(out)
     assert out.count() == fixtures.table(spark, SMALL, "customer").count()
+
+
+def test_hubs_of_stacked_cities(spark):
+    """Cities of one point look for hubs once, and a point brings only as many hubs as can count; equal to all pairs."""
+    r = random.Random(2)
+    at = [(r.choice([-0.0, 0.0, 59.5, 61.2]), r.choice([179.9, -179.8, 10.0, 10.5])) for _ in range(9)]
+    cities = [(i, *r.choice(at), r.choice([100, 20000, 30000, 30000])) for i in range(220)]
+    near = [(i, j) for i in range(0, 220, 2) for j in {r.randrange(220) for _ in range(3)}]
+    c = spark.createDataFrame(cities, "city_id long, latitude double, longitude double, population long")
+    out = inventory.hubs_nearby(c, spark.createDataFrame(near, "city_id long, other long"), n=3)
+    assert "HashAggregate(keys=[latitude" in plan(out)
+    pairs = c.alias("a").crossJoin(c.alias("b")).where("a.city_id <> b.city_id and b.population >= 20000")
+    pairs = pairs.select(F.col("a.city_id"), F.col("b.city_id").alias("other"), F.col("b.population"), geo.haversine_km(*[F.col(x) for x in ("a.latitude", "a.longitude", "b.latitude", "b.longitude")]).alias("km"))
+    by, known = {}, set(near)
+    for x in pairs.where("km <= 150").collect():
+        if (x.city_id, x.other) not in known:
+            by.setdefault(x.city_id, []).append((-x.population, x.km, x.other))
+    want = {(i, k): (o, -p, km) for i, seen in by.items() for k, (p, km, o) in enumerate(sorted(seen)[:3], 1)}
+    assert {(x.city_id, x["rank"]): (x.other, x.population, x.km) for x in out.collect()} == want and len(want) > 400
